@@ -7,7 +7,8 @@ row of their group; a fingerprint that two different texts share is split by SHA
 whatever the hash does.
 
 Shuffles: one of (fingerprint, id) without texts, which partial aggregation shrinks for a hot group; one of the texts, whose
-join has a single leader row a key, so that a hot group is split by Spark's skewed join; one of the copies' chunks.
+join has a single leader row a key, so that a hot group is split by Spark's skewed join; one of the copies' chunks. The
+joins are merge joins at every size: fingerprints are never gathered for a broadcast.
 
 Defined results: null text counts as empty; one output row per input row; the largest id of a group stays (null is the
 smallest); where the row that stays is repeated with the same id, exactly one of the repeats stays; an empty table gives an
@@ -100,17 +101,17 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     shared = durable(groups.filter("n > 1").select("fp", "leader"))
 
     # Texts meet only here: every row of a shared fingerprint, cut into pieces, against those of the group's leader.
-    copies = hashed.select("id", "text", "fp").join(shared, "fp")
+    copies = hashed.select("id", "text", "fp").join(shared.hint("merge"), "fp")
     pieces = copies.select("fp", (F.col("id").eqNullSafe(F.col("leader"))).alias("leads"), F.explode(_pieces("text")).alias("p"))
     pieces = durable(pieces.select("fp", "leads", "p.no", "p.piece"))
     leaders = pieces.filter("leads").groupBy("fp", "no").agg(F.min("piece").alias("expected"))
-    differing = pieces.join(leaders, ["fp", "no"], "left").filter(~F.col("piece").eqNullSafe(F.col("expected")))
+    differing = pieces.join(leaders.hint("merge"), ["fp", "no"], "left").filter(~F.col("piece").eqNullSafe(F.col("expected")))
     collided = differing.select("fp").distinct().withColumn("collided", F.lit(True))
 
-    keyed = narrow.join(collided, "fp", "left").withColumn("split", F.when(F.col("collided"), F.col("text_sha256")))
+    keyed = narrow.join(collided.hint("merge"), "fp", "left").withColumn("split", F.when(F.col("collided"), F.col("text_sha256")))
     sizes = keyed.groupBy("fp", "split").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
     joined = keyed.alias("k").join(
-        sizes.alias("s"), (F.col("k.fp") == F.col("s.fp")) & F.col("k.split").eqNullSafe(F.col("s.split"))
+        sizes.hint("merge").alias("s"), (F.col("k.fp") == F.col("s.fp")) & F.col("k.split").eqNullSafe(F.col("s.split"))
     )
     out = joined.select("k.id", "k.fp", "k.text_sha256", "s.keep_id", "s.group_size")
     # Repeats of the row that stays are the only rows a window must number.
@@ -125,7 +126,7 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kept = durable(classes(df, id_col, text_col).filter("kept").select("id", "fp"))
     whole = _hashed(df, id_col, text_col)
     joined = whole.alias("w").join(
-        kept.alias("k"), (F.col("w.fp") == F.col("k.fp")) & F.col("w.id").eqNullSafe(F.col("k.id"))
+        kept.hint("merge").alias("k"), (F.col("w.fp") == F.col("k.fp")) & F.col("w.id").eqNullSafe(F.col("k.id"))
     )
     one = Window.partitionBy("w.fp", "w.id").orderBy("w.text")
     return joined.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select("row.*")
