@@ -129,12 +129,14 @@ class Codec:
         self.word = self._word_pattern()
         self.last = LastTokens([p for p in self.ids], self._greedy)
         self._tables()
-        self.clear()
+        self._forget_states()
+        self._forget_words()
 
-    def clear(self) -> None:
-        """Forget what was compiled and encoded so far."""
+    def _forget_states(self) -> None:
         self.states: dict[tuple, State] = {}
         self.root = self._state("", (None,))
+
+    def _forget_words(self) -> None:
         self.codes: dict[str, int] = {}
         self.starts, self.sizes, self.flat = array("q"), array("q"), array("i")
 
@@ -309,8 +311,10 @@ class Codec:
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """(offsets of the rows, ids, begins, ends, decoded texts); each row's last id is the end id, with an empty span."""
-        if len(self.codes) > MAX_WORDS or len(self.states) > MAX_STATES:
-            self.clear()
+        if len(self.codes) > MAX_WORDS:
+            self._forget_words()
+        if len(self.states) > MAX_STATES:
+            self._forget_states()
         known, rows, aligned = self.codes, [], []
         for text in texts:
             norm, places = self.normalize(text)
