@@ -12,6 +12,8 @@ from pitchlake.llm import (
     exact_dedup,
     license_scan,
     mixing,
+    near_dedup,
+    quality_lm,
     sentencepiece_codec,
     token_count,
     warc,
@@ -19,6 +21,11 @@ from pitchlake.llm import (
 from pitchlake.llm.storage import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.classes(docs).select(F.col("id").alias("doc_id"), "class_id", "class_size")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = license_scan.scan_licenses(docs)
@@ -69,6 +76,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(docs)).withColumnRenamed("id", "doc_id")
 
 
+def op9_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = quality_lm.classify(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return judged.withColumnRenamed("id", "doc_id")
+
+
 def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return warc.derive(warc.responses(pages))
@@ -76,11 +89,13 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_license_scan": op2_license_scan,
         "op3_chat_format": op3_chat_format,
         "op4_source_mix": op4_source_mix,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_token_count": op6_token_count,
         "op8_sentencepiece": op8_sentencepiece,
+        "op9_quality_lm": op9_quality_lm,
         "op10_warc_derivatives": op10_warc_derivatives,
     }
