@@ -13,6 +13,7 @@ from pitchlake.llm import (
     license_scan,
     mixing,
     near_dedup,
+    nn_descent,
     quality_lm,
     sentencepiece_codec,
     token_count,
@@ -71,6 +72,10 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(docs).withColumnRenamed("id", "doc_id")
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.nearest(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return sentencepiece_codec.digests(sentencepiece_codec.encode_documents(docs)).withColumnRenamed("id", "doc_id")
@@ -95,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mix": op4_source_mix,
         "op5_exact_dedup": op5_exact_dedup,
         "op6_token_count": op6_token_count,
+        "op7_nn_descent": op7_nn_descent,
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality_lm": op9_quality_lm,
         "op10_warc_derivatives": op10_warc_derivatives,
