@@ -25,21 +25,26 @@ from pyspark.sql import functions as F
 from pitchlake.llm.storage import durable
 
 #: Neighbours a node keeps, and reverse neighbours that a round looks at (a sample by hash: the method's own).
-K = 16
+K = 24
 BLOCK = 64
 DIRECTIONS = 4
-POOL = 64
+POOL = 128
 MAX_ROUNDS = 10
 #: A round that changes fewer than this share of all edges is the last.
 SETTLED = 0.01
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x, np.float64) for x in column.to_pylist()])
+#: Query vectors that may be broadcast; more are joined by shuffle.
+BROADCAST_QUERIES = 50_000
+
+
+def _numbers(column: pa.Array, kind: type = np.float32) -> np.ndarray:
+    return np.stack([np.frombuffer(x, kind) for x in column.to_pylist()]).astype(np.float64)
 
 
 def nodes_of(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataFrame]:
-    """(vec_id, node) of every row that takes part, and (node, vec binary) of the distinct vectors."""
+    """(vec_id, node) of every row that takes part, and (node, vec, exact) of the distinct vectors: single and double
+    precision, packed."""
     vec = df[vec_col].cast("array<double>")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = df.select(df[id_col].alias("vec_id"), vec.alias("v")).filter("vec_id IS NOT NULL AND v IS NOT NULL")
@@ -51,14 +56,14 @@ def nodes_of(df: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, DataF
         for batch in batches:
             lists = batch.column(1)
             flat = lists.flatten().to_numpy().reshape(len(lists), -1) + 0.0  # -0.0 becomes 0.0
-            packed = pa.array([row.tobytes() for row in flat], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), packed], ["vec_id", "vec"])
+            short, exact = (pa.array([row.tobytes() for row in flat.astype(kind)], pa.binary()) for kind in (np.float32, np.float64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), short, exact], ["vec_id", "vec", "exact"])
 
     id_type = df.schema[id_col].dataType.simpleString()
-    packed = durable(rows.mapInArrow(pack, f"vec_id {id_type}, vec binary").distinct())
-    nodes = durable(packed.groupBy("vec").agg(F.min("vec_id").alias("node")))
-    members = packed.join(nodes.hint("merge"), "vec").select("vec_id", "node")
-    return durable(members), nodes.select("node", "vec")
+    packed = durable(rows.mapInArrow(pack, f"vec_id {id_type}, vec binary, exact binary").distinct())
+    nodes = durable(packed.groupBy("exact").agg(F.min("vec_id").alias("node"), F.first("vec").alias("vec")))
+    members = packed.join(nodes.hint("merge"), "exact").select("vec_id", "node")
+    return durable(members), nodes.select("node", "vec", "exact")
 
 
 def _nearest(ids: np.ndarray, vecs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,7 +116,7 @@ def _first_edges(nodes: DataFrame, id_type: str, n: int, dim: int) -> DataFrame:
             part = table.filter(pa.array(direction == j)).combine_chunks()
             yield _edges(*_nearest(part.column(0).to_numpy(), _numbers(part.column(1).combine_chunks()), K))
 
-    along = nodes.mapInArrow(project, f"node {id_type}, vec binary, direction long, along double")
+    along = nodes.select("node", "vec").mapInArrow(project, f"node {id_type}, vec binary, direction long, along double")
     tasks = max(1, min(DIRECTIONS * n // 1024, 4096))
     dealt = along.repartitionByRange(tasks, "direction", "along").sortWithinPartitions("direction", "along")
     return dealt.mapInArrow(block, _EDGE.format(id_type))
@@ -129,7 +134,7 @@ def build_graph(nodes: DataFrame, k: int = K) -> DataFrame:
     id_type = nodes.schema["node"].dataType.simpleString()
     n = nodes.count()
     first = nodes.first()
-    graph = durable(_best(_first_edges(nodes, id_type, n, len(first["vec"]) // 8 if first else 0), k))
+    graph = durable(_best(_first_edges(nodes, id_type, n, len(first["vec"]) // 4 if first else 0), k))
     for _ in range(MAX_ROUNDS):
         graph, changed = _round(nodes, graph, id_type, k)
         if changed <= SETTLED * n * k:
@@ -182,14 +187,14 @@ def _round(nodes: DataFrame, graph: DataFrame, id_type: str, k: int) -> tuple[Da
     return new, new.filter("fresh").count()
 
 
-def _distances(pairs: DataFrame) -> DataFrame:
-    """(query, node, d) of (query, node, q binary, vec binary): exact distances."""
+def _distances(pairs: DataFrame, kind: type) -> DataFrame:
+    """(query, node, d) of (query, node, q binary, vec binary)."""
     types = dict(pairs.dtypes)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                d = np.sqrt(((_numbers(batch.column(2)) - _numbers(batch.column(3))) ** 2).sum(1))
+                d = np.sqrt(((_numbers(batch.column(2), kind) - _numbers(batch.column(3), kind)) ** 2).sum(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d)], ["query", "node", "d"])
 
     chosen = pairs.select("query", "node", "q", "vec")
@@ -198,8 +203,17 @@ def _distances(pairs: DataFrame) -> DataFrame:
 
 def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, pool: int = POOL) -> DataFrame:
     """(query, node, d): the ``pool`` nearest nodes found for each query node (a column ``query`` of nodes)."""
-    lists = durable(graph.groupBy("u").agg(F.collect_list("v").alias("near")))
-    asked = durable(queries.join(nodes.hint("merge"), queries["query"] == nodes["node"]).select("query", F.col("vec").alias("q")))
+    # Both ways: a node's own neighbours, and the nearest of those it is a neighbour of.
+    back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "d")
+    dealt = Window.partitionBy("u", F.pmod(F.xxhash64("v"), F.lit(64))).orderBy("d", "v")
+    back = back.withColumn("_nth", F.row_number().over(dealt)).filter(F.col("_nth") <= K).drop("_nth")
+    back = back.withColumn("_nth", F.row_number().over(Window.partitionBy("u").orderBy("d", "v"))).filter(F.col("_nth") <= K)
+    both = graph.select("u", "v").union(back.select("u", "v"))
+    lists = durable(both.groupBy("u").agg(F.collect_set("v").alias("near")))  # at most 2 K each
+    asked = durable(queries.join(nodes.hint("merge"), queries["query"] == nodes["node"]).select("query", "vec", "exact"))
+    q = asked.select("query", F.col("vec").alias("q"))
+    q = F.broadcast(q) if q.count() <= BROADCAST_QUERIES else q.hint("merge")
+    vectors = nodes.select("node", "vec")
     # seen: everything measured so far, with the round in which it came.
     seen = durable(asked.select("query", F.col("query").alias("node"), F.lit(0.0).alias("d"), F.lit(True).alias("open")))
     order = Window.partitionBy("query").orderBy("d", "node")
@@ -208,12 +222,16 @@ def search(graph: DataFrame, nodes: DataFrame, queries: DataFrame, pool: int = P
         frontier = ranked.filter((F.col("_nth") <= pool) & F.col("open")).select("query", F.col("node").alias("u"))
         reached = frontier.join(lists.hint("merge"), "u").select("query", F.explode("near").alias("node")).distinct()
         fresh = reached.join(seen.select("query", "node").hint("merge"), ["query", "node"], "left_anti")
-        measured = _distances(fresh.join(nodes.hint("merge"), "node").join(asked.hint("merge"), "query"))
+        measured = _distances(fresh.join(vectors.hint("merge"), "node").join(q, "query"), np.float32)
         closed = ranked.withColumn("open", F.col("open") & (F.col("_nth") > pool)).drop("_nth")
         seen = durable(closed.union(measured.withColumn("open", F.lit(True))))
         top = seen.withColumn("_nth", F.row_number().over(order)).filter(F.col("_nth") <= pool)
         if not top.filter("open").limit(1).count():
-            return top.drop("_nth", "open")
+            break
+    # What was found is measured again in double precision.
+    pairs = top.select("query", "node").join(nodes.select("node", F.col("exact").alias("vec")).hint("merge"), "node")
+    exact = asked.select("query", F.col("exact").alias("q"))
+    return _distances(pairs.join(exact.hint("merge"), "query"), np.float64)
 
 
 def nearest(
