@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pitchlake.plans import forecasts
+
+REGISTRIES = [forecasts.R]
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count()
+    return forecasts.binary_quality_by_group(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for r in REGISTRIES for name, f in r.functions.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for r in REGISTRIES for name, sql in r.sql.items()}
