@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.plans import forecasts
+from pitchlake.plans import forecasts, tickets
 
-REGISTRIES = [forecasts.R]
+REGISTRIES = [forecasts.R, tickets.R]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

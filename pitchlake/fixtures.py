@@ -94,6 +94,8 @@ def with_views(sql: str) -> str:
     used = [name for name in VIEWS if name in sql]
     body = ",\n".join(f"{name} AS (SELECT {', '.join(VIEWS[name][1])} FROM {VIEWS[name][0]})" for name in used)
     sql = sql.strip()
+    if not used:
+        return sql
     if sql.upper().startswith("WITH RECURSIVE"):
         return f"WITH RECURSIVE {body},\n{sql[14:]}"
     if sql.upper().startswith("WITH "):

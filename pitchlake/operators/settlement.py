@@ -36,9 +36,9 @@ def system_columns(legs: DataFrame, sizes: list[int], most: int = 7) -> DataFram
     """
     packed = legs.groupBy("coupon").agg(F.array_sort(F.collect_list(F.struct("leg", "odd", "state"))).alias("legs"))
     packed = packed.filter(F.size("legs") <= most)
-    masks = packed.select("coupon", "legs", F.explode(F.sequence(F.lit(1), F.shiftleft(F.lit(1), F.size("legs")) - 1)).alias("mask"))
+    masks = packed.select("coupon", "legs", F.explode(F.expr("sequence(1, shiftleft(1, size(legs)) - 1)")).alias("mask"))
     masks = masks.withColumn("size", F.bit_count("mask")).filter(F.col("size").isin(*sizes))
-    chosen = F.filter("legs", lambda x, i: F.col("mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) != 0)
+    chosen = F.expr("filter(legs, (x, i) -> shiftright(mask, i) & 1 = 1)")
     cols = masks.select("coupon", F.col("mask").alias("column"), "size", chosen.alias("c"))
     odd = F.aggregate("c", F.lit(1.0), lambda a, x: a * F.when(x["state"] == "VOID", 1.0).otherwise(x["odd"]))
     state = (
@@ -79,14 +79,14 @@ def best_combinations(legs: DataFrame, low: float, high: float, most: int) -> Da
     return pairs.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
 
 
-def running_product(legs: DataFrame, target: float, least: int) -> DataFrame:
+def running_product(legs: DataFrame, target: float, least: int, order: list[str]) -> DataFrame:
     """Legs taken in order while the product before them is under ``target``, at least ``least`` of them.
 
     Log sums of at most a few dozen odds; the product of the legs before each leg decides.
     """
-    before = Window.partitionBy("coupon").orderBy("leg").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("coupon").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     product = F.coalesce(F.exp(F.sum(F.log("odd")).over(before)), F.lit(1.0))
-    nth = F.row_number().over(Window.partitionBy("coupon").orderBy("leg"))
+    nth = F.row_number().over(Window.partitionBy("coupon").orderBy(*order))
     rows = legs.withColumn("before", F.round(product, 6)).withColumn("nth", nth)
     return rows.filter((F.col("before") < target) | (F.col("nth") <= least)).select("coupon", "leg", "nth", "before")
 
