@@ -293,12 +293,19 @@ def poisson_markets(spark, sf_dir):
     rows = frame(spark, sf_dir, "matches").filter("id % 10 = 0")
     home, away = F.col("hg").cast("double") * 0.4 + 0.6, F.col("ag").cast("double") * 0.3 + 0.5
     grid = rows.select("id", E.poisson_terms(home, 18).alias("h"), E.poisson_terms(away, 18).alias("a"))
-    cells = grid.select("id", "a", F.posexplode("h").alias("i", "ph")).select("id", "i", "ph", F.posexplode("a").alias("j", "pa"))
-    p = F.col("ph") * F.col("pa")
-    take = lambda test: F.round(F.sum(F.when(test, p)), 6)
-    i, j = F.col("i"), F.col("j")
-    return cells.groupBy("id").agg(
-        take(i > j).alias("home"), take(i == j).alias("draw"), take(i < j).alias("away"), take((i > 0) & (j > 0)).alias("btts"), take(i + j > 2).alias("over_25")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
+    # Row by row of the grid: a home win by i goals needs fewer than i away goals.
+    draw = total(F.zip_with("h", "a", lambda x, y: x * y))
+    won = total(F.transform("h", lambda x, i: x * total(F.slice("a", F.lit(1), i))))
+    low = lambda n: total(F.transform(F.slice("h", 1, n + 1), lambda x, i: x * total(F.slice("a", F.lit(1), n + 1 - i))))
+    first = lambda c: F.element_at(c, 1)
+    return grid.select(
+        "id",
+        F.round(won, 6).alias("home"),
+        F.round(draw, 6).alias("draw"),
+        F.round(1 - won - draw, 6).alias("away"),
+        F.round((1 - first("h")) * (1 - first("a")), 6).alias("btts"),
+        F.round(1 - low(2), 6).alias("over_25"),
     )
 
 
