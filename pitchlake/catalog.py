@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.plans import forecasts, storage, tickets
+from pitchlake.plans import forecasts, readiness, storage, tickets
 
-REGISTRIES = [forecasts.R, tickets.R, storage.R]
+REGISTRIES = [forecasts.R, tickets.R, storage.R, readiness.R]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
