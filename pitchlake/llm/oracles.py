@@ -80,11 +80,9 @@ def op10() -> str:
         joined = f"translate({' || '.join(groups)}, '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"
         return f"'sha1:' || {joined}"
 
-    text = html
-    for pattern in warc.SILENT:
-        text = swap(text, pattern, "''")
-    text = swap(swap(text, r"[ \t\n\r\f]+", "' '"), warc.BREAKS, "chr(10)")
-    text = swap(swap(entities(swap(text, warc.TAG, "''")), " +", "' '"), r" ?\n[ \n]*", "chr(10)")
+    text = swap(html, warc.SILENT, "''")
+    text = swap(swap(text, r"[\t\n\r\f]", "' '"), warc.BREAKS, "chr(10)")
+    text = swap(swap(entities(swap(text, warc.TAG, "''")), " {2,}", "' '"), r" ?\n[ \n]*", "chr(10)")
     text = swap(text, r"^[ \n]+|[ \n]+\z", "''")
     title = f"trim({entities(f'regexp_replace(regexp_extract({html}, {_quoted(warc.TITLE)}, 1), {blank}, chr(32), chr(103))')})"
     crlf = "chr(13) || chr(10)"

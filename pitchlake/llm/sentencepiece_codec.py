@@ -34,7 +34,7 @@ MARK = "▁"
 #: Words and compiled states kept at a time, in each Python worker; original bytes of one Arrow batch.
 MAX_WORDS = 300_000
 MAX_STATES = 250_000
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 # Kinds of pieces and the model type in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -98,7 +98,7 @@ class CharMap:
 
 
 class State(dict):
-    """A state of the left-to-right encoder: character -> (next state, last token), compiled when first needed."""
+    """A state of the left-to-right encoder: character -> (next state, last piece), compiled when first needed."""
 
     __slots__ = ("codec", "suffix", "lasts")
 
@@ -211,12 +211,13 @@ class Codec:
             found.codec, found.suffix, found.lasts = self, suffix, lasts
         return found
 
-    def compile(self, state: State, char: str) -> tuple[State, str]:
+    def compile(self, state: State, char: str) -> tuple[State, tuple[int, int | None]]:
         token, _, suffix, lasts, _ = self.last.extend(state.suffix, state.lasts, char)
-        return self._state(suffix, lasts), token
+        return self._state(suffix, lasts), (len(token), self.ids.get(token))
 
-    def merge(self, word: str) -> list[str]:
-        """Pieces of a word, as merging the best-scored pair first, the leftmost of equals, makes them."""
+    def merge(self, word: str) -> list[tuple[int, int | None]]:
+        """(length, id) of a word's pieces, as merging the best-scored pair first, the leftmost of equals, makes them; no id
+        for a character that is no piece."""
         state, ends = self.root, []
         for char in word:
             state, token = state[char]
@@ -225,7 +226,7 @@ class Codec:
         while at:
             token = ends[at - 1]
             parts.append(token)
-            at -= len(token)
+            at -= token[0]
         parts.reverse()
         return parts
 
@@ -248,24 +249,25 @@ class Codec:
         return parts
 
     def _encode_word(self, word: str) -> int:
-        ids = [self.ids.get(p) for p in self.merge(word)]
+        parts = self.merge(word)
+        ids = [i for _, i in parts]
         if None in ids:
-            ids = self._by_bytes(self.merge(word))
+            ids = self._by_bytes(word, parts)
         self.starts.append(len(self.flat))
         self.sizes.append(len(ids))
         self.flat.extend(ids)
         code = self.codes[word] = len(self.sizes) - 1
         return code
 
-    def _by_bytes(self, parts: list[str]) -> list[int]:
+    def _by_bytes(self, word: str, parts: list[tuple[int, int | None]]) -> list[int]:
         """Ids where some part is no piece."""
-        ids = []
-        for part in parts:
-            known = self.ids.get(part)
+        ids, at = [], 0
+        for size, known in parts:
             if known is None and self.bytes:
-                ids += [self.bytes[b] for b in part.encode()]
+                ids += [self.bytes[b] for b in word[at : at + size].encode()]
             else:
                 ids.append(self.unknown if known is None else known)
+            at += size
         return ids
 
     def decode(self, ids) -> str:
@@ -315,28 +317,38 @@ class Codec:
             self._forget_words()
         if len(self.states) > MAX_STATES:
             self._forget_states()
-        known, rows, aligned = self.codes, [], []
+        known, codes, n_words, aligned = self.codes, [], [], []
         for text in texts:
             norm, places = self.normalize(text)
-            rows.append([known[w] if w in known else self._encode_word(w) for w in self.word.findall(norm)])
+            row = [known[w] if w in known else self._encode_word(w) for w in self.word.findall(norm)]
+            codes += row
+            n_words.append(len(row))
             aligned.append(places)
-        starts, sizes = np.array(self.starts, dtype=np.int64), np.array(self.sizes, dtype=np.int64)
-        flat = np.array(self.flat, dtype=np.int32)
-        ids, begins, ends, counts, decoded = [], [], [], [], []
-        for codes, places in zip(rows, aligned):
-            codes = np.array(codes, dtype=np.int64)
-            n = sizes[codes]
-            ahead = np.cumsum(n) - n
-            own = flat[np.repeat(starts[codes] - ahead, n) + np.arange(int(n.sum()))]
-            edges = np.append(0, np.cumsum(self._widths(own)))
-            decoded.append(self.decode(own))
-            ids.append(np.append(own, np.int32(self.end)))
-            begins.append(places[edges])  # the last edge is the end id's
-            ends.append(np.append(places[edges[1:]], places[edges[-1]]))
-            counts.append(len(own) + 1)
-        offsets = np.append(0, np.cumsum(counts))
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0)
-        return offsets, join(ids), join(begins), join(ends), decoded
+        # From here on all rows at once: words to ids, ids to widths, widths to places in each row's own alignment.
+        words = np.array(codes, dtype=np.int64)
+        n = np.array(self.sizes, dtype=np.int64)[words]
+        ahead = np.cumsum(n) - n
+        index = np.repeat(np.array(self.starts, dtype=np.int64)[words] - ahead, n) + np.arange(int(n.sum()))
+        ids = np.array(self.flat, dtype=np.int32)[index]
+        upto = np.append(0, np.cumsum(n))[np.append(0, np.cumsum(np.array(n_words, dtype=np.int64)))]
+        row_of = np.repeat(np.arange(len(texts)), np.diff(upto))
+        ends = np.cumsum(self._widths(ids))
+        bases = np.append(0, ends)[upto]
+        lengths = np.array([len(p) for p in aligned], dtype=np.int64)
+        first = np.cumsum(lengths) - lengths
+        places = np.concatenate(aligned) if aligned else np.zeros(0, np.int64)
+        shift = (first - bases[:-1])[row_of]
+        begins, ends = places[np.append(0, ends)[:-1] + shift], places[ends + shift]
+        shown, sizes = self._bytes_of(ids)
+        cuts = np.append(0, np.cumsum(sizes))[upto].tolist()
+        raw = shown.tobytes()
+        decoded = [raw[a:b].decode(errors="replace") for a, b in zip(cuts, cuts[1:])]
+        if self.prefix:
+            decoded = [t[1:] if t.startswith(" ") else t for t in decoded]
+        # The end id closes every row, with an empty span at the end of the text.
+        closing = places[first + lengths - 1]
+        ids, begins, ends = (np.insert(x, upto[1:], y) for x, y in ((ids, np.int32(self.end)), (begins, closing), (ends, closing)))
+        return upto + np.arange(len(texts) + 1), ids, begins, ends, decoded
 
 
 _LOADED: dict[str, Codec] = {}

@@ -40,13 +40,11 @@ ENTITIES = [
     ("&euro;", "€"),
     ("&amp;", "&"),
 ]
-# Patterns valid for Java and RE2 alike: what carries no text, then what breaks a line, then every other tag.
-SILENT = [
-    r"(?s)<!--.*?(-->|\z)",
-    r"(?is)<script\b.*?(</script[ \t\n\r]*>|\z)",
-    r"(?is)<style\b.*?(</style[ \t\n\r]*>|\z)",
-    r"(?is)<head\b.*?(</head[ \t\n\r]*>|\z)",
-]
+# Patterns valid for Java and RE2 alike: what carries no text, what breaks a line, every other tag.
+SILENT = (
+    r"(?is)<!--.*?(-->|\z)|<head\b.*?(</head[ \t\n\r]*>|\z)"
+    r"|<script\b.*?(</script[ \t\n\r]*>|\z)|<style\b.*?(</style[ \t\n\r]*>|\z)"
+)
 BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
 TAG = r"<[!/]?[A-Za-z][^>]*>"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
@@ -71,13 +69,10 @@ def decode_entities(text: Column) -> Column:
 
 def plain_text(html: Column) -> Column:
     """Text of an HTML document: one line per block, white space collapsed, character references resolved."""
-    out = _or_empty(html)
-    for pattern in SILENT:
-        out = F.regexp_replace(out, pattern, "")
-    out = F.regexp_replace(out, r"[ \t\n\r\f]+", " ")
-    out = F.regexp_replace(out, BREAKS, "\n")
+    out = F.regexp_replace(_or_empty(html), SILENT, "")
+    out = F.regexp_replace(F.regexp_replace(out, r"[\t\n\r\f]", " "), BREAKS, "\n")
     out = decode_entities(F.regexp_replace(out, TAG, ""))
-    out = F.regexp_replace(out, r" +", " ")
+    out = F.regexp_replace(out, r" {2,}", " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+\z", "")
 
