@@ -68,10 +68,10 @@ def insert_or_ignore(spark, sf_dir):
 
 @R.query("""
 SELECT l_orderkey AS event_id, CAST(l_linenumber AS BIGINT) AS market_id, CAST(l_linenumber AS DOUBLE) + 0.5 AS line, o AS outcome,
-  CAST(1 AS DOUBLE) + l_quantity AS odd FROM lineitem, (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) x(o) WHERE l_orderkey % 50 = 0""")
+  CAST(1 AS DOUBLE) + l_quantity AS odd FROM lineitem, (VALUES (CAST(1 AS BIGINT)), (CAST(2 AS BIGINT))) x(o)""")
 def json_explode_markets(spark, sf_dir):
     """Bulletin documents built from line items and taken apart again."""
-    rows = frame(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0")
+    rows = frame(spark, sf_dir, "lineitem")
     odd = F.lit(1.0) + F.col("l_quantity")
     outcomes = F.array(*[F.struct(F.lit(n).cast("long").alias("no"), F.lit("x").alias("n"), odd.alias("odd")) for n in (1, 2)])
     bad = F.struct(F.lit(3).cast("long").alias("no"), F.lit("x").alias("n"), F.lit(-1.0).alias("odd"))
@@ -83,9 +83,9 @@ def json_explode_markets(spark, sf_dir):
 
 
 @R.query("""
-SELECT user_id AS market, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS rank, event_id FROM events WHERE user_id % 10 = 0""")
+SELECT user_id AS market, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS rank, event_id FROM events""")
 def popularity_rank(spark, sf_dir):
-    rows = frame(spark, sf_dir, "events").filter("user_id % 10 = 0")
+    rows = frame(spark, sf_dir, "events")
     item = F.struct(F.col("event_id").alias("eventId"), F.col("user_id").alias("marketId"))
     listed = rows.groupBy("user_id").agg(F.array_sort(F.collect_list(item)).alias("l"))
     body = F.to_json(F.struct(F.struct(F.col("l").alias("1")).alias("data")))
@@ -95,12 +95,12 @@ def popularity_rank(spark, sf_dir):
 @R.query("""
 SELECT o_orderkey AS id, o_orderdate + CASE WHEN o_orderkey % 3 = 0 THEN interval '12' hour ELSE interval '15' hour END - interval '3' hour AS kickoff,
   o_orderkey % 3 <> 0 AS known FROM orders WHERE o_orderdate >= TIMESTAMP '2017-01-01'
-UNION ALL SELECT o_orderkey, NULL, o_orderkey % 3 <> 0 FROM orders WHERE o_orderdate < TIMESTAMP '2017-01-01' AND o_orderkey % 7 = 0""")
+UNION ALL SELECT o_orderkey, NULL, o_orderkey % 3 <> 0 FROM orders WHERE o_orderdate < TIMESTAMP '2017-01-01'""")
 def normalize_kickoff(spark, sf_dir):
     """Local dates and times to UTC; dates before 2017 stand for malformed ones."""
     k = F.col("o_orderkey")
     early = F.col("o_orderdate") < F.lit("2017-01-01").cast("timestamp_ntz")
-    rows = frame(spark, sf_dir, "orders").filter(~early | (k % 7 == 0))
+    rows = frame(spark, sf_dir, "orders")
     day = F.when(early, F.lit("31-31-x")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
     at, known = E.parse_kickoff(day, F.when(k % 3 != 0, "15:00"), "Europe/Istanbul")
     return rows.select(k.alias("id"), at.cast("timestamp_ntz").alias("kickoff"), known.alias("known"))

@@ -123,7 +123,7 @@ def settle_accumulator(spark, sf_dir):
 
 
 COLUMNS = """l AS (SELECT coupon, odd, state, row_number() OVER (PARTITION BY coupon ORDER BY leg, odd, state) - 1 AS i,
-  count(*) OVER (PARTITION BY coupon) AS n FROM legs WHERE coupon % 20 = 0),
+  count(*) OVER (PARTITION BY coupon) AS n FROM legs),
 m AS (SELECT DISTINCT coupon, unnest(range(1, CAST(pow(2, n) AS BIGINT))) AS mask FROM l WHERE n <= 7),
 x AS (SELECT m.coupon, mask AS col, count(*) AS size, round(product(CASE WHEN state = 'VOID' THEN CAST(1 AS DOUBLE) ELSE odd END), 8) AS odd,
   CASE WHEN bool_or(state = 'LOST') THEN 'LOST' WHEN bool_and(state = 'VOID') THEN 'VOID' ELSE 'WON' END AS state
@@ -132,14 +132,14 @@ x AS (SELECT m.coupon, mask AS col, count(*) AS size, round(product(CASE WHEN st
 
 @R.query(f"WITH {COLUMNS} SELECT coupon, CAST(col AS INTEGER) AS \"column\", CAST(size AS INTEGER) AS size, odd, state FROM x")
 def system_columns(spark, sf_dir):
-    return settlement.system_columns(frame(spark, sf_dir, "legs").filter("coupon % 20 = 0"), [2, 3])
+    return settlement.system_columns(frame(spark, sf_dir, "legs"), [2, 3])
 
 
 @R.query(f"""
 WITH {COLUMNS} SELECT coupon, count(*) AS columns, count(*) FILTER (state = 'WON') AS won, count(*) * 100 AS stake_cents,
   CAST(sum(CASE state WHEN 'WON' THEN round(100 * odd) WHEN 'VOID' THEN 100 ELSE 0 END) AS BIGINT) AS payout_cents FROM x GROUP BY coupon""")
 def settle_system(spark, sf_dir):
-    legs = frame(spark, sf_dir, "legs").filter("coupon % 20 = 0")
+    legs = frame(spark, sf_dir, "legs")
     return settlement.settle_systems(settlement.system_columns(legs, [2, 3]), 100)
 
 
@@ -266,31 +266,31 @@ def name_similarity(spark, sf_dir):
 @R.query()
 def resolve_best_match(spark, sf_dir):
     """Customer names, misspelt and decorated, against the clean names of their nation."""
-    rows = frame(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    rows = frame(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     dirty = rows.withColumn("name", F.concat(F.lit("FC "), F.replace(F.col("name"), F.lit("Customer"), F.lit("Çustomer")), F.lit(" SK")))
     return resolve.best_matches(dirty, rows, "block")
 
 
 @R.query("""
-WITH r AS (SELECT id, CAST(hg AS DOUBLE) * 0.4 + 0.6 AS lam FROM matches WHERE id % 10 = 0),
+WITH r AS (SELECT id, CAST(hg AS DOUBLE) * 0.4 + 0.6 AS lam FROM matches),
 t AS (SELECT id, lam, k, exp(-lam) * pow(lam, k) / CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS p FROM r, range(0, 12) x(k))
 SELECT id, round(1 - sum(p) FILTER (k <= 1), 6) AS over_15, round(1 - sum(p) FILTER (k <= 2), 6) AS over_25, round(1 - sum(p) FILTER (k <= 3), 6) AS over_35
 FROM t GROUP BY id""")
 def count_over_line(spark, sf_dir):
-    rows = frame(spark, sf_dir, "matches").filter("id % 10 = 0")
+    rows = frame(spark, sf_dir, "matches")
     rate = F.col("hg").cast("double") * 0.4 + 0.6
     return rows.select("id", *[F.round(E.count_over(rate, x), 6).alias(f"over_{int(x * 10)}") for x in (1.5, 2.5, 3.5)])
 
 
 @R.query("""
-WITH r AS (SELECT id, CAST(hg AS DOUBLE) * 0.4 + 0.6 AS a, CAST(ag AS DOUBLE) * 0.3 + 0.5 AS b FROM matches WHERE id % 10 = 0),
+WITH r AS (SELECT id, CAST(hg AS DOUBLE) * 0.4 + 0.6 AS a, CAST(ag AS DOUBLE) * 0.3 + 0.5 AS b FROM matches),
 t AS (SELECT id, i, j, exp(-a) * pow(a, i) / CAST(factorial(CAST(i AS INTEGER)) AS DOUBLE) * exp(-b) * pow(b, j) / CAST(factorial(CAST(j AS INTEGER)) AS DOUBLE) AS p
       FROM r, range(0, 19) x(i), range(0, 19) y(j))
 SELECT id, round(sum(p) FILTER (i > j), 6) AS home, round(sum(p) FILTER (i = j), 6) AS draw, round(sum(p) FILTER (i < j), 6) AS away,
   round(sum(p) FILTER (i > 0 AND j > 0), 6) AS btts, round(sum(p) FILTER (i + j > 2), 6) AS over_25 FROM t GROUP BY id""")
 def poisson_markets(spark, sf_dir):
     """1X2, both-score and totals from the 19 x 19 grid of two independent goal counts."""
-    rows = frame(spark, sf_dir, "matches").filter("id % 10 = 0")
+    rows = frame(spark, sf_dir, "matches")
     home, away = F.col("hg").cast("double") * 0.4 + 0.6, F.col("ag").cast("double") * 0.3 + 0.5
     grid = rows.select("id", E.poisson_terms(home, 18).alias("h"), E.poisson_terms(away, 18).alias("a"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
