@@ -1,10 +1,12 @@
 """Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, and thresholds by language.
 
-Words and punctuation runs are mapped to a vocabulary: tokens with at least ``MIN_SHARE`` of the trusted tokens (so at most
-1 / MIN_SHARE of them); any other is its shape; a word that repeats the word before it is ``<rep>``. Trigram counts are
-sharded by context, and discounts, continuation counts and back-off weights come from joins of these shards. Trigrams and
-bigrams with at least ``MIN_NGRAM`` of the mass are kept, at most 1 / MIN_NGRAM of either, and what the others had goes to the
-back-off; so the finished model has a size bound that no corpus passes, and documents are scored where they lie.
+Words and punctuation runs are 64-bit hashes, so every trusted token is in the vocabulary; a word that repeats the word before
+it is ``<rep>``. Trigram counts are sharded by context, and discounts, continuation counts and back-off weights come from joins
+of these shards. No count or share is too small: the model grows with the trusted text, and stays a sharded table.
+
+Documents are scored in chunks of about ``CHUNK`` tokens. A chunk asks for each of its distinct tokens, bigrams and trigrams
+once; requests and model meet by shard, a range of key hashes, and the answers go back to the chunk. So a common n-gram costs a
+row a chunk, not a row an occurrence, and no task or driver holds the model.
 
 Four fifths of the trusted documents train the model, the rest set the thresholds. A document's score is its mean negative
 log probability a token, drawn to its language's mean as if ``PRIOR`` tokens more were seen (a short text proves little). The
@@ -18,19 +20,20 @@ of either table may bear any name. Repeated labels of a document count once; it
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pitchlake.llm.shingles import mix
 from pitchlake.llm.storage import durable
 
-MIN_SHARE = 1e-4
-MIN_NGRAM = 5e-7
 PRIOR = 50.0
 SPREAD = 1.8
 HELD_OUT = 5
@@ -39,7 +42,10 @@ BROADCAST_ROWS = 2_000_000
 SHAPES = ["<s>", "</s>", "<rep>", "<sym>", "<num>", "<upper>", "<title>", "<lower>", "<mixed>"]
 START, END, REPEATED = 0, 1, 2
 BITS = 14
-FLUSH = 1 << 22
+FLUSH = 1 << 20
+#: Tokens of a chunk of documents, and of all documents for each shard.
+CHUNK = 1 << 21
+PER_SHARD = 1 << 20
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -74,7 +80,7 @@ def words(text: str) -> list[str]:
 
 
 class Vocabulary(dict):
-    """Token -> number; other tokens get their shape's, and a bounded number of them is remembered."""
+    """A closed vocabulary, token -> number; other tokens get their shape's, and a bounded number of them is remembered."""
 
     def __init__(self, tokens: list[str]):
         super().__init__({t: n for n, t in enumerate([*SHAPES, *tokens])})
@@ -87,49 +93,57 @@ class Vocabulary(dict):
         return number
 
 
-def trigrams(vocabulary: Vocabulary, text: str) -> np.ndarray:
-    """Packed trigrams, one for every token and the end."""
-    n = np.array([START, START, *[vocabulary[w] for w in words(text)], END], dtype=np.int64)
-    return n[:-2] << 2 * BITS | n[1:-1] << BITS | n[2:]
+class Hashes(dict):
+    """The open vocabulary, token -> 64-bit hash; a bounded number of them is remembered."""
 
+    def __missing__(self, token: str) -> int:
+        number = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        if len(self) < 300_000:
+            self[token] = number
+        return number
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str]:
-    for batch in batches:
-        yield from (t or "" for t in batch.column(column).to_pylist())
 
+def numbers(vocabulary: dict, text: str) -> list[int]:
+    """The text's tokens between two starts and an end."""
+    return [START, START, *[vocabulary[w] for w in words(text)], END]
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(token, n) of a one-column table of texts."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+def trigrams(vocabulary: Vocabulary, text: str) -> np.ndarray:
+    """Packed trigrams over a closed vocabulary, one for every token and the end."""
+    n = np.array(numbers(vocabulary, text), dtype=np.int64)
+    return n[:-2] << 2 * BITS | n[1:-1] << BITS | n[2:]
 
-        def flushed() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"token": list(seen), "n": list(seen.values())})
 
-        for text in _texts(batches, 0):
-            seen.update(words(text))
-            if len(seen) > 200_000:
-                yield flushed()
-                seen.clear()
-        if seen:
-            yield flushed()
+def unigram_keys(w: np.ndarray) -> np.ndarray:
+    return mix(w.view(np.uint64) + np.uint64(1))
+
 
-    return docs.mapInArrow(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+def longer_keys(context: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of the n-grams that add the token ``w`` to those with the keys ``context``."""
+    return mix(context * np.uint64(3) + unigram_keys(w))
 
 
-def count_trigrams(docs: DataFrame, vocabulary) -> DataFrame:
-    """(a, b, w, c): numbered trigrams and their counts, of a one-column table of texts."""
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str]:
+    for batch in batches:
+        yield from (t or "" for t in batch.column(column).to_pylist())
+
+
+def count_trigrams(docs: DataFrame, vocabulary=None) -> DataFrame:
+    """(a, b, w, c): trigrams and their counts, of a one-column table of texts; without a shared list of tokens, of hashes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, kept, size = Vocabulary(vocabulary.value), [], 0
+        words_of = Vocabulary(vocabulary.value) if vocabulary else Hashes()
+        kept, size = [], 0
 
         def flushed() -> pa.RecordBatch:
-            key, n = np.unique(np.concatenate(kept), return_counts=True)
-            return pa.RecordBatch.from_pydict({"key": key, "n": n.astype(np.int64)})
+            flat, inside = _flat(kept)
+            key = longer_keys(longer_keys(unigram_keys(flat[:-2]), flat[1:-1]), flat[2:])[inside]
+            _, first, n = np.unique(key, return_index=True, return_counts=True)
+            at = np.flatnonzero(inside)[first]
+            return pa.RecordBatch.from_pydict({"a": flat[at], "b": flat[at + 1], "w": flat[at + 2], "n": n.astype(np.int64)})
 
         for text in _texts(batches, 0):
-            kept.append(trigrams(words_of, text))
+            kept.append(np.array(numbers(words_of, text), dtype=np.int64))
             size += len(kept[-1])
             if size > FLUSH:
                 yield flushed()
@@ -137,14 +151,20 @@ def count_trigrams(docs: DataFrame, vocabulary) -> DataFrame:
         if kept:
             yield flushed()
 
-    part = F.lit((1 << BITS) - 1)
-    counts = docs.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("c"))
-    return counts.select(
-        F.shiftright("key", 2 * BITS).cast("int").alias("a"),
-        F.shiftright("key", BITS).bitwiseAND(part).cast("int").alias("b"),
-        F.col("key").bitwiseAND(part).cast("int").alias("w"),
-        "c",
-    )
+    counts = docs.mapInArrow(count, "a long, b long, w long, n long")
+    return counts.groupBy("a", "b", "w").agg(F.sum("n").alias("c"))
+
+
+def _inside(sizes: np.ndarray) -> np.ndarray:
+    """Which trigrams of concatenated texts with so many tokens lie in one text."""
+    inside = np.ones(int(sizes.sum()), dtype=bool)
+    ends = np.cumsum(sizes)
+    inside[ends - 1] = inside[ends - 2] = False
+    return inside[:-2]
+
+
+def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate(texts), _inside(np.array([len(t) for t in texts]))
 
 
 def _discount(counts: DataFrame) -> Column:
@@ -157,97 +177,234 @@ def _discount(counts: DataFrame) -> Column:
     return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
 
-def train(counts: DataFrame, size: int, min_ngram: float = MIN_NGRAM) -> dict[str, np.ndarray]:
-    """The finished model, from trigram counts over a vocabulary of ``size`` tokens: sorted keys and log probabilities.
+@dataclass
+class Model:
+    """Log probabilities ``p`` of n-grams and log back-off weights ``g`` of contexts by key, and that of an unseen token."""
+
+    table: DataFrame
+    unseen: float
+
+
+def train(counts: DataFrame, size: int | None = None, min_ngram: float = 0.0) -> Model:
+    """The model of trigram counts over a vocabulary of ``size`` tokens; by default the tokens seen and one that is not.
 
-    Every table here has at most vocabulary**2 or 1 / min_ngram rows when it reaches the driver, never the corpus'.
+    N-grams below a share ``min_ngram`` of the mass can be left to the back-off; by default none is.
     """
     counts = durable(counts)
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    floor = min_ngram * total
+    floor = min_ngram * (counts.agg(F.sum("c")).first()[0] or 0)
     bigrams = durable(counts.groupBy("b", "w").agg(F.count("*").alias("c"), F.sum("c").alias("mass")))
-    continued = bigrams.groupBy("w").agg(F.count("*").alias("c"))
-    unigram = np.zeros(size)
-    for row in continued.collect():  # at most one row per vocabulary entry
-        unigram[row["w"]] = row["c"]
-    types = unigram.sum()
-    p1 = (np.maximum(unigram - 0.5, 0) + 0.5 * np.count_nonzero(unigram) / size) / types if types else np.full(size, 1 / size)
-    lower = counts.sparkSession.createDataFrame([(i, float(p)) for i, p in enumerate(p1)], "w int, lower double")
+    continued = durable(bigrams.groupBy("w").agg(F.count("*").alias("c")))
+    types, seen = continued.agg(F.sum("c"), F.count("*")).first()
+    size = size or seen + 1
+    rest = 0.5 * seen / size / types if types else 1 / size
+    first = continued.select("w", ((F.col("c") - 0.5) / (types or 1) + rest).alias("p"))
 
     def level(table: DataFrame, context: list[str], lower: DataFrame, on: list[str], mass: str) -> DataFrame:
         """Kept n-grams with their interpolated probability and their context's back-off weight."""
         sums = table.groupBy(*context).agg(F.sum("c").alias("seen"))
-        first = table.join(sums, context).withColumn("own", (F.col("c") - _discount(table)) / F.col("seen"))
-        kept = first.filter(F.col(mass) >= floor)
+        own = table.join(sums, context).withColumn("own", (F.col("c") - _discount(table)) / F.col("seen"))
+        kept = own.filter(F.col(mass) >= floor)
         weights = kept.groupBy(*context).agg((1 - F.sum("own")).alias("gamma"))
-        both = kept.join(weights, context).join(lower, on, "left")
+        both = kept.join(weights, context).join(lower.withColumnRenamed("p", "lower"), on, "left")
         return both.withColumn("p", F.col("own") + F.col("gamma") * F.col("lower"))
 
-    second = durable(level(bigrams, ["b"], lower, ["w"], "mass").select("b", "w", "p", "gamma"))
-    third = level(counts, ["a", "b"], second.select("b", "w", F.col("p").alias("lower")), ["b", "w"], "c")
+    second = durable(level(bigrams, ["b"], first, ["w"], "mass").select("b", "w", "p", "gamma"))
+    third = durable(level(counts, ["a", "b"], second.select("b", "w", "p"), ["b", "w"], "c").select("a", "b", "w", "p", "gamma"))
 
-    def packed(df: DataFrame, columns: list[str], value: str) -> tuple[np.ndarray, np.ndarray]:
-        key = F.lit(0).cast("long")
-        for c in columns:
-            key = F.shiftleft(key, BITS).bitwiseOR(F.col(c).cast("long"))
-        got = df.select(key.alias("key"), F.log(F.col(value)).cast("float").alias("v")).toArrow()
-        keys, values = got.column(0).to_numpy(), got.column(1).to_numpy()
-        order = np.argsort(keys)
-        return keys[order], values[order]
+    def keyed(df: DataFrame, columns: list[str], p: Column, g: Column) -> DataFrame:
+        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                tokens = [batch.column(i).to_numpy() for i in range(len(columns))]
+                keys = unigram_keys(tokens[0])
+                for more in tokens[1:]:
+                    keys = longer_keys(keys, more)
+                values = [batch.column(len(columns) + i) for i in range(2)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *values], ["key", "p", "g"])
+
+        values = [F.log(p).cast("float").alias("p"), F.log(g).cast("float").alias("g")]
+        return df.select(*columns, *values).mapInArrow(key, "key long, p float, g float")
 
-    third = durable(third.select("a", "b", "w", "p", "gamma"))
+    none = F.lit(None).cast("double")
     context2 = second.groupBy("b").agg(F.first("gamma").alias("gamma"))
     context3 = third.groupBy("a", "b").agg(F.first("gamma").alias("gamma"))
-    model = {"p1": np.log(p1).astype(np.float32)}
-    for name, df, columns, value in (
-        ("p2", second, ["b", "w"], "p"),
-        ("g2", context2, ["b"], "gamma"),
-        ("p3", third, ["a", "b", "w"], "p"),
-        ("g3", context3, ["a", "b"], "gamma"),
-    ):
-        model[name + "_keys"], model[name] = packed(df, columns, value)
-    return model
-
-
-def _look_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: float) -> tuple[np.ndarray, np.ndarray]:
-    if not len(keys):
-        return np.full(len(wanted), default, dtype=np.float32), np.zeros(len(wanted), dtype=bool)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    hit = keys[at] == wanted
-    return np.where(hit, values[at], np.float32(default)), hit
-
-
-def log_probabilities(model: dict[str, np.ndarray], grams: np.ndarray) -> np.ndarray:
-    """Natural log probability of the last token of each packed trigram."""
-    low = (1 << 2 * BITS) - 1
-    p3, known = _look_up(model["p3_keys"], model["p3"], grams, 0.0)
-    g3, _ = _look_up(model["g3_keys"], model["g3"], grams >> BITS, 0.0)
-    p2, paired = _look_up(model["p2_keys"], model["p2"], grams & low, 0.0)
-    g2, _ = _look_up(model["g2_keys"], model["g2"], grams >> BITS & (1 << BITS) - 1, 0.0)
-    p2 = np.where(paired, p2, g2 + model["p1"][grams & (1 << BITS) - 1])
-    return np.where(known, p3, g3 + p2).astype(np.float64)
+    parts = [
+        keyed(first, ["w"], F.col("p"), none),
+        keyed(context2, ["b"], none, F.col("gamma")),
+        keyed(second, ["b", "w"], F.col("p"), none),
+        keyed(context3, ["a", "b"], none, F.col("gamma")),
+        keyed(third, ["a", "b", "w"], F.col("p"), none),
+    ]
+    table = parts[0]
+    for part in parts[1:]:
+        table = table.union(part)
+    return Model(durable(table.groupBy("key").agg(F.max("p").alias("p"), F.max("g").alias("g"))), float(np.log(rest)))
+
+
+class Wanted:
+    """The distinct n-grams of concatenated token sequences, and the cost of the sequences' tokens once these are known.
+
+    ``words`` are the distinct tokens, ``local`` says which of them stands where.
+    """
 
+    def __init__(self, words: np.ndarray, local: np.ndarray, inside: np.ndarray):
+        flat, self.local, self.inside = words[local], local, inside
+        pairs = longer_keys(unigram_keys(flat[:-1]), flat[1:])
+        two, self.pair = np.unique(pairs, return_inverse=True)
+        three, self.triple = np.unique(longer_keys(pairs[:-1], flat[2:])[inside], return_inverse=True)
+        keys = np.concatenate([unigram_keys(words), two, three])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+        self.cuts = len(words), len(words) + len(two)
+
+    def log_probabilities(self, p: np.ndarray, g: np.ndarray, unseen: float) -> np.ndarray:
+        """Of the last token of every trigram inside a text, from the answers (nan: not in the model) to ``keys``."""
+        known, weight = np.empty_like(p), np.empty_like(g)
+        known[self.order], weight[self.order] = p, np.nan_to_num(g)
+        (p1, p2, p3), (g1, g2, _) = np.split(known, self.cuts), np.split(weight, self.cuts)
+        p1 = np.where(np.isnan(p1), np.float32(unseen), p1)
+        before, pair = self.pair[:-1][self.inside], self.pair[1:][self.inside]
+        b, w = self.local[1:-1][self.inside], self.local[2:][self.inside]
+        low = np.where(np.isnan(p2[pair]), g1[b] + p1[w], p2[pair])
+        top = p3[self.triple]
+        return np.where(np.isnan(top), g2[before] + low, top).astype(np.float64)
+
+
+def _shards(keys: np.ndarray, n: int) -> np.ndarray:
+    """Shards of keys, in the order of the keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def _answers(requests: DataFrame, model: Model, shards: int) -> DataFrame:
+    """(chunk, shard, p, g): the model's values, as arrays of float32, for the sorted ``keys`` of (chunk, shard, keys)."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard = _shards(batch.column(0).to_numpy().view(np.uint64), shards)
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", "key", "p", "g"])
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        keys = table["key"].to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys = keys[order]
+        values = [table[c].to_numpy()[order].astype(np.float32) for c in ("p", "g")]
+        out: tuple[list[bytes], list[bytes]] = [], []
+        for raw in asked["keys"].to_pylist():
+            want = np.frombuffer(raw, np.uint64)
+            for column, found in zip(values, out):
+                got = np.full(len(want), np.nan, np.float32)
+                if len(keys):
+                    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+                    hit = keys[at] == want
+                    got[hit] = column[at[hit]]
+                found.append(pa.compress(got.tobytes(), codec="zstd", asbytes=True))
+        return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], "p": pa.array(out[0], pa.binary()), "g": pa.array(out[1], pa.binary())})
+
+    placed = model.table.select("key", "p", "g").mapInArrow(place, "shard long, key long, p float, g float")
+    both = requests.groupBy("shard").cogroup(placed.groupBy("shard"))
+    return both.applyInArrow(answer, "chunk long, shard long, p binary, g binary")
+
+
+def _requests(keys: np.ndarray, chunk: int, shards: int) -> dict[str, list]:
+    shard = _shards(keys, shards)
+    first = np.flatnonzero(np.diff(shard, prepend=-1))
+    parts = [k.tobytes() for k in np.split(keys, first[1:])] if len(keys) else []
+    return {"chunk": [chunk] * len(parts), "shard": shard[first].tolist(), "keys": parts}
+
+
+def _joined(answers: pa.Table) -> list[np.ndarray]:
+    """The answers of all shards to one chunk, in the order of its keys."""
+    answers = answers.sort_by("shard")
+    out = []
+    for column in ("p", "g"):
+        raw = [pa.CompressedInputStream(pa.BufferReader(x), "zstd").read() for x in answers[column].to_pylist()]
+        out.append(np.concatenate([np.frombuffer(x, np.float32) for x in raw]))
+    return out
 
-def score(docs: DataFrame, vocabulary, model) -> DataFrame:
-    """(id, lang, n_tokens, nll) of a table (id, lang, text): the number of predictions and their summed cost."""
+
+def log_probabilities(model: Model, grams: np.ndarray) -> np.ndarray:
+    """Natural log probability of the last token of each packed trigram."""
+    spark = model.table.sparkSession
+    part = (1 << BITS) - 1
+    flat = np.stack([grams >> 2 * BITS, grams >> BITS & part, grams & part], axis=1).reshape(-1)
+    tokens, local = np.unique(flat, return_inverse=True)
+    wanted = Wanted(tokens, local, _inside(np.full(len(grams), 3)))
+    asked = list(zip(*_requests(wanted.keys, 0, 4).values()))
+    answers = _answers(spark.createDataFrame(asked, "chunk long, shard long, keys binary"), model, 4).toArrow()
+    return wanted.log_probabilities(*_joined(answers), model.unseen)
+
+
+def encode(docs: DataFrame) -> DataFrame:
+    """Chunks of a table (id, lang, text): (chunk, ids, langs, sizes, words, local), as ``Wanted`` has them, compressed."""
+    id_type = docs.schema["id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of, tables = Vocabulary(vocabulary.value), model.value
+        task, done = TaskContext.get().partitionId() << 32, 0
+        hashes = Hashes()
+        ids, langs, kept, size = [], [], [], 0
+
+        def chunk() -> pa.RecordBatch:
+            sizes = np.array([len(t) for t in kept], dtype=np.int32)
+            flat = np.concatenate(kept)
+            tokens, local = np.unique(flat, return_inverse=True)
+            packed = pa.compress(local.astype(np.uint16 if len(tokens) <= 1 << 16 else np.uint32).tobytes(), codec="zstd", asbytes=True)
+            one = lambda parts: pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), pa.concat_arrays(parts))
+            columns = [
+                pa.array([task + done], pa.int64()), one(ids), one(langs), one([pa.array(sizes)]),
+                pa.array([tokens.tobytes()], pa.binary()), pa.array([packed], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "langs", "sizes", "words", "local"])
+
         for batch in batches:
-            n, cost = [], []
-            texts = batch.column(2).to_pylist()
-            for start in range(0, len(texts), 256):
-                grams = [trigrams(words_of, t or "") for t in texts[start : start + 256]]
-                sizes = np.array([len(g) for g in grams])
-                spent = -log_probabilities(tables, np.concatenate(grams))
-                cost.append(np.add.reduceat(spent, np.cumsum(sizes) - sizes))
-                n.append(sizes)
-            if n:
-                columns = [batch.column(0), batch.column(1), pa.array(np.concatenate(n), pa.int64()), pa.array(np.concatenate(cost))]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "lang", "n_tokens", "nll"])
+            start = 0
+            for n, text in enumerate(batch.column(2).to_pylist()):
+                kept.append(np.array(numbers(hashes, text or ""), dtype=np.int64))
+                size += len(kept[-1])
+                if size >= CHUNK or n == batch.num_rows - 1:
+                    ids.append(batch.column(0).slice(start, n + 1 - start))
+                    langs.append(batch.column(1).slice(start, n + 1 - start))
+                    start = n + 1
+                if size >= CHUNK:
+                    yield chunk()
+                    done += 1
+                    ids, langs, kept, size = [], [], [], 0
+        if kept:
+            yield chunk()
+
+    schema = f"chunk long, ids array<{id_type}>, langs array<string>, sizes array<int>, words binary, local binary"
+    return docs.mapInArrow(apply, schema)
+
+
+def _unpacked(words: bytes, local: bytes, sizes: np.ndarray) -> Wanted:
+    tokens = np.frombuffer(words, np.int64)
+    raw = pa.CompressedInputStream(pa.BufferReader(local), "zstd").read()
+    return Wanted(tokens, np.frombuffer(raw, np.uint16 if len(tokens) <= 1 << 16 else np.uint32), _inside(sizes))
 
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """(id, lang, n_tokens, nll) of a table (id, lang, text): the number of predictions and their summed cost."""
     id_type = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(apply, f"id {id_type}, lang string, n_tokens long, nll double")
+    chunks = durable(encode(docs))
+    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
+    shards, unseen = max(12, -(-total // PER_SHARD)), model.unseen
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, sizes, words, local in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                wanted = _unpacked(words, local, np.array(sizes))
+                types = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary())])
+                yield pa.RecordBatch.from_pydict(_requests(wanted.keys, n, shards), types)
+
+    def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, langs, sizes = (texts[c].combine_chunks().flatten() for c in ("ids", "langs", "sizes"))
+        wanted = _unpacked(texts["words"][0].as_py(), texts["local"][0].as_py(), sizes.to_numpy())
+        n = sizes.to_numpy().astype(np.int64) - 2
+        cost = -wanted.log_probabilities(*_joined(answers), unseen)
+        return pa.table({"id": ids, "lang": langs, "n_tokens": n, "nll": np.add.reduceat(cost, np.cumsum(n) - n)})
+
+    requests = chunks.select("chunk", "sizes", "words", "local").mapInArrow(ask, "chunk long, shard long, keys binary")
+    answers = _answers(requests, model, shards)
+    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return both.applyInArrow(apply, f"id {id_type}, lang string, n_tokens long, nll double")
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -262,24 +419,15 @@ def classify(
     text_col: str = "text",
     lang_col: str = "lang",
     trusted: str = "quality = 1",
-    min_share: float = MIN_SHARE,
-    min_ngram: float = MIN_NGRAM,
 ) -> DataFrame:
     """(id, lang, n_tokens, perplexity, score, threshold, keep), one narrow row per row of ``df``."""
-    sc = df.sparkSession.sparkContext
     docs = df.select(df[id_col].alias("id"), df[lang_col].cast("string").alias("lang"), df[text_col].alias("text"))
     ids = labels.filter(trusted).select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
     held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
     good = durable(ids.withColumn("held", held))
     training = _with_ids(docs, good.filter("not held").select("id")).select("text")
 
-    seen = durable(count_words(training))
-    total = seen.agg(F.sum("n")).first()[0] or 0
-    frequent = seen.filter((F.col("n") >= min_share * total) & ~F.col("token").isin(SHAPES)).orderBy(F.desc("n"), "token")
-    vocabulary = [r["token"] for r in frequent.select("token").collect()]  # at most 1 / min_share
-    shared = sc.broadcast(vocabulary)
-    model = train(count_trigrams(training, shared), len(vocabulary) + len(SHAPES), min_ngram)
-    scored = durable(score(docs, shared, sc.broadcast(model)))
+    scored = durable(score(docs, train(count_trigrams(training))))
 
     trial = _with_ids(scored, good.filter("held").select("id"))
     mean = F.sum("nll") / F.sum("n_tokens")

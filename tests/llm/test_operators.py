@@ -392,6 +392,18 @@ def test_junk_is_rejected_and_clean_text_kept(spark):
     assert kept.columns == docs.columns
 
 
+def test_rare_words_of_a_small_language_are_known(spark):
+    rng = random.Random(5)
+    common, rare = words(200, 1), [f"zq{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = [(i, "en", " ".join(rng.choices(common, k=1000))) for i in range(60)]
+    rows += [(100 + i, "xx", " ".join(rng.choices(rare, k=100))) for i in range(12)]
+    rows += [(200, "xx", " ".join(rng.choices(rare, k=60))), (201, "xx", " ".join(f"vw{a}{b}" for a in "abcdefgh" for b in "abcdefgh"))]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.filter("doc_id < 200").select("doc_id", F.lit(1).alias("quality"))
+    got = {r["id"]: r["perplexity"] for r in quality_lm.classify(docs, labels).filter("id >= 200").collect()}
+    assert got[200] < 0.5 * got[201]
+
+
 def test_quality_on_odd_and_empty_tables(spark):
     df = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 1), (6, 1), (8, 1)], "doc_id long, quality int")
