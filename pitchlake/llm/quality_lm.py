@@ -8,10 +8,10 @@ Documents are scored in chunks of about ``CHUNK`` tokens. A chunk asks for each
 once; requests and model meet by shard, a range of key hashes, and the answers go back to the chunk. So a common n-gram costs a
 row a chunk, not a row an occurrence, and no task or driver holds the model.
 
-Four fifths of the trusted documents train the model, the rest set the thresholds. A document's score is its mean negative
-log probability a token, drawn to its language's mean as if ``PRIOR`` tokens more were seen (a short text proves little). The
-threshold is the median of held-out trusted scores plus ``SPREAD`` times the distance to their 95 % quantile. Documents above
-it are rejected. A language without held-out documents uses those of all languages.
+Four fifths of the trusted documents train the model, the rest set the thresholds. A document's score is how far its mean
+negative log probability a token lies above its language's mean, in standard deviations of a text of its length: the variance
+is fitted to the held-out texts as a constant plus a share of 1 / length. The threshold is the ``QUANTILE`` of the held-out
+scores of the language, or of all where it has fewer than ``ENOUGH``. Documents above it are rejected.
 
 Defined results: null text counts as empty and is kept; null is a language of its own; one output row per input row, repeated
 rows and null ids included; without trusted text everything is kept; an empty table gives an empty table; the other columns
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 from pitchlake.llm.shingles import mix
 from pitchlake.llm.storage import durable
 
-PRIOR = 50.0
-SPREAD = 1.8
+QUANTILE = 0.99
+ENOUGH = 100
+#: The least standard deviation, in nats a token.
+LEAST = 0.05
 HELD_OUT = 5
 #: Rows of an id list that may be broadcast; a longer one is joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -434,16 +436,27 @@ def classify(
     per_lang = trial.groupBy("lang").agg(mean.alias("mean"))
     overall = trial.agg(mean.alias("all_mean"))
 
-    def scores(rows: DataFrame) -> DataFrame:
+    def above(rows: DataFrame) -> DataFrame:
         joined = rows.alias("r").join(F.broadcast(per_lang.alias("m")), F.col("r.lang").eqNullSafe(F.col("m.lang")), "left")
         joined = joined.select("r.*", "m.mean").crossJoin(F.broadcast(overall))  # one row: the mean over all languages
-        prior = F.coalesce("mean", "all_mean", F.lit(0.0))
-        return joined.withColumn("score", (F.col("nll") + PRIOR * prior) / (F.col("n_tokens") + PRIOR)).drop("mean", "all_mean")
+        return joined.withColumn("above", F.col("nll") / F.col("n_tokens") - F.coalesce("mean", "all_mean", F.lit(0.0))).drop("mean", "all_mean")
+
+    square, inverse = F.col("above") * F.col("above"), 1 / F.col("n_tokens")
+    fitted = above(trial).agg(
+        F.regr_slope(square, inverse).alias("slope"), F.regr_intercept(square, inverse).alias("constant"), F.avg(square).alias("flat")
+    ).first()
+    flat = fitted["flat"] or 1.0
+    slope, constant = fitted["slope"], fitted["constant"]
+    if slope is None or constant is None or not slope > 0 or not constant > 0:
+        slope, constant = 0.0, flat  # too few texts, or of too few lengths, to tell
+
+    def scores(rows: DataFrame) -> DataFrame:
+        deviation = F.greatest(F.sqrt(F.lit(constant) + F.lit(slope) / F.col("n_tokens")), F.lit(LEAST))
+        return above(rows).withColumn("score", F.col("above") / deviation).drop("above")
 
     trial = scores(trial)
-    middle, high = (F.percentile_approx("score", q, 10_000) for q in (0.5, 0.95))
-    limit = middle + SPREAD * (high - middle)
-    limits = trial.groupBy("lang").agg(limit.alias("limit"))
+    limit = F.percentile_approx("score", QUANTILE, 10_000)
+    limits = trial.groupBy("lang").agg(limit.alias("limit"), F.count("*").alias("held")).filter(F.col("held") >= ENOUGH)
     everywhere = trial.agg(limit.alias("all_limit"))
     judged = scores(scored).alias("r").join(F.broadcast(limits.alias("t")), F.col("r.lang").eqNullSafe(F.col("t.lang")), "left")
     judged = judged.select("r.*", "t.limit").crossJoin(F.broadcast(everywhere))

@@ -404,6 +404,18 @@ def test_rare_words_of_a_small_language_are_known(spark):
     assert got[200] < 0.5 * got[201]
 
 
+def test_short_junk_is_rejected(spark):
+    rng = random.Random(6)
+    known = words(50, 1)
+    rows = [(i, "en", " ".join(rng.choices(known, k=rng.choice([8, 40, 200])))) for i in range(400)]
+    rows += [(1000 + i, "en", " ".join(f"j{i}k{chr(97 + j)}q" for j in range(8))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    labels = docs.filter("doc_id < 1000").select("doc_id", F.lit(1).alias("quality"))
+    out = quality_lm.classify(docs, labels)
+    assert out.filter("id >= 1000 AND NOT keep").count() == 20
+    assert out.filter("id < 1000 AND NOT keep").count() <= 12
+
+
 def test_quality_on_odd_and_empty_tables(spark):
     df = odd_docs(spark)
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, None), (None, 1), (6, 1), (8, 1)], "doc_id long, quality int")
