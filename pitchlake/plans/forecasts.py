@@ -378,16 +378,16 @@ def policy_grid(spark, sf_dir):
 @R.query()
 def bootstrap_interval(spark, sf_dir):
     rows = frame(spark, sf_dir, "observations").withColumn("gain", E.brier(F.col("p"), F.col("y")))
-    return fits.bootstrap_interval(rows, F.to_date("generated_at"), "gain", draws=200)
+    return fits.bootstrap_interval(rows, F.to_date("generated_at"), "gain")
 
 
 @R.query()
 def platt_fit(spark, sf_dir):
-    a, b = fits.platt_fit(frame(spark, sf_dir, "observations"), steps=60)
+    a, b = fits.platt_fit(frame(spark, sf_dir, "observations"))
     return spark.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))
 
 
 @R.query()
 def glm_gd_fit(spark, sf_dir):
-    w = fits.logistic_gd(frame(spark, sf_dir, "observations"), ["p"], "y", steps=60)
+    w = fits.logistic_gd(frame(spark, sf_dir, "observations"), ["p"], "y")
     return spark.range(1).select(F.lit(w[0]).alias("w_p"), F.lit(w[1]).alias("intercept"))

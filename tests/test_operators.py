@@ -1,6 +1,7 @@
 """Semantics that a query over the driver's tables does not reach."""
 
 import datetime as dt
+import inspect
 
 import pytest
 from pyspark.sql import functions as F
@@ -132,3 +133,27 @@ def test_stream_keeps_changes_across_batches(spark, tmp_path):
         assert sorted(r["id"] for r in spark.sql("select id from kept").collect()) == [1, 4, 5]
     finally:
         query.stop()
+
+
+def test_registered_fits_run_all_their_steps(spark, monkeypatch):
+    from pitchlake.plans import forecasts
+
+    asked = {}
+
+    def seen(name, result):
+        default = inspect.signature(getattr(fits, name))
+
+        def call(*args, **options):
+            bound = default.bind(*args, **options)
+            bound.apply_defaults()
+            asked[name] = bound.arguments.get("steps", bound.arguments.get("draws"))
+            return result
+
+        monkeypatch.setattr(fits, name, call)
+
+    seen("platt_fit", (1.0, 0.0))
+    seen("logistic_gd", [0.0, 0.0])
+    seen("bootstrap_interval", None)
+    for query in (forecasts.platt_fit, forecasts.glm_gd_fit, forecasts.bootstrap_interval):
+        query(spark, "/root/testdata/sf0.001")
+    assert asked == {"platt_fit": 500, "logistic_gd": 700, "bootstrap_interval": 2000}
