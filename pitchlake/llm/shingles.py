@@ -14,7 +14,7 @@ WIDTH = 5
 #: Bytes of text, and shingles, that are handled at a time.
 PIECE = 1 << 20
 SLICE = 1 << 16
-BUCKETS = 1 << 16
+BUCKETS = 1 << 17
 
 _WORD_BYTE = np.array([b >= 128 or chr(b).isalnum() or b == 95 for b in range(256)])
 _U = np.uint64
@@ -129,6 +129,11 @@ class Weights:
         return tf * idf
 
 
+def bucket_of(shingle: np.ndarray) -> np.ndarray:
+    """The sketch bucket of each shingle."""
+    return (shingle >> _U(64 - 17)).view(np.int64)
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two (sorted shingles, weights); 0 where either is empty."""
     if not len(a[0]) or not len(b[0]):

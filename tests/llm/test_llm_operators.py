@@ -268,9 +268,15 @@ def test_samples_agree_as_often_as_sets_are_similar():
 
 def brute_near(rows):
     feats = [shingles.shingles(h) for h in shingles.words([t for _, t in rows])]
-    key, n = np.unique(np.concatenate([f[0] for f in feats]), return_counts=True)
-    heavy = n > near_dedup.FLOOR * len(rows)
-    w = shingles.Weights(len(rows), near_dedup.FLOOR, key[heavy], n[heavy].astype(float))
+    floor = near_dedup.FLOOR * len(rows)
+    load = collections.Counter(b for f in feats for b in shingles.bucket_of(f[0]).tolist())
+    counted = collections.defaultdict(set)  # shingle -> documents, those made up mostly of frequent shingles by their first
+    for nth, f in enumerate(feats):
+        frequent = [x for x, b in zip(f[0].tolist(), shingles.bucket_of(f[0]).tolist()) if load[b] > floor]
+        for x in frequent:
+            counted[x].add(("like", min(frequent)) if 2 * len(frequent) >= len(f[0]) else ("own", nth))
+    df = {x: len(c) for x, c in counted.items() if len(c) > floor}
+    w = shingles.Weights(len(rows), near_dedup.FLOOR, np.array(list(df), np.uint64), np.array(list(df.values()), float))
     sets = [(s, w.of(s, tf)) for s, tf in feats]
     label = list(range(len(rows)))
     for i in range(len(rows)):
@@ -308,22 +314,53 @@ def test_near_classes_equal_brute_force(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == set(got)
 
 
-def test_blocks_lose_no_link(spark, monkeypatch):
-    """Without hub rounds everything is left to the blocks, here of three nodes."""
+def test_prefixes_lose_no_link(spark, monkeypatch):
+    """Without hub rounds everything is left to the prefixes, here in blocks of three nodes."""
     base = words(100, 99)
     rows = []
     for i in range(30):
         w = base[:]
-        w[i * 3] = f"edit{i}"
+        for j in range(i % 4):
+            w[(i * 3 + 31 * j) % 100] = f"edit{i}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     monkeypatch.setattr(near_dedup, "BLOCK", 3)
-    assert {r["class_id"] for r in near_dedup.classes(df).collect()} == {min(g) for g in brute_near(rows)}
+    weights = spark.sparkContext.broadcast(near_dedup.document_frequencies(df))
+    texts = df.select(F.encode(F.col("doc_id").cast("string"), "UTF-8").alias("node"), "text")
+    links = near_dedup._linked_by_prefix(texts.select("node", F.col("node").alias("label")), texts, weights).collect()
+    feats = [(s, weights.value.of(s, tf)) for s, tf in map(shingles.shingles, shingles.words([t for _, t in rows]))]
+    expected = {frozenset((i, j)) for i in range(30) for j in range(i) if shingles.similarity(feats[i], feats[j]) >= near_dedup.SIMILAR}
+    assert 5 < len(expected) < 435
+    assert {frozenset((int(r["u"]), int(r["v"]))) for r in links} == expected
+
+
+def test_large_group_of_near_copies_with_two_edits_in_a_hundred_words(spark):
+    """A third of all rows: two edits in a hundred words leave 0.81 of the shingles, and the group does not lose weight by its size."""
+    base, rng = words(100, 7), random.Random(3)
+    rows = []
+    for i in range(120):
+        w = base[:]
+        if i:
+            for j in rng.sample(range(20), 2):
+                w[5 * j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rows += [(200 + i, " ".join(words(100, 1000 + i))) for i in range(240)]
+    out = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["class_id"] for r in out if r["id"] < 120} == {0}
+    assert all(r["class_id"] == r["id"] for r in out if r["id"] >= 200)
 
 
 def test_near_on_odd_and_empty_tables(spark):
     df = odd_docs(spark)
-    assert near_dedup.classes(df).count() == df.count()
+    out = near_dedup.classes(df).collect()
+    assert len(out) == df.count()
+    texts = {(r["doc_id"], r["text"] or "") for r in df.collect()}
+    same = collections.defaultdict(set)
+    for n, t in texts:
+        same[t].add(n)
+    for r in out:  # rows of equal texts are in one class, whose id is the smallest
+        group = next(g for g in same.values() if r["id"] in g)
+        assert r["class_id"] is None or r["class_id"] <= min((x for x in group if x is not None), default=r["class_id"])
     assert near_dedup.classes(df.limit(0)).count() == 0
 
 
