@@ -3,10 +3,10 @@
 The model file is read here: its pieces, scores and the compiled character map of its normaliser. A text is normalised by
 longest-prefix matches in that map, which record for every normalised byte the original byte it came from; so each piece
 knows the span of the original it stands for, whatever the normaliser did. Pieces are merged by score, leftmost first
-(by the left-to-right automaton of ``bpe_automaton``).
+(pair by pair in short words, by the left-to-right automaton of ``bpe_automaton`` in long ones).
 
 No piece of the model holds a word mark after another character, so words are encoded apart and a word that was seen before
-costs one dictionary look-up; a model for which that is not so is encoded whole. Ids, spans and decoded text of a batch are
+costs one dictionary look-up, and a long text is encoded stretch by stretch; a model for which that is not so is encoded whole. Ids, spans and decoded text of a batch are
 gathered from the words' in numpy.
 
 Defined results: null text counts as empty and gives the end id alone; one output row per input row, repeated rows and null
@@ -31,10 +31,15 @@ from pyspark.sql import functions as F
 from pitchlake.llm.bpe_automaton import LastTokens
 
 MARK = "▁"
+WHOLE = "(?s).+"
 #: Words and compiled states kept at a time, in each Python worker; original bytes of one Arrow batch.
-MAX_WORDS = 300_000
-MAX_STATES = 250_000
+MAX_WORDS = 250_000
+MAX_STATES = 50_000
 BATCH_BYTES = 1 << 20
+#: Characters up to which a word's pieces are merged pair by pair; a longer stretch goes through the automaton, in linear time.
+SHORT = 24
+#: Characters of a text that are encoded at a time, where the model lets it be cut between words.
+STRETCH = 1 << 19
 # Kinds of pieces and the model type in the model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
@@ -144,7 +149,7 @@ class Codec:
         """Stretches that no piece reaches across: each kind of character apart where the pieces allow it, whatever the
         text; marks go with what follows them."""
         if not self.mark_spaces or any(re.search(f"[^{MARK}]{MARK}", p) for p in self.rank):
-            return re.compile("(?s).+")
+            return re.compile(WHOLE)
         inner = {c for p in self.rank for c in p}
         lone = "".join(re.escape(chr(c)) for c in range(128) if chr(c) not in inner)
         letter = re.compile(r"[^\W\d_]")
@@ -160,8 +165,9 @@ class Codec:
 
     # -- normalisation -------------------------------------------------------------------------------------------------
 
-    def normalize(self, text: str) -> tuple[str, np.ndarray]:
-        """The normalised text, and for each of its bytes and its end the offset of the original byte it stands for."""
+    def normalize(self, text: str, first: bool = True) -> tuple[str, np.ndarray]:
+        """The normalised text, and for each of its bytes and its end the offset of the original byte it stands for.
+        A stretch that is not the first of its text gets no mark in front."""
         data = text.encode()
         raw = np.frombuffer(data, dtype=np.uint8)
         mark = MARK if self.mark_spaces else " "
@@ -171,7 +177,7 @@ class Codec:
             places = np.repeat(np.arange(len(raw)), np.where(raw == 32, width, 1))
         else:
             out, places = self._mapped(data, mark)
-        if self.prefix and out:
+        if self.prefix and first and out:
             out, places = mark + out, np.concatenate([np.full(width, places[0] if len(places) else 0), places])
         return out, np.append(places, len(raw))
 
@@ -218,6 +224,8 @@ class Codec:
     def merge(self, word: str) -> list[tuple[int, int | None]]:
         """(length, id) of a word's pieces, as merging the best-scored pair first, the leftmost of equals, makes them; no id
         for a character that is no piece."""
+        if len(word) <= SHORT:
+            return [(len(piece), self.ids.get(piece)) for piece in self._greedy(word)]
         state, ends = self.root, []
         for char in word:
             state, token = state[char]
@@ -231,7 +239,7 @@ class Codec:
         return parts
 
     def _greedy(self, text: str) -> list[str]:
-        """The same by merging, for one or two pieces."""
+        """The same by merging pair after pair, for a short stretch."""
         parts, get, none = list(text), self.rank.get, np.inf
         scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
         while scores:
@@ -311,7 +319,42 @@ class Codec:
 
     # -- batches -------------------------------------------------------------------------------------------------------
 
-    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    def stretches(self, text: str) -> list[str]:
+        """A text in stretches of about ``STRETCH`` characters that are encoded apart: cut before a space that follows another
+        character, where the model's words end and, without a character map, so does all normalisation."""
+        if self.squeeze or self.charmap.heads or self.word.pattern == WHOLE:
+            return [text]
+        out, start = [], 0
+        while len(text) - start > STRETCH:
+            at = start + STRETCH
+            while (at := text.find(" ", at)) > 0 and text[at - 1] == " ":
+                at += 1
+            if at < 0:
+                break
+            out.append(text[start:at])
+            start = at
+        return [*out, text[start:]]
+
+    def encode_texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """The same as ``encode_batch``, a long text stretch by stretch."""
+        if max(map(len, texts), default=0) <= STRETCH:
+            return self.encode_batch(texts)
+        sizes, parts, decoded = [], [], []
+        for text in texts:
+            offset, size, shown = 0, 0, []
+            cut = self.stretches(text)
+            for n, stretch in enumerate(cut):
+                _, ids, begins, ends, said = self.encode_batch([stretch], n == 0)
+                inner = slice(None) if n == len(cut) - 1 else slice(-1)
+                parts.append((ids[inner], begins[inner] + offset, ends[inner] + offset))
+                size += len(parts[-1][0])
+                shown += said
+                offset += len(stretch.encode())
+            sizes.append(size)
+            decoded.append("".join(shown))
+        return (np.append(0, np.cumsum(sizes)), *(np.concatenate(x) for x in zip(*parts)), decoded)
+
+    def encode_batch(self, texts: list[str], first: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
         """(offsets of the rows, ids, begins, ends, decoded texts); each row's last id is the end id, with an empty span."""
         if len(self.codes) > MAX_WORDS:
             self._forget_words()
@@ -319,7 +362,7 @@ class Codec:
             self._forget_states()
         known, codes, n_words, aligned = self.codes, [], [], []
         for text in texts:
-            norm, places = self.normalize(text)
+            norm, places = self.normalize(text, first)
             row = [known[w] if w in known else self._encode_word(w) for w in self.word.findall(norm)]
             codes += row
             n_words.append(len(row))
@@ -335,18 +378,18 @@ class Codec:
         ends = np.cumsum(self._widths(ids))
         bases = np.append(0, ends)[upto]
         lengths = np.array([len(p) for p in aligned], dtype=np.int64)
-        first = np.cumsum(lengths) - lengths
+        heads = np.cumsum(lengths) - lengths
         places = np.concatenate(aligned) if aligned else np.zeros(0, np.int64)
-        shift = (first - bases[:-1])[row_of]
+        shift = (heads - bases[:-1])[row_of]
         begins, ends = places[np.append(0, ends)[:-1] + shift], places[ends + shift]
         shown, sizes = self._bytes_of(ids)
         cuts = np.append(0, np.cumsum(sizes))[upto].tolist()
         raw = shown.tobytes()
         decoded = [raw[a:b].decode(errors="replace") for a, b in zip(cuts, cuts[1:])]
-        if self.prefix:
+        if self.prefix and first:
             decoded = [t[1:] if t.startswith(" ") else t for t in decoded]
         # The end id closes every row, with an empty span at the end of the text.
-        closing = places[first + lengths - 1]
+        closing = places[heads + lengths - 1]
         ids, begins, ends = (np.insert(x, upto[1:], y) for x, y in ((ids, np.int32(self.end)), (begins, closing), (ends, closing)))
         return upto + np.arange(len(texts) + 1), ids, begins, ends, decoded
 
@@ -380,9 +423,13 @@ def encode_documents(
                 if a == b:
                     continue
                 part = batch.slice(a, b - a)
-                offsets, ids, begins, ends, decoded = codec.encode_batch(part.column(1).to_pylist())
-                columns = [part.column(0), lists(offsets, ids), lists(offsets, begins), lists(offsets, ends), pa.array(decoded, pa.string())]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "ids", "begins", "ends", "decoded"])
+                # Copies that follow one another, as a mix makes them, are encoded once.
+                texts = part.column(1).dictionary_encode()
+                offsets, ids, begins, ends, decoded = codec.encode_texts(texts.dictionary.to_pylist())
+                columns = [lists(offsets, ids), lists(offsets, begins), lists(offsets, ends), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(c.take(texts.indices) for c in columns)], ["id", "ids", "begins", "ends", "decoded"]
+                )
 
     id_type = df.schema[id_col].dataType.simpleString()
     return texts.mapInArrow(encode, f"id {id_type}, ids array<int>, begins array<int>, ends array<int>, decoded string")

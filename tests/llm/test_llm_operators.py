@@ -38,6 +38,10 @@ def odd_docs(spark, extra=()):
     return df.withColumn("id", F.lit("clash")).withColumn("fp", F.lit(1)).withColumn("size", F.lit(2)).withColumn("node", F.lit(None).cast("string"))
 
 
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def words(n, seed):
     rng = random.Random(seed)
     return [rng.choice("abcdefghijklmnop") + str(rng.randrange(500)) for _ in range(n)]
@@ -245,10 +249,29 @@ def test_character_map_takes_the_longest_prefix():
     assert text == "▁c▁yz▁é" and places.tolist() == [0, 0, 0, 0, 1, 1, 1, 2, 2, 4, 4, 4, 5, 5, 7]
 
 
-def test_sentencepiece_operator_on_odd_rows(spark):
-    df = odd_docs(spark)
-    out = sentencepiece_codec.digests(sentencepiece_codec.encode_documents(df)).collect()
-    assert len(out) == df.count() and min(r["n_tokens"] for r in out) == 1
+def test_sentencepiece_operator_on_odd_rows(spark, monkeypatch):
+    """Long texts with and without white space, repeats, nulls: the library's ids and decoded texts, row by row."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    long = [(900, "".join(random.Random(5).choices("aétöx9", k=40_000))), (901, "  ".join(words(9000, 4)) + " "), (902, " " * 3000), (903, "a b")]
+    df = odd_docs(spark).select("doc_id", "text")
+    df = df.union(spark.createDataFrame([*long, *long], df.schema))
+    monkeypatch.setattr(sentencepiece_codec, "STRETCH", 1000)
+    codec = sentencepiece_codec.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    for text in [t or "" for _, t in df.collect()]:
+        offsets, ids, begins, ends, decoded = codec.encode_texts([text, "x"])
+        expected = [*library.encode(text), library.eos_id()]
+        assert ids[: offsets[1]].tolist() == expected and decoded[0] == library.decode(library.encode(text))
+        one = codec.encode_batch([text])
+        assert all((a[: offsets[1]] == b).all() for a, b in zip((ids, begins, ends), one[1:4]))
+    got = sentencepiece_codec.digests(sentencepiece_codec.encode_documents(df)).collect()
+
+    def expected_row(n, text):
+        ids = [*library.encode(text or ""), library.eos_id()]
+        return n, len(ids), sha(" ".join(map(str, ids))), sha(library.decode(ids))
+
+    assert collections.Counter(map(tuple, got)) == collections.Counter(expected_row(*r) for r in df.collect())
     assert sentencepiece_codec.encode_documents(df.limit(0)).count() == 0
 
 
