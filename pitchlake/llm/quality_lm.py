@@ -1,12 +1,13 @@
-"""Quality classifier: an interpolated modified Kneser-Ney trigram model of trusted text, and thresholds by language.
+"""Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text, and thresholds by language.
 
-Words and punctuation runs are 64-bit hashes, so every trusted token is in the vocabulary; a word that repeats the word before
-it is ``<rep>``. Trigram counts are sharded by context, and discounts, continuation counts and back-off weights come from joins
-of these shards. No count or share is too small: the model grows with the trusted text, and stays a sharded table.
+Words and punctuation runs are hashed, so every trusted token is in the vocabulary; a word that repeats the word before it is
+``<rep>``. Documents are tokenised once, in chunks of about ``CHUNK`` tokens that are written. Trusted documents' bigrams are
+counted where they are, sent to the shard of their key (a range of key hashes) and summed there; a shard tells the shards of
+the contexts and of the words what it knows of them. No count or share is too small: the model grows with the trusted text,
+and stays a sharded table of packed arrays.
 
-Documents are scored in chunks of about ``CHUNK`` tokens. A chunk asks for each of its distinct tokens, bigrams and trigrams
-once; requests and model meet by shard, a range of key hashes, and the answers go back to the chunk. So a common n-gram costs a
-row a chunk, not a row an occurrence, and no task or driver holds the model.
+A chunk asks for each of its distinct tokens and bigrams once; requests and model meet by shard, and the answers go back to
+the chunk. So a common bigram costs an entry a chunk, not one an occurrence, and no task or driver holds the model.
 
 Four fifths of the trusted documents train the model, the rest set the thresholds. A document's score is how far its mean
 negative log probability a token lies above its language's mean, in standard deviations of a text of its length: the variance
@@ -15,7 +16,8 @@ scores of the language, or of all where it has fewer than ``ENOUGH``. Documents
 
 Defined results: null text counts as empty and is kept; null is a language of its own; one output row per input row, repeated
 rows and null ids included; without trusted text everything is kept; an empty table gives an empty table; the other columns
-of either table may bear any name. Repeated labels of a document count once; it is trusted if any of them says so.
+of either table may bear any name. Repeated labels of a document count once; it is trusted if any of them says so. Keys are
+48-bit hashes: a token or bigram that is not in the model is taken for another one with a chance of their number / 2**48.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.llm.shingles import mix
@@ -36,451 +38,392 @@ from pitchlake.llm.storage import durable
 
 QUANTILE = 0.99
 ENOUGH = 100
-#: The least standard deviation, in nats a token.
+#: The least standard deviation, in nats a token; steps of scores in which quantiles are counted.
 LEAST = 0.05
+STEP = 0.001
 HELD_OUT = 5
-#: Rows of an id list that may be broadcast; a longer one is joined by shuffle.
-BROADCAST_ROWS = 2_000_000
-SHAPES = ["<s>", "</s>", "<rep>", "<sym>", "<num>", "<upper>", "<title>", "<lower>", "<mixed>"]
 START, END, REPEATED = 0, 1, 2
-BITS = 14
-FLUSH = 1 << 20
-#: Tokens of a chunk of documents, and of all documents for each shard.
+#: Tokens of a chunk of documents, tokens counted before they are sent, and tokens of all documents for each shard.
 CHUNK = 1 << 21
-PER_SHARD = 1 << 20
+FLUSH = 1 << 21
+PER_SHARD = 1 << 22
+LEAST_SHARDS = 12
+KEY_BITS = 48
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
-def is_word(token: str) -> bool:
-    return token[0].isalnum() or token[0] == "_"
-
-
-def shape(token: str) -> str:
-    if not is_word(token):
-        return "<sym>"
-    if any(c.isdigit() for c in token):
-        return "<num>"
-    if len(token) > 1 and token.isupper():
-        return "<upper>"
-    if token.islower():
-        return "<lower>"
-    if token[0].isupper() and (len(token) == 1 or token[1:].islower()):
-        return "<title>"
-    return "<mixed>"
-
-
-def words(text: str) -> list[str]:
-    """Tokens, with ``<rep>`` for a word equal to the word before it (punctuation between them does not matter)."""
-    out, before = [], None
-    for token in TOKEN.findall(text):
-        if is_word(token):
-            out.append("<rep>" if token == before else token)
-            before = token
-        else:
-            out.append(token)
-    return out
-
-
-class Vocabulary(dict):
-    """A closed vocabulary, token -> number; other tokens get their shape's, and a bounded number of them is remembered."""
-
-    def __init__(self, tokens: list[str]):
-        super().__init__({t: n for n, t in enumerate([*SHAPES, *tokens])})
-        self.size = len(self)
-
-    def __missing__(self, token: str) -> int:
-        number = self[shape(token)]
-        if len(self) < 300_000:
-            self[token] = number
-        return number
-
-
 class Hashes(dict):
-    """The open vocabulary, token -> 64-bit hash; a bounded number of them is remembered."""
+    """Token -> 64-bit hash; a bounded number of them is remembered."""
 
     def __missing__(self, token: str) -> int:
         number = int.from_bytes(hashlib.blake2b(token.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        if len(self) < 300_000:
+        if len(self) < 200_000:
             self[token] = number
         return number
 
 
-def numbers(vocabulary: dict, text: str) -> list[int]:
-    """The text's tokens between two starts and an end."""
-    return [START, START, *[vocabulary[w] for w in words(text)], END]
-
-
-def trigrams(vocabulary: Vocabulary, text: str) -> np.ndarray:
-    """Packed trigrams over a closed vocabulary, one for every token and the end."""
-    n = np.array(numbers(vocabulary, text), dtype=np.int64)
-    return n[:-2] << 2 * BITS | n[1:-1] << BITS | n[2:]
-
-
-def unigram_keys(w: np.ndarray) -> np.ndarray:
-    return mix(w.view(np.uint64) + np.uint64(1))
-
-
-def longer_keys(context: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Keys of the n-grams that add the token ``w`` to those with the keys ``context``."""
-    return mix(context * np.uint64(3) + unigram_keys(w))
-
-
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str]:
-    for batch in batches:
-        yield from (t or "" for t in batch.column(column).to_pylist())
-
-
-def count_trigrams(docs: DataFrame, vocabulary=None) -> DataFrame:
-    """(a, b, w, c): trigrams and their counts, of a one-column table of texts; without a shared list of tokens, of hashes."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = Vocabulary(vocabulary.value) if vocabulary else Hashes()
-        kept, size = [], 0
-
-        def flushed() -> pa.RecordBatch:
-            flat, inside = _flat(kept)
-            key = longer_keys(longer_keys(unigram_keys(flat[:-2]), flat[1:-1]), flat[2:])[inside]
-            _, first, n = np.unique(key, return_index=True, return_counts=True)
-            at = np.flatnonzero(inside)[first]
-            return pa.RecordBatch.from_pydict({"a": flat[at], "b": flat[at + 1], "w": flat[at + 2], "n": n.astype(np.int64)})
-
-        for text in _texts(batches, 0):
-            kept.append(np.array(numbers(words_of, text), dtype=np.int64))
-            size += len(kept[-1])
-            if size > FLUSH:
-                yield flushed()
-                kept, size = [], 0
-        if kept:
-            yield flushed()
+def numbers(hashes: Hashes, text: str) -> list[int]:
+    """The text's tokens between a start and an end; ``REPEATED`` for a word equal to the word before it, whatever
+    punctuation is between them."""
+    out, before = [START], None
+    for token in TOKEN.findall(text):
+        if token[0].isalnum() or token[0] == "_":
+            out.append(REPEATED if token == before else hashes[token])
+            before = token
+        else:
+            out.append(hashes[token])
+    out.append(END)
+    return out
 
-    counts = docs.mapInArrow(count, "a long, b long, w long, n long")
-    return counts.groupBy("a", "b", "w").agg(F.sum("n").alias("c"))
 
+def word_keys(tokens: np.ndarray) -> np.ndarray:
+    return mix(tokens.view(np.uint64) + np.uint64(1)) >> np.uint64(64 - KEY_BITS)
 
-def _inside(sizes: np.ndarray) -> np.ndarray:
-    """Which trigrams of concatenated texts with so many tokens lie in one text."""
-    inside = np.ones(int(sizes.sum()), dtype=bool)
-    ends = np.cumsum(sizes)
-    inside[ends - 1] = inside[ends - 2] = False
-    return inside[:-2]
 
+def pair_keys(b: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Keys of the bigrams of words with the keys ``b`` and ``w``."""
+    return mix(mix(b) * np.uint64(3) + w) >> np.uint64(64 - KEY_BITS)
 
-def _flat(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(texts), _inside(np.array([len(t) for t in texts]))
 
+def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of keys, in the order of the keys."""
+    return ((keys >> np.uint64(KEY_BITS - 32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
 
-def _discount(counts: DataFrame) -> Column:
-    """Modified Kneser-Ney's discount of a count ``c``, from the counts of counts of the table."""
-    n = counts.agg(*[F.count(F.when(F.col("c") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (n[f"n{k}"] for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 else 0.5
-    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    d = [min(max(x, 0.1), k - 0.1 if k > 1 else 0.9) for k, x in enumerate(raw, 1)]
-    return F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
 
+# -- packed arrays -----------------------------------------------------------------------------------------------------
 
-@dataclass
-class Model:
-    """Log probabilities ``p`` of n-grams and log back-off weights ``g`` of contexts by key, and that of an unseen token."""
 
-    table: DataFrame
-    unseen: float
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, byte plane by byte plane and compressed; the first, which is sorted, as differences."""
+    n = len(columns[0])
+    columns = [np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0)), *columns[1:]]
+    planes = np.concatenate([c.astype("<u8").view(np.uint8).reshape(n, 8).T.reshape(-1) for c in columns])
+    return np.array([n, len(columns)], "<i8").tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def train(counts: DataFrame, size: int | None = None, min_ngram: float = 0.0) -> Model:
-    """The model of trigram counts over a vocabulary of ``size`` tokens; by default the tokens seen and one that is not.
+def unpacked(blob: bytes) -> list[np.ndarray]:
+    n, k = np.frombuffer(blob, "<i8", 2).tolist()
+    raw = np.frombuffer(pa.decompress(blob[16:], decompressed_size=8 * n * k, codec="zstd", asbytes=True), np.uint8)
+    columns = [np.ascontiguousarray(c.reshape(8, n).T).view("<u8").reshape(-1) for c in raw.reshape(k, 8 * n)] if n else [np.zeros(0, np.uint64)] * k
+    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
 
-    N-grams below a share ``min_ngram`` of the mass can be left to the back-off; by default none is.
-    """
-    counts = durable(counts)
-    floor = min_ngram * (counts.agg(F.sum("c")).first()[0] or 0)
-    bigrams = durable(counts.groupBy("b", "w").agg(F.count("*").alias("c"), F.sum("c").alias("mass")))
-    continued = durable(bigrams.groupBy("w").agg(F.count("*").alias("c")))
-    types, seen = continued.agg(F.sum("c"), F.count("*")).first()
-    size = size or seen + 1
-    rest = 0.5 * seen / size / types if types else 1 / size
-    first = continued.select("w", ((F.col("c") - 0.5) / (types or 1) + rest).alias("p"))
-
-    def level(table: DataFrame, context: list[str], lower: DataFrame, on: list[str], mass: str) -> DataFrame:
-        """Kept n-grams with their interpolated probability and their context's back-off weight."""
-        sums = table.groupBy(*context).agg(F.sum("c").alias("seen"))
-        own = table.join(sums, context).withColumn("own", (F.col("c") - _discount(table)) / F.col("seen"))
-        kept = own.filter(F.col(mass) >= floor)
-        weights = kept.groupBy(*context).agg((1 - F.sum("own")).alias("gamma"))
-        both = kept.join(weights, context).join(lower.withColumnRenamed("p", "lower"), on, "left")
-        return both.withColumn("p", F.col("own") + F.col("gamma") * F.col("lower"))
-
-    second = durable(level(bigrams, ["b"], first, ["w"], "mass").select("b", "w", "p", "gamma"))
-    third = durable(level(counts, ["a", "b"], second.select("b", "w", "p"), ["b", "w"], "c").select("a", "b", "w", "p", "gamma"))
-
-    def keyed(df: DataFrame, columns: list[str], p: Column, g: Column) -> DataFrame:
-        def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                tokens = [batch.column(i).to_numpy() for i in range(len(columns))]
-                keys = unigram_keys(tokens[0])
-                for more in tokens[1:]:
-                    keys = longer_keys(keys, more)
-                values = [batch.column(len(columns) + i) for i in range(2)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *values], ["key", "p", "g"])
-
-        values = [F.log(p).cast("float").alias("p"), F.log(g).cast("float").alias("g")]
-        return df.select(*columns, *values).mapInArrow(key, "key long, p float, g float")
-
-    none = F.lit(None).cast("double")
-    context2 = second.groupBy("b").agg(F.first("gamma").alias("gamma"))
-    context3 = third.groupBy("a", "b").agg(F.first("gamma").alias("gamma"))
-    parts = [
-        keyed(first, ["w"], F.col("p"), none),
-        keyed(context2, ["b"], none, F.col("gamma")),
-        keyed(second, ["b", "w"], F.col("p"), none),
-        keyed(context3, ["a", "b"], none, F.col("gamma")),
-        keyed(third, ["a", "b", "w"], F.col("p"), none),
-    ]
-    table = parts[0]
-    for part in parts[1:]:
-        table = table.union(part)
-    return Model(durable(table.groupBy("key").agg(F.max("p").alias("p"), F.max("g").alias("g"))), float(np.log(rest)))
-
-
-class Wanted:
-    """The distinct n-grams of concatenated token sequences, and the cost of the sequences' tokens once these are known.
-
-    ``words`` are the distinct tokens, ``local`` says which of them stands where.
-    """
 
-    def __init__(self, words: np.ndarray, local: np.ndarray, inside: np.ndarray):
-        flat, self.local, self.inside = words[local], local, inside
-        pairs = longer_keys(unigram_keys(flat[:-1]), flat[1:])
-        two, self.pair = np.unique(pairs, return_inverse=True)
-        three, self.triple = np.unique(longer_keys(pairs[:-1], flat[2:])[inside], return_inverse=True)
-        keys = np.concatenate([unigram_keys(words), two, three])
-        self.order = np.argsort(keys)
-        self.keys = keys[self.order]
-        self.cuts = len(words), len(words) + len(two)
-
-    def log_probabilities(self, p: np.ndarray, g: np.ndarray, unseen: float) -> np.ndarray:
-        """Of the last token of every trigram inside a text, from the answers (nan: not in the model) to ``keys``."""
-        known, weight = np.empty_like(p), np.empty_like(g)
-        known[self.order], weight[self.order] = p, np.nan_to_num(g)
-        (p1, p2, p3), (g1, g2, _) = np.split(known, self.cuts), np.split(weight, self.cuts)
-        p1 = np.where(np.isnan(p1), np.float32(unseen), p1)
-        before, pair = self.pair[:-1][self.inside], self.pair[1:][self.inside]
-        b, w = self.local[1:-1][self.inside], self.local[2:][self.inside]
-        low = np.where(np.isnan(p2[pair]), g1[b] + p1[w], p2[pair])
-        top = p3[self.triple]
-        return np.where(np.isnan(top), g2[before] + low, top).astype(np.float64)
-
-
-def _shards(keys: np.ndarray, n: int) -> np.ndarray:
-    """Shards of keys, in the order of the keys."""
-    return ((keys >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+def by_shard(shards: int, keys: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(shard, packed columns) for sorted keys and what belongs to them."""
+    shard = shard_of(keys, shards)
+    cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+    for a, b in zip(cuts, cuts[1:]):
+        yield int(shard[a]), packed(*(c[a:b] for c in (keys, *more)))
 
 
-def _answers(requests: DataFrame, model: Model, shards: int) -> DataFrame:
-    """(chunk, shard, p, g): the model's values, as arrays of float32, for the sorted ``keys`` of (chunk, shard, keys)."""
+def summed(keys: np.ndarray, *counts: np.ndarray) -> list[np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return [keys[first], *(np.add.reduceat(c[order], first) if len(keys) else c for c in counts)]
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            shard = _shards(batch.column(0).to_numpy().view(np.uint64), shards)
-            yield pa.RecordBatch.from_arrays([pa.array(shard), *batch.columns], ["shard", "key", "p", "g"])
 
-    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys = keys[order]
-        values = [table[c].to_numpy()[order].astype(np.float32) for c in ("p", "g")]
-        out: tuple[list[bytes], list[bytes]] = [], []
-        for raw in asked["keys"].to_pylist():
-            want = np.frombuffer(raw, np.uint64)
-            for column, found in zip(values, out):
-                got = np.full(len(want), np.nan, np.float32)
-                if len(keys):
-                    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-                    hit = keys[at] == want
-                    got[hit] = column[at[hit]]
-                found.append(pa.compress(got.tobytes(), codec="zstd", asbytes=True))
-        return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], "p": pa.array(out[0], pa.binary()), "g": pa.array(out[1], pa.binary())})
-
-    placed = model.table.select("key", "p", "g").mapInArrow(place, "shard long, key long, p float, g float")
-    both = requests.groupBy("shard").cogroup(placed.groupBy("shard"))
-    return both.applyInArrow(answer, "chunk long, shard long, p binary, g binary")
-
-
-def _requests(keys: np.ndarray, chunk: int, shards: int) -> dict[str, list]:
-    shard = _shards(keys, shards)
-    first = np.flatnonzero(np.diff(shard, prepend=-1))
-    parts = [k.tobytes() for k in np.split(keys, first[1:])] if len(keys) else []
-    return {"chunk": [chunk] * len(parts), "shard": shard[first].tolist(), "keys": parts}
-
-
-def _joined(answers: pa.Table) -> list[np.ndarray]:
-    """The answers of all shards to one chunk, in the order of its keys."""
-    answers = answers.sort_by("shard")
-    out = []
-    for column in ("p", "g"):
-        raw = [pa.CompressedInputStream(pa.BufferReader(x), "zstd").read() for x in answers[column].to_pylist()]
-        out.append(np.concatenate([np.frombuffer(x, np.float32) for x in raw]))
-    return out
+def found(keys: np.ndarray, values: list[np.ndarray], want: np.ndarray) -> list[np.ndarray]:
+    """The values of the keys ``want``, 0 for those that are not among the sorted ``keys``."""
+    if not len(keys):
+        return [np.zeros(len(want), np.uint64) for _ in values]
+    at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    hit = keys[at] == want
+    return [np.where(hit, v[at], np.uint64(0)) for v in values]
 
 
-def log_probabilities(model: Model, grams: np.ndarray) -> np.ndarray:
-    """Natural log probability of the last token of each packed trigram."""
-    spark = model.table.sparkSession
-    part = (1 << BITS) - 1
-    flat = np.stack([grams >> 2 * BITS, grams >> BITS & part, grams & part], axis=1).reshape(-1)
-    tokens, local = np.unique(flat, return_inverse=True)
-    wanted = Wanted(tokens, local, _inside(np.full(len(grams), 3)))
-    asked = list(zip(*_requests(wanted.keys, 0, 4).values()))
-    answers = _answers(spark.createDataFrame(asked, "chunk long, shard long, keys binary"), model, 4).toArrow()
-    return wanted.log_probabilities(*_joined(answers), model.unseen)
+# -- chunks ------------------------------------------------------------------------------------------------------------
 
 
 def encode(docs: DataFrame) -> DataFrame:
-    """Chunks of a table (id, lang, text): (chunk, ids, langs, sizes, words, local), as ``Wanted`` has them, compressed."""
+    """Chunks of a table (id, lang, text, text_key): (chunk, ids, langs, text_keys, sizes, words, local): ``words`` are the
+    keys of the distinct tokens, the most frequent first, ``local`` says which of them stands where."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, done = TaskContext.get().partitionId() << 32, 0
         hashes = Hashes()
-        ids, langs, kept, size = [], [], [], 0
+        parts, kept, size = [], [], 0
 
         def chunk() -> pa.RecordBatch:
-            sizes = np.array([len(t) for t in kept], dtype=np.int32)
-            flat = np.concatenate(kept)
-            tokens, local = np.unique(flat, return_inverse=True)
-            packed = pa.compress(local.astype(np.uint16 if len(tokens) <= 1 << 16 else np.uint32).tobytes(), codec="zstd", asbytes=True)
-            one = lambda parts: pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), pa.concat_arrays(parts))
+            tokens, local, often = np.unique(np.concatenate(kept), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), np.uint64)
+            rank[order] = np.arange(len(order), dtype=np.uint64)
+            one = lambda arrays: pa.ListArray.from_arrays(pa.array([0, len(kept)], pa.int32()), pa.concat_arrays(arrays))
             columns = [
-                pa.array([task + done], pa.int64()), one(ids), one(langs), one([pa.array(sizes)]),
-                pa.array([tokens.tobytes()], pa.binary()), pa.array([packed], pa.binary()),
-            ]
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "langs", "sizes", "words", "local"])
+                pa.array([task + done], pa.int64()),
+                *(one([p[i] for p in parts]) for i in range(3)),
+                one([pa.array([len(t) for t in kept], pa.int32())]),
+                pa.array([word_keys(tokens[order]).tobytes()], pa.binary()),
+                pa.array([packed(np.zeros(len(local), np.uint64), rank[local])], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "langs", "text_keys", "sizes", "words", "local"])
 
         for batch in batches:
             start = 0
-            for n, text in enumerate(batch.column(2).to_pylist()):
-                kept.append(np.array(numbers(hashes, text or ""), dtype=np.int64))
+            for n, text in enumerate(batch.column(2)):
+                kept.append(np.array(numbers(hashes, text.as_py() or ""), dtype=np.int64))
                 size += len(kept[-1])
                 if size >= CHUNK or n == batch.num_rows - 1:
-                    ids.append(batch.column(0).slice(start, n + 1 - start))
-                    langs.append(batch.column(1).slice(start, n + 1 - start))
+                    parts.append([batch.column(i).slice(start, n + 1 - start) for i in (0, 1, 3)])
                     start = n + 1
                 if size >= CHUNK:
                     yield chunk()
                     done += 1
-                    ids, langs, kept, size = [], [], [], 0
+                    parts, kept, size = [], [], 0
         if kept:
             yield chunk()
 
-    schema = f"chunk long, ids array<{id_type}>, langs array<string>, sizes array<int>, words binary, local binary"
+    schema = f"chunk long, ids array<{id_type}>, langs array<string>, text_keys array<long>, sizes array<int>, words binary, local binary"
     return docs.mapInArrow(apply, schema)
 
 
-def _unpacked(words: bytes, local: bytes, sizes: np.ndarray) -> Wanted:
-    tokens = np.frombuffer(words, np.int64)
-    raw = pa.CompressedInputStream(pa.BufferReader(local), "zstd").read()
-    return Wanted(tokens, np.frombuffer(raw, np.uint16 if len(tokens) <= 1 << 16 else np.uint32), _inside(sizes))
+class Tokens:
+    """The token keys of a chunk, and its bigrams: those inside one document."""
 
+    def __init__(self, words: bytes, local: bytes, sizes: np.ndarray):
+        self.words, self.local = np.frombuffer(words, np.uint64), unpacked(local)[1].astype(np.int64)
+        self.inside = np.ones(len(self.local), dtype=bool)
+        self.inside[np.cumsum(sizes) - 1] = False
+        self.inside = self.inside[:-1]
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(id, lang, n_tokens, nll) of a table (id, lang, text): the number of predictions and their summed cost."""
-    id_type = docs.schema["id"].dataType.simpleString()
-    chunks = durable(encode(docs))
-    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
-    shards, unseen = max(12, -(-total // PER_SHARD)), model.unseen
+    def bigrams(self, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``words`` of both words of every bigram, or of those that begin at a ``chosen`` token."""
+        mine = self.inside if chosen is None else self.inside & chosen[:-1]
+        return self.local[:-1][mine], self.local[1:][mine]
+
+
+# -- the model ---------------------------------------------------------------------------------------------------------
+
+
+@dataclass
+class Model:
+    """Packed counts by shard: of bigrams (count), of contexts (sum, and bigrams of count 1, 2 and more) and of words (contexts
+    before them); the discounts; the number of distinct bigrams and of distinct words."""
+
+    table: DataFrame
+    shards: int
+    discounts: list[float]
+    bigrams: int
+    words: int
+
+    def log_probabilities(self, c: np.ndarray, context: list[np.ndarray], before: np.ndarray) -> np.ndarray:
+        """Of words with ``c`` occurrences in their context, whose counts are ``context``, and ``before`` contexts in all."""
+        d = np.array([0.0, *self.discounts])
+        rest = 0.5 * self.words / (self.words + 1) / self.bigrams if self.bigrams else 1.0
+        low = np.where(before > 0, (before.astype(float) - 0.5) / max(1, self.bigrams), 0.0) + rest
+        total, *often = (x.astype(float) for x in context)
+        safe = np.maximum(total, 1.0)
+        own = np.where(c > 0, c.astype(float) - d[np.minimum(c, 3).astype(np.int64)], 0.0) / safe
+        gamma = sum(x * y for x, y in zip(d[1:], often)) / safe
+        return np.log(np.where(total > 0, own + gamma * low, low))
+
+
+def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
+    """Modified Kneser-Ney's discounts of the counts 1, 2 and more, from the counts of counts."""
+    y = n1 / (n1 + 2 * n2) if n1 else 0.5
+    raw = [1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
+    return [min(max(x, 0.1), k - 0.1 if k > 1 else 0.9) for k, x in enumerate(raw, 1)]
+
+
+def train(chunks: DataFrame, shards: int) -> Model:
+    """The model of the documents of ``chunks`` whose places are listed in its column ``trusted``."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sizes, words, local, trusted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                tokens = Tokens(words, local, np.array(sizes))
+                chosen = np.zeros(len(sizes), dtype=bool)
+                chosen[trusted] = True
+                b, w = tokens.bigrams(np.repeat(chosen, sizes))
+                place, n = np.unique(b * len(tokens.words) + w, return_counts=True)
+                b, w = (tokens.words[x] for x in np.divmod(place, max(1, len(tokens.words))))
+                shard = shard_of(pair_keys(b, w), shards)
+                order = np.lexsort((w, b, shard))
+                b, w, n, shard = b[order], w[order], n[order], shard[order]
+                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+                packs = [packed(b[x:y], w[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_pydict({"shard": shard[cuts[:-1]], "pack": packs}, pa.schema([("shard", pa.int64()), ("pack", pa.binary())]))
+
+    kinds = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("pack", pa.binary()), *((f"n{k}", pa.int64()) for k in range(5))])
+    kinds_sql = "kind string, shard long, pack binary, n0 long, n1 long, n2 long, n3 long, n4 long"
+
+    def total(group: pa.Table) -> pa.Table:
+        b, w, n = (np.concatenate(x) for x in zip(*map(unpacked, group["pack"].to_pylist())))
+        key = pair_keys(b, w)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(key)])
+        c = np.add.reduceat(n[order], first)
+        key, b, w = (x[order][first] for x in (key, b, w))
+        own = [int((c == k).sum()) for k in (1, 2, 3, 4)]
+        rows = [("bigrams", group["shard"][0].as_py(), packed(key, c), len(c), *own)]
+        rows += [("contexts", s, p, 0, 0, 0, 0, 0) for s, p in by_shard(shards, *summed(b, c, *((x).astype(np.uint64) for x in (c == 1, c == 2, c > 2))))]
+        rows += [("words", s, p, 0, 0, 0, 0, 0) for s, p in by_shard(shards, *summed(w, np.ones(len(w), np.uint64)))]
+        return pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
+
+    def merge(group: pa.Table) -> pa.Table:
+        sums = summed(*(np.concatenate(x) for x in zip(*map(unpacked, group["pack"].to_pylist()))))
+        row = (group["kind"][0].as_py(), group["shard"][0].as_py(), packed(*sums), len(sums[0]), 0, 0, 0, 0)
+        return pa.Table.from_pylist([dict(zip(kinds.names, row))], kinds)
+
+    counts = chunks.select("sizes", "words", "local", "trusted").mapInArrow(count, "shard long, pack binary")
+    counted = durable(counts.groupBy("shard").applyInArrow(total, kinds_sql))
+    merged = durable(counted.filter("kind <> 'bigrams'").groupBy("kind", "shard").applyInArrow(merge, kinds_sql))
+    bigrams = counted.filter("kind = 'bigrams'")
+    n = [x or 0 for x in bigrams.agg(*[F.sum(f"n{k}") for k in range(5)]).first()]
+    words = merged.filter("kind = 'words'").agg(F.sum("n0")).first()[0] or 0
+    return Model(bigrams.union(merged).select("kind", "shard", "pack"), shards, _discounts(*n[1:]), n[0], words)
+
+
+def score(chunks: DataFrame, model: Model) -> DataFrame:
+    """(id, lang, text_key, n_tokens, nll) of the documents of ``chunks``: the number of predictions and their summed cost."""
+    id_type = chunks.schema["ids"].dataType.elementType.simpleString()
+    shards = model.shards
+    costs = Model(None, shards, model.discounts, model.bigrams, model.words)  # what tasks need of it
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("kind", pa.string()), ("pack", pa.binary())])
         for batch in batches:
             for n, sizes, words, local in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                wanted = _unpacked(words, local, np.array(sizes))
-                types = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("keys", pa.binary())])
-                yield pa.RecordBatch.from_pydict(_requests(wanted.keys, n, shards), types)
+                tokens = Tokens(words, local, np.array(sizes))
+                b, w = tokens.bigrams()
+                b, w = np.divmod(np.unique(b * len(tokens.words) + w), len(tokens.words))
+                asked = [("bigrams", np.unique(pair_keys(tokens.words[b], tokens.words[w]))), ("words", np.unique(tokens.words))]
+                rows = [(n, s, kind, p) for kind, keys in asked for s, p in by_shard(shards, keys)]
+                yield pa.RecordBatch.from_pydict(dict(zip(types.names, map(list, zip(*rows)))), types)
+
+    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
+        known = {kind: unpacked(pack) for kind, pack in zip(table["kind"].to_pylist(), table["pack"].to_pylist())}
+        none = np.zeros(0, np.uint64)
+        bigrams, words, contexts = (known.get(k, [none] * n) for k, n in (("bigrams", 2), ("words", 2), ("contexts", 5)))
+        out = []
+        for kind, pack in zip(asked["kind"].to_pylist(), asked["pack"].to_pylist()):
+            want = unpacked(pack)[0]
+            if kind == "bigrams":
+                got = found(bigrams[0], bigrams[1:], want)
+            else:
+                got = [*found(words[0], words[1:], want), *found(contexts[0], contexts[1:], want)]
+            out.append(packed(np.zeros(len(want), np.uint64), *got))
+        return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], "kind": asked["kind"], "pack": pa.array(out, pa.binary())})
 
     def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, langs, sizes = (texts[c].combine_chunks().flatten() for c in ("ids", "langs", "sizes"))
-        wanted = _unpacked(texts["words"][0].as_py(), texts["local"][0].as_py(), sizes.to_numpy())
-        n = sizes.to_numpy().astype(np.int64) - 2
-        cost = -wanted.log_probabilities(*_joined(answers), unseen)
-        return pa.table({"id": ids, "lang": langs, "n_tokens": n, "nll": np.add.reduceat(cost, np.cumsum(n) - n)})
-
-    requests = chunks.select("chunk", "sizes", "words", "local").mapInArrow(ask, "chunk long, shard long, keys binary")
-    answers = _answers(requests, model, shards)
+        ids, langs, text_keys, sizes = (texts[c].combine_chunks().flatten() for c in ("ids", "langs", "text_keys", "sizes"))
+        tokens = Tokens(texts["words"][0].as_py(), texts["local"][0].as_py(), sizes.to_numpy())
+        answers = answers.sort_by("shard").to_pylist()
+        (c,), (before, *context) = (
+            [np.concatenate(x) for x in list(zip(*(unpacked(r["pack"]) for r in answers if r["kind"] == kind)))[1:]] for kind in ("bigrams", "words")
+        )
+        b, w = tokens.bigrams()
+        places, which = np.unique(b * len(tokens.words) + w, return_inverse=True)
+        b, w = np.divmod(places, len(tokens.words))
+        keys, at = np.unique(pair_keys(tokens.words[b], tokens.words[w]), return_inverse=True)
+        place = np.unique(tokens.words, return_inverse=True)[1]
+        cost = -costs.log_probabilities(c[at], [x[place[b]] for x in context], before[place[w]])[which]
+        n = sizes.to_numpy().astype(np.int64) - 1
+        return pa.table({"id": ids, "lang": langs, "text_key": text_keys, "n_tokens": n, "nll": np.add.reduceat(cost, np.cumsum(n) - n)})
+
+    asked = chunks.select("chunk", "sizes", "words", "local").mapInArrow(ask, "chunk long, shard long, kind string, pack binary")
+    answers = asked.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(answer, "chunk long, shard long, kind string, pack binary")
     both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    return both.applyInArrow(apply, f"id {id_type}, lang string, n_tokens long, nll double")
+    return both.applyInArrow(apply, f"id {id_type}, lang string, text_key long, n_tokens long, nll double")
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose id is listed: by broadcast while the list is short, else by shuffle."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "id", "left_semi")
+# -- the decision ------------------------------------------------------------------------------------------------------
 
 
-def classify(
-    df: DataFrame,
-    labels: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    lang_col: str = "lang",
-    trusted: str = "quality = 1",
-) -> DataFrame:
-    """(id, lang, n_tokens, perplexity, score, threshold, keep), one narrow row per row of ``df``."""
-    docs = df.select(df[id_col].alias("id"), df[lang_col].cast("string").alias("lang"), df[text_col].alias("text"))
-    ids = labels.filter(trusted).select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
-    held = F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0
-    good = durable(ids.withColumn("held", held))
-    training = _with_ids(docs, good.filter("not held").select("id")).select("text")
+def _quantiles(scores: DataFrame) -> DataFrame:
+    """(every, lang, held, limit): the ``QUANTILE`` of the scores of each language, and of all where ``every``, to a ``STEP``.
 
-    scored = durable(score(docs, train(count_trigrams(training))))
+    Scores are counted in steps, and a window runs over a language's steps: their number does not grow with the rows.
+    """
+    step = F.ceil(F.least(F.greatest(F.col("score"), F.lit(-1e3)), F.lit(1e3)) / STEP).cast("long")
+    every = F.explode(F.array(F.lit(False), F.lit(True))).alias("every")
+    counts = scores.select("lang", step.alias("step"), every).withColumn("lang", F.when(~F.col("every"), F.col("lang")))
+    counts = counts.groupBy("every", "lang", "step").agg(F.count("*").alias("n"))
+    by = Window.partitionBy("every", "lang")
+    upto = F.sum("n").over(by.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    counts = counts.withColumn("upto", upto).withColumn("held", F.sum("n").over(by)).filter(F.col("upto") >= QUANTILE * F.col("held"))
+    return counts.groupBy("every", "lang", "held").agg((F.min("step") * STEP).alias("limit"))
+
+
+def _classified(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, trusted: str) -> DataFrame:
+    text = F.coalesce(df[text_col], F.lit(""))
+    docs = df.select(df[id_col].alias("id"), df[lang_col].cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_key"))
+    chunks = durable(encode(docs))
+    total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
+    ids = labels.filter(trusted).select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
+    good = durable(ids.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0))
+    places = chunks.select("chunk", F.posexplode("ids").alias("place", "id")).join(good.filter("not held").select("id"), "id", "left_semi")
+    places = durable(places.groupBy("chunk").agg(F.collect_list("place").alias("trusted")))  # a chunk's own documents
+    model = train(chunks.join(places, "chunk"), max(LEAST_SHARDS, -(-total // PER_SHARD)))
+    scored = durable(score(chunks, model))
 
-    trial = _with_ids(scored, good.filter("held").select("id"))
+    trial = scored.join(good.filter("held").select("id"), "id", "left_semi")
     mean = F.sum("nll") / F.sum("n_tokens")
-    per_lang = trial.groupBy("lang").agg(mean.alias("mean"))
-    overall = trial.agg(mean.alias("all_mean"))
+    per_lang = durable(trial.groupBy("lang").agg(mean.alias("mean")))
+    overall = trial.agg(mean.alias("all_mean")).first()[0]
 
     def above(rows: DataFrame) -> DataFrame:
-        joined = rows.alias("r").join(F.broadcast(per_lang.alias("m")), F.col("r.lang").eqNullSafe(F.col("m.lang")), "left")
-        joined = joined.select("r.*", "m.mean").crossJoin(F.broadcast(overall))  # one row: the mean over all languages
-        return joined.withColumn("above", F.col("nll") / F.col("n_tokens") - F.coalesce("mean", "all_mean", F.lit(0.0))).drop("mean", "all_mean")
+        joined = rows.alias("r").join(per_lang.alias("m"), F.col("r.lang").eqNullSafe(F.col("m.lang")), "left")
+        usual = F.coalesce("m.mean", F.lit(overall).cast("double"), F.lit(0.0))
+        return joined.select("r.*", (F.col("r.nll") / F.col("r.n_tokens") - usual).alias("above"))
 
     square, inverse = F.col("above") * F.col("above"), 1 / F.col("n_tokens")
     fitted = above(trial).agg(
         F.regr_slope(square, inverse).alias("slope"), F.regr_intercept(square, inverse).alias("constant"), F.avg(square).alias("flat")
     ).first()
-    flat = fitted["flat"] or 1.0
     slope, constant = fitted["slope"], fitted["constant"]
     if slope is None or constant is None or not slope > 0 or not constant > 0:
-        slope, constant = 0.0, flat  # too few texts, or of too few lengths, to tell
+        slope, constant = 0.0, fitted["flat"] or 1.0  # too few texts, or of too few lengths, to tell
 
     def scores(rows: DataFrame) -> DataFrame:
         deviation = F.greatest(F.sqrt(F.lit(constant) + F.lit(slope) / F.col("n_tokens")), F.lit(LEAST))
         return above(rows).withColumn("score", F.col("above") / deviation).drop("above")
 
-    trial = scores(trial)
-    limit = F.percentile_approx("score", QUANTILE, 10_000)
-    limits = trial.groupBy("lang").agg(limit.alias("limit"), F.count("*").alias("held")).filter(F.col("held") >= ENOUGH)
-    everywhere = trial.agg(limit.alias("all_limit"))
-    judged = scores(scored).alias("r").join(F.broadcast(limits.alias("t")), F.col("r.lang").eqNullSafe(F.col("t.lang")), "left")
-    judged = judged.select("r.*", "t.limit").crossJoin(F.broadcast(everywhere))
-    threshold = F.coalesce("limit", "all_limit")
+    limits = durable(_quantiles(scores(trial)))
+    by_lang = limits.filter(~F.col("every") & (F.col("held") >= ENOUGH)).select("lang", "limit")
+    everywhere = (limits.filter("every").select("limit").first() or [None])[0]
+    judged = scores(scored).alias("r").join(by_lang.alias("t"), F.col("r.lang").eqNullSafe(F.col("t.lang")), "left")
+    threshold = F.coalesce("t.limit", F.lit(everywhere).cast("double"))
     return judged.select(
-        "id",
-        "lang",
-        "n_tokens",
-        F.exp(F.col("nll") / F.col("n_tokens")).alias("perplexity"),
-        "score",
+        "r.id",
+        "r.lang",
+        "r.text_key",
+        "r.n_tokens",
+        F.exp(F.col("r.nll") / F.col("r.n_tokens")).alias("perplexity"),
+        "r.score",
         threshold.alias("threshold"),
-        (threshold.isNull() | (F.col("score") <= threshold) | (F.col("n_tokens") <= 1)).alias("keep"),
+        (threshold.isNull() | (F.col("r.score") <= threshold) | (F.col("r.n_tokens") <= 1)).alias("keep"),
     )
 
 
-def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+def classify(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    trusted: str = "quality = 1",
+) -> DataFrame:
+    """(id, lang, n_tokens, perplexity, score, threshold, keep), one narrow row per row of ``df``."""
+    return _classified(df, labels, id_col, text_col, lang_col, trusted).drop("text_key")
+
+
+def keep_good(
+    df: DataFrame,
+    labels: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    trusted: str = "quality = 1",
+) -> DataFrame:
     """The rows of ``df`` that are not rejected, with its own columns.
 
-    A row is rejected if a row with its id and language is: repeats of one text have one score, and of several texts under
-    one id and language the worst decides.
+    A row is known by its id, language and text, null ids and languages included, so another text of the same id stays.
     """
-    judged = classify(df, labels, id_col, **options)
-    lang = options.get("lang_col", "lang")
-    bad = durable(judged.filter(~F.col("keep")).select(F.col("id").alias("_id"), F.col("lang").alias("_lang")).distinct())
-    if bad.count() <= BROADCAST_ROWS:
-        bad = F.broadcast(bad)
-    return df.join(bad, df[id_col].eqNullSafe(bad["_id"]) & df[lang].cast("string").eqNullSafe(bad["_lang"]), "left_anti")
+    judged = _classified(df, labels, id_col, text_col, lang_col, trusted)
+    bad = durable(judged.filter(~F.col("keep")).select(F.col("id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_key").alias("_key")).distinct())
+    same = df[id_col].eqNullSafe(bad["_id"]) & df[lang_col].cast("string").eqNullSafe(bad["_lang"])
+    return df.join(bad, same & (F.xxhash64(F.coalesce(df[text_col], F.lit(""))) == bad["_key"]), "left_anti")

@@ -397,55 +397,73 @@ def test_near_on_odd_and_empty_tables(spark):
 # -- quality -----------------------------------------------------------------------------------------------------------
 
 
-def brute_model(texts, vocabulary, size):
-    """Interpolated modified Kneser-Ney without pruning, in dictionaries."""
-    grams = collections.Counter(g for t in texts for g in quality_lm.trigrams(vocabulary, t).tolist())
-    bits, mask = quality_lm.BITS, (1 << quality_lm.BITS) - 1
-    c3 = {(g >> 2 * bits, g >> bits & mask, g & mask): n for g, n in grams.items()}
-    c2 = collections.Counter((b, w) for _, b, w in c3)
-    c1 = collections.Counter(w for _, w in c2)
-
-    def discounts(c):
-        n = [sum(v == k for v in c.values()) for k in range(5)]
-        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-        raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
-        return [min(max(x, 0.1), k - 0.1 if k > 1 else 0.9) for k, x in enumerate(raw, 1)]
-
-    types = sum(c1.values())
-    p1 = lambda w: (max(c1[w] - 0.5, 0) + 0.5 * len(c1) / size) / types
-
-    def level(c, context, lower):
-        d = discounts(c)
-        seen, own = collections.Counter(), collections.Counter()
-        for k, v in c.items():
-            seen[context(k)] += v
-            own[context(k)] += v - d[min(v, 3) - 1]
-
-        def p(k):
-            x = context(k)
-            if not seen[x]:
-                return lower(k)
-            held = (c[k] - d[min(c[k], 3) - 1]) / seen[x] if k in c else 0
-            return held + (1 - own[x] / seen[x]) * lower(k)
-
-        return p
-
-    p2 = level(c2, lambda k: k[0], lambda k: p1(k[1]))
-    p3 = level(c3, lambda k: k[:2], lambda k: p2(k[1:]))
-    return lambda g: math.log(p3((g >> 2 * bits, g >> bits & mask, g & mask)))
-
-
-def test_language_model_equals_brute_force(spark):
+def brute_model(texts):
+    """Interpolated modified Kneser-Ney over bigrams, in dictionaries: text -> its negative log probability."""
+    hashes = quality_lm.Hashes()
+    grams = collections.Counter(g for t in texts for x in [quality_lm.numbers(hashes, t)] for g in zip(x, x[1:]))
+    before = collections.Counter(w for _, w in grams)
+    n = [sum(v == k for v in grams.values()) for k in range(5)]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+    raw = [1 - 2 * y * n[2] / n[1] if n[1] else 0.5, 2 - 3 * y * n[3] / n[2] if n[2] else 1.0, 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
+    d = [min(max(x, 0.1), k - 0.1 if k > 1 else 0.9) for k, x in enumerate(raw, 1)]
+    seen, own = collections.Counter(), collections.Counter()
+    for (b, _), v in grams.items():
+        seen[b] += v
+        own[b] += v - d[min(v, 3) - 1]
+
+    def p(b, w):
+        low = (max(before[w] - 0.5, 0) + 0.5 * len(before) / (len(before) + 1)) / len(grams)
+        if not seen[b]:
+            return low
+        c = grams[b, w]
+        return (c - d[min(c, 3) - 1] if c else 0) / seen[b] + (1 - own[b] / seen[b]) * low
+
+    def cost(text):
+        x = quality_lm.numbers(hashes, text)
+        return -sum(math.log(p(b, w)) for b, w in zip(x, x[1:]))
+
+    return cost
+
+
+def test_language_model_equals_brute_force(spark, monkeypatch):
+    """Trained on some documents of small chunks, over several shards, against counts in dictionaries."""
     train = [" ".join(words(40, i)) + ". " + "the cat sat on the mat. " * (i % 4) for i in range(40)]
-    vocabulary = quality_lm.Vocabulary(["the", "cat", "sat", "on", "mat", "."])
-    size = vocabulary.size
-    shared = spark.sparkContext.broadcast(["the", "cat", "sat", "on", "mat", "."])
-    df = spark.createDataFrame([(t,) for t in train], "text string")
-    model = quality_lm.train(quality_lm.count_trigrams(df, shared), size, min_ngram=0.0)
-    p = brute_model(train, quality_lm.Vocabulary(["the", "cat", "sat", "on", "mat", "."]), size)
-    for text in [*train[:5], "the mat sat. THE 12 !!", ""]:
-        grams = quality_lm.trigrams(vocabulary, text)
-        assert quality_lm.log_probabilities(model, grams) == pytest.approx([p(int(g)) for g in grams], abs=1e-4)
+    other = ["the mat sat. THE 12 !!", "", "the the the", "nothing of this is known", "a" * 5000]
+    rows = [(i, "en", t, i) for i, t in enumerate(train + other)]
+    monkeypatch.setattr(quality_lm, "CHUNK", 300)
+    docs = spark.createDataFrame(rows, "id long, lang string, text string, text_key long")
+    chunks = quality_lm.durable(quality_lm.encode(docs))
+    assert chunks.count() > 5
+    trusted = F.transform(F.filter(F.arrays_zip("ids", F.sequence(F.lit(0), F.size("ids") - 1).alias("place")), lambda x: x["ids"] < 40), lambda x: x["place"])
+    model = quality_lm.train(chunks.withColumn("trusted", trusted), 7)
+    cost = brute_model(train)
+    got = {r["id"]: (r["n_tokens"], r["nll"]) for r in quality_lm.score(chunks, model).collect()}
+    assert len(got) == len(rows)
+    for i, _, text, _ in rows:
+        assert got[i] == (len(quality_lm.numbers(quality_lm.Hashes(), text)) - 1, pytest.approx(cost(text), rel=1e-9))
+
+
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(1)
+    keys = np.sort(rng.integers(0, 1 << 48, 1000).astype(np.uint64))
+    for n in (0, 1, 1000):
+        back = quality_lm.unpacked(quality_lm.packed(keys[:n], np.arange(n)))
+        assert (back[0] == keys[:n]).all() and (back[1] == np.arange(n)).all()
+
+
+def test_rejection_is_by_row_not_by_id(spark):
+    """A bad text under a null id, or under the id of a good one, takes no other row with it; null languages are one."""
+    known, rng = words(50, 1), random.Random(2)
+    rows = [(i, None, " ".join(rng.choices(known, k=60))) for i in range(300)]
+    junk = " ".join(f"j{i}k" for i in range(60))
+    rows += [(None, None, junk), (None, None, rows[0][2]), (7, None, junk), (7, None, junk), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("text_key", F.lit(1)).withColumn("id", F.lit(2))
+    labels = spark.createDataFrame([(i, 1) for i in range(300) if i != 7], "doc_id long, quality int")
+    kept = quality_lm.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    got = collections.Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert (None, junk) not in got and (7, junk) not in got
+    assert got[None, rows[0][2]] == 1 and got[7, rows[7][2]] == 1 and got[None, None] == 1
 
 
 def test_junk_is_rejected_and_clean_text_kept(spark):
