@@ -35,6 +35,16 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "o_custkey % 10 AS competition",
             "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey * 5) % 13 END AS hc",
             "CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE (o_orderkey * 3) % 11 END AS ac",
+            "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 7) % 17 + 3 END AS hs",
+            "CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE (o_orderkey * 5) % 15 + 2 END AS as_",
+            "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE (o_orderkey * 7) % 6 END AS hst",
+            "CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE (o_orderkey * 5) % 5 END AS ast",
+            "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey * 3) % 13 END AS hf",
+            "CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey * 9) % 14 END AS af",
+            "(o_orderkey * 3) % 5 AS hy",
+            "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE (o_orderkey * 11) % 6 END AS ay",
+            "CASE WHEN o_orderkey % 9 = 0 THEN 1 ELSE 0 END AS hr",
+            "CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS ar",
         ],
     ),
     "quotes": (
@@ -55,6 +65,29 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN o_orderkey % 2 = 0 THEN 'view' ELSE 'click' END AS selection",
             "timestamp '2024-01-01 00:00:00' + (o_orderkey % 720) * interval '1' hour AS cutoff",
             "CAST((o_orderkey * 29) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS p",
+            "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS y",
+        ],
+    ),
+    "two_sided": (
+        "events",
+        [
+            "event_id AS id",
+            "user_id % 20 AS key",
+            "CASE WHEN event_type IN ('view', 'click') THEN 'yes' ELSE 'no' END AS side",
+            "CAST(date_trunc('day', ts) AS TIMESTAMP) AS captured",
+            "event_id % 2 AS provider",
+            "CAST(1 AS DOUBLE) + value / CAST(50 AS DOUBLE) AS odd",
+        ],
+    ),
+    "popularity": (
+        "events",
+        [
+            "event_id AS id",
+            "user_id % 20 AS key",
+            "CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS selection",
+            "CASE WHEN event_id % 2 = 0 THEN 'COUNT' ELSE 'RANK' END AS metric",
+            "ts AS captured",
+            "CASE WHEN event_id % 2 = 0 THEN event_id % 1000 ELSE event_id % 50 + 1 END AS value",
         ],
     ),
     "outcomes": (
@@ -68,6 +101,33 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "ts AS at",
         ],
     ),
+    "predictions": (
+        "lineitem",
+        [
+            "l_orderkey * 10 + l_linenumber AS id",
+            "l_orderkey AS match_id",
+            "l_suppkey % 10 AS competition",
+            "CAST(l_shipdate AS DATE) AS day",
+            "CASE l_linenumber WHEN 1 THEN 'FULL_TIME_TOTAL_CORNERS' WHEN 4 THEN 'BTTS' WHEN 5 THEN 'MATCH_RESULT' WHEN 7 THEN 'BTTS' ELSE 'TOTAL_GOALS' END AS market",
+            "CASE l_linenumber WHEN 4 THEN 'YES' WHEN 5 THEN 'HOME' WHEN 6 THEN 'UNDER' WHEN 7 THEN 'NO' ELSE 'OVER' END AS selection",
+            "CASE WHEN l_linenumber = 1 THEN CAST(l_suppkey % 6 AS DOUBLE) + CAST(6.5 AS DOUBLE) WHEN l_linenumber = 3 THEN CAST(3.5 AS DOUBLE)"
+            " WHEN l_linenumber IN (2, 6) THEN CAST(2.5 AS DOUBLE) ELSE NULL END AS line",
+            "CAST((l_partkey * 37 + l_orderkey * 13 + l_linenumber * 101) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS p",
+            "CASE WHEN l_partkey % 9 = 0 THEN NULL WHEN l_partkey % 41 = 0 THEN CAST(1 AS DOUBLE)"
+            " ELSE CAST(1 AS DOUBLE) + l_quantity / CAST(20 AS DOUBLE) END AS odd",
+            "CASE WHEN l_orderkey % 23 = 0 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS availability",
+            "l_orderkey % 19 <> 0 AS identity_valid",
+            "l_orderkey % 13 <> 0 AS kickoff_known",
+            "l_suppkey % 14 + 2 AS history_home",
+            "l_partkey % 14 + 2 AS history_away",
+            "CAST(l_partkey % 4 AS DOUBLE) / CAST(4 AS DOUBLE) AS corners_coverage",
+            "CASE l_suppkey % 5 WHEN 0 THEN 'REJECTED' WHEN 1 THEN 'CALIBRATION_NOT_BENEFICIAL' WHEN 2 THEN 'UNCALIBRATED' ELSE 'CALIBRATED_V1' END AS status",
+            "CASE WHEN l_partkey % 6 = 0 THEN NULL ELSE CAST(l_suppkey % 10 AS DOUBLE) / CAST(10 AS DOUBLE) END AS observed",
+            "(l_partkey * 7) % 90 AS n",
+            "CASE WHEN l_orderkey % 17 = 0 THEN 'started' WHEN l_orderkey % 29 = 0 THEN 'finished' ELSE 'scheduled' END AS match_status",
+            "(l_orderkey % 27 - 1) * 3600 AS age_seconds",
+        ],
+    ),
     "legs": (
         "lineitem",
         [
@@ -76,6 +136,11 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "CAST(1 AS DOUBLE) + l_quantity / CAST(50 AS DOUBLE) AS odd",
             "CASE l_returnflag WHEN 'R' THEN 'WON' WHEN 'A' THEN 'LOST' ELSE 'VOID' END AS state",
             "l_partkey % 50 AS match_id",
+            "CAST((l_partkey * 37 + l_orderkey * 13 + l_linenumber * 101) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS score",
+            "CASE l_linenumber WHEN 1 THEN 'FULL_TIME_TOTAL_CORNERS' WHEN 4 THEN 'BTTS' WHEN 5 THEN 'MATCH_RESULT' WHEN 7 THEN 'BTTS' ELSE 'TOTAL_GOALS' END AS market",
+            "CASE WHEN l_linenumber = 1 THEN CAST(l_suppkey % 6 AS DOUBLE) + CAST(6.5 AS DOUBLE) WHEN l_linenumber = 3 THEN CAST(3.5 AS DOUBLE)"
+            " WHEN l_linenumber IN (2, 6) THEN CAST(2.5 AS DOUBLE) ELSE NULL END AS line",
+            "CASE l_orderkey % 4 WHEN 0 THEN 'DAILY_SURPRISE_SYSTEM' WHEN 1 THEN 'DAILY_COMPOUND' WHEN 2 THEN 'DAILY_OVER_25' ELSE 'DAILY_HIGH_CONFIDENCE' END AS kind",
         ],
     ),
 }
@@ -85,8 +150,8 @@ def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived table, or one of the driver's own."""
     source, columns = VIEWS.get(name, (name, ["*"]))
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{source}.parquet").selectExpr(*columns)
-    # A literal's timestamps are in the session's zone (UTC); the tables' have none.
-    return df.withColumn("cutoff", df["cutoff"].cast("timestamp_ntz")) if "cutoff" in df.columns else df
+    # Computed timestamps are in the session's zone (UTC); the tables' have none.
+    return df.withColumns({c: df[c].cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
 
 
 def with_views(sql: str) -> str:

@@ -27,6 +27,37 @@ def asof_latest(
     return both.select("_l.*", *[F.col(f"_hit.{c}").alias(c) for c in dict.fromkeys([right_time, tie, *values])])
 
 
+def asof_two_sided(asks: DataFrame, quotes: DataFrame, keys: list[str], ask_time: str, hours: int = 24) -> DataFrame:
+    """``asks`` with ``prior``, the fair probability of ``yes`` from the latest price of either side at the ask's time.
+
+    ``quotes`` have columns side (yes or no), captured, id, provider and odd. A price counts if it is above 1 and at most
+    ``hours`` old; the two sides must be one market: same provider, same time of capture. Else there is no prior. One pass:
+    both sides' last prices are carried along one sort of quotes and asks.
+    """
+    price = F.struct("captured", "provider", "odd")
+    stream = quotes.select(*keys, F.col("captured").alias("_t"), F.lit(0).alias("_is_ask"), F.col("id").alias("_tie"), "side", price.alias("_r"), F.lit(None).alias("_l"))
+    both = asks.select(
+        *keys, F.col(ask_time).alias("_t"), F.lit(1).alias("_is_ask"), F.lit(None).alias("_tie"), F.lit(None).alias("side"), F.lit(None).alias("_r"), F.struct(*asks.columns).alias("_l")
+    ).unionByName(stream)
+    w = Window.partitionBy(*keys).orderBy("_t", "_is_ask", "_tie").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda side: F.last(F.when(F.col("side") == side, F.col("_r")), ignorenulls=True).over(w)
+    both = both.withColumns({"_yes": last("yes"), "_no": last("no")}).filter("_is_ask = 1")
+    fresh = lambda x: (F.col(f"{x}.odd") > 1) & (F.col(f"{x}.captured") >= F.col("_t") - F.expr(f"interval '{hours}' hour"))
+    one = (F.col("_yes.provider") == F.col("_no.provider")) & (F.col("_yes.captured") == F.col("_no.captured"))
+    yes, no = 1 / F.col("_yes.odd"), 1 / F.col("_no.odd")
+    return both.select("_l.*", F.when(fresh("_yes") & fresh("_no") & one, yes / (yes + no)).alias("prior"))
+
+
+def metric_pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Latest COUNT and latest RANK of each key and selection side by side, null-safely; either may lack."""
+    latest = latest_per_key(rows, [*keys, "selection", "metric"], [F.desc("captured"), F.desc("id")])
+    of = lambda metric: latest.filter(F.col("metric") == metric).alias(metric)
+    on = F.lit(True)
+    for c in [*keys, "selection"]:
+        on = on & F.col(f"COUNT.{c}").eqNullSafe(F.col(f"RANK.{c}"))
+    return of("COUNT").join(of("RANK"), on).select(*[F.col(f"COUNT.{c}") for c in [*keys, "selection"]], F.col("COUNT.value").alias("total"), F.col("RANK.value").alias("rank"))
+
+
 def dedupe_changes(df: DataFrame, keys: list[str], order: list[str], values: list[str]) -> DataFrame:
     """Rows that differ from the row before them, null-safely; a key's first row stays."""
     w = Window.partitionBy(*keys).orderBy(*order)

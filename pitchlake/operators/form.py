@@ -12,119 +12,142 @@ from pyspark.sql import functions as F
 MIN_SAMPLE = 3
 
 
+#: A match's statistics by name: the columns of the home and the away side.
+STATISTICS = {"corners": ("hc", "ac"), "shots": ("hs", "as_"), "on_target": ("hst", "ast"), "fouls": ("hf", "af"), "yellow": ("hy", "ay"), "red": ("hr", "ar")}
+
+
 def team_view(matches: DataFrame) -> DataFrame:
-    """Each match twice: (id, kick, competition, team, opponent, at_home, gf, ga, cf, ca, finished)."""
+    """Each match twice: (id, kick, competition, finished, team, opponent, at_home, gf, ga), and for every statistic there is,
+    its values for and against, null unless both sides have one."""
+    known = {k: v for k, v in STATISTICS.items() if set(v) <= set(matches.columns)}
+
     def side(home: bool) -> Column:
-        a, b = ("h", "a") if home else ("a", "h")
         team, other = ("home", "away") if home else ("away", "home")
-        return F.struct(
-            F.col(team).alias("team"),
-            F.col(other).alias("opponent"),
-            F.lit(home).alias("at_home"),
-            F.col(f"{a}g").alias("gf"),
-            F.col(f"{b}g").alias("ga"),
-            F.col(f"{a}c").alias("cf"),
-            F.col(f"{b}c").alias("ca"),
-        )
+        goals = [F.col(c) for c in (("hg", "ag") if home else ("ag", "hg"))]
+        out = [F.col(team).alias("team"), F.col(other).alias("opponent"), F.lit(home).alias("at_home"), goals[0].alias("gf"), goals[1].alias("ga")]
+        for name, pair in known.items():
+            both = F.col(pair[0]).isNotNull() & F.col(pair[1]).isNotNull()
+            own, against = pair if home else pair[::-1]
+            out += [F.when(both, F.col(own)).alias(f"{name}_for"), F.when(both, F.col(against)).alias(f"{name}_against")]
+        return F.struct(*out)
 
     both = matches.select("id", "kick", "competition", "finished", F.explode(F.array(side(True), side(False))).alias("s"))
     return both.select("id", "kick", "competition", "finished", "s.*")
 
 
-def _means(prefix: str, total: str, count: str) -> Column:
-    return F.when(F.col(count) >= MIN_SAMPLE, F.round(F.col(total) / F.col(count), 8)).alias(prefix)
-
+def trailing(rows: DataFrame, keys: list[str], last: int, measures: dict[str, Column]) -> DataFrame:
+    """``rows``, less columns named like a measure, with ``n``, how many of the ``last`` finished rows of the key lie before the row's instant, and the sum of each
+    measure over these; a measure's nulls count nothing but take a place.
 
-def trailing_form(matches: DataFrame, last: int, venue: bool = False) -> DataFrame:
-    """Form of both teams of every match over their last ``last`` finished matches, optionally at the same venue only.
-
-    Sums over a trailing stretch are differences of running sums, so a match needs two rows of its team: the last one
-    before its instant, and the one ``last`` matches earlier. Both are equi-joins on (team, number).
+    Sums over a trailing stretch are differences of running sums, so a row needs two rows of its key: the last one before its
+    instant, and the one ``last`` earlier. Both are equi-joins on (key, number); keys compare as equi-joins do, so null never.
     """
-    keys = ["team", "at_home"] if venue else ["team"]
-    rows = team_view(matches)
     done = rows.filter("finished")
     order = Window.partitionBy(*keys).orderBy("kick", "id")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    measures = {
-        "wins": (F.col("gf") > F.col("ga")).cast("long"),
-        "draws": (F.col("gf") == F.col("ga")).cast("long"),
-        "goals_for": F.col("gf"),
-        "goals_against": F.col("ga"),
-        "clean_sheets": (F.col("ga") == 0).cast("long"),
-        "over_25": (F.col("gf") + F.col("ga") > 2).cast("long"),
-        "btts": ((F.col("gf") > 0) & (F.col("ga") > 0)).cast("long"),
-        "corners_for": F.when(F.col("cf").isNotNull() & F.col("ca").isNotNull(), F.col("cf")),
-        "corner_n": (F.col("cf").isNotNull() & F.col("ca").isNotNull()).cast("long"),
-    }
     sums = done.select(
         *keys,
         F.row_number().over(order).alias("nth"),
         F.struct(*[F.coalesce(F.sum(c).over(running), F.lit(0)).alias(k) for k, c in measures.items()]).alias("s"),
     )
-    # How many finished matches of the team lie strictly before each row's instant.
     before = Window.partitionBy(*keys).orderBy("kick").rangeBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy(*keys, "kick")
     finished = F.col("finished").cast("long")
-    asked = rows.withColumn("upto", F.sum(finished).over(before) - F.sum(finished).over(same))
-    asked = asked.withColumn("from", F.greatest(F.col("upto") - last, F.lit(0)))
-    hi, lo = (sums.select(*keys, F.col("nth").alias(n), F.col("s").alias(s)) for n, s in (("upto", "hi"), ("from", "lo")))
-    joined = asked.join(hi, [*keys, "upto"], "left").join(lo, [*keys, "from"], "left")
-    diff = {k: F.coalesce(F.col(f"hi.{k}"), F.lit(0)) - F.coalesce(F.col(f"lo.{k}"), F.lit(0)) for k in measures}
-    out = joined.select("id", "team", "at_home", (F.col("upto") - F.col("from")).alias("n"), *[c.alias(k) for k, c in diff.items()])
+    asked = rows.withColumn("_upto", F.sum(finished).over(before) - F.sum(finished).over(Window.partitionBy(*keys, "kick")))
+    asked = asked.withColumn("_from", F.greatest(F.col("_upto") - last, F.lit(0)))
+    hi, lo = (sums.select(*keys, F.col("nth").alias(n), F.col("s").alias(s)) for n, s in (("_upto", "_hi"), ("_from", "_lo")))
+    joined = asked.join(hi, [*keys, "_upto"], "left").join(lo, [*keys, "_from"], "left")
+    sums_of = [(F.coalesce(F.col(f"_hi.{k}"), F.lit(0)) - F.coalesce(F.col(f"_lo.{k}"), F.lit(0))).alias(k) for k in measures]
+    return joined.select(*[c for c in rows.columns if c not in measures], (F.col("_upto") - F.col("_from")).alias("n"), *sums_of)
+
+
+def _mean(total: Column | str, count: str = "n") -> Column:
+    """Null below three values."""
+    total = F.col(total) if isinstance(total, str) else total
+    return F.when(F.col(count) >= MIN_SAMPLE, F.round(total / F.col(count), 8))
+
+
+def _flag(test: Column) -> Column:
+    return test.cast("long")
+
+
+def _keys(venue: bool) -> list[str]:
+    return ["team", "at_home"] if venue else ["team"]
+
+
+def trailing_form(matches: DataFrame, last: int, venue: bool = False) -> DataFrame:
+    """Results of both teams of every match over their last ``last`` finished matches, optionally at the same venue only."""
+    gf, ga = F.col("gf"), F.col("ga")
+    counts = {
+        "clean_sheets": ga == 0,
+        "failed_to_score": gf == 0,
+        "over_15": gf + ga > 1,
+        "over_25": gf + ga > 2,
+        "over_35": gf + ga > 3,
+        "btts": (gf > 0) & (ga > 0),
+    }
+    measures = {"wins": _flag(gf > ga), "draws": _flag(gf == ga), "goals_for": gf, "goals_against": ga, **{k: _flag(c) for k, c in counts.items()}}
+    out = trailing(team_view(matches), _keys(venue), last, measures)
     return out.select(
         "id",
         "team",
         "n",
-        F.when(F.col("n") >= MIN_SAMPLE, F.round((3 * F.col("wins") + F.col("draws")) / F.col("n"), 8)).alias("ppm"),
-        *[_means(k, k, "n") for k in ("goals_for", "goals_against", "clean_sheets", "over_25", "btts")],
-        _means("corners_for", "corners_for", "corner_n"),
+        "wins",
+        "draws",
+        (F.col("n") - F.col("wins") - F.col("draws")).alias("losses"),
+        _mean(3 * F.col("wins") + F.col("draws")).alias("ppm"),
+        *[_mean(k).alias(k) for k in ("goals_for", "goals_against")],
+        _mean(F.col("goals_for") - F.col("goals_against")).alias("goal_difference"),
+        *[_mean(k).alias(k) for k in counts],
     )
 
 
+def trailing_statistics(matches: DataFrame, kind: str, last: int, venue: bool = False) -> DataFrame:
+    """Means of a kind of statistics over the last ``last`` finished matches, of those that have them: ``shooting`` (shots and
+    shots on target), ``corners``, ``cards`` (yellow and red) or ``fouls``."""
+    own = lambda name: (F.col(f"{name}_for"), F.col(f"{name}_against"))
+    need = {"shooting": ["shots", "on_target"], "cards": ["yellow", "red"]}.get(kind, [kind])
+    there = F.lit(True)
+    for name in need:
+        there = there & F.col(f"{name}_for").isNotNull()
+    measures = {"matches": there}
+    for name in need:
+        measures |= {f"{name}_for": own(name)[0], f"{name}_against": own(name)[1]}
+    lines = {"corners": ("corners", range(7, 12)), "cards": ("yellow", range(2, 7))}.get(kind)
+    overs = {f"over_{x}5": own(lines[0])[0] + own(lines[0])[1] > x for x in lines[1]} if lines else {}
+    measures = {k: F.when(there, c.cast("long")) for k, c in {**measures, **overs}.items()}
+    out = trailing(team_view(matches), _keys(venue), last, measures)
+    mean = lambda name, c=None: _mean(c if c is not None else name, "matches").alias(name)
+    c = F.col
+    if kind == "shooting":
+        share = lambda name, a, b: F.when((c("matches") >= MIN_SAMPLE) & (c(b) > 0), F.round(c(a) / c(b), 8)).alias(name)
+        more = [mean(x) for x in ("shots_for", "shots_against", "on_target_for", "on_target_against")]
+        more += [share("accuracy", "on_target_for", "shots_for"), share("opponent_accuracy", "on_target_against", "shots_against")]
+    elif kind == "cards":
+        more = [mean("yellow_for"), mean("yellow_against"), mean("red_for"), mean("team_cards", c("yellow_for") + c("red_for"))]
+        more += [mean("match_yellow", c("yellow_for") + c("yellow_against")), mean("match_red", c("red_for") + c("red_against"))]
+    else:
+        more = [mean(f"{kind}_for"), mean(f"{kind}_against"), mean("total", c(f"{kind}_for") + c(f"{kind}_against"))]
+    return out.select("id", "team", "matches", *more, *[mean(k) for k in overs])
+
+
 def head_to_head(matches: DataFrame, last: int = 5) -> DataFrame:
     """Mean goals, both-scored and over-2.5 rates of the pair's last meetings, whoever was at home."""
     pair = matches.withColumn("lo", F.least("home", "away")).withColumn("hi", F.greatest("home", "away"))
-    # Whatever lies at the same instant is no history: number instants, then rows inside the frame of earlier ones.
-    order = Window.partitionBy("lo", "hi").orderBy("kick", "id")
-    done = pair.filter("finished").withColumn("goals", F.col("hg") + F.col("ag"))
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    sums = done.select(
-        "lo",
-        "hi",
-        F.row_number().over(order).alias("nth"),
-        F.struct(
-            F.sum("goals").over(running).alias("goals"),
-            F.sum(((F.col("hg") > 0) & (F.col("ag") > 0)).cast("long")).over(running).alias("btts"),
-            F.sum((F.col("goals") > 2).cast("long")).over(running).alias("over_25"),
-        ).alias("s"),
-    )
-    before = Window.partitionBy("lo", "hi").orderBy("kick").rangeBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy("lo", "hi", "kick")
-    finished = F.col("finished").cast("long")
-    asked = pair.withColumn("upto", F.sum(finished).over(before) - F.sum(finished).over(same))
-    asked = asked.withColumn("from", F.greatest(F.col("upto") - last, F.lit(0)))
-    top, base = (sums.select("lo", "hi", F.col("nth").alias(n), F.col("s").alias(s)) for n, s in (("upto", "t"), ("from", "b")))
-    joined = asked.join(top, ["lo", "hi", "upto"], "left").join(base, ["lo", "hi", "from"], "left")
-    n = F.col("upto") - F.col("from")
-    mean = lambda k: F.when(
-        n >= MIN_SAMPLE, F.round((F.col(f"t.{k}") - F.coalesce(F.col(f"b.{k}"), F.lit(0))) / n, 8)
-    ).alias(k)
-    return joined.select("id", n.alias("n"), mean("goals"), mean("btts"), mean("over_25"))
+    goals = F.col("hg") + F.col("ag")
+    measures = {"goals": goals, "btts": _flag((F.col("hg") > 0) & (F.col("ag") > 0)), "over_25": _flag(goals > 2)}
+    out = trailing(pair, ["lo", "hi"], last, measures)
+    return out.select("id", "n", *[_mean(k).alias(k) for k in measures])
 
 
 def rest_and_congestion(matches: DataFrame) -> DataFrame:
-    """Days since the team's last match and its number of matches in the 7 and 14 days before."""
-    rows = team_view(matches).withColumn("day", F.unix_date(F.to_date("kick")))
-    earlier = Window.partitionBy("team").orderBy("day")
-    upto = lambda days: earlier.rangeBetween(-days, -1)
-    return rows.select(
-        "id",
-        "team",
-        (F.col("day") - F.max("day").over(earlier.rangeBetween(Window.unboundedPreceding, -1))).cast("long").alias("rest_days"),
-        F.count("*").over(upto(7)).alias("last_7"),
-        F.count("*").over(upto(14)).alias("last_14"),
-    )
+    """Days, to the minute, since the team's last finished match, and how many lie in the 7 and 14 whole days before."""
+    rows = team_view(matches).withColumn("_at", F.unix_seconds(F.col("kick").cast("timestamp")))
+    earlier = Window.partitionBy("team").orderBy("_at")
+    done = F.when(F.col("finished"), F.col("_at"))
+    last = F.max(done).over(earlier.rangeBetween(Window.unboundedPreceding, -1))
+    within = lambda days: F.count(done).over(earlier.rangeBetween(-((days + 1) * 86400 - 1), -1))
+    rest = F.floor((F.col("_at") - last) / 60) / 1440
+    return rows.select("id", "team", F.round(rest, 8).alias("rest_days"), within(7).alias("last_7"), within(14).alias("last_14"))
 
 
 def league_baseline(matches: DataFrame) -> DataFrame:
@@ -142,6 +165,8 @@ def league_baseline(matches: DataFrame) -> DataFrame:
         mean((hg > 0) & (ag > 0)).alias("btts_rate"),
         mean(hg + ag > 2).alias("over_25_rate"),
         some(F.col("hc") + F.col("ac")).alias("corners"),
+        some(F.col("hy") + F.col("ay")).alias("yellow"),
+        some(F.col("hs") + F.col("as_")).alias("shots"),
     )
 
 
@@ -191,37 +216,22 @@ def elo(matches: DataFrame, start: float = 1500.0, k: float = 20.0, home: float
 def opponent_strength(matches: DataFrame, ratings: DataFrame, last: int = 5) -> DataFrame:
     """Mean rating of the team's last opponents, as they were before those matches; null below three."""
     rated = matches.join(ratings, "id")
-    def side(team: str, rating: str) -> Column:
-        return F.struct(F.col(team).alias("team"), F.col(rating).alias("faced"))
-
+    side = lambda team, rating: F.struct(F.col(team).alias("team"), F.col(rating).alias("faced"))
     rows = rated.select("id", "kick", "finished", F.explode(F.array(side("home", "away_elo"), side("away", "home_elo"))).alias("s"))
-    rows = rows.select("id", "kick", "finished", "s.*")
-    done = F.col("finished").cast("long")
-    before = Window.partitionBy("team").orderBy("kick").rangeBetween(Window.unboundedPreceding, 0)
-    same = Window.partitionBy("team", "kick")
-    asked = rows.withColumn("upto", F.sum(done).over(before) - F.sum(done).over(same))
-    asked = asked.withColumn("from", F.greatest(F.col("upto") - last, F.lit(0)))
-    order = Window.partitionBy("team").orderBy("kick", "id")
-    sums = rows.filter("finished").select(
-        "team", F.row_number().over(order).alias("nth"), F.sum("faced").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("s")
-    )
-    hi, lo = (sums.select("team", F.col("nth").alias(n), F.col("s").alias(s)) for n, s in (("upto", "hi"), ("from", "lo")))
-    joined = asked.join(hi, ["team", "upto"], "left").join(lo, ["team", "from"], "left")
-    n = F.col("upto") - F.col("from")
-    mean = (F.col("hi") - F.coalesce(F.col("lo"), F.lit(0.0))) / n
-    return joined.select("id", "team", n.alias("n"), F.when(n >= MIN_SAMPLE, F.round(mean, 6)).alias("opponent_elo"))
+    out = trailing(rows.select("id", "kick", "finished", "s.*"), ["team"], last, {"sum": F.col("faced")})
+    return out.select("id", "team", "n", F.when(F.col("n") >= MIN_SAMPLE, F.round(F.col("sum") / F.col("n"), 6)).alias("opponent_elo"))
 
 
-def decayed_form(matches: DataFrame, half_life: float = 90.0, prior_weight: float = 5.0, prior: float = 1.25) -> DataFrame:
-    """Goals for, weighted by 2^(-age in days / half life) and shrunk to a prior, over strictly earlier days.
+def decayed_form(matches: DataFrame, last: int = 10, venue: bool = False, half_life: float = 90.0, prior_weight: float = 5.0) -> DataFrame:
+    """Goals for and against over the last ``last`` finished matches, weighted by 2^(-elapsed days / half life) and shrunk to
+    half the competition's goals a match (column ``league_goals``; 2.6 where it has none) by ``prior_weight``.
 
-    With weights relative to a fixed day both sums are running sums: sum(2^(d/H) x) * 2^(-D/H).
+    With weights relative to a fixed instant both sums are running sums: sum(2^(t/H) x) * 2^(-T/H).
     """
-    rows = team_view(matches).withColumn("day", F.unix_date(F.to_date("kick")))
-    earlier = Window.partitionBy("team").orderBy("day").rangeBetween(Window.unboundedPreceding, -1)
-    epoch = 19723  # 2024-01-01; keeps the powers near one
-    w = F.when(F.col("finished"), F.pow(F.lit(2.0), (F.col("day") - epoch) / half_life))
-    now = F.pow(F.lit(2.0), -(F.col("day") - epoch) / half_life)
-    weight = F.coalesce(F.sum(w).over(earlier), F.lit(0.0)) * now
-    total = F.coalesce(F.sum(w * F.col("gf")).over(earlier), F.lit(0.0)) * now
-    return rows.select("id", "team", F.round((total + prior_weight * prior) / (weight + prior_weight), 6).alias("decayed_goals"))
+    rows = team_view(matches).join(matches.select("id", F.coalesce("league_goals", F.lit(2.6)).alias("_league")), "id")
+    days = (F.unix_seconds(F.col("kick").cast("timestamp")) - 757382400) / 86400  # since 1994: keeps the powers near one
+    w = F.pow(F.lit(2.0), days / half_life)
+    out = trailing(rows, _keys(venue), last, {"weight": w, "scored": w * F.col("gf"), "conceded": w * F.col("ga")})
+    now = F.pow(F.lit(2.0), -days / half_life)
+    shrunk = lambda c: F.round((F.col(c) * now + prior_weight * F.col("_league") / 2) / (F.col("weight") * now + prior_weight), 6)
+    return out.select("id", "team", shrunk("scored").alias("scoring"), shrunk("conceded").alias("conceding"), F.round(F.col("weight") * now, 6).alias("effective_history"))

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from pitchlake.functions import expressions as E
 
+# The categories of candidates, in the order in which a run lists them; those ranked, not selected, every day.
+CATEGORIES = ["CORNERS", "OVER_25", "OVER_35", "BTTS_YES", "HIGH_CONFIDENCE", "SURPRISE", "COMPOUND"]
+DAILY = ["OVER_25", "BTTS_YES"]
+
 
 @dataclass(frozen=True)
 class Policy:
     """Thresholds and score weights."""
 
     high_confidence: float = 0.75
+    corners: float = 0.50
     over_35: float = 0.52
     surprise_odd: float = 2.0
     surprise_p: float = 0.42
@@ -27,64 +32,133 @@ class Policy:
     weights: tuple = (0.55, 0.25, 0.15, 0.04, 0.01)
 
 
+def good_quality() -> Column:
+    """Five matches of history on either side and, for corners, statistics of half of them."""
+    history = F.least("history_home", "history_away")
+    coverage = F.when(F.col("market") == "FULL_TIME_TOTAL_CORNERS", F.coalesce("corners_coverage", F.lit(0.0))).otherwise(1.0)
+    return (F.coalesce(history, F.lit(0)) >= 5) & (coverage >= 0.5)
+
+
 def scored(df: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Adds implied, edge, ev and score (columns p, odd, calibrated, quality)."""
+    """Adds implied, edge, ev, confidence, history, components and score to rows with a ``category``.
+
+    A daily category's score is its probability; the others weigh edge, value, calibration and data quality.
+    """
     unit = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))
     a, b, c, d, e = policy.weights
     df = df.withColumns(E.value_columns(F.col("p"), F.col("odd")))
-    parts = {
-        "probability": a * F.col("p"),
-        "edge": b * unit(F.col("edge")),
-        "ev": c * unit(F.col("ev")),
-        "calibrated": d * F.col("calibrated"),
-        "quality": e * F.col("quality"),
-    }
-    components = F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)])
-    total = sum(list(parts.values())[1:], list(parts.values())[0])
-    return df.withColumn("components", components).withColumn("score", total)
+    calibrated = F.when(F.col("status") == "CALIBRATED_V1", 1.0).otherwise(0.0)
+    quality = F.when(good_quality(), 1.0).otherwise(0.0)
+    total = a * F.col("p") + b * unit(F.col("edge")) + c * unit(F.col("ev")) + d * calibrated + e * quality
+    n = F.coalesce("n", F.lit(0)).cast("double")
+    gap = F.coalesce(F.abs(F.col("p") - F.col("observed")), F.lit(0.0))
+    daily = F.col("category").isin(*DAILY)
+    parts = {"public_probability": F.col("p"), "edge": F.col("edge"), "expected_value": F.col("ev"), "calibration_support": n, "data_quality": quality}
+    return df.withColumns(
+        {
+            "confidence": F.when(daily, n / (n + 20) * unit(1 - gap)),
+            "history": F.when(daily, unit(F.coalesce(F.least("history_home", "history_away"), F.lit(0)) / 10)),
+            "score": F.when(daily, F.col("p")).otherwise(total),
+            "components": F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]),
+        }
+    )
 
 
 def overconfident(p: Column, observed: Column, n: Column) -> Column:
-    return (n >= 50) & (p - observed > 0.20) & (p - observed > 3 * F.sqrt(p * (1 - p) / n))
+    return observed.between(0, 1) & (n >= 50) & (p - observed > 0.20) & (p - observed > 3 * F.sqrt(p * (1 - p) / n))
 
 
 def rejection(category: str, policy: Policy = Policy()) -> Column:
     """The first reason that applies, null for a qualified row. The category's own gate comes last."""
     c = F.col
-    common = [
-        ("ODDS_UNAVAILABLE", c("odd").isNull()),
-        ("INVALID_ODDS", ~(c("odd") > 1)),
-        ("MODEL_UNAVAILABLE", c("p").isNull()),
-        ("INVALID_PROBABILITY", ~E.is_probability(c("p"))),
-        ("MATCH_STARTED", c("started")),
-        # Exactly the limit is still fresh.
-        ("STALE_ODDS", c("age_hours") > policy.fresh_hours),
-        ("SEVERE_OVERCONFIDENCE", overconfident(c("p"), c("observed"), c("bucket_n"))),
-    ]
+    daily, good, edge = category in DAILY, good_quality(), F.col("p") - 1 / F.col("odd")
+    invalid = c("odd").isNull() | F.isnan("odd") | (c("odd") == float("inf"))
+    tests = [("ODDS_UNAVAILABLE", c("odd").isNull()), ("INVALID_ODDS", invalid | (c("odd") <= 1)), ("MODEL_UNAVAILABLE", c("availability") != "AVAILABLE")]
+    if daily:
+        n = F.coalesce("n", F.lit(0))
+        tests += [
+            ("RESOLUTION_FAILED", ~c("identity_valid")),
+            ("KICKOFF_UNKNOWN", ~c("kickoff_known")),
+            ("INVALID_PROBABILITY", ~E.is_probability(c("p"))),
+            ("INSUFFICIENT_HISTORY", ~good),
+            ("NEGATIVE_MODEL_QUALITY", c("status").isin("INVALID", "MODEL_INVALID", "REJECTED") | overconfident(c("p"), c("observed"), n)),
+        ]
+    tests += [("MATCH_FINISHED", c("match_status") == "finished"), ("MATCH_STARTED", c("match_status") != "scheduled")]
+    if category in ("CORNERS", "HIGH_CONFIDENCE", "COMPOUND"):
+        tests.append(("LOW_DATA_QUALITY", ~good))
+    # Exactly the limit is still fresh; a price without an age is not.
+    tests.append(("STALE_ODDS", c("age_seconds").isNull() | (c("age_seconds") > policy.fresh_hours * 3600)))
+    if daily:
+        tests.append(("INVALID_ODDS", c("age_seconds") < 0))
+
+    def market(name: str, selection: str, lines: list[float] | None) -> Column:
+        line = c("line").isin(*lines) if lines else F.lit(True)
+        return ~((c("market") == name) & (c("selection") == selection) & F.coalesce(line, F.lit(False)))
+
+    calibrated = c("status") == "CALIBRATED_V1"
+    harmless = c("status") == "CALIBRATION_NOT_BENEFICIAL"
+    few = F.coalesce("n", F.lit(0)) < policy.min_bucket
     gates = {
+        "CORNERS": [
+            ("ODDS_MARKET_UNAVAILABLE", market("FULL_TIME_TOTAL_CORNERS", "OVER", E.CORNER_LINES)),
+            ("LOW_PUBLIC_PROBABILITY", c("p") < policy.corners),
+        ],
+        "OVER_25": [("UNSUPPORTED_MARKET", market("TOTAL_GOALS", "OVER", [2.5]))],
+        "OVER_35": [
+            ("UNSUPPORTED_MARKET", market("TOTAL_GOALS", "OVER", [3.5])),
+            ("LOW_PUBLIC_PROBABILITY", c("p") < policy.over_35),
+            ("LOW_EDGE", edge <= 0),
+        ],
+        "BTTS_YES": [("UNSUPPORTED_MARKET", market("BTTS", "YES", None))],
         "HIGH_CONFIDENCE": [
-            ("LOW_SAMPLE", c("bucket_n") < policy.min_bucket),
-            ("LOW_PROBABILITY", c("p") < policy.high_confidence),
+            ("LOW_PUBLIC_PROBABILITY", c("p") < policy.high_confidence),
+            ("CALIBRATION_INSUFFICIENT", ~calibrated & ~(harmless & ~few)),
+            ("INSUFFICIENT_BUCKET_SAMPLE", few),
         ],
-        "OVER_35": [("LOW_PROBABILITY", c("p") < policy.over_35), ("NO_EDGE", c("edge") <= 0)],
         "SURPRISE": [
-            ("ODDS_TOO_LOW", c("odd") < policy.surprise_odd),
-            ("LOW_PROBABILITY", c("p") < policy.surprise_p),
-            ("LOW_EDGE", c("edge") < policy.surprise_edge),
+            ("LOW_PUBLIC_PROBABILITY", (c("odd") < policy.surprise_odd) | (c("p") < policy.surprise_p)),
+            ("LOW_EDGE", edge < policy.surprise_edge),
         ],
         "COMPOUND": [
-            ("LOW_SAMPLE", c("bucket_n") < policy.min_bucket),
-            ("LOW_PROBABILITY", c("p") < policy.compound_p),
-            ("ODDS_OUT_OF_RANGE", ~c("odd").between(policy.compound_low, policy.compound_high)),
+            ("LOW_PUBLIC_PROBABILITY", c("p") < policy.compound_p),
+            ("ODDS_OUTSIDE_COMPOUND_RANGE", ~c("odd").between(policy.compound_low, policy.compound_high)),
+            ("CALIBRATION_INSUFFICIENT", ~(calibrated | harmless) | few),
         ],
     }
     out = None
-    for reason, test in common + gates[category]:
+    for reason, test in tests + gates[category]:
         test = F.coalesce(test, F.lit(False))
         out = F.when(test, reason) if out is None else out.when(test, reason)
     return out
 
 
+def candidate_order() -> list[Column]:
+    """Daily categories by probability, value, confidence and history, the others by score; then by match and prediction."""
+    daily = F.col("category").isin(*DAILY)
+    keys = [F.when(daily, F.col(k)).otherwise(other) for k, other in (("p", F.col("score")), ("ev", F.lit(0.0)), ("confidence", F.lit(0.0)), ("history", F.lit(0.0)))]
+    return [*[F.desc(k) for k in keys], F.col("match_id"), F.col("id")]
+
+
+def candidate_run(predictions: DataFrame, day: str = "day", policy: Policy = Policy()) -> DataFrame:
+    """Every prediction in every category, with its rank among the day's candidates or the reason why it is none.
+
+    The best candidate of a match in a category stays; the others are excluded by CORRELATION_REDUCTION. One shuffle by
+    (day, category, match) and one by (day, category); each row meets the seven categories before any of them.
+    """
+    gates = F.array(*[F.struct(F.lit(k).alias("category"), rejection(k, policy).alias("reason")) for k in CATEGORIES])
+    rows = predictions.select("*", F.explode(gates).alias("_g")).select(*predictions.columns, "_g.*")
+    passed = scored(rows.filter("reason IS NULL"), policy)
+    best, rest = best_per_match(passed.drop("reason"), [day, "category"], "match_id", candidate_order())
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(day, "category").orderBy(*candidate_order())))
+    keep = [day, "category", "match_id", "id"]
+    more = ["market", "selection", "line", "p", "odd", "ev", "score", "rank"]
+    return (
+        ranked.select(*keep, *more, F.lit(None).cast("string").alias("reason"))
+        .unionByName(rest.select(*keep, "reason"), allowMissingColumns=True)
+        .unionByName(rows.filter("reason IS NOT NULL").select(*keep, "reason"), allowMissingColumns=True)
+    )
+
+
 def best_per_match(df: DataFrame, by: list[str], match: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:
     """(the first row of each match in ``order``, the others with reason CORRELATION_REDUCTION)."""
     w = Window.partitionBy(*by, match).orderBy(*order)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,54 +31,213 @@ def settle_accumulators(legs: DataFrame, stake_cents: int) -> DataFrame:
     )
 
 
-def system_columns(legs: DataFrame, sizes: list[int], most: int = 7) -> DataFrame:
-    """(coupon, column, size, odd, state): every subset of a coupon's legs of the given sizes.
+#: Sizes of the columns of a system, by its number of legs; other numbers make no system.
+SYSTEMS = {6: (5, 6), 7: (5, 6, 7)}
+NO_SYSTEM = "INVALID_SYSTEM_SELECTION_COUNT"
+
+
+def system_columns(legs: DataFrame, systems: dict[int, tuple] = SYSTEMS) -> DataFrame:
+    """(coupon, column, size, odd, state): every subset of a coupon's legs of the sizes that its number of legs allows.
 
-    A coupon has at most ``most`` legs, so its subsets are at most 2**most bit masks; larger ones are refused (no rows).
+    A coupon of another number of legs gives one row without a column, whose state says so. Subsets are bit masks over the
+    legs in order; those of a number of legs are a constant, so that a coupon is multiplied by its columns only.
     """
     packed = legs.groupBy("coupon").agg(F.array_sort(F.collect_list(F.struct("leg", "odd", "state"))).alias("legs"))
-    packed = packed.filter(F.size("legs") <= most)
-    masks = packed.select("coupon", "legs", F.explode(F.expr("sequence(1, shiftleft(1, size(legs)) - 1)")).alias("mask"))
-    masks = masks.withColumn("size", F.bit_count("mask")).filter(F.col("size").isin(*sizes))
-    chosen = F.expr("filter(legs, (x, i) -> shiftright(mask, i) & 1 = 1)")
-    cols = masks.select("coupon", F.col("mask").alias("column"), "size", chosen.alias("c"))
+    masks = F.array().cast("array<int>")
+    for n, sizes in systems.items():
+        chosen = [m for m in range(1, 1 << n) if m.bit_count() in sizes]
+        masks = F.when(F.size("legs") == n, F.array(*[F.lit(m) for m in chosen])).otherwise(masks)
+    cols = packed.select("coupon", "legs", F.explode_outer(masks).alias("column"))
+    cols = cols.withColumn("c", F.expr("filter(legs, (x, i) -> shiftright(`column`, i) & 1 = 1)"))
     odd = F.aggregate("c", F.lit(1.0), lambda a, x: a * F.when(x["state"] == "VOID", 1.0).otherwise(x["odd"]))
     state = (
-        F.when(F.exists("c", lambda x: x["state"] == "LOST"), "LOST")
+        F.when(F.col("column").isNull(), NO_SYSTEM)
+        .when(F.exists("c", lambda x: x["state"] == "LOST"), "LOST")
         .when(F.exists("c", lambda x: x["state"] == "PENDING"), "UNSETTLED")
         .when(F.forall("c", lambda x: x["state"] == "VOID"), "VOID")
         .otherwise("WON")
     )
-    return cols.select("coupon", "column", "size", F.round(odd, 8).alias("odd"), state.alias("state"))
+    some = F.col("column").isNotNull()
+    size = F.when(some, F.bit_count(F.coalesce("column", F.lit(0))))
+    return cols.select("coupon", "column", size.alias("size"), F.when(some, F.round(odd, 8)).alias("odd"), state.alias("state"))
 
 
 def settle_systems(columns: DataFrame, unit_cents: int) -> DataFrame:
-    """Per coupon: columns, stake and payout; a void column pays its unit back."""
-    pay = (
-        F.when(F.col("state") == "WON", E.payout_cents(F.lit(unit_cents), F.col("odd")))
-        .when(F.col("state") == "VOID", F.lit(unit_cents))
-        .otherwise(0)
-    )
+    """Per coupon: columns by state, stake, payout and the most it could pay; a void column pays its unit back. No system, no
+    money."""
+    state, some = F.col("state"), F.col("column").isNotNull()
+    full = E.payout_cents(F.lit(unit_cents), F.col("odd"))
+    pay = F.when(state == "WON", full).when(state == "VOID", F.lit(unit_cents)).when(some, 0)
+    of = lambda s: F.sum((state == s).cast("long"))
     return columns.groupBy("coupon").agg(
-        F.count("*").alias("columns"),
-        F.sum((F.col("state") == "WON").cast("long")).alias("won"),
-        (F.count("*") * unit_cents).alias("stake_cents"),
+        F.count("column").alias("columns"),
+        of("WON").alias("won"),
+        of("LOST").alias("lost"),
+        of("VOID").alias("void"),
+        F.sum(F.when(some, F.lit(unit_cents).cast("long"))).alias("stake_cents"),
         F.sum(pay.cast("long")).alias("payout_cents"),
+        F.sum(F.when(some, full)).alias("most_cents"),
+        F.max(F.when(state == NO_SYSTEM, NO_SYSTEM)).alias("reason"),
+    )
+
+
+def system_summary(systems: DataFrame) -> DataFrame:
+    """One row: systems, settled ones, their columns by state and their money."""
+    stake, gross = F.sum("stake_cents"), F.sum("payout_cents")
+    return systems.agg(
+        F.count("*").alias("systems"),
+        F.count("stake_cents").alias("settled"),
+        *[F.sum(c).alias(c) for c in ("columns", "won", "lost", "void")],
+        stake.alias("stake_cents"),
+        gross.alias("gross_cents"),
+        (gross - stake).alias("profit_cents"),
+        F.round(F.try_divide(gross - stake, stake), 8).alias("roi"),
     )
 
 
-def best_combinations(legs: DataFrame, low: float, high: float, most: int) -> DataFrame:
-    """Per coupon the pair of legs on different matches whose odds' product is in range and largest; first ids win ties.
+def combinations(legs: DataFrame, most: int = 256) -> DataFrame:
+    """(coupon, size, ids, odd, quality): pairs and triples of a pool's legs on different matches, in the order of their ids.
 
-    Pools are cut to groups of at most ``most`` legs, which are refused beyond, as the search is quadratic.
+    A pool above ``most`` legs is not searched: it gives one row of size 0. A pool one of whose pairs is exactly the target
+    has no triples.
     """
-    pool = legs.withColumn("_n", F.count("*").over(Window.partitionBy("coupon"))).filter(F.col("_n") <= most).drop("_n")
-    a, b = pool.alias("a"), pool.alias("b")
-    pairs = a.join(b, (F.col("a.coupon") == F.col("b.coupon")) & (F.col("a.leg") < F.col("b.leg")) & (F.col("a.match_id") != F.col("b.match_id")))
-    pairs = pairs.select(F.col("a.coupon"), F.col("a.leg").alias("first"), F.col("b.leg").alias("second"), (F.col("a.odd") * F.col("b.odd")).alias("odd"))
-    pairs = pairs.withColumn("odd", F.round("odd", 8)).filter(F.col("odd").between(low - 1e-9, high + 1e-9))
-    w = Window.partitionBy("coupon").orderBy(F.desc("odd"), "first", "second")
-    return pairs.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+    one = Window.partitionBy("coupon", "leg").orderBy("odd", "match_id", "score")
+    pool = legs.filter("odd > 1 AND odd < double('infinity')").withColumn("_nth", F.row_number().over(one)).filter("_nth = 1")
+    pool = pool.select("coupon", "leg", "match_id", "odd", "score", F.count("*").over(Window.partitionBy("coupon")).alias("_n"))
+    over = pool.filter(F.col("_n") > most).select("coupon").distinct()
+    packed = pool.filter(F.col("_n") <= most).groupBy("coupon").agg(
+        F.array_sort(F.collect_list(F.struct("leg", "match_id", "odd", "score"))).alias("p")
+    )
+    first = packed.select("coupon", "p", F.posexplode("p").alias("i", "a"))
+    second = first.select("coupon", "p", "a", F.explode(F.expr("slice(p, i + 2, size(p))")).alias("b"), F.expr("array_position(p, a)").alias("i"))
+    second = second.withColumn("j", F.expr("array_position(p, b)")).filter("a.match_id <> b.match_id")
+    pairs = second.select(
+        "coupon", F.lit(2).alias("size"), F.array("a.leg", "b.leg").alias("ids"), (F.col("a.odd") * F.col("b.odd")).alias("odd"),
+        ((F.col("a.score") + F.col("b.score")) / 2).alias("quality"),
+    )
+    third = second.select("coupon", "a", "b", F.explode(F.expr("slice(p, int(j) + 1, size(p))")).alias("c"))
+    third = third.filter("c.match_id <> a.match_id AND c.match_id <> b.match_id")
+    triples = third.select(
+        "coupon", F.lit(3).alias("size"), F.array("a.leg", "b.leg", "c.leg").alias("ids"), (F.col("a.odd") * F.col("b.odd") * F.col("c.odd")).alias("odd"),
+        ((F.col("a.score") + F.col("b.score") + F.col("c.score")) / 3).alias("quality"),
+    )
+    exact = pairs.filter(F.abs(F.col("odd") - TARGET) < SLACK).select("coupon").distinct()
+    none = over.select("coupon", F.lit(0).alias("size"), F.array().cast(pairs.schema["ids"].dataType).alias("ids"), F.lit(None).cast("double").alias("odd"), F.lit(None).cast("double").alias("quality"))
+    return pairs.unionByName(triples.join(exact, "coupon", "left_anti")).unionByName(none)
+
+
+#: The product of odds that a compound coupon aims at, the range that it must be in, and how far a product may be off.
+TARGET, LOW, HIGH, SLACK = 1.8, 1.5, 1.8, 1e-9
+
+
+def best_combination(found: DataFrame, low: float = LOW, high: float = HIGH) -> DataFrame:
+    """Of each pool the combination in range that is exactly the target, else from 1.75 on, else any; of these the best mean
+    score, then the largest product, then the first."""
+    within = found.filter(F.col("odd").between(low - SLACK, high + SLACK))
+    tier = F.when(F.abs(F.col("odd") - TARGET) < SLACK, 2).when(F.col("odd") >= 1.75, 1).otherwise(0)
+    w = Window.partitionBy("coupon").orderBy(F.desc(tier), F.desc("quality"), F.desc("odd"), "size", "ids")
+    return within.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").drop("_nth")
+
+
+def nearest_targets(found: DataFrame, targets: tuple = (1.5, 1.6, 1.7, 1.8)) -> DataFrame:
+    """(coupon, target, size, ids, odd): the combination whose product is nearest to each target; the first of equals."""
+    rows = found.filter("size > 0").withColumn("target", F.explode(F.array(*[F.lit(t) for t in targets])))
+    w = Window.partitionBy("coupon", "target").orderBy(F.abs(F.col("odd") - F.col("target")), "size", "ids")
+    return rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select("coupon", "target", "size", "ids", "odd")
+
+
+def validate_selections(legs: DataFrame, low: float = 1.10, high: float = 1.50) -> DataFrame:
+    """(coupon, kind, legs, error): why a set of legs is no coupon of its kind, or null.
+
+    The first leg, in order, whose match the coupon has already names the conflict, by its market and that of the match's
+    first leg; then numbers of legs and the product's bounds.
+    """
+    order = ["leg", "odd", "match_id", "line"]
+    rows = legs.withColumn("_nth", F.row_number().over(Window.partitionBy("coupon").orderBy(*order)))
+    same = Window.partitionBy("coupon", "match_id").orderBy("_nth")
+    rows = rows.withColumns({"_again": F.row_number().over(same), "_market": F.first("market").over(same), "_line": F.first("line").over(same)})
+    x, y = F.col("market"), F.col("_market")
+    other_line = ~F.col("line").eqNullSafe(F.col("_line"))
+    goals, btts, corners = (lambda c: c == "TOTAL_GOALS"), (lambda c: c == "BTTS"), (lambda c: c == "FULL_TIME_TOTAL_CORNERS")
+    conflict = (
+        F.when(goals(x) & goals(y) & other_line, "NESTED_TOTAL_CONFLICT")
+        .when((btts(x) & goals(y)) | (goals(x) & btts(y)), "BTTS_GOALS_CONFLICT")
+        .when(corners(x) & corners(y) & other_line, "NESTED_CORNERS_CONFLICT")
+        .otherwise("SAME_MATCH_CONFLICT")
+    )
+    rows = rows.withColumn("_conflict", F.when(F.col("_again") > 1, F.struct(F.col("_nth"), conflict.alias("name"))))
+    agg = rows.groupBy("coupon", "kind").agg(F.count("*").alias("legs"), F.min("_conflict").alias("c"), F.product("odd").alias("odd"))
+    n = F.col("legs")
+    compound, system = F.col("kind") == "DAILY_COMPOUND", F.col("kind") == "DAILY_SURPRISE_SYSTEM"
+    error = (
+        F.when(F.col("c").isNotNull(), F.col("c.name"))
+        .when(system & ~n.isin(*SYSTEMS), NO_SYSTEM)
+        .when(compound & ~n.between(2, 3), "INVALID_COMPOUND_SELECTION_COUNT")
+        .when(compound & (F.col("odd") + SLACK < low), "COMPOUND_ODDS_BELOW_MINIMUM")
+        .when(compound & (F.col("odd") - SLACK > high), "COMPOUND_ODDS_ABOVE_MAXIMUM")
+    )
+    return agg.select("coupon", "kind", "legs", error.alias("error"))
+
+
+def rule_compliant(legs: DataFrame) -> DataFrame:
+    """(coupon, kind, compliant): the number of legs its kind asks for, distinct matches, odds above 1, a compound's product."""
+    n, kind = F.count("*"), F.col("kind")
+    count = (
+        F.when(kind == "DAILY_CORNERS", n.between(5, 7))
+        .when(kind.isin("DAILY_OVER_25", "DAILY_OVER_35"), n.between(3, 5))
+        .when(kind.isin("DAILY_BTTS", "DAILY_HIGH_CONFIDENCE"), n >= 5)
+        .when(kind == "DAILY_COMPOUND", n.between(2, 3) & F.product("odd").between(LOW - SLACK, HIGH + SLACK))
+        .when(kind == "DAILY_SURPRISE_SYSTEM", n.between(6, 7))
+        .otherwise(F.lit(False))
+    )
+    priced = F.min(F.coalesce((F.col("odd") > 1) & (F.col("odd") < float("inf")), F.lit(False)).cast("int")) == 1
+    return legs.groupBy("coupon", "kind").agg((count & priced & (F.countDistinct("match_id") == n)).alias("compliant"))
+
+
+# The daily coupons, the category each draws on, and the most and the fewest legs it takes.
+DAILY_COUPONS = [
+    ("DAILY_CORNERS", "CORNERS", 7, 5),
+    ("DAILY_OVER_25", "OVER_25", 5, 3),
+    ("DAILY_OVER_35", "OVER_35", 5, 3),
+    ("DAILY_BTTS", "BTTS_YES", 7, 5),
+    ("DAILY_HIGH_CONFIDENCE", "HIGH_CONFIDENCE", None, 5),
+    ("DAILY_SURPRISE_SYSTEM", "SURPRISE", 7, 6),
+]
+
+
+def daily_coupons(candidates: DataFrame, target: float = 3.0, least: int = 5) -> DataFrame:
+    """(day, kind, state, reason, legs, ids, odd, target_reached) for every day of ``candidates`` and every kind of coupon.
+
+    Legs are taken in rank order, up to the kind's most; high confidence in the order of probability, until the product of
+    the legs reaches ``target`` with at least ``least`` of them. Too few legs: no coupon, and the reason.
+    """
+    kinds = F.create_map(*[F.lit(x) for kind, category, _, _ in DAILY_COUPONS for x in (category, kind)])
+    rows = candidates.filter("rank IS NOT NULL").withColumn("kind", kinds[F.col("category")]).filter("kind IS NOT NULL")
+    free = F.col("kind") == "DAILY_HIGH_CONFIDENCE"
+    order = Window.partitionBy("day", "kind").orderBy(F.when(free, -F.col("p")).otherwise(F.col("rank").cast("double")), F.when(free, F.col("id")).otherwise(F.lit(0)))
+    rows = rows.withColumns({"nth": F.row_number().over(order), "_before": F.coalesce(F.sum(F.log("odd")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))})
+    most = F.create_map(*[F.lit(x) for kind, _, top, _ in DAILY_COUPONS for x in (kind, top or 1 << 30)])
+    few = F.create_map(*[F.lit(x) for kind, _, _, low in DAILY_COUPONS for x in (kind, low)])
+    open_ = (F.col("nth") <= least) | (F.col("_before") < math.log(target) - SLACK)
+    taken = rows.filter((F.col("nth") <= most[F.col("kind")]) & (~free | open_))
+    made = taken.groupBy("day", "kind").agg(
+        F.count("*").alias("legs"), F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("_ids"), F.round(F.product("odd"), 6).alias("odd")
+    )
+    made = made.filter(F.col("legs") >= few[F.col("kind")])
+    every = candidates.select("day").distinct().withColumn("kind", F.explode(F.array(*[F.lit(k) for k, *_ in DAILY_COUPONS])))
+    out = every.join(made, ["day", "kind"], "left")
+    there = F.col("legs").isNotNull()
+    reason = F.when(F.col("kind") == "DAILY_SURPRISE_SYSTEM", "INSUFFICIENT_QUALIFIED_SURPRISE_SELECTIONS").otherwise("INSUFFICIENT_QUALIFIED_CANDIDATES")
+    return out.select(
+        "day",
+        "kind",
+        F.when(there, "GENERATED").otherwise("UNAVAILABLE").alias("state"),
+        F.when(~there, reason).alias("reason"),
+        "legs",
+        F.array_join(F.transform("_ids", lambda x: x["id"].cast("string")), ",").alias("ids"),
+        "odd",
+        F.when(there, (F.col("kind") == "DAILY_HIGH_CONFIDENCE") & (F.col("odd") >= target)).alias("target_reached"),
+    )
 
 
 def running_product(legs: DataFrame, target: float, least: int, order: list[str]) -> DataFrame:
@@ -151,4 +312,6 @@ def coupon_summary(coupons: DataFrame, by: list[str | Column], stake_cents: int)
         gross.alias("gross_cents"),
         (gross - stake).alias("profit_cents"),
         F.round(F.try_divide(gross - stake, stake), 8).alias("roi"),
+        F.round(F.avg(F.when(decided, F.lit(stake_cents))), 8).alias("average_stake_cents"),
+        F.round(F.avg(F.when(decided, F.col("odd"))), 8).alias("average_odd"),
     )

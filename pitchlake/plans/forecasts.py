@@ -91,27 +91,17 @@ def asof_latest_price(spark, sf_dir):
 
 
 @R.query("""
-WITH y AS (SELECT key, captured, odd, id FROM quotes WHERE selection = 'view'),
-n AS (SELECT key, captured, odd, id FROM quotes WHERE selection = 'click'),
-a AS (SELECT f.forecast_id, f.cutoff,
-        (SELECT {'t': captured, 'o': odd} FROM y WHERE y.key = f.key AND y.captured <= f.cutoff ORDER BY captured DESC, id DESC LIMIT 1) AS yes,
-        (SELECT {'t': captured, 'o': odd} FROM n WHERE n.key = f.key AND n.captured <= f.cutoff ORDER BY captured DESC, id DESC LIMIT 1) AS no
-      FROM forecasts f)
-SELECT forecast_id, round((1 / yes.o) / (1 / yes.o + 1 / no.o), 8) AS prior FROM a
-WHERE yes.t >= cutoff - interval '24' hour AND no.t >= cutoff - interval '24' hour""")
+WITH a AS (SELECT f.forecast_id, f.cutoff,
+  (SELECT {'t': captured, 'o': odd, 'p': provider} FROM two_sided q WHERE q.side = 'yes' AND q.key = f.key AND q.captured <= f.cutoff ORDER BY captured DESC, id DESC LIMIT 1) AS yes,
+  (SELECT {'t': captured, 'o': odd, 'p': provider} FROM two_sided q WHERE q.side = 'no' AND q.key = f.key AND q.captured <= f.cutoff ORDER BY captured DESC, id DESC LIMIT 1) AS no
+  FROM forecasts f)
+SELECT forecast_id, round(CASE WHEN yes.o > 1 AND no.o > 1 AND yes.t >= cutoff - interval '24' hour AND no.t >= cutoff - interval '24' hour
+  AND yes.p = no.p AND yes.t = no.t THEN (1 / yes.o) / (1 / yes.o + 1 / no.o) END, 8) AS prior FROM a""")
 def asof_two_sided_prior(spark, sf_dir):
-    """Fair prior from the latest price of either side, both at most 24 hours old at the decision."""
+    """Fair prior from the latest price of either side: one provider, one time of capture, at most 24 hours old."""
     asks = frame(spark, sf_dir, "forecasts").select("forecast_id", "key", "cutoff")
-    quotes = frame(spark, sf_dir, "quotes")
-
-    def side(selection, name):
-        found = asof.asof_latest(asks, quotes.filter(F.col("selection") == selection), ["key"], "cutoff", "captured", "id", ["odd"])
-        fresh = found.filter(F.col("captured") >= F.col("cutoff") - F.expr("interval '24' hour"))
-        return fresh.select("forecast_id", F.col("odd").alias(name))
-
-    both = side("view", "yes").join(side("click", "no"), "forecast_id")
-    yes, no = 1 / F.col("yes"), 1 / F.col("no")
-    return both.select("forecast_id", F.round(yes / (yes + no), 8).alias("prior"))
+    out = asof.asof_two_sided(asks, frame(spark, sf_dir, "two_sided"), ["key"], "cutoff")
+    return out.select("forecast_id", F.round("prior", 8).alias("prior"))
 
 
 @R.query("""
@@ -122,17 +112,12 @@ def latest_not_superseded(spark, sf_dir):
 
 
 @R.query("""
-WITH c AS (SELECT key, selection, count(*) AS metric FROM quotes GROUP BY 1, 2)
-SELECT key, selection, metric, row_number() OVER (PARTITION BY key ORDER BY metric DESC, selection) AS rank FROM c""")
+WITH l AS (SELECT * FROM popularity QUALIFY row_number() OVER (PARTITION BY key, selection, metric ORDER BY captured DESC, id DESC) = 1)
+SELECT c.key, c.selection, c.value AS total, r.value AS rank FROM l c JOIN l r ON c.metric = 'COUNT' AND r.metric = 'RANK' AND c.key = r.key
+  AND c.selection IS NOT DISTINCT FROM r.selection""")
 def latest_metric_pair(spark, sf_dir):
-    """Popularity: COUNT rows paired with RANK rows, null-safe on the selection."""
-    from pyspark.sql import Window
-
-    counts = frame(spark, sf_dir, "quotes").groupBy("key", "selection").agg(F.count("*").alias("metric"))
-    order = Window.partitionBy("key").orderBy(F.desc("metric"), "selection")
-    ranks = counts.select("key", "selection", F.row_number().over(order).cast("long").alias("rank"))
-    on = (F.col("c.key") == F.col("r.key")) & F.col("c.selection").eqNullSafe(F.col("r.selection"))
-    return counts.alias("c").join(ranks.alias("r"), on).select("c.key", "c.selection", "metric", "rank")
+    """Popularity: the latest COUNT rows paired with the latest RANK rows, null-safe on the selection."""
+    return asof.metric_pairs(frame(spark, sf_dir, "popularity"), ["key"])
 
 
 @R.query("""
@@ -150,14 +135,14 @@ WITH RECURSIVE q AS (SELECT id, key, captured, CAST(floor(odd) AS BIGINT) AS pri
 f AS (SELECT key, nth, id, captured, price, captured AS kept_at, price AS kept_price, true AS kept FROM q WHERE nth = 1
       UNION ALL
       SELECT q.key, q.nth, q.id, q.captured, q.price,
-             CASE WHEN q.price <> f.kept_price OR q.captured - f.kept_at >= interval '6' hour THEN q.captured ELSE f.kept_at END,
-             CASE WHEN q.price <> f.kept_price OR q.captured - f.kept_at >= interval '6' hour THEN q.price ELSE f.kept_price END,
-             q.price <> f.kept_price OR q.captured - f.kept_at >= interval '6' hour
+             CASE WHEN q.price <> f.kept_price OR q.captured - f.kept_at >= interval '3600' second THEN q.captured ELSE f.kept_at END,
+             CASE WHEN q.price <> f.kept_price OR q.captured - f.kept_at >= interval '3600' second THEN q.price ELSE f.kept_price END,
+             q.price <> f.kept_price OR q.captured - f.kept_at >= interval '3600' second
       FROM f JOIN q ON q.key = f.key AND q.nth = f.nth + 1)
 SELECT id, key, captured, price FROM f WHERE kept""")
 def dedupe_change_heartbeat(spark, sf_dir):
     rows = frame(spark, sf_dir, "quotes").select("id", "key", "captured", F.floor("odd").alias("price"))
-    return asof.dedupe_with_heartbeat(rows, ["key"], "captured", "id", "price", 6 * 3600)
+    return asof.dedupe_with_heartbeat(rows, ["key"], "captured", "id", "price", 3600)
 
 
 @R.query("""
@@ -172,21 +157,28 @@ def union_latest(spark, sf_dir):
     return asof.latest_per_key(both, ["key"], [F.desc("captured"), F.desc("revision"), F.desc("id")])
 
 
-def _bands(name: str, edges: list[float]) -> str:
-    return f"""
-SELECT {E.ladder_sql('odd', edges)} AS {name}, count(*) AS n,
-       CASE WHEN count(*) < 20 THEN 'LOW_SAMPLE' ELSE 'SUFFICIENT' END AS status,
+MEASURES = f"""count(*) AS n, CASE WHEN count(*) < 20 THEN 'LOW_SAMPLE' ELSE 'SUFFICIENT' END AS status,
        round(avg(p), 8) AS mean_p, round(avg(CAST(y AS DOUBLE)), 8) AS hit_rate, round(avg(CAST(y AS DOUBLE)) - avg(p), 8) AS gap,
-       round(avg((p - y) * (p - y)), 8) AS brier, round(avg({LOSS}), 8) AS log_loss FROM observations"""
+       round(avg((p - y) * (p - y)), 8) AS brier, round(avg({LOSS}), 8) AS log_loss"""
 
 
-@R.query(_bands("band", E.PREDICTION_BANDS) + " GROUP BY 1")
+@R.query(f"""
+WITH f AS (SELECT f.*, q.odd FROM forecasts f LEFT JOIN LATERAL (SELECT odd FROM quotes q WHERE q.key = f.key AND q.selection = f.selection
+  AND q.captured <= f.cutoff ORDER BY captured DESC, id DESC LIMIT 1) q ON true)
+SELECT CASE WHEN odd IS NULL OR odd < 1.01 THEN NULL WHEN odd < 1.30 THEN '1.01-1.29' WHEN odd < 1.50 THEN '1.30-1.49' WHEN odd < 1.80 THEN '1.50-1.79'
+  WHEN odd < 2.00 THEN '1.80-1.99' WHEN odd < 2.50 THEN '2.00-2.49' ELSE '2.50+' END AS band, {MEASURES} FROM f GROUP BY 1""")
 def odds_band_report(spark, sf_dir):
-    """Rows without a price are a band of their own (null): they are counted, not dropped."""
-    return report.summary(frame(spark, sf_dir, "observations"), [E.ladder(F.col("odd"), E.PREDICTION_BANDS).alias("band")])
+    """Forecasts by the band of their as-of price; those without one are a band of their own (null): counted, not dropped."""
+    rows = asof.asof_latest(
+        frame(spark, sf_dir, "forecasts"), frame(spark, sf_dir, "quotes"), ["key", "selection"], "cutoff", "captured", "id", ["odd"]
+    )
+    return report.summary(rows, [E.ladder(F.col("odd"), E.PREDICTION_BANDS).alias("band")])
 
 
-@R.query(_bands("odds_range", E.REPORT_RANGES) + " WHERE odd IS NOT NULL GROUP BY 1")
+@R.query(f"""
+SELECT CASE WHEN odd < 1.01 THEN NULL WHEN odd < 1.30 THEN '1.01_1.29' WHEN odd < 1.50 THEN '1.30_1.49' WHEN odd < 1.80 THEN '1.50_1.79'
+  WHEN odd < 2.00 THEN '1.80_1.99' WHEN odd < 2.50 THEN '2.00_2.49' WHEN odd < 3.00 THEN '2.50_2.99' ELSE '3.00_PLUS' END AS odds_range, {MEASURES}
+FROM observations WHERE odd IS NOT NULL GROUP BY 1""")
 def odds_range_report(spark, sf_dir):
     rows = frame(spark, sf_dir, "observations").filter("odd IS NOT NULL")
     return report.summary(rows, [E.ladder(F.col("odd"), E.REPORT_RANGES).alias("odds_range")])
@@ -246,23 +238,50 @@ def reporting_window(spark, sf_dir):
     return parts[0].union(parts[1]).union(parts[2])
 
 
-TEAM = """t AS (SELECT id, kick, finished, home AS team, true AS at_home, hg AS gf, ag AS ga, hc AS cf, ac AS ca FROM matches
-      UNION ALL SELECT id, kick, finished, away, false, ag, hg, ac, hc FROM matches)"""
+TEAM = """t AS (SELECT id, kick, finished, competition, home AS team, true AS at_home, hg AS gf, ag AS ga, hc AS cf, ac AS ca, hs AS sf, as_ AS sa, hst AS tf, ast AS ta,
+        hf AS ff, af AS fa, hy AS yf, ay AS ya, hr AS rf, ar AS ra FROM matches
+      UNION ALL SELECT id, kick, finished, competition, away, false, ag, hg, ac, hc, as_, hs, ast, hst, af, hf, ay, hy, ar, hr FROM matches)"""
 
 
-def _form(last: int, venue: bool) -> str:
+def _past(last: int, venue: bool, where: str = "true") -> str:
     same = "AND h.at_home = t.at_home" if venue else ""
+    return f"""FROM t LEFT JOIN LATERAL (SELECT * FROM (SELECT * FROM t h WHERE h.team = t.team AND h.finished AND h.kick < t.kick {same}
+  ORDER BY h.kick DESC, h.id DESC LIMIT {last}) h WHERE {where}) h ON true GROUP BY t.id, t.team, t.at_home"""
+
+
+def _form(last: int, venue: bool) -> str:
     mean = lambda x: f"CASE WHEN count(h.id) >= 3 THEN round(avg(CAST({x} AS DOUBLE)), 8) END"
     return f"""
 WITH {TEAM}
-SELECT t.id, t.team, count(h.id) AS n,
+SELECT t.id, t.team, count(h.id) AS n, count(*) FILTER (h.gf > h.ga) AS wins, count(*) FILTER (h.gf = h.ga) AS draws, count(*) FILTER (h.gf < h.ga) AS losses,
   CASE WHEN count(h.id) >= 3 THEN round(CAST(sum(CASE WHEN h.gf > h.ga THEN 3 WHEN h.gf = h.ga THEN 1 ELSE 0 END) AS DOUBLE) / count(h.id), 8) END AS ppm,
-  {mean('h.gf')} AS goals_for, {mean('h.ga')} AS goals_against, {mean('h.ga = 0')} AS clean_sheets,
-  {mean('h.gf + h.ga > 2')} AS over_25, {mean('h.gf > 0 AND h.ga > 0')} AS btts,
-  CASE WHEN count(h.cf + h.ca) >= 3 THEN round(avg(CAST(h.cf AS DOUBLE)) FILTER (h.ca IS NOT NULL), 8) END AS corners_for
-FROM t LEFT JOIN LATERAL (SELECT * FROM t h WHERE h.team = t.team AND h.finished AND h.kick < t.kick {same}
-  ORDER BY h.kick DESC, h.id DESC LIMIT {last}) h ON true
-GROUP BY t.id, t.team, t.at_home"""
+  {mean('h.gf')} AS goals_for, {mean('h.ga')} AS goals_against, {mean('h.gf - h.ga')} AS goal_difference, {mean('h.ga = 0')} AS clean_sheets,
+  {mean('h.gf = 0')} AS failed_to_score, {mean('h.gf + h.ga > 1')} AS over_15, {mean('h.gf + h.ga > 2')} AS over_25, {mean('h.gf + h.ga > 3')} AS over_35,
+  {mean('h.gf > 0 AND h.ga > 0')} AS btts
+{_past(last, venue)}"""
+
+
+def _statistics(kind: str, last: int, venue: bool) -> str:
+    mean = lambda name, x: f"CASE WHEN count(h.id) >= 3 THEN round(avg(CAST({x} AS DOUBLE)), 8) END AS {name}"
+    share = lambda name, a, b: f"CASE WHEN count(h.id) >= 3 AND sum({b}) > 0 THEN round(CAST(sum({a}) AS DOUBLE) / sum({b}), 8) END AS {name}"
+    there, columns = {
+        "shooting": (
+            "sf IS NOT NULL AND sa IS NOT NULL AND tf IS NOT NULL AND ta IS NOT NULL",
+            [mean("shots_for", "h.sf"), mean("shots_against", "h.sa"), mean("on_target_for", "h.tf"), mean("on_target_against", "h.ta"),
+             share("accuracy", "h.tf", "h.sf"), share("opponent_accuracy", "h.ta", "h.sa")],
+        ),
+        "corners": (
+            "cf IS NOT NULL AND ca IS NOT NULL",
+            [mean("corners_for", "h.cf"), mean("corners_against", "h.ca"), mean("total", "h.cf + h.ca"), *[mean(f"over_{x}5", f"h.cf + h.ca > {x}") for x in range(7, 12)]],
+        ),
+        "cards": (
+            "yf IS NOT NULL AND ya IS NOT NULL AND rf IS NOT NULL AND ra IS NOT NULL",
+            [mean("yellow_for", "h.yf"), mean("yellow_against", "h.ya"), mean("red_for", "h.rf"), mean("team_cards", "h.yf + h.rf"), mean("match_yellow", "h.yf + h.ya"),
+             mean("match_red", "h.rf + h.ra"), *[mean(f"over_{x}5", f"h.yf + h.ya > {x}") for x in range(2, 7)]],
+        ),
+        "fouls": ("ff IS NOT NULL AND fa IS NOT NULL", [mean("fouls_for", "h.ff"), mean("fouls_against", "h.fa"), mean("total", "h.ff + h.fa")]),
+    }[kind]
+    return f"WITH {TEAM} SELECT t.id, t.team, count(h.id) AS matches, {', '.join(columns)} {_past(last, venue, there)}"
 
 
 @R.query(_form(5, False))
@@ -280,6 +299,31 @@ def venue_form(spark, sf_dir):
     return form.trailing_form(frame(spark, sf_dir, "matches"), 5, venue=True)
 
 
+@R.query(_statistics("shooting", 5, False))
+def team_shooting(spark, sf_dir):
+    return form.trailing_statistics(frame(spark, sf_dir, "matches"), "shooting", 5)
+
+
+@R.query(_statistics("corners", 10, False))
+def team_corners(spark, sf_dir):
+    return form.trailing_statistics(frame(spark, sf_dir, "matches"), "corners", 10)
+
+
+@R.query(_statistics("corners", 5, True))
+def venue_corners(spark, sf_dir):
+    return form.trailing_statistics(frame(spark, sf_dir, "matches"), "corners", 5, venue=True)
+
+
+@R.query(_statistics("cards", 5, False))
+def team_cards(spark, sf_dir):
+    return form.trailing_statistics(frame(spark, sf_dir, "matches"), "cards", 5)
+
+
+@R.query(_statistics("fouls", 5, False))
+def team_fouls(spark, sf_dir):
+    return form.trailing_statistics(frame(spark, sf_dir, "matches"), "fouls", 5)
+
+
 @R.query("""
 SELECT m.id, count(h.id) AS n, CASE WHEN count(h.id) >= 3 THEN round(avg(CAST(h.hg + h.ag AS DOUBLE)), 8) END AS goals,
   CASE WHEN count(h.id) >= 3 THEN round(avg(CAST(h.hg > 0 AND h.ag > 0 AS DOUBLE)), 8) END AS btts,
@@ -292,19 +336,20 @@ def h2h_last5(spark, sf_dir):
 
 
 @R.query(f"""
-WITH {TEAM}, d AS (SELECT id, team, CAST(kick AS DATE) - DATE '1970-01-01' AS day FROM t)
-SELECT id, team, CAST(day - max(day) OVER (PARTITION BY team ORDER BY day RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT) AS rest_days,
-  count(*) OVER (PARTITION BY team ORDER BY day RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS last_7,
-  count(*) OVER (PARTITION BY team ORDER BY day RANGE BETWEEN 14 PRECEDING AND 1 PRECEDING) AS last_14 FROM d""")
+WITH {TEAM}, k AS (SELECT id, team, finished, kick + (id % 24) * interval '1' hour + (id % 7) * interval '1' minute AS at FROM t)
+SELECT a.id, a.team, round(CAST(date_diff('second', max(h.at), any_value(a.at)) // 60 AS DOUBLE) / 1440, 8) AS rest_days,
+  count(h.id) FILTER (date_diff('second', h.at, a.at) // 86400 <= 7) AS last_7, count(h.id) FILTER (date_diff('second', h.at, a.at) // 86400 <= 14) AS last_14
+FROM k a LEFT JOIN k h ON h.team = a.team AND h.finished AND h.at < a.at GROUP BY a.id, a.team""")
 def rest_congestion(spark, sf_dir):
-    return form.rest_and_congestion(frame(spark, sf_dir, "matches"))
+    at = F.expr("kick + (id % 24) * interval '1' hour + (id % 7) * interval '1' minute")
+    return form.rest_and_congestion(frame(spark, sf_dir, "matches").withColumn("kick", at))
 
 
 @R.query("""
 SELECT competition, count(*) AS n, round(avg(hg), 8) AS home_goals, round(avg(ag), 8) AS away_goals,
   round(avg(CAST(hg > ag AS DOUBLE)), 8) AS home_rate, round(avg(CAST(hg = ag AS DOUBLE)), 8) AS draw_rate,
   round(avg(CAST(hg > 0 AND ag > 0 AS DOUBLE)), 8) AS btts_rate, round(avg(CAST(hg + ag > 2 AS DOUBLE)), 8) AS over_25_rate,
-  round(avg(hc + ac), 8) AS corners
+  round(avg(hc + ac), 8) AS corners, round(avg(hy + ay), 8) AS yellow, round(avg(hs + as_), 8) AS shots
 FROM matches WHERE finished GROUP BY competition""")
 def league_baseline(spark, sf_dir):
     return form.league_baseline(frame(spark, sf_dir, "matches"))
@@ -319,12 +364,16 @@ def training_labels(spark, sf_dir):
 
 
 @R.query(f"""
-WITH {TEAM}, d AS (SELECT id, team, finished, gf, CAST(kick AS DATE) - DATE '1970-01-01' AS day FROM t),
-s AS (SELECT d.id, d.team, h.gf, pow(CAST(2 AS DOUBLE), (h.day - d.day) / CAST(90 AS DOUBLE)) AS w
-      FROM d LEFT JOIN d h ON h.team = d.team AND h.finished AND h.day < d.day)
-SELECT id, team, round((coalesce(sum(w * gf), 0) + 5 * 1.25) / (coalesce(sum(w), 0) + 5), 6) AS decayed_goals FROM s GROUP BY 1, 2""")
+WITH {TEAM}, l AS (SELECT competition, avg(hg + ag) AS goals FROM matches WHERE finished GROUP BY 1),
+s AS (SELECT t.id, t.team, any_value(coalesce(l.goals, 2.6)) AS league, sum(h.w) AS w, sum(h.w * h.gf) AS f, sum(h.w * h.ga) AS a
+  FROM t LEFT JOIN l USING (competition) LEFT JOIN LATERAL (SELECT h.id, h.gf, h.ga, pow(CAST(2 AS DOUBLE), -date_diff('second', h.kick, t.kick) / CAST(7776000 AS DOUBLE)) AS w
+    FROM t h WHERE h.team = t.team AND h.finished AND h.kick < t.kick ORDER BY h.kick DESC, h.id DESC LIMIT 10) h ON true GROUP BY t.id, t.team, t.at_home)
+SELECT id, team, round((coalesce(f, 0) + 5 * league / 2) / (coalesce(w, 0) + 5), 6) AS scoring,
+  round((coalesce(a, 0) + 5 * league / 2) / (coalesce(w, 0) + 5), 6) AS conceding, round(coalesce(w, 0), 6) AS effective_history FROM s""")
 def decay_form(spark, sf_dir):
-    return form.decayed_form(frame(spark, sf_dir, "matches"))
+    m = frame(spark, sf_dir, "matches")
+    league = m.filter("finished").groupBy("competition").agg(F.avg(F.col("hg") + F.col("ag")).alias("league_goals"))
+    return form.decayed_form(m.join(league, "competition", "left"))
 
 
 @R.query()

@@ -106,11 +106,83 @@ def normalize_kickoff(spark, sf_dir):
     return rows.select(k.alias("id"), at.cast("timestamp_ntz").alias("kickoff"), known.alias("known"))
 
 
+RAW = [("MATCH_RESULT", " 1 "), ("MATCH_RESULT", "X"), ("MATCH_RESULT", "Away"), ("TOTAL_GOALS", "Üst"), ("CORNERS_TOTAL", "alt"), ("BOTH_TEAMS_TO_SCORE", "KG Var"),
+       ("BOTH_TEAMS_TO_SCORE", "Hayır"), ("DOUBLE_CHANCE", "1 veya 2"), ("ODD_EVEN", "Çift"), ("TOTAL_GOALS", "over"), ("GOAL_RANGE", "2-3"), ("BTTS", "yes")]
+
+
+def _labels(spark, sf_dir):
+    """Events with a market, a raw label and a line, by turns."""
+    n = F.col("event_id") % len(RAW)
+    market, raw = (F.element_at(F.array(*[F.lit(x[i]) for x in RAW]), (n + 1).cast("int")) for i in (0, 1))
+    line = F.when(n.isin(3, 9), 2.5).when(n == 4, 8.5)
+    return frame(spark, sf_dir, "events").select(F.col("event_id").alias("id"), market.alias("market"), raw.alias("raw"), line.alias("line"))
+
+
 @R.query("""
-SELECT event_id AS id, CASE event_type WHEN 'view' THEN 'HOME' WHEN 'click' THEN 'DRAW' WHEN 'purchase' THEN 'AWAY' END AS selection FROM events""")
+SELECT event_id AS id, CASE event_id % 12 WHEN 0 THEN 'HOME' WHEN 1 THEN 'DRAW' WHEN 3 THEN 'OVER' WHEN 4 THEN 'UNDER' WHEN 5 THEN 'YES' WHEN 6 THEN 'NO'
+  WHEN 7 THEN 'HOME_OR_AWAY' WHEN 8 THEN 'EVEN' END AS provider, CASE event_id % 12 WHEN 2 THEN 'AWAY' WHEN 3 THEN 'OVER' WHEN 4 THEN 'UNDER' WHEN 9 THEN 'OVER' END AS canonical FROM events""")
 def normalize_selection(spark, sf_dir):
-    raw = F.when(F.col("event_type") == "view", " 1 ").when(F.col("event_type") == "click", "X").when(F.col("event_type") == "purchase", "Away").otherwise("?")
-    return frame(spark, sf_dir, "events").select(F.col("event_id").alias("id"), E.normalize_selection(F.lit("MATCH_RESULT"), raw).alias("selection"))
+    rows = _labels(spark, sf_dir)
+    market, raw = F.col("market"), F.col("raw")
+    return rows.select("id", E.normalize_selection(market, raw).alias("provider"), E.canonical_selection(market, raw).alias("canonical"))
+
+
+@R.query("""
+SELECT event_id AS id, CASE WHEN event_id % 12 IN (0, 1, 2) THEN 'MATCH_RESULT' WHEN event_id % 12 IN (3, 9) THEN 'TOTAL_GOALS' WHEN event_id % 12 = 4 THEN 'FULL_TIME_TOTAL_CORNERS'
+  WHEN event_id % 12 IN (5, 6, 11) THEN 'BTTS' WHEN event_id % 12 = 7 THEN 'DOUBLE_CHANCE' WHEN event_id % 12 = 8 THEN 'ODD_EVEN' ELSE 'GOAL_RANGE' END AS market,
+  CASE event_id % 12 WHEN 0 THEN 'HOME' WHEN 1 THEN 'DRAW' WHEN 2 THEN 'AWAY' WHEN 3 THEN 'OVER' WHEN 4 THEN 'UNDER' WHEN 5 THEN 'YES' WHEN 6 THEN 'NO' WHEN 9 THEN 'OVER' WHEN 11 THEN 'YES' END AS selection,
+  CASE WHEN event_id % 12 IN (0, 1, 2) THEN 'MATCH_RESULT' WHEN event_id % 12 IN (3, 9) THEN 'OVER_25' WHEN event_id % 12 IN (5, 11) THEN 'BTTS_YES' END AS category,
+  CASE WHEN event_id % 12 IN (7, 8, 10) THEN 'MARKET_NOT_SUPPORTED' END AS failure FROM events""")
+def canonical_tuple(spark, sf_dir):
+    rows = _labels(spark, sf_dir)
+    made = E.canonical_tuple(F.col("market"), F.col("raw"), F.col("line"))
+    names = {"shown_market": "market", "shown_selection": "selection"}
+    return rows.select("id", *[c.alias(names.get(k, k)) for k, c in made.items()])
+
+
+@R.query("""
+SELECT event_id AS id, CASE event_id % 110 WHEN 1 THEN 'MATCH_RESULT' WHEN 101 THEN 'TOTAL_GOALS' WHEN 89 THEN 'BOTH_TEAMS_TO_SCORE' WHEN 48 THEN 'CORNERS_TOTAL' WHEN 92 THEN 'DOUBLE_CHANCE'
+  WHEN 77 THEN 'DOUBLE_CHANCE' WHEN 4 THEN 'GOAL_RANGE' WHEN 91 THEN 'ODD_EVEN' WHEN 90 THEN 'HALFTIME_FULLTIME' ELSE 'UNKNOWN' END AS market FROM events""")
+def normalize_market(spark, sf_dir):
+    return frame(spark, sf_dir, "events").select(F.col("event_id").alias("id"), E.normalize_market(F.col("event_id") % 110).alias("market"))
+
+
+FAMILIES = ["MATCH_RESULT", "BTTS", "TOTAL_GOALS", "HOME_TEAM_TOTAL_GOALS", "AWAY_TEAM_CORNERS", "FULL_TIME_TOTAL_CORNERS", "FULL_TIME_TOTAL_CARDS", "ODD_EVEN"]
+
+
+@R.query("""
+WITH m AS (SELECT event_id AS id, ['MATCH_RESULT', 'BTTS', 'TOTAL_GOALS', 'HOME_TEAM_TOTAL_GOALS', 'AWAY_TEAM_CORNERS', 'FULL_TIME_TOTAL_CORNERS', 'FULL_TIME_TOTAL_CARDS', 'ODD_EVEN'][event_id % 8 + 1] AS market FROM events)
+SELECT id, CASE market WHEN 'HOME_TEAM_TOTAL_GOALS' THEN 'TEAM_TOTAL_GOALS' ELSE market END AS fold,
+  CASE market WHEN 'HOME_TEAM_TOTAL_GOALS' THEN 'TEAM_TOTAL_GOALS' WHEN 'AWAY_TEAM_CORNERS' THEN 'TEAM_CORNERS' WHEN 'FULL_TIME_TOTAL_CORNERS' THEN 'TOTAL_CORNERS'
+    WHEN 'FULL_TIME_TOTAL_CARDS' THEN 'TOTAL_CARDS' WHEN 'ODD_EVEN' THEN 'OTHER' ELSE market END AS family,
+  CASE market WHEN 'FULL_TIME_TOTAL_CORNERS' THEN 'CORNERS_SAME_MATCH' WHEN 'TOTAL_GOALS' THEN 'NESTED_TOTAL_LINE' WHEN 'BTTS' THEN 'BTTS_GOALS_CORRELATION' ELSE 'NONE' END AS correlation FROM m""")
+def market_classes(spark, sf_dir):
+    market = F.element_at(F.array(*[F.lit(x) for x in FAMILIES]), (F.col("event_id") % 8 + 1).cast("int"))
+    return frame(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), E.market_fold(market).alias("fold"), E.market_family(market).alias("family"), E.correlation_class(market).alias("correlation")
+    )
+
+
+NAMES = ["  Fenerbahçe  SK", "FC Nürnberg", "Man. Utd", "AC Milan AC", "Göztepe", "Bristol Rovers City", "FC SC", "Løkomotiv/Straße", "Ægir", "Bayern Münih"]
+KEYS = ["fenerbahce", "nurnberg", "manchester united", "milan", "goztep", "bristol rovers city", "sc", "lokomotiv strasse", "aegir", "bayern munich"]
+BARE = ["fenerbahce sk", "fc nurnberg", "man utd", "ac milan ac", "goztepe", "bristol", "fc sc", "lokomotiv strasse", "aegir", "bayern munih"]
+
+
+@R.query("""
+SELECT c_custkey AS id, ['fenerbahce', 'nurnberg', 'manchester united', 'milan', 'goztep', 'bristol rovers city', 'sc', 'lokomotiv strasse', 'aegir', 'bayern munich'][c_custkey % 10 + 1] AS team,
+  ['fenerbahce sk', 'fc nurnberg', 'man utd', 'ac milan ac', 'goztepe', 'bristol', 'fc sc', 'lokomotiv strasse', 'aegir', 'bayern munih'][c_custkey % 10 + 1] AS bare,
+  ['league one', 'la liga', 'premier league'][c_custkey % 3 + 1] AS competition, 'jan ter wal' AS player FROM customer""")
+def name_keys(spark, sf_dir):
+    """Folded names without qualifiers, team keys by alias, competition keys in two languages, and player names."""
+    pick = lambda values: F.element_at(F.array(*[F.lit(x) for x in values]), (F.col("c_custkey") % len(values) + 1).cast("int"))
+    name = pick(NAMES)
+    return frame(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"),
+        E.team_key(name).alias("team"),
+        E.strip_qualifier(E.fold_name(name)).alias("bare"),
+        E.competition_key(pick(["İngiltere 1. Lig", "İspanya La Liga", "England Premier League FC"])).alias("competition"),
+        E.player_key(F.lit("  Jan  Ter\tWal ")).alias("player"),
+    )
 
 
 @R.query("SELECT c_custkey AS id, sha256(lower(c_name) || '|' || CAST(c_nationkey AS VARCHAR) || '|' || lower(c_mktsegment)) AS key FROM customer")

@@ -11,97 +11,141 @@ from pitchlake.plans.registry import Registry
 
 R = Registry()
 
-CANDIDATES = """c AS (SELECT match_id, leg, market, competition, p, y, odd, match_id * 10 + leg AS id,
-  CASE WHEN leg % 2 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS calibrated,
-  CAST(match_id % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS quality,
-  match_id % 17 = 0 AS started, CAST(match_id % 30 AS DOUBLE) AS age_hours, CAST(leg * 15 AS BIGINT) AS bucket_n,
-  CAST(market AS DOUBLE) / CAST(10 AS DOUBLE) AS observed, CAST(generated_at AS DATE) AS day,
-  1 / odd AS implied, p - 1 / odd AS edge, p * odd - 1 AS ev FROM observations)"""
-CLIP = "least(greatest({}, 0), 1)"
-SCORE = f"0.55 * p + 0.25 * {CLIP.format('edge')} + 0.15 * {CLIP.format('ev')} + 0.04 * calibrated + 0.01 * quality"
-
-
-def candidates(spark, sf_dir):
-    """Priced forecasts with what the gates read."""
-    rows = frame(spark, sf_dir, "observations")
-    rows = rows.select(
-        "match_id",
-        "leg",
-        "market",
-        "competition",
-        "p",
-        "y",
-        "odd",
-        (F.col("match_id") * 10 + F.col("leg")).alias("id"),
-        F.when(F.col("leg") % 2 == 0, 1.0).otherwise(0.0).alias("calibrated"),
-        ((F.col("match_id") % 11).cast("double") / 10.0).alias("quality"),
-        (F.col("match_id") % 17 == 0).alias("started"),
-        (F.col("match_id") % 30).cast("double").alias("age_hours"),
-        (F.col("leg") * 15).cast("long").alias("bucket_n"),
-        (F.col("market").cast("double") / 10.0).alias("observed"),
-        F.to_date("generated_at").alias("day"),
-    )
-    return ranking.scored(rows)
-
-
-@R.query(f"WITH {CANDIDATES} SELECT id, round(implied, 8) AS implied, round(edge, 8) AS edge, round(ev, 8) AS ev FROM c WHERE odd IS NOT NULL")
+CANDIDATES = """c AS (SELECT *, p - 1 / odd AS edge, p * odd - 1 AS ev,
+  CAST(least(history_home, history_away) >= 5 AND (market <> 'FULL_TIME_TOTAL_CORNERS' OR corners_coverage >= 0.5) AS BOOLEAN) AS good FROM predictions),
+k(category) AS (VALUES ('CORNERS'), ('OVER_25'), ('OVER_35'), ('BTTS_YES'), ('HIGH_CONFIDENCE'), ('SURPRISE'), ('COMPOUND')),
+g AS (SELECT *, category IN ('OVER_25', 'BTTS_YES') AS daily, CASE WHEN odd IS NULL THEN 'ODDS_UNAVAILABLE' WHEN odd <= 1 THEN 'INVALID_ODDS'
+  WHEN availability <> 'AVAILABLE' THEN 'MODEL_UNAVAILABLE'
+  WHEN category IN ('OVER_25', 'BTTS_YES') AND NOT identity_valid THEN 'RESOLUTION_FAILED'
+  WHEN category IN ('OVER_25', 'BTTS_YES') AND NOT kickoff_known THEN 'KICKOFF_UNKNOWN'
+  WHEN category IN ('OVER_25', 'BTTS_YES') AND NOT p BETWEEN 0 AND 1 THEN 'INVALID_PROBABILITY'
+  WHEN category IN ('OVER_25', 'BTTS_YES') AND NOT good THEN 'INSUFFICIENT_HISTORY'
+  WHEN category IN ('OVER_25', 'BTTS_YES') AND (status = 'REJECTED' OR (observed IS NOT NULL AND n >= 50 AND p - observed > 0.20
+    AND p - observed > 3 * sqrt(p * (1 - p) / n))) THEN 'NEGATIVE_MODEL_QUALITY'
+  WHEN match_status = 'finished' THEN 'MATCH_FINISHED' WHEN match_status <> 'scheduled' THEN 'MATCH_STARTED'
+  WHEN category IN ('CORNERS', 'HIGH_CONFIDENCE', 'COMPOUND') AND NOT good THEN 'LOW_DATA_QUALITY'
+  WHEN age_seconds > 86400 THEN 'STALE_ODDS'
+  WHEN category IN ('OVER_25', 'BTTS_YES') AND age_seconds < 0 THEN 'INVALID_ODDS'
+  WHEN category = 'CORNERS' AND NOT (market = 'FULL_TIME_TOTAL_CORNERS' AND selection = 'OVER' AND line IN (7.5, 8.5, 9.5, 10.5, 11.5)) THEN 'ODDS_MARKET_UNAVAILABLE'
+  WHEN category = 'CORNERS' AND p < 0.50 THEN 'LOW_PUBLIC_PROBABILITY'
+  WHEN category = 'OVER_25' AND NOT (market = 'TOTAL_GOALS' AND selection = 'OVER' AND line = 2.5) THEN 'UNSUPPORTED_MARKET'
+  WHEN category = 'OVER_35' AND NOT (market = 'TOTAL_GOALS' AND selection = 'OVER' AND line = 3.5) THEN 'UNSUPPORTED_MARKET'
+  WHEN category = 'OVER_35' AND p < 0.52 THEN 'LOW_PUBLIC_PROBABILITY' WHEN category = 'OVER_35' AND edge <= 0 THEN 'LOW_EDGE'
+  WHEN category = 'BTTS_YES' AND NOT (market = 'BTTS' AND selection = 'YES') THEN 'UNSUPPORTED_MARKET'
+  WHEN category = 'HIGH_CONFIDENCE' AND p < 0.75 THEN 'LOW_PUBLIC_PROBABILITY'
+  WHEN category = 'HIGH_CONFIDENCE' AND status <> 'CALIBRATED_V1' AND NOT (status = 'CALIBRATION_NOT_BENEFICIAL' AND n >= 20) THEN 'CALIBRATION_INSUFFICIENT'
+  WHEN category = 'HIGH_CONFIDENCE' AND n < 20 THEN 'INSUFFICIENT_BUCKET_SAMPLE'
+  WHEN category = 'SURPRISE' AND (odd < 2.0 OR p < 0.42) THEN 'LOW_PUBLIC_PROBABILITY' WHEN category = 'SURPRISE' AND edge < 0.05 THEN 'LOW_EDGE'
+  WHEN category = 'COMPOUND' AND p < 0.72 THEN 'LOW_PUBLIC_PROBABILITY' WHEN category = 'COMPOUND' AND NOT odd BETWEEN 1.10 AND 1.50 THEN 'ODDS_OUTSIDE_COMPOUND_RANGE'
+  WHEN category = 'COMPOUND' AND (status NOT IN ('CALIBRATED_V1', 'CALIBRATION_NOT_BENEFICIAL') OR n < 20) THEN 'CALIBRATION_INSUFFICIENT' END AS reason FROM c, k),
+v AS (SELECT *, CASE WHEN daily THEN p ELSE CAST(0.55 AS DOUBLE) * p + CAST(0.25 AS DOUBLE) * least(greatest(edge, 0), 1) + CAST(0.15 AS DOUBLE) * least(greatest(ev, 0), 1)
+    + CAST(0.04 AS DOUBLE) * CASE WHEN status = 'CALIBRATED_V1' THEN 1.0 ELSE 0.0 END + CAST(0.01 AS DOUBLE) * CASE WHEN good THEN 1.0 ELSE 0.0 END END AS score,
+  CASE WHEN daily THEN CAST(n AS DOUBLE) / (n + 20) * least(greatest(1 - coalesce(abs(p - observed), 0), 0), 1) END AS confidence,
+  CASE WHEN daily THEN least(greatest(CAST(least(history_home, history_away) AS DOUBLE) / 10, 0), 1) END AS history FROM g WHERE reason IS NULL),
+b AS (SELECT *, row_number() OVER (PARTITION BY day, category, match_id ORDER BY CASE WHEN daily THEN p ELSE score END DESC, CASE WHEN daily THEN ev ELSE 0 END DESC,
+  CASE WHEN daily THEN confidence ELSE 0 END DESC, CASE WHEN daily THEN history ELSE 0 END DESC, id) AS of_match FROM v),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY day, category ORDER BY CASE WHEN daily THEN p ELSE score END DESC, CASE WHEN daily THEN ev ELSE 0 END DESC,
+  CASE WHEN daily THEN confidence ELSE 0 END DESC, CASE WHEN daily THEN history ELSE 0 END DESC, match_id, id) AS INTEGER) AS rank FROM b WHERE of_match = 1)"""
+
+
+def predictions(spark, sf_dir):
+    return frame(spark, sf_dir, "predictions")
+
+
+@R.query("SELECT id, round(1 / odd, 8) AS implied, round(p - 1 / odd, 8) AS edge, round(p * odd - 1, 8) AS ev FROM predictions WHERE odd IS NOT NULL")
 def value_analytics(spark, sf_dir):
-    rows = candidates(spark, sf_dir).filter("odd IS NOT NULL")
-    return rows.select("id", *[F.round(c, 8).alias(c) for c in ("implied", "edge", "ev")])
+    rows = predictions(spark, sf_dir).filter("odd IS NOT NULL")
+    return rows.select("id", *[F.round(c, 8).alias(k) for k, c in E.value_columns(F.col("p"), F.col("odd")).items()])
 
 
-@R.query(f"WITH {CANDIDATES} SELECT id, round({SCORE}, 8) AS score FROM c WHERE odd IS NOT NULL")
+@R.query(f"WITH {CANDIDATES} SELECT category, id, round(score, 8) AS score, round(confidence, 8) AS confidence, round(history, 8) AS history FROM v")
 def candidate_scores(spark, sf_dir):
-    return candidates(spark, sf_dir).filter("odd IS NOT NULL").select("id", F.round("score", 8).alias("score"))
-
-
-def _gates(own: str) -> str:
-    return f"""CASE WHEN odd IS NULL THEN 'ODDS_UNAVAILABLE' WHEN NOT odd > 1 THEN 'INVALID_ODDS' WHEN p IS NULL THEN 'MODEL_UNAVAILABLE'
-  WHEN NOT p BETWEEN 0 AND 1 THEN 'INVALID_PROBABILITY' WHEN started THEN 'MATCH_STARTED' WHEN age_hours > 24 THEN 'STALE_ODDS'
-  WHEN bucket_n >= 50 AND p - observed > 0.20 AND p - observed > 3 * sqrt(p * (1 - p) / bucket_n) THEN 'SEVERE_OVERCONFIDENCE' {own} END"""
+    """Score, confidence and history of every qualified candidate."""
+    names = ranking.CATEGORIES
+    gates = F.array(*[F.struct(F.lit(k).alias("category"), ranking.rejection(k).alias("reason")) for k in names])
+    rows = predictions(spark, sf_dir).select("*", F.explode(gates).alias("g")).filter("g.reason IS NULL").select("*", "g.category")
+    return ranking.scored(rows).select("category", "id", *[F.round(c, 8).alias(c) for c in ("score", "confidence", "history")])
 
 
 @R.query(f"""
-WITH {CANDIDATES}, r AS (
-  SELECT 'HIGH_CONFIDENCE' AS gate, {_gates("WHEN bucket_n < 20 THEN 'LOW_SAMPLE' WHEN p < 0.75 THEN 'LOW_PROBABILITY'")} AS reason FROM c
-  UNION ALL SELECT 'OVER_35', {_gates("WHEN p < 0.52 THEN 'LOW_PROBABILITY' WHEN edge <= 0 THEN 'NO_EDGE'")} FROM c
-  UNION ALL SELECT 'SURPRISE', {_gates("WHEN odd < 2 THEN 'ODDS_TOO_LOW' WHEN p < 0.42 THEN 'LOW_PROBABILITY' WHEN edge < 0.05 THEN 'LOW_EDGE'")} FROM c
-  UNION ALL SELECT 'COMPOUND', {_gates("WHEN bucket_n < 20 THEN 'LOW_SAMPLE' WHEN p < 0.72 THEN 'LOW_PROBABILITY' WHEN NOT odd BETWEEN 1.10 AND 1.50 THEN 'ODDS_OUT_OF_RANGE'")} FROM c)
-SELECT gate, coalesce(reason, 'QUALIFIED') AS reason, count(*) AS n FROM r GROUP BY 1, 2""")
+WITH {CANDIDATES}, x AS (SELECT category, reason FROM g WHERE reason IS NOT NULL UNION ALL SELECT category, CASE WHEN of_match > 1 THEN 'CORRELATION_REDUCTION' ELSE 'QUALIFIED' END FROM b)
+SELECT category, reason, count(*) AS n FROM x GROUP BY 1, 2""")
 def candidate_rejections(spark, sf_dir):
-    """Rows per category and first reason; one pass, each row once per category."""
-    names = ["HIGH_CONFIDENCE", "OVER_35", "SURPRISE", "COMPOUND"]
-    gates = [F.struct(F.lit(n).alias("gate"), F.coalesce(ranking.rejection(n), F.lit("QUALIFIED")).alias("reason")) for n in names]
-    return candidates(spark, sf_dir).select(F.explode(F.array(*gates)).alias("g")).groupBy("g.gate", "g.reason").agg(F.count("*").alias("n"))
+    """Rows per category and first reason, over the whole run."""
+    run = ranking.candidate_run(predictions(spark, sf_dir))
+    return run.groupBy("category", F.coalesce("reason", F.lit("QUALIFIED")).alias("reason")).agg(F.count("*").alias("n"))
+
+
+@R.query(f"WITH {CANDIDATES} SELECT day, category, match_id, id, market, selection, line, round(score, 8) AS score, rank FROM r")
+def candidate_run(spark, sf_dir):
+    """The ranked candidates of every day and category."""
+    run = ranking.candidate_run(predictions(spark, sf_dir)).filter("rank IS NOT NULL")
+    return run.select("day", "category", "match_id", "id", "market", "selection", "line", F.round("score", 8).alias("score"), "rank")
+
+
+@R.query(f"WITH {CANDIDATES} SELECT count(DISTINCT (match_id, market, selection, line)) AS selections, count(*) AS candidates FROM r")
+def distinct_selections(spark, sf_dir):
+    """Selections that some category holds, each once, whatever the number of categories."""
+    run = ranking.candidate_run(predictions(spark, sf_dir)).filter("rank IS NOT NULL")
+    one = F.countDistinct(F.struct("match_id", "market", "selection", "line"))
+    return run.agg(one.alias("selections"), F.count("*").alias("candidates"))
 
 
 @R.query(f"""
-WITH {CANDIDATES}, r AS (SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY p DESC, id) AS rank, count(*) OVER (PARTITION BY day) AS n
-  FROM c WHERE odd IS NOT NULL) SELECT day, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 7 AND n >= 5""")
+WITH {CANDIDATES}, o AS (SELECT *, CASE category WHEN 'CORNERS' THEN 'DAILY_CORNERS' WHEN 'OVER_25' THEN 'DAILY_OVER_25' WHEN 'OVER_35' THEN 'DAILY_OVER_35'
+  WHEN 'BTTS_YES' THEN 'DAILY_BTTS' WHEN 'HIGH_CONFIDENCE' THEN 'DAILY_HIGH_CONFIDENCE' WHEN 'SURPRISE' THEN 'DAILY_SURPRISE_SYSTEM' END AS kind FROM r WHERE category <> 'COMPOUND'),
+t AS (SELECT *, row_number() OVER w AS nth, coalesce(sum(ln(odd)) OVER (PARTITION BY day, kind ORDER BY CASE WHEN kind = 'DAILY_HIGH_CONFIDENCE' THEN -p ELSE rank END,
+    CASE WHEN kind = 'DAILY_HIGH_CONFIDENCE' THEN id ELSE 0 END ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o
+  WINDOW w AS (PARTITION BY day, kind ORDER BY CASE WHEN kind = 'DAILY_HIGH_CONFIDENCE' THEN -p ELSE rank END, CASE WHEN kind = 'DAILY_HIGH_CONFIDENCE' THEN id ELSE 0 END)),
+m AS (SELECT day, kind, count(*) AS legs, string_agg(CAST(id AS VARCHAR), ',' ORDER BY nth) AS ids, round(product(odd), 6) AS odd FROM t
+  WHERE CASE kind WHEN 'DAILY_CORNERS' THEN nth <= 7 WHEN 'DAILY_BTTS' THEN nth <= 7 WHEN 'DAILY_SURPRISE_SYSTEM' THEN nth <= 7
+    WHEN 'DAILY_HIGH_CONFIDENCE' THEN nth <= 5 OR before < ln(3.0) - 1e-9 ELSE nth <= 5 END GROUP BY 1, 2
+  HAVING count(*) >= CASE kind WHEN 'DAILY_OVER_25' THEN 3 WHEN 'DAILY_OVER_35' THEN 3 WHEN 'DAILY_SURPRISE_SYSTEM' THEN 6 ELSE 5 END),
+d AS (SELECT day, kind FROM (SELECT DISTINCT day FROM predictions), (VALUES ('DAILY_CORNERS'), ('DAILY_OVER_25'), ('DAILY_OVER_35'), ('DAILY_BTTS'), ('DAILY_HIGH_CONFIDENCE'),
+  ('DAILY_SURPRISE_SYSTEM')) z(kind))
+SELECT day, kind, CASE WHEN legs IS NULL THEN 'UNAVAILABLE' ELSE 'GENERATED' END AS state, CASE WHEN legs IS NOT NULL THEN NULL
+  WHEN kind = 'DAILY_SURPRISE_SYSTEM' THEN 'INSUFFICIENT_QUALIFIED_SURPRISE_SELECTIONS' ELSE 'INSUFFICIENT_QUALIFIED_CANDIDATES' END AS reason, legs, ids, odd,
+  CASE WHEN legs IS NOT NULL THEN kind = 'DAILY_HIGH_CONFIDENCE' AND odd >= 3.0 END AS target_reached FROM d LEFT JOIN m USING (day, kind)""")
+def daily_coupons(spark, sf_dir):
+    """The coupons of every day from its candidates, and why a kind has none."""
+    return settlement.daily_coupons(ranking.candidate_run(predictions(spark, sf_dir)))
+
+
+@R.query("""
+WITH r AS (SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY p DESC, id) AS rank, count(*) OVER (PARTITION BY day) AS n
+  FROM predictions WHERE odd IS NOT NULL) SELECT day, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 7 AND n >= 5""")
 def daily_topk(spark, sf_dir):
-    rows = candidates(spark, sf_dir).filter("odd IS NOT NULL").select("day", "id", "p")
+    rows = predictions(spark, sf_dir).filter("odd IS NOT NULL").select("day", "id", "p")
     return ranking.top_k(rows, ["day"], [F.desc("p"), F.col("id")], 7, 5).select("day", "id", "rank")
 
 
-@R.query(f"""
-WITH {CANDIDATES} SELECT market, match_id, id, CASE WHEN row_number() OVER (PARTITION BY market, match_id
-  ORDER BY p DESC, id) > 1 THEN 'CORRELATION_REDUCTION' END AS reason FROM c WHERE odd IS NOT NULL""")
+@R.query("""
+SELECT market, match_id, id, CASE WHEN row_number() OVER (PARTITION BY market, match_id
+  ORDER BY p DESC, id, odd) > 1 THEN 'CORRELATION_REDUCTION' END AS reason FROM predictions WHERE odd IS NOT NULL""")
 def correlation_reduction(spark, sf_dir):
-    rows = candidates(spark, sf_dir).filter("odd IS NOT NULL").select("market", "match_id", "id", "p")
-    best, rest = ranking.best_per_match(rows, ["market"], "match_id", [F.desc("p"), F.col("id")])
-    return best.withColumn("reason", F.lit(None).cast("string")).unionByName(rest).drop("p")
+    rows = predictions(spark, sf_dir).filter("odd IS NOT NULL").select("market", "match_id", "id", "p", "odd")
+    best, rest = ranking.best_per_match(rows, ["market"], "match_id", [F.desc("p"), F.col("id"), F.col("odd")])
+    return best.withColumn("reason", F.lit(None).cast("string")).unionByName(rest).drop("p", "odd")
 
 
-@R.query(f"""
-WITH {CANDIDATES}, b AS (SELECT * FROM c WHERE odd IS NOT NULL QUALIFY row_number() OVER (PARTITION BY day, match_id ORDER BY p DESC, id) = 1),
+@R.query("""
+WITH c AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CAST(l_shipdate AS DATE) AS day, l_orderkey AS match_id, l_orderkey * 10 + l_linenumber AS id,
+    CAST((l_partkey * 37 + l_orderkey * 13 + l_linenumber * 101) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS p,
+    CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(1 AS DOUBLE) + l_quantity / CAST(20 AS DOUBLE) END AS odd FROM lineitem),
+b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY day, match_id ORDER BY p DESC, id, odd, y) = 1),
 t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY day ORDER BY p DESC, id) <= 5)
-SELECT day, count(*) AS picks, CASE WHEN count(*) < 5 THEN 'INSUFFICIENT' WHEN min(y) = 1 THEN 'WON' ELSE 'LOST' END AS state FROM t GROUP BY day""")
+SELECT day, count(*) AS picks, CASE WHEN count(*) < 5 THEN 'INSUFFICIENT' WHEN count(odd) < 5 THEN 'PRICE_MISSING' WHEN min(y) = 1 THEN 'WON' ELSE 'LOST' END AS state,
+  round(CASE WHEN count(*) = 5 AND count(odd) = 5 THEN CASE WHEN min(y) = 1 THEN product(odd) - 1 ELSE -1 END END, 6) AS profit FROM t GROUP BY day""")
 def five_pick_day(spark, sf_dir):
-    rows = candidates(spark, sf_dir).filter("odd IS NOT NULL").select("day", "match_id", "id", "p", "y")
-    best, _ = ranking.best_per_match(rows, ["day"], "match_id", [F.desc("p"), F.col("id")])
+    """The five best picks of each day on distinct matches, settled as one coupon where all have a price."""
+    o = frame(spark, sf_dir, "observations")
+    rows = o.select(F.to_date("generated_at").alias("day"), "match_id", (F.col("match_id") * 10 + F.col("leg")).alias("id"), "p", "y", "odd")
+    best, _ = ranking.best_per_match(rows, ["day"], "match_id", [F.desc("p"), F.col("id"), F.asc_nulls_last("odd"), F.col("y")])
     picks = ranking.top_k(best, ["day"], [F.desc("p"), F.col("id")], 5)
-    state = F.when(F.count("*") < 5, "INSUFFICIENT").when(F.min("y") == 1, "WON").otherwise("LOST")
-    return picks.groupBy("day").agg(F.count("*").alias("picks"), state.alias("state"))
+    full, priced, won = F.count("*") == 5, F.count("odd") == 5, F.min("y") == 1
+    state = F.when(~full, "INSUFFICIENT").when(~priced, "PRICE_MISSING").when(won, "WON").otherwise("LOST")
+    profit = F.when(full & priced, F.when(won, F.product("odd") - 1).otherwise(-1.0))
+    return picks.groupBy("day").agg(F.count("*").alias("picks"), state.alias("state"), F.round(profit, 6).alias("profit"))
 
 
 @R.query("""
@@ -124,40 +168,92 @@ def settle_accumulator(spark, sf_dir):
 
 COLUMNS = """l AS (SELECT coupon, odd, state, row_number() OVER (PARTITION BY coupon ORDER BY leg, odd, state) - 1 AS i,
   count(*) OVER (PARTITION BY coupon) AS n FROM legs),
-m AS (SELECT DISTINCT coupon, unnest(range(1, CAST(pow(2, n) AS BIGINT))) AS mask FROM l WHERE n <= 7),
-x AS (SELECT m.coupon, mask AS col, count(*) AS size, round(product(CASE WHEN state = 'VOID' THEN CAST(1 AS DOUBLE) ELSE odd END), 8) AS odd,
+m AS (SELECT DISTINCT coupon, n, unnest(range(1, CAST(pow(2, n) AS BIGINT))) AS mask FROM l WHERE n IN (6, 7)),
+x AS (SELECT m.coupon, CAST(mask AS INTEGER) AS col, CAST(count(*) AS INTEGER) AS size, round(product(CASE WHEN state = 'VOID' THEN CAST(1 AS DOUBLE) ELSE odd END), 8) AS odd,
   CASE WHEN bool_or(state = 'LOST') THEN 'LOST' WHEN bool_and(state = 'VOID') THEN 'VOID' ELSE 'WON' END AS state
-  FROM m JOIN l ON l.coupon = m.coupon AND (mask >> i) & 1 = 1 GROUP BY 1, 2 HAVING count(*) IN (2, 3))"""
+  FROM m JOIN l ON l.coupon = m.coupon AND (mask >> i) & 1 = 1 GROUP BY 1, 2 HAVING count(*) >= 5
+  UNION ALL SELECT DISTINCT coupon, CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), 'INVALID_SYSTEM_SELECTION_COUNT' FROM l WHERE n NOT IN (6, 7))"""
 
 
-@R.query(f"WITH {COLUMNS} SELECT coupon, CAST(col AS INTEGER) AS \"column\", CAST(size AS INTEGER) AS size, odd, state FROM x")
+@R.query(f"WITH {COLUMNS} SELECT coupon, col AS \"column\", size, odd, state FROM x")
 def system_columns(spark, sf_dir):
-    return settlement.system_columns(frame(spark, sf_dir, "legs"), [2, 3])
+    return settlement.system_columns(frame(spark, sf_dir, "legs"))
 
 
-@R.query(f"""
-WITH {COLUMNS} SELECT coupon, count(*) AS columns, count(*) FILTER (state = 'WON') AS won, count(*) * 100 AS stake_cents,
-  CAST(sum(CASE state WHEN 'WON' THEN round(100 * odd) WHEN 'VOID' THEN 100 ELSE 0 END) AS BIGINT) AS payout_cents FROM x GROUP BY coupon""")
+SYSTEM = f"""{COLUMNS}, y AS (SELECT coupon, count(col) AS columns, count(*) FILTER (state = 'WON') AS won, count(*) FILTER (state = 'LOST') AS lost,
+  count(*) FILTER (state = 'VOID') AS void, nullif(count(col) * 100, 0) AS stake_cents,
+  CAST(sum(CASE state WHEN 'WON' THEN round(100 * odd) WHEN 'VOID' THEN 100 WHEN 'LOST' THEN 0 END) AS BIGINT) AS payout_cents,
+  CAST(sum(round(100 * odd)) AS BIGINT) AS most_cents, max(CASE WHEN col IS NULL THEN state END) AS reason FROM x GROUP BY coupon)"""
+
+
+@R.query(f"WITH {SYSTEM} SELECT * FROM y")
 def settle_system(spark, sf_dir):
-    legs = frame(spark, sf_dir, "legs")
-    return settlement.settle_systems(settlement.system_columns(legs, [2, 3]), 100)
+    return settlement.settle_systems(settlement.system_columns(frame(spark, sf_dir, "legs")), 100)
 
 
-@R.query("""
-WITH p AS (SELECT a.coupon, a.leg AS first, b.leg AS second, round(a.odd * b.odd, 8) AS odd FROM legs a JOIN legs b
-  ON a.coupon = b.coupon AND a.leg < b.leg AND a.match_id <> b.match_id)
-SELECT * FROM p WHERE odd BETWEEN 1.5 - 1e-9 AND 1.8 + 1e-9
-QUALIFY row_number() OVER (PARTITION BY coupon ORDER BY odd DESC, first, second) = 1""")
+@R.query(f"""
+WITH {SYSTEM} SELECT count(*) AS systems, count(stake_cents) AS settled, CAST(sum(columns) AS BIGINT) AS columns, CAST(sum(won) AS BIGINT) AS won, CAST(sum(lost) AS BIGINT) AS lost,
+  CAST(sum(void) AS BIGINT) AS void, CAST(sum(stake_cents) AS BIGINT) AS stake_cents, CAST(sum(payout_cents) AS BIGINT) AS gross_cents,
+  CAST(sum(payout_cents) - sum(stake_cents) AS BIGINT) AS profit_cents, round(CAST(sum(payout_cents) - sum(stake_cents) AS DOUBLE) / sum(stake_cents), 8) AS roi FROM y""")
+def system_summary(spark, sf_dir):
+    return settlement.system_summary(settle_system(spark, sf_dir))
+
+
+COMBINATIONS = """o AS (SELECT * FROM legs WHERE odd > 1 QUALIFY row_number() OVER (PARTITION BY coupon, leg ORDER BY odd, match_id, score) = 1),
+p AS (SELECT a.coupon, 2 AS size, [a.leg, b.leg] AS ids, a.odd * b.odd AS odd, (a.score + b.score) / 2 AS quality FROM o a JOIN o b
+  ON a.coupon = b.coupon AND a.leg < b.leg AND a.match_id <> b.match_id),
+t AS (SELECT a.coupon, 3 AS size, [a.leg, b.leg, c.leg] AS ids, a.odd * b.odd * c.odd AS odd, (a.score + b.score + c.score) / 3 AS quality FROM o a JOIN o b
+  ON a.coupon = b.coupon AND a.leg < b.leg AND a.match_id <> b.match_id JOIN o c ON c.coupon = a.coupon AND c.leg > b.leg AND c.match_id NOT IN (a.match_id, b.match_id)
+  WHERE a.coupon NOT IN (SELECT coupon FROM p WHERE abs(odd - 1.8) < 1e-9)), f AS (SELECT * FROM p UNION ALL SELECT * FROM t)"""
+
+
+@R.query(f"""
+WITH {COMBINATIONS} SELECT coupon, size, array_to_string(ids, ',') AS ids, round(odd, 8) AS odd, round(quality, 8) AS quality FROM f WHERE odd BETWEEN 1.5 - 1e-9 AND 1.8 + 1e-9
+QUALIFY row_number() OVER (PARTITION BY coupon ORDER BY CASE WHEN abs(odd - 1.8) < 1e-9 THEN 2 WHEN odd >= 1.75 THEN 1 ELSE 0 END DESC, quality DESC, odd DESC, size, ids) = 1""")
 def best_pair(spark, sf_dir):
-    return settlement.best_combinations(frame(spark, sf_dir, "legs"), 1.5, 1.8, 256)
+    """The best pair or triple of each pool."""
+    out = settlement.best_combination(settlement.combinations(frame(spark, sf_dir, "legs")))
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids")
+    return out.select("coupon", "size", joined, F.round("odd", 8).alias("odd"), F.round("quality", 8).alias("quality"))
+
+
+@R.query(f"""
+WITH {COMBINATIONS} SELECT coupon, CAST(target AS DOUBLE) AS target, size, array_to_string(ids, ',') AS ids, round(odd, 8) AS odd FROM f, (VALUES (1.5), (1.6), (1.7), (1.8)) z(target)
+QUALIFY row_number() OVER (PARTITION BY coupon, target ORDER BY abs(odd - CAST(target AS DOUBLE)), size, ids) = 1""")
+def nearest_target(spark, sf_dir):
+    out = settlement.nearest_targets(settlement.combinations(frame(spark, sf_dir, "legs")))
+    return out.select("coupon", "target", "size", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"), F.round("odd", 8).alias("odd"))
+
+
+@R.query("""
+WITH l AS (SELECT *, row_number() OVER (PARTITION BY coupon ORDER BY leg, odd, match_id, line NULLS FIRST) AS nth FROM legs),
+a AS (SELECT *, row_number() OVER w AS again, first_value(market) OVER w AS m1, first_value(line) OVER w AS l1 FROM l WINDOW w AS (PARTITION BY coupon, match_id ORDER BY nth)),
+c AS (SELECT coupon, kind, count(*) AS legs, product(odd) AS odd, min(CASE WHEN again > 1 THEN nth END) AS bad FROM a GROUP BY 1, 2),
+e AS (SELECT c.*, CASE WHEN a.market = 'TOTAL_GOALS' AND a.m1 = 'TOTAL_GOALS' AND a.line IS DISTINCT FROM a.l1 THEN 'NESTED_TOTAL_CONFLICT'
+  WHEN (a.market = 'BTTS' AND a.m1 = 'TOTAL_GOALS') OR (a.market = 'TOTAL_GOALS' AND a.m1 = 'BTTS') THEN 'BTTS_GOALS_CONFLICT'
+  WHEN a.market = 'FULL_TIME_TOTAL_CORNERS' AND a.m1 = a.market AND a.line IS DISTINCT FROM a.l1 THEN 'NESTED_CORNERS_CONFLICT' ELSE 'SAME_MATCH_CONFLICT' END AS conflict
+  FROM c LEFT JOIN a ON a.coupon = c.coupon AND a.nth = c.bad)
+SELECT coupon, kind, legs, CASE WHEN bad IS NOT NULL THEN conflict WHEN kind = 'DAILY_SURPRISE_SYSTEM' AND legs NOT IN (6, 7) THEN 'INVALID_SYSTEM_SELECTION_COUNT'
+  WHEN kind = 'DAILY_COMPOUND' AND legs NOT IN (2, 3) THEN 'INVALID_COMPOUND_SELECTION_COUNT' WHEN kind = 'DAILY_COMPOUND' AND odd + 1e-9 < 1.10 THEN 'COMPOUND_ODDS_BELOW_MINIMUM'
+  WHEN kind = 'DAILY_COMPOUND' AND odd - 1e-9 > 1.50 THEN 'COMPOUND_ODDS_ABOVE_MAXIMUM' END AS error FROM e""")
+def selection_set_validation(spark, sf_dir):
+    return settlement.validate_selections(frame(spark, sf_dir, "legs"))
+
+
+@R.query("""
+SELECT coupon, kind, count(DISTINCT match_id) = count(*) AND min(odd) > 1 AND CASE kind WHEN 'DAILY_SURPRISE_SYSTEM' THEN count(*) IN (6, 7)
+  WHEN 'DAILY_COMPOUND' THEN count(*) IN (2, 3) AND product(odd) BETWEEN 1.5 - 1e-9 AND 1.8 + 1e-9 WHEN 'DAILY_OVER_25' THEN count(*) BETWEEN 3 AND 5 ELSE count(*) >= 5 END AS compliant
+FROM legs GROUP BY 1, 2""")
+def rule_compliance(spark, sf_dir):
+    return settlement.rule_compliant(frame(spark, sf_dir, "legs"))
 
 
 @R.query("""
 WITH b AS (SELECT coupon, leg, CAST(row_number() OVER (PARTITION BY coupon ORDER BY leg, match_id, odd) AS INTEGER) AS nth,
   round(coalesce(exp(sum(ln(odd)) OVER (PARTITION BY coupon ORDER BY leg, match_id, odd ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1), 6) AS before
-  FROM legs) SELECT coupon, leg, nth, before FROM b WHERE before < 3.0 OR nth <= 2""")
+  FROM legs) SELECT coupon, leg, nth, before FROM b WHERE before < 3.0 OR nth <= 5""")
 def running_product(spark, sf_dir):
-    return settlement.running_product(frame(spark, sf_dir, "legs"), 3.0, 2, ["leg", "match_id", "odd"])
+    return settlement.running_product(frame(spark, sf_dir, "legs"), 3.0, 5, ["leg", "match_id", "odd"])
 
 
 def _summary(by: str, extra: str = "") -> str:
@@ -166,7 +262,8 @@ WITH {SETTLED} SELECT {by}, count(*) AS coupons, count(*) FILTER (result = 'WON'
   round(CAST(count(*) FILTER (result = 'WON') AS DOUBLE) / nullif(count(*) FILTER (result IN ('WON', 'LOST')), 0), 8) AS hit_rate,
   count(*) * 1000 AS stake_cents, CAST(sum(payout_cents) AS BIGINT) AS gross_cents,
   CAST(sum(payout_cents) AS BIGINT) - count(*) * 1000 AS profit_cents,
-  round(CAST(CAST(sum(payout_cents) AS BIGINT) - count(*) * 1000 AS DOUBLE) / (count(*) * 1000), 8) AS roi FROM w GROUP BY 1"""
+  round(CAST(CAST(sum(payout_cents) AS BIGINT) - count(*) * 1000 AS DOUBLE) / (count(*) * 1000), 8) AS roi,
+  CAST(1000 AS DOUBLE) AS average_stake_cents, round(avg(odd), 8) AS average_odd FROM w GROUP BY 1"""
 
 
 @R.query(_summary("legs"))
@@ -174,7 +271,8 @@ def coupon_summary(spark, sf_dir):
     return settlement.coupon_summary(settle_accumulator(spark, sf_dir), ["legs"], 1000)
 
 
-@R.query(_summary(E.ladder_sql("odd", E.COUPON_BANDS) + " AS band"))
+@R.query(_summary("""CASE WHEN odd < 1.5 THEN '1.00-1.49' WHEN odd < 2 THEN '1.50-1.99' WHEN odd < 3 THEN '2.00-2.99' WHEN odd < 5 THEN '3.00-4.99'
+  WHEN odd < 10 THEN '5.00-9.99' ELSE '10.00+' END AS band"""))
 def coupon_by_band(spark, sf_dir):
     rows = settle_accumulator(spark, sf_dir)
     return settlement.coupon_summary(rows, [E.ladder(F.col("odd"), E.COUPON_BANDS).alias("band")], 1000)
@@ -216,6 +314,45 @@ def series_fold(spark, sf_dir):
     return settlement.series_fold(frame(spark, sf_dir, "outcomes"), "series", ["id"])
 
 
+@R.query("""
+WITH x AS (SELECT id, hg, ag, CASE WHEN hc IS NOT NULL AND ac IS NOT NULL THEN hc + ac END AS corners, hc, ac, hy + ay AS cards,
+    CASE WHEN hg > ag THEN 'HOME' WHEN hg = ag THEN 'DRAW' ELSE 'AWAY' END AS result FROM matches WHERE finished),
+s(market, selection, line) AS (VALUES ('MATCH_RESULT', 'HOME', NULL), ('BTTS', 'NO', NULL), ('TOTAL_GOALS', 'OVER', 2.0), ('TOTAL_GOALS', 'UNDER', 2.5), ('TOTAL_GOALS', 'OVER', 2.75),
+  ('FULL_TIME_TOTAL_CORNERS', 'UNDER', 9.0), ('CORNERS_TOTAL', 'OVER', NULL), ('MATCH_RESULT', 'NONE', NULL), ('ODD_EVEN', 'ODD', NULL)),
+r AS (SELECT x.*, market, selection, CAST(line AS DOUBLE) AS line, CASE WHEN market = 'ODD_EVEN' THEN 'UNSUPPORTED_MARKET' WHEN selection = 'NONE' THEN 'UNSUPPORTED_SELECTION'
+  WHEN market IN ('FULL_TIME_TOTAL_CORNERS', 'CORNERS_TOTAL') AND corners IS NULL THEN 'FINAL_CORNERS_UNAVAILABLE' WHEN market = 'CORNERS_TOTAL' THEN 'SELECTION_LINE_MISSING'
+  WHEN line = 2.75 THEN 'UNSUPPORTED_ASIAN_LINE' END AS reason FROM x, s)
+SELECT id, market, selection, line, reason, CASE WHEN reason IS NOT NULL THEN NULL WHEN market = 'TOTAL_GOALS' AND hg + ag = line THEN 'VOID'
+  WHEN market = 'FULL_TIME_TOTAL_CORNERS' AND corners = line THEN 'VOID' WHEN CASE WHEN market = 'MATCH_RESULT' THEN selection = result WHEN market = 'BTTS' THEN hg = 0 OR ag = 0
+  WHEN market = 'FULL_TIME_TOTAL_CORNERS' THEN corners < line WHEN selection = 'OVER' THEN hg + ag > line ELSE hg + ag < line END THEN 'WON' ELSE 'LOST' END AS state FROM r""")
+def leg_settlement(spark, sf_dir):
+    """Legs of every kind against the final results: a state, or the reason why there is none."""
+    kinds = [("MATCH_RESULT", "HOME", None), ("BTTS", "NO", None), ("TOTAL_GOALS", "OVER", 2.0), ("TOTAL_GOALS", "UNDER", 2.5), ("TOTAL_GOALS", "OVER", 2.75),
+             ("FULL_TIME_TOTAL_CORNERS", "UNDER", 9.0), ("CORNERS_TOTAL", "OVER", None), ("MATCH_RESULT", "NONE", None), ("ODD_EVEN", "ODD", None)]
+    legs = F.array(*[F.struct(F.lit(m).alias("market"), F.lit(x).alias("selection"), F.lit(n).cast("double").alias("line")) for m, x, n in kinds])
+    rows = frame(spark, sf_dir, "matches").filter("finished").select("id", "hg", "ag", (F.col("hc") + F.col("ac")).alias("corners"), F.explode(legs).alias("l")).select("*", "l.*")
+    state, reason = E.leg_outcome(*[F.col(c) for c in ("market", "selection", "line", "hg", "ag", "corners")])
+    return rows.select("id", "market", "selection", "line", reason.alias("reason"), state.alias("state"))
+
+
+@R.query("""
+WITH s(market, selection, line) AS (VALUES ('MATCH_RESULT', 'DRAW', NULL), ('BTTS', 'YES', NULL), ('TOTAL_GOALS', 'OVER', 3.5), ('TOTAL_GOALS', 'OVER', 4.5), ('HOME_TEAM_TOTAL_GOALS', 'OVER', 1.5),
+  ('AWAY_TEAM_TOTAL_GOALS', 'UNDER', 0.5), ('FULL_TIME_TOTAL_CORNERS', 'UNDER', 9.5), ('FULL_TIME_TOTAL_CARDS', 'OVER', 4.5), ('HOME_TEAM_CORNERS', 'OVER', 4.5), ('AWAY_TEAM_CORNERS', 'UNDER', 4.5), ('OTHER', 'X', 1.5))
+SELECT id, market, selection, CAST(line AS DOUBLE) AS line, CASE market WHEN 'MATCH_RESULT' THEN hg = ag WHEN 'BTTS' THEN hg > 0 AND ag > 0 WHEN 'TOTAL_GOALS' THEN CASE WHEN line = 3.5 THEN hg + ag > 3.5 END
+  WHEN 'HOME_TEAM_TOTAL_GOALS' THEN hg > 1.5 WHEN 'AWAY_TEAM_TOTAL_GOALS' THEN ag <= 0.5 WHEN 'FULL_TIME_TOTAL_CORNERS' THEN hc + ac <= 9.5 WHEN 'FULL_TIME_TOTAL_CARDS' THEN hy + ay > 4.5
+  WHEN 'HOME_TEAM_CORNERS' THEN hc > 4.5 WHEN 'AWAY_TEAM_CORNERS' THEN ac <= 4.5 END AS hit FROM matches, s WHERE finished""")
+def prediction_outcomes(spark, sf_dir):
+    """Whether each kind of prediction came true; null where that is not known."""
+    kinds = [("MATCH_RESULT", "DRAW", None), ("BTTS", "YES", None), ("TOTAL_GOALS", "OVER", 3.5), ("TOTAL_GOALS", "OVER", 4.5), ("HOME_TEAM_TOTAL_GOALS", "OVER", 1.5),
+             ("AWAY_TEAM_TOTAL_GOALS", "UNDER", 0.5), ("FULL_TIME_TOTAL_CORNERS", "UNDER", 9.5), ("FULL_TIME_TOTAL_CARDS", "OVER", 4.5), ("HOME_TEAM_CORNERS", "OVER", 4.5),
+             ("AWAY_TEAM_CORNERS", "UNDER", 4.5), ("OTHER", "X", 1.5)]
+    made = F.array(*[F.struct(F.lit(m).alias("market"), F.lit(x).alias("selection"), F.lit(n).cast("double").alias("line")) for m, x, n in kinds])
+    rows = frame(spark, sf_dir, "matches").filter("finished").select("*", F.explode(made).alias("l")).select("*", "l.*")
+    label = {"hg": F.col("hg"), "ag": F.col("ag"), "corners": F.col("hc") + F.col("ac"), "home_corners": F.col("hc"), "away_corners": F.col("ac"), "cards": F.col("hy") + F.col("ay")}
+    hit = E.prediction_outcome(F.col("market"), F.col("selection"), F.col("line"), label)
+    return rows.select("id", "market", "selection", "line", hit.alias("hit"))
+
+
 def _leg_sql(rule: str) -> str:
     under = "hg + ag <= line" if rule == "backtest" else "hg + ag < line"
     plain = f"CASE WHEN CASE WHEN side = 'OVER' THEN hg + ag > line ELSE {under} END THEN 'WON' ELSE 'LOST' END"

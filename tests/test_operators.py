@@ -24,7 +24,8 @@ def test_history_is_strictly_earlier(spark):
     out = {r["id"]: r for r in form.trailing_form(matches(spark, rows), 5).filter("team = 1").collect()}
     assert [out[i]["n"] for i in range(8)] == [0, 0, 2, 2, 4, 4, 5, 5]
     assert out[2]["ppm"] is None and out[4]["ppm"] == 3.0
-    assert out[6]["corners_for"] is None  # a missing side leaves no statistic, but takes a place
+    corners = {r["id"]: r for r in form.trailing_statistics(matches(spark, rows), "corners", 5).filter("team = 1").collect()}
+    assert corners[6]["matches"] == 0 and corners[6]["corners_for"] is None  # a missing side leaves no statistic, but takes a place
 
 
 def test_elo_batches_read_ratings_from_before(spark):
