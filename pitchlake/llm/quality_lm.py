@@ -43,9 +43,9 @@ LEAST = 0.05
 STEP = 0.001
 HELD_OUT = 5
 START, END, REPEATED = 0, 1, 2
-#: Tokens of a chunk of documents, tokens counted before they are sent, and tokens of all documents for each shard.
-CHUNK = 1 << 21
-FLUSH = 1 << 21
+#: Tokens of a chunk of documents, bigrams that a task gathers before it sends them, and tokens of all documents for each shard.
+CHUNK = 1 << 20
+FLUSH = 1 << 20
 PER_SHARD = 1 << 22
 LEAST_SHARDS = 12
 KEY_BITS = 48
@@ -167,7 +167,8 @@ def encode(docs: DataFrame) -> DataFrame:
                 kept.append(np.array(numbers(hashes, text.as_py() or ""), dtype=np.int64))
                 size += len(kept[-1])
                 if size >= CHUNK or n == batch.num_rows - 1:
-                    parts.append([batch.column(i).slice(start, n + 1 - start) for i in (0, 1, 3)])
+                    # Copies: a slice would keep the batch's texts.
+                    parts.append([pa.array(c.slice(start, n + 1 - start).to_pylist(), c.type) for c in (batch.column(i) for i in (0, 1, 3))])
                     start = n + 1
                 if size >= CHUNK:
                     yield chunk()
@@ -232,6 +233,20 @@ def train(chunks: DataFrame, shards: int) -> Model:
     """The model of the documents of ``chunks`` whose places are listed in its column ``trusted``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent() -> pa.RecordBatch:
+            b, w, n = (np.concatenate(x) for x in zip(*kept))
+            key = pair_keys(b, w)
+            order = np.lexsort((w, b, key))
+            first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(key)])
+            n, order = np.add.reduceat(n[order], first), order[first]
+            b, w, shard = b[order], w[order], shard_of(key[order], shards)
+            order = np.lexsort((w, b, shard))
+            b, w, n, shard = b[order], w[order], n[order], shard[order]
+            cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
+            packs = [packed(b[x:y], w[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:])]
+            return pa.RecordBatch.from_pydict({"shard": shard[cuts[:-1]], "pack": packs}, pa.schema([("shard", pa.int64()), ("pack", pa.binary())]))
+
+        kept, size = [], 0
         for batch in batches:
             for sizes, words, local, trusted in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 tokens = Tokens(words, local, np.array(sizes))
@@ -240,12 +255,13 @@ def train(chunks: DataFrame, shards: int) -> Model:
                 b, w = tokens.bigrams(np.repeat(chosen, sizes))
                 place, n = np.unique(b * len(tokens.words) + w, return_counts=True)
                 b, w = (tokens.words[x] for x in np.divmod(place, max(1, len(tokens.words))))
-                shard = shard_of(pair_keys(b, w), shards)
-                order = np.lexsort((w, b, shard))
-                b, w, n, shard = b[order], w[order], n[order], shard[order]
-                cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-                packs = [packed(b[x:y], w[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:])]
-                yield pa.RecordBatch.from_pydict({"shard": shard[cuts[:-1]], "pack": packs}, pa.schema([("shard", pa.int64()), ("pack", pa.binary())]))
+                kept.append((b, w, n))
+                size += len(n)
+                if size > FLUSH:
+                    yield sent()
+                    kept, size = [], 0
+        if size:
+            yield sent()
 
     kinds = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("pack", pa.binary()), *((f"n{k}", pa.int64()) for k in range(5))])
     kinds_sql = "kind string, shard long, pack binary, n0 long, n1 long, n2 long, n3 long, n4 long"
