@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pitchlake.plans import forecasts, readiness, storage, tickets
+from pitchlake.plans import evaluation, forecasts, readiness, research, status, storage, tickets
 
-REGISTRIES = [forecasts.R, tickets.R, storage.R, readiness.R]
+REGISTRIES = [forecasts.R, evaluation.R, tickets.R, storage.R, readiness.R, research.R, status.R]
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

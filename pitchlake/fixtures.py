@@ -128,6 +128,42 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "(l_orderkey % 27 - 1) * 3600 AS age_seconds",
         ],
     ),
+    "evaluated": (
+        "lineitem",
+        [
+            "l_orderkey AS match_id",
+            "l_suppkey % 10 AS competition",
+            "CASE WHEN l_orderkey % 2 = 0 THEN 'LINEUP' ELSE 'BASE' END AS context",
+            "CASE WHEN l_orderkey % 3 = 0 THEN 'SURPRISE' ELSE NULL END AS category",
+            "CASE WHEN l_linenumber <= 3 THEN 'MATCH_RESULT' WHEN l_linenumber = 4 THEN 'BTTS' ELSE 'TOTAL_GOALS' END AS market",
+            "CASE l_linenumber WHEN 1 THEN 'HOME' WHEN 2 THEN 'DRAW' WHEN 3 THEN 'AWAY' WHEN 4 THEN 'YES' WHEN 5 THEN 'UNDER' ELSE 'OVER' END AS selection",
+            "CASE WHEN l_linenumber = 7 THEN CAST(3.5 AS DOUBLE) WHEN l_linenumber IN (5, 6) THEN CAST(2.5 AS DOUBLE) ELSE NULL END AS line",
+            "CAST((l_partkey * 37 + l_orderkey * 13 + l_linenumber * 101) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS p",
+            "CAST((l_partkey * 17 + l_orderkey * 7 + l_linenumber * 11) % 1000 AS DOUBLE) / CAST(1000 AS DOUBLE) AS public",
+            "CASE WHEN l_linenumber <= 3 THEN CASE WHEN l_orderkey % 3 + 1 = l_linenumber THEN 1 ELSE 0 END WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y",
+            "CASE WHEN l_returnflag = 'R' THEN 'WON' WHEN l_returnflag = 'A' THEN 'LOST' WHEN l_partkey % 2 = 0 THEN 'VOID' ELSE 'UNSETTLED' END AS settlement",
+            "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(1 AS DOUBLE) + l_quantity / CAST(20 AS DOUBLE) END AS odd",
+        ],
+    ),
+    "goal_rows": (
+        "orders",
+        [
+            "o_orderkey AS match_id",
+            "o_custkey % 40 AS date",
+            "CAST((o_orderkey * 37 + o_custkey * 13) % 600 + 400 AS DOUBLE) / CAST(1000 AS DOUBLE) AS probability",
+            "CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE CAST(1 AS DOUBLE) + CAST((o_orderkey * 7) % 200 AS DOUBLE) / CAST(100 AS DOUBLE) END AS odds",
+            "CAST((o_orderkey * 3) % 50 AS DOUBLE) / CAST(10 AS DOUBLE) AS expected_goals",
+            "CASE WHEN o_orderkey % 29 = 0 THEN NULL ELSE CAST(o_orderkey % 60 AS DOUBLE) / CAST(10 AS DOUBLE) END AS attack",
+            "CAST(o_custkey % 60 AS DOUBLE) / CAST(10 AS DOUBLE) AS concession",
+            "CAST((o_orderkey * 11) % 101 AS DOUBLE) / CAST(100 AS DOUBLE) AS btts",
+            "CAST(o_custkey % 40 AS DOUBLE) / CAST(10 AS DOUBLE) AS league_goals",
+            "CAST(o_orderkey % 11 AS DOUBLE) / CAST(10 AS DOUBLE) AS quality",
+            "o_orderkey % 23 <> 0 AS prematch_valid",
+            "o_orderkey % 9 + 3 AS history",
+            "CAST(o_orderkey % 26 - 1 AS DOUBLE) AS odds_age_hours",
+            "CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS won",
+        ],
+    ),
     "legs": (
         "lineitem",
         [

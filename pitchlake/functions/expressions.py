@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,20 +57,24 @@ def temperature(ps: list[Column], t: float) -> list[Column]:
     return [x / total for x in parts]
 
 
+def poisson_list(rate: Column, last: int) -> Column:
+    """P(0..last) of a Poisson count, each from its own closed form: no array grows."""
+    log = F.log(rate)
+    term = lambda k: F.exp(k * log - rate - F.lit(math.lgamma(k + 1)))
+    return F.array(*[F.when(rate > 0, term(k)).otherwise(F.lit(1.0 if k == 0 else 0.0)) for k in range(last + 1)])
+
+
 def poisson_terms(rate: Column, last: int) -> Column:
     """P(0..last), what lies beyond ``last`` added to it."""
-    def grow(acc: Column, k: Column) -> Column:
-        return F.concat(acc, F.array(F.element_at(acc, -1) * rate / k))
-
-    body = F.aggregate(F.sequence(F.lit(1), F.lit(last)), F.array(F.exp(-rate)), grow)
+    body = poisson_list(rate, last)
     tail = 1 - F.aggregate(body, F.lit(0.0), lambda a, x: a + x)
     return F.transform(body, lambda x, i: F.when(i == last, x + tail).otherwise(x))
 
 
 def count_over(rate: Column, line: float) -> Column:
     """P(count > line) of a Poisson count."""
-    terms = poisson_terms(rate, int(line) + 40)
-    return 1 - F.aggregate(F.slice(terms, 1, int(line) + 1), F.lit(0.0), lambda a, x: a + x)
+    low = F.aggregate(poisson_list(rate, int(line)), F.lit(0.0), lambda a, x: a + x)
+    return clamp_probability(1 - low)
 
 
 # -- bands and buckets -------------------------------------------------------------------------------------------------

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pitchlake.session import checkpointed
+
 MIN_SAMPLE = 3
 
 
@@ -183,34 +185,63 @@ def training_labels(matches: DataFrame) -> DataFrame:
     )
 
 
+def systems(matches: DataFrame) -> DataFrame:
+    """``matches`` with ``system``, the smallest team of all that are linked with theirs by matches.
+
+    The smallest label spreads along pairs of teams, and along labels, until nothing changes: rounds are few, and a round is
+    about pairs of teams, not about matches.
+    """
+    pairs = matches.select(F.col("home").alias("a"), F.col("away").alias("b")).distinct()
+    both = pairs.union(pairs.select("b", "a")).distinct()
+    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
+    while True:
+        told = both.join(labels.withColumnRenamed("a", "b"), "b").select("a", "label")
+        spread = labels.union(told).groupBy("a").agg(F.min("label").alias("label"))
+        above = spread.select(F.col("a").alias("label"), F.col("label").alias("above"))
+        new = spread.join(above, "label").select("a", F.col("above").alias("label"))
+        new = checkpointed(new)
+        if new.join(labels.withColumnRenamed("label", "old"), "a").filter("label <> old").isEmpty():
+            return matches.join(new.select(F.col("a").alias("home"), F.col("label").alias("system")), "home")
+        labels = new
+
+
 def elo(matches: DataFrame, start: float = 1500.0, k: float = 20.0, home: float = 60.0, scale: float = 400.0) -> DataFrame:
     """Ratings before every match: (id, home_elo, away_elo, expected_home).
 
-    Ratings are one fold over a connected league system, so the fold's unit is the set of teams that ever meet. Matches of
-    one instant all read the ratings from before it.
+    Ratings are one fold over teams that are linked by matches (column ``system``, found if it is not there). A system's
+    matches pass through one task in order, a batch at a time, which holds one number a team. Matches of one instant all read
+    the ratings from before it.
     """
-    import pandas as pd
+    from collections.abc import Iterator
+
+    import pyarrow as pa
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rating: dict[int, float] = {}
-        out = []
-        for _, batch in pdf.sort_values(["kick", "id"]).groupby("kick", sort=True):
-            updates = []
-            for m in batch.itertuples(index=False):
-                h, a = rating.get(m.home, start), rating.get(m.away, start)
-                expected = 1 / (1 + 10 ** ((a - h - home) / scale))
-                out.append((m.id, h, a, expected))
-                if m.finished:
-                    score = 1.0 if m.hg > m.ag else 0.5 if m.hg == m.ag else 0.0
-                    updates.append((m.home, m.away, k * (score - expected)))
-            for h, a, move in updates:
-                rating[h] = rating.get(h, start) + move
-                rating[a] = rating.get(a, start) - move
-        return pd.DataFrame(out, columns=["id", "home_elo", "away_elo", "expected_home"])
-
-    system = matches if "system" in matches.columns else matches.withColumn("system", F.lit(0))
-    chosen = system.select("system", "id", "kick", "home", "away", "hg", "ag", "finished")
-    return chosen.groupBy("system").applyInPandas(fold, "id long, home_elo double, away_elo double, expected_home double")
+        at, updates = None, []
+        for batch in batches:
+            out = []
+            for system, kick, n, h, a, hg, ag, finished in zip(*(c.to_pylist() for c in batch.columns)):
+                if (system, kick) != at:
+                    if at is None or system != at[0]:
+                        rating = {}
+                    else:
+                        for one, other, move in updates:
+                            rating[one] = rating.get(one, start) + move
+                            rating[other] = rating.get(other, start) - move
+                    at, updates = (system, kick), []
+                mine, theirs = rating.get(h, start), rating.get(a, start)
+                expected = 1 / (1 + 10 ** ((theirs - mine - home) / scale))
+                out.append((n, mine, theirs, expected))
+                if finished:
+                    updates.append((h, a, k * ((1.0 if hg > ag else 0.5 if hg == ag else 0.0) - expected)))
+            names = ["id", "home_elo", "away_elo", "expected_home"]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
+
+    linked = matches if "system" in matches.columns else systems(matches)
+    ordered = linked.select("system", "kick", "id", "home", "away", "hg", "ag", "finished").repartition("system")
+    ordered = ordered.sortWithinPartitions("system", "kick", "id")
+    return ordered.mapInArrow(fold, "id long, home_elo double, away_elo double, expected_home double")
 
 
 def opponent_strength(matches: DataFrame, ratings: DataFrame, last: int = 5) -> DataFrame:

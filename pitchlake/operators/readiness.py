@@ -9,17 +9,15 @@ from pitchlake.functions import expressions as E
 
 
 def lineup_completeness(players: DataFrame, by: list[str], starters: int = 11) -> DataFrame:
-    """Per lineup: distinct starters a side, duplicates, and whether both sides are complete."""
+    """Per lineup: distinct starters a side, and its state. COMPLETE_OFFICIAL is official, has ``starters`` a side and nobody
+    twice; INVALID has more on a side; else PARTIAL."""
     side = lambda s: F.countDistinct(F.when((F.col("side") == s) & F.col("starter"), F.col("player")))
-    named = F.count(F.when(F.col("starter"), F.col("player")))
-    out = players.groupBy(*by).agg(side("HOME").alias("home"), side("AWAY").alias("away"), named.alias("named"))
-    duplicates = F.col("named") - F.col("home") - F.col("away")
-    state = (
-        F.when(duplicates > 0, "DUPLICATE_PLAYER")
-        .when((F.col("home") >= starters) & (F.col("away") >= starters), "COMPLETE")
-        .otherwise("INCOMPLETE")
-    )
-    return out.withColumn("state", state).drop("named")
+    named = F.count(F.when(F.col("starter") & F.col("side").isin("HOME", "AWAY"), F.col("player")))
+    out = players.groupBy(*by).agg(side("HOME").alias("home"), side("AWAY").alias("away"), named.alias("named"), F.min(F.col("official").cast("int")).alias("official"))
+    home, away = F.col("home"), F.col("away")
+    whole = (F.col("official") == 1) & (F.col("named") == home + away) & (home == starters) & (away == starters)
+    state = F.when(whole, "COMPLETE_OFFICIAL").when((home <= starters) & (away <= starters), "PARTIAL").otherwise("INVALID")
+    return out.select(*by, "home", "away", state.alias("state"))
 
 
 def lineup_window(kickoff: Column, known: Column, now: Column, complete: Column, before: int = 75, after: int = 5) -> Column:
@@ -34,17 +32,6 @@ def lineup_window(kickoff: Column, known: Column, now: Column, complete: Column,
     )
 
 
-def coverage(matches: DataFrame, history: DataFrame, supported: DataFrame, least: int = 5) -> DataFrame:
-    """Unsupported, missing input, supported or ready, by the finished matches of the weaker side."""
-    seen = history.groupBy("team").agg(F.count("*").alias("n"))
-    of = lambda side: seen.select(F.col("team").alias(side), F.col("n").alias(f"{side}_n"))
-    ok = supported.select("competition", F.lit(True).alias("ok")).distinct()
-    rows = matches.join(F.broadcast(ok), "competition", "left").join(of("home"), "home", "left").join(of("away"), "away", "left")
-    n = F.least(F.coalesce("home_n", F.lit(0)), F.coalesce("away_n", F.lit(0)))
-    state = F.when(F.col("ok").isNull(), "UNSUPPORTED").when(n == 0, "MISSING_INPUT").when(n < least, "SUPPORTED").otherwise("READY")
-    return rows.select("id", state.alias("state"))
-
-
 def deactivated(known: DataFrame, refreshed: DataFrame, failures: int, key: str = "id") -> DataFrame:
     """Scheduled rows that a full refresh without failures did not touch become cancelled; with failures nothing changes."""
     if failures:

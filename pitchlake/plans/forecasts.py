@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.fixtures import frame
 from pitchlake.functions import expressions as E
-from pitchlake.operators import asof, fits, form, quality, report
+from pitchlake.operators import asof, features, fits, form, quality, report
 from pitchlake.plans.registry import Registry
 
 R = Registry()
@@ -382,6 +382,48 @@ def elo_ratings(spark, sf_dir):
     return out.withColumns({c: F.round(c, 6) for c in ("home_elo", "away_elo", "expected_home")})
 
 
+def _snapshot_sql() -> str:
+    mean = lambda name, x, n="h.id": f"CASE WHEN count({n}) >= 3 THEN round(sum({x}) / CAST(count({n}) AS DOUBLE), 8) END AS {name}"
+    points = "CASE WHEN h.gf > h.ga THEN 3 WHEN h.gf = h.ga THEN 1 WHEN h.gf < h.ga THEN 0 END"
+    past = lambda last, same="": f"LEFT JOIN LATERAL (SELECT * FROM t h WHERE h.team = t.team AND h.finished AND h.kick < t.kick {same} ORDER BY h.kick DESC, h.id DESC LIMIT {last}) h ON true GROUP BY t.id, t.team"
+    some = lambda test, x: f"CASE WHEN {test} THEN {x} END"
+    shots, cards = "h.sf IS NOT NULL AND h.sa IS NOT NULL AND h.tf IS NOT NULL AND h.ta IS NOT NULL", "h.yf IS NOT NULL AND h.ya IS NOT NULL AND h.rf IS NOT NULL AND h.ra IS NOT NULL"
+    corners, fouls = "h.cf IS NOT NULL AND h.ca IS NOT NULL", "h.ff IS NOT NULL AND h.fa IS NOT NULL"
+    five = ", ".join([
+        mean("ppm_5", points), mean("goals_for_5", "h.gf"), mean("goals_against_5", "h.ga"), *[mean(name, some(test, x), some(test, x)) for name, test, x in (
+            ("shots_5", shots, "h.sf"), ("on_target_5", shots, "h.tf"), ("corners_5", corners, "h.cf"), ("yellow_5", cards, "h.yf"), ("fouls_5", fouls, "h.ff"))],
+    ])
+    names = ["ppm_5", "ppm_10", "goals_for_5", "goals_against_5", "venue_ppm_5", "venue_goals_for_5", "shots_5", "on_target_5", "corners_5", "yellow_5", "fouls_5", "rest_days"]
+    sides = ", ".join(f"{k}.{n} AS {side}_{n}" for n in names for side, k in (("home", "h"), ("away", "a")))
+    lm = lambda name, x: f"CASE WHEN count({x}) >= 3 THEN round(avg({x}), 8) END AS league_{name}"
+    return f"""
+WITH {TEAM}, f AS (SELECT t.id, t.team, {five} FROM t {past(5)}), g AS (SELECT t.id, t.team, {mean('ppm_10', points)} FROM t {past(10)}),
+v AS (SELECT t.id, t.team, {mean('venue_ppm_5', points)}, {mean('venue_goals_for_5', 'h.gf')} FROM t {past(5, 'AND h.at_home = t.at_home')}),
+d AS (SELECT t.id, t.team, round(CAST(date_diff('second', max(h.kick), any_value(t.kick)) // 60 AS DOUBLE) / 1440, 8) AS rest_days
+  FROM t LEFT JOIN t h ON h.team = t.team AND h.finished AND h.kick < t.kick GROUP BY t.id, t.team),
+s AS (SELECT * FROM f JOIN g USING (id, team) JOIN v USING (id, team) JOIN d USING (id, team)),
+l AS (SELECT m.id, {lm('goals', 'h.hg + h.ag')}, {lm('btts', "CASE WHEN h.id IS NOT NULL THEN CAST(h.hg > 0 AND h.ag > 0 AS INTEGER) END")}, {lm('corners', 'h.hc + h.ac')}, {lm('yellow', 'h.hy + h.ay')}
+  FROM matches m LEFT JOIN matches h ON h.competition = m.competition AND h.finished AND h.kick < m.kick GROUP BY m.id),
+p AS (SELECT m.id, CASE WHEN count(h.id) >= 3 THEN round(avg(h.hg + h.ag), 8) END AS h2h_goals, CASE WHEN count(h.id) >= 3 THEN round(avg(CAST(h.hg > 0 AND h.ag > 0 AS INTEGER)), 8) END AS h2h_btts
+  FROM matches m LEFT JOIN LATERAL (SELECT * FROM matches h WHERE least(h.home, h.away) = least(m.home, m.away) AND greatest(h.home, h.away) = greatest(m.home, m.away) AND h.finished
+    AND h.kick < m.kick ORDER BY h.kick DESC, h.id DESC LIMIT 5) h ON true GROUP BY m.id)
+SELECT m.id, {sides}, league_goals, league_btts, league_corners, league_yellow, h2h_goals, h2h_btts
+FROM matches m JOIN s h ON h.id = m.id AND h.team = m.home JOIN s a ON a.id = m.id AND a.team = m.away JOIN l ON l.id = m.id JOIN p ON p.id = m.id"""
+
+
+@R.query(_snapshot_sql())
+def feature_snapshot(spark, sf_dir):
+    """The model's inputs that need no ratings, of every match."""
+    return features.snapshots(frame(spark, sf_dir, "matches"))
+
+
+@R.query()
+def feature_dataset(spark, sf_dir):
+    """All 36 inputs of finished matches, ratings included, with their labels."""
+    m = frame(spark, sf_dir, "matches")
+    return features.dataset(features.vectors(features.snapshots(m, form.elo(m))), form.training_labels(m))
+
+
 @R.query()
 def opponent_elo_mean(spark, sf_dir):
     matches = frame(spark, sf_dir, "matches")

@@ -5,27 +5,31 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pitchlake.fixtures import frame
-from pitchlake.operators import form, readiness
+from pitchlake.functions import expressions as E
+from pitchlake.operators import quality, readiness
 from pitchlake.plans.registry import Registry
 
 R = Registry()
 
 
 @R.query("""
-WITH p AS (SELECT l_suppkey AS lineup, CASE WHEN l_linenumber % 2 = 0 THEN 'HOME' ELSE 'AWAY' END AS side, l_partkey % 40 AS player,
-  l_returnflag <> 'N' AS starter FROM lineitem),
-c AS (SELECT lineup, count(DISTINCT CASE WHEN side = 'HOME' AND starter THEN player END) AS home,
-  count(DISTINCT CASE WHEN side = 'AWAY' AND starter THEN player END) AS away, count(CASE WHEN starter THEN player END) AS named FROM p GROUP BY 1)
-SELECT lineup, home, away, CASE WHEN named - home - away > 0 THEN 'DUPLICATE_PLAYER' WHEN home >= 3 AND away >= 3 THEN 'COMPLETE'
-  ELSE 'INCOMPLETE' END AS state FROM c""")
+WITH p AS (SELECT l_orderkey % 90 AS lineup, CASE WHEN l_linenumber % 2 = 0 THEN 'HOME' ELSE 'AWAY' END AS side, CASE WHEN l_orderkey % 90 < 20 THEN l_partkey % 11 ELSE l_partkey % 400 END AS player,
+  l_returnflag <> 'N' AS starter, l_orderkey % 90 % 4 <> 0 AS official FROM lineitem),
+q AS (SELECT DISTINCT ON (lineup, side, player, starter) * FROM p WHERE lineup < 20 UNION ALL SELECT * FROM p WHERE lineup >= 20),
+c AS (SELECT lineup, count(DISTINCT CASE WHEN side = 'HOME' AND starter THEN player END) AS home, count(DISTINCT CASE WHEN side = 'AWAY' AND starter THEN player END) AS away,
+  count(CASE WHEN starter THEN player END) AS named, bool_and(official) AS official FROM q GROUP BY 1)
+SELECT lineup, home, away, CASE WHEN official AND named = home + away AND home = 11 AND away = 11 THEN 'COMPLETE_OFFICIAL' WHEN home <= 11 AND away <= 11 THEN 'PARTIAL' ELSE 'INVALID' END AS state FROM c""")
 def lineup_completeness(spark, sf_dir):
+    k = F.col("l_orderkey") % 90
     rows = frame(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("lineup"),
+        k.alias("lineup"),
         F.when(F.col("l_linenumber") % 2 == 0, "HOME").otherwise("AWAY").alias("side"),
-        (F.col("l_partkey") % 40).alias("player"),
+        F.when(k < 20, F.col("l_partkey") % 11).otherwise(F.col("l_partkey") % 400).alias("player"),
         (F.col("l_returnflag") != "N").alias("starter"),
+        (k % 4 != 0).alias("official"),
     )
-    return readiness.lineup_completeness(rows, ["lineup"], 3)
+    few = rows.filter("lineup < 20").dropDuplicates(["lineup", "side", "player", "starter"])
+    return readiness.lineup_completeness(few.unionByName(rows.filter("lineup >= 20")), ["lineup"])
 
 
 @R.query("""
@@ -40,18 +44,6 @@ def lineup_readiness(spark, sf_dir):
     return m.select("id", state.alias("state"))
 
 
-@R.query("""
-WITH h AS (SELECT team, count(*) AS n FROM (SELECT home AS team FROM matches WHERE finished
-  UNION ALL SELECT away FROM matches WHERE finished) t GROUP BY 1)
-SELECT m.id, CASE WHEN m.competition NOT IN (1, 2, 3) THEN 'UNSUPPORTED' WHEN least(coalesce(a.n, 0), coalesce(b.n, 0)) = 0 THEN 'MISSING_INPUT'
-  WHEN least(coalesce(a.n, 0), coalesce(b.n, 0)) < 500 THEN 'SUPPORTED' ELSE 'READY' END AS state
-FROM matches m LEFT JOIN h a ON a.team = m.home LEFT JOIN h b ON b.team = m.away""")
-def coverage_state(spark, sf_dir):
-    m = frame(spark, sf_dir, "matches")
-    history = form.team_view(m.filter("finished"))
-    return readiness.coverage(m, history, spark.createDataFrame([(1,), (2,), (3,)], "competition long"), least=500)
-
-
 @R.query("""
 SELECT id, CASE WHEN id % 4 = 0 THEN 'finished' WHEN id % 3 = 0 THEN 'scheduled' ELSE 'cancelled' END AS status FROM matches""")
 def missing_from_refresh(spark, sf_dir):
@@ -87,16 +79,17 @@ def feature_vector(spark, sf_dir):
 
 
 @R.query("""
-WITH g AS (SELECT market, avg(-ln(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-12))) AS l, avg((p - y) * (p - y)) AS b,
-  avg(-ln(greatest(CASE WHEN y = 1 THEN 0.3 ELSE 0.7 END, 1e-12))) AS bl, avg((0.3 - y) * (0.3 - y)) AS bb FROM observations GROUP BY 1)
-SELECT market, CASE WHEN l - bl > 1e-4 AND bb <= b + 0.02 THEN 'ACTIVE' ELSE 'REJECTED' END AS state FROM g""")
+WITH b AS (SELECT market, least(floor(p * 10), 9) AS bin, count(*) AS n, abs(avg(p) - avg(CAST(y AS DOUBLE))) AS gap FROM observations GROUP BY 1, 2), e AS (SELECT market, sum(gap * n) / sum(n) AS ece FROM b GROUP BY 1),
+g AS (SELECT market, avg(-ln(greatest(CASE WHEN y = 1 THEN p ELSE 1 - p END, 1e-12))) AS l, avg((p - y) * (p - y)) AS b,
+  avg(-ln(greatest(CASE WHEN y = 1 THEN 0.3 ELSE 0.7 END, 1e-12))) AS bl, avg((0.3 - y) * (0.3 - y)) AS bb, abs(0.3 - avg(CAST(y AS DOUBLE))) AS be FROM observations GROUP BY 1)
+SELECT market, CASE WHEN l - bl > 1e-4 AND bb <= b + 0.02 AND be <= ece + 0.02 THEN 'ACTIVE' ELSE 'REJECTED' END AS state FROM g JOIN e USING (market)""")
 def family_gate(spark, sf_dir):
-    """A constant forecast as the candidate against the given one as base."""
-    from pitchlake.functions import expressions as E
-
+    """A constant forecast as the candidate against the given one as base, by log loss, Brier and ten-bin calibration error."""
+    rows = frame(spark, sf_dir, "observations")
     p, y, c = F.col("p"), F.col("y"), F.lit(0.3)
-    metrics = frame(spark, sf_dir, "observations").groupBy("market").agg(
-        F.avg(E.log_loss(p, y)).alias("base_log_loss"), F.avg(E.brier(p, y)).alias("base_brier"), F.lit(0.0).alias("base_ece"),
-        F.avg(E.log_loss(c, y)).alias("log_loss"), F.avg(E.brier(c, y)).alias("brier"), F.lit(0.0).alias("ece"),
+    base = quality.calibration_error(rows, ["market"], F.least(F.floor(p * 10), F.lit(9))).select("market", F.col("ece").alias("base_ece"))
+    metrics = rows.groupBy("market").agg(
+        F.avg(E.log_loss(p, y)).alias("base_log_loss"), F.avg(E.brier(p, y)).alias("base_brier"), F.avg(E.log_loss(c, y)).alias("log_loss"), F.avg(E.brier(c, y)).alias("brier"),
+        F.abs(0.3 - F.avg(y.cast("double"))).alias("ece"),
     )
-    return readiness.family_gate(metrics).select("market", "state")
+    return readiness.family_gate(metrics.join(base, "market")).select("market", "state")

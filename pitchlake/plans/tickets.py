@@ -431,18 +431,21 @@ def poisson_markets(spark, sf_dir):
     home, away = F.col("hg").cast("double") * 0.4 + 0.6, F.col("ag").cast("double") * 0.3 + 0.5
     grid = rows.select("id", E.poisson_terms(home, 18).alias("h"), E.poisson_terms(away, 18).alias("a"))
     total = lambda c: F.aggregate(c, F.lit(0.0), lambda x, y: x + y)
-    # Row by row of the grid: a home win by i goals needs fewer than i away goals.
-    draw = total(F.zip_with("h", "a", lambda x, y: x * y))
-    won = total(F.transform("h", lambda x, i: x * total(F.slice("a", F.lit(1), i))))
-    low = lambda n: total(F.transform(F.slice("h", 1, n + 1), lambda x, i: x * total(F.slice("a", F.lit(1), n + 1 - i))))
-    first = lambda c: F.element_at(c, 1)
+    # One pass along both counts: the chance of fewer away goals so far, home wins, draws, and totals up to two.
+    start = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("home"), F.lit(0.0).alias("draw"))
+    step = lambda s, x: F.struct(
+        (s["below"] + x["a"]).alias("below"), (s["home"] + x["h"] * s["below"]).alias("home"), (s["draw"] + x["h"] * x["a"]).alias("draw")
+    )
+    grid = grid.withColumn("s", F.aggregate(F.arrays_zip("h", "a"), start, step))
+    at = lambda c, k: F.element_at(c, k + 1)
+    low = sum((at("h", i) * at("a", j) for i in range(3) for j in range(3 - i) if i or j), at("h", 0) * at("a", 0))
     return grid.select(
         "id",
-        F.round(won, 6).alias("home"),
-        F.round(draw, 6).alias("draw"),
-        F.round(1 - won - draw, 6).alias("away"),
-        F.round((1 - first("h")) * (1 - first("a")), 6).alias("btts"),
-        F.round(1 - low(2), 6).alias("over_25"),
+        F.round("s.home", 6).alias("home"),
+        F.round("s.draw", 6).alias("draw"),
+        F.round(1 - F.col("s.home") - F.col("s.draw"), 6).alias("away"),
+        F.round((1 - at("h", 0)) * (1 - at("a", 0)), 6).alias("btts"),
+        F.round(1 - low, 6).alias("over_25"),
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> SparkSession:
@@ -16,3 +18,11 @@ def session(master: str = "local[8]", partitions: int = 8, **conf: str) -> Spark
     for key, value in {**settings, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """``df`` cut from its lineage in the folder of ``spark.checkpoint.dir``; where that is unset, as in tests, in one of its own."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pitchlake-"))
+    return df.checkpoint()
