@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.llm.shingles import mix
-from pitchlake.llm.storage import durable
+from pitchlake.llm.storage import durable, released, tidy
 
 QUANTILE = 0.99
 ENOUGH = 100
@@ -178,7 +178,13 @@ def encode(docs: DataFrame) -> DataFrame:
             yield chunk()
 
     schema = f"chunk long, ids array<{id_type}>, langs array<string>, text_keys array<long>, sizes array<int>, words binary, local binary"
-    return docs.mapInArrow(apply, schema)
+    return docs.mapInArrow(tidy(apply), schema)
+
+
+def rows_of(batch: pa.RecordBatch) -> Iterator[list]:
+    """Rows one at a time: a batch may hold many chunks."""
+    for n in range(batch.num_rows):
+        yield [column[n].as_py() for column in batch.columns]
 
 
 class Tokens:
@@ -248,7 +254,7 @@ def train(chunks: DataFrame, shards: int) -> Model:
 
         kept, size = [], 0
         for batch in batches:
-            for sizes, words, local, trusted in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for sizes, words, local, trusted in rows_of(batch):
                 tokens = Tokens(words, local, np.array(sizes))
                 chosen = np.zeros(len(sizes), dtype=bool)
                 chosen[trusted] = True
@@ -284,7 +290,7 @@ def train(chunks: DataFrame, shards: int) -> Model:
         row = (group["kind"][0].as_py(), group["shard"][0].as_py(), packed(*sums), len(sums[0]), 0, 0, 0, 0)
         return pa.Table.from_pylist([dict(zip(kinds.names, row))], kinds)
 
-    counts = chunks.select("sizes", "words", "local", "trusted").mapInArrow(count, "shard long, pack binary")
+    counts = chunks.select("sizes", "words", "local", "trusted").mapInArrow(tidy(count), "shard long, pack binary")
     counted = durable(counts.groupBy("shard").applyInArrow(total, kinds_sql))
     merged = durable(counted.filter("kind <> 'bigrams'").groupBy("kind", "shard").applyInArrow(merge, kinds_sql))
     bigrams = counted.filter("kind = 'bigrams'")
@@ -302,7 +308,7 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("kind", pa.string()), ("pack", pa.binary())])
         for batch in batches:
-            for n, sizes, words, local in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for n, sizes, words, local in rows_of(batch):
                 tokens = Tokens(words, local, np.array(sizes))
                 b, w = tokens.bigrams()
                 b, w = np.divmod(np.unique(b * len(tokens.words) + w), len(tokens.words))
@@ -338,9 +344,10 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
         place = np.unique(tokens.words, return_inverse=True)[1]
         cost = -costs.log_probabilities(c[at], [x[place[b]] for x in context], before[place[w]])[which]
         n = sizes.to_numpy().astype(np.int64) - 1
+        released()
         return pa.table({"id": ids, "lang": langs, "text_key": text_keys, "n_tokens": n, "nll": np.add.reduceat(cost, np.cumsum(n) - n)})
 
-    asked = chunks.select("chunk", "sizes", "words", "local").mapInArrow(ask, "chunk long, shard long, kind string, pack binary")
+    asked = chunks.select("chunk", "sizes", "words", "local").mapInArrow(tidy(ask), "chunk long, shard long, kind string, pack binary")
     answers = asked.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(answer, "chunk long, shard long, kind string, pack binary")
     both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
     return both.applyInArrow(apply, f"id {id_type}, lang string, text_key long, n_tokens long, nll double")

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.llm.bpe_automaton import LastTokens
+from pitchlake.llm.storage import tidy
 
 MARK = "▁"
 WHOLE = "(?s).+"
@@ -432,7 +433,7 @@ def encode_documents(
                 )
 
     id_type = df.schema[id_col].dataType.simpleString()
-    return texts.mapInArrow(encode, f"id {id_type}, ids array<int>, begins array<int>, ends array<int>, decoded string")
+    return texts.mapInArrow(tidy(encode), f"id {id_type}, ids array<int>, begins array<int>, ends array<int>, decoded string")
 
 
 def digests(encoded: DataFrame) -> DataFrame:

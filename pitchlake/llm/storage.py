@@ -1,10 +1,15 @@
-"""Reading the driver's tables and cutting lineage in shared storage."""
+"""Reading the driver's tables, cutting lineage in shared storage, and giving memory back in tasks."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIR: list[str] = []
@@ -35,3 +40,25 @@ def durable(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/pitchlake-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released() -> None:
+    """Give freed memory back to the system. Spark uses a Python worker for one stage after another, and what an operator
+    freed would else stand beside what the next one needs. Does nothing where the C library has no such call."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``work`` on a task's batches, after which the task's memory is released."""
+
+    @functools.wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            released()
+
+    return run
