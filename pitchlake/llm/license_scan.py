@@ -31,6 +31,26 @@ EQUIVALENT = [
     ("programme", "program"),
     ("copyright holder", "copyright owner"),
     ("copyright holders", "copyright owners"),
+    ("acknowledgement", "acknowledgment"),
+    ("analogue", "analog"),
+    ("artefact", "artifact"),
+    ("behaviour", "behavior"),
+    ("centre", "center"),
+    ("fulfil", "fulfill"),
+    ("fulfilment", "fulfillment"),
+    ("judgement", "judgment"),
+    ("labelled", "labeled"),
+    ("organise", "organize"),
+    ("practise", "practice"),
+    ("recognise", "recognize"),
+    ("sub license", "sublicense"),
+    ("sub licence", "sublicense"),
+    ("third parties", "third party"),
+    ("utilisation", "utilization"),
+    ("whilst", "while"),
+    ("wilful", "willful"),
+    ("per cent", "percent"),
+    ("e mail", "email"),
 ]
 
 # Texts of known licences and their standard notices.
@@ -100,6 +120,62 @@ Unless required by applicable law or agreed to in writing, software distributed
 "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
 language governing permissions and limitations under the License."""
 
+BSL_1 = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and
+accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and
+transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is
+furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and
+the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of
+the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT
+HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR
+OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as
+a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright
+interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the
+detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all
+present and future rights to this software under copyright law.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE
+WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE
+FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+
+For more information, please refer to <https://unlicense.org>"""
+WTFPL = """Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it
+is allowed as long as the name is changed.
+
+DO WHAT THE FUCK YOU WANT TO PUBLIC LICENSE
+TERMS AND CONDITIONS FOR COPYING, DISTRIBUTION AND MODIFICATION
+
+0. You just DO WHAT THE FUCK YOU WANT TO."""
+MPL_NOTICE = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+GNU_NOTICE = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as
+published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.
+
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty
+of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {name} for more details.
+
+You should have received a copy of the GNU {name} along with this program. If not, see <https://www.gnu.org/licenses/>."""
+GNU = [
+    ("GPL-2.0-or-later", "General Public License", 2),
+    ("GPL-3.0-or-later", "General Public License", 3),
+    ("LGPL-2.1-or-later", "Lesser General Public License", 2.1),
+    ("LGPL-3.0-or-later", "Lesser General Public License", 3),
+    ("AGPL-3.0-or-later", "Affero General Public License", 3),
+]
+
 KNOWN_TEXTS = [
     ("MIT", MIT),
     ("MIT", "The MIT License\n\n" + MIT),
@@ -119,6 +195,16 @@ KNOWN_TEXTS = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("BSL-1.0", BSL_1),
+    ("BSL-1.0", BSL_1.split("\n\n", 1)[1]),
+    ("Unlicense", UNLICENSE),
+    ("Unlicense", UNLICENSE.replace("https", "http")),
+    ("WTFPL", WTFPL),
+    ("MIT-0", MIT.split("Software is furnished to do so")[0].rstrip() + " Software is furnished to do so." + MIT.split("portions of the\nSoftware.")[1]),
+    ("MPL-2.0", MPL_NOTICE),
+    ("MPL-2.0", MPL_NOTICE.replace("https", "http")),
+    *[(spdx, GNU_NOTICE.format(name=name, version=version)) for spdx, name, version in GNU],
+    *[(spdx, GNU_NOTICE.format(name=name, version=version).replace("https", "http")) for spdx, name, version in GNU],
 ]
 
 #: A line that is a copyright notice and nothing else. The same pattern is valid for Java, RE2 and Python.
@@ -126,22 +212,27 @@ COPYRIGHT_LINE = r"(?m)^[ \t]*((copyright|©)[^\n]*([0-9]{4}|\(c\)|©)[^\n]*|\(c
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
+def _spaced(words: str) -> str:
+    return words.replace(" ", "  ")
+
+
 def canonical(text: Column) -> Column:
     """The canonical form of a text, as a column."""
     out = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), COPYRIGHT_LINE, "")
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, " ")), F.lit(" "))
+    # Every word between two blanks of its own, so that neighbours can both be respelt.
+    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, "  ")), F.lit(" "))
     for found, kept in EQUIVALENT:
-        out = F.replace(out, F.lit(f" {found} "), F.lit(f" {kept} "))
-    return F.trim(out)
+        out = F.replace(out, F.lit(f" {_spaced(found)} "), F.lit(f" {_spaced(kept)} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def canonical_py(text: str) -> str:
     """The same on the driver, for the few known texts."""
     out = re.sub(COPYRIGHT_LINE, "", text.lower())
-    out = " " + re.sub(r"[^\w]+|_+", " ", out).strip() + " "
+    out = " " + re.sub(r"[\W_]+", "  ", out).strip() + " "  # in these texts, what is neither a letter nor a digit
     for found, kept in EQUIVALENT:
-        out = out.replace(f" {found} ", f" {kept} ")
-    return out.strip()
+        out = out.replace(f" {_spaced(found)} ", f" {_spaced(kept)} ")
+    return out.strip().replace("  ", " ")
 
 
 def known_digests(known=tuple(KNOWN_TEXTS)) -> list[tuple[str, str]]:

@@ -40,10 +40,11 @@ def _quoted(text: str) -> str:
 def op2() -> str:
     def canonical(column: str) -> str:
         out = f"regexp_replace(lower({column}), {_quoted(license_scan.COPYRIGHT_LINE)}, '', 'g')"
-        out = f"' ' || trim(regexp_replace({out}, {_quoted(license_scan.NOT_WORD)}, ' ', 'g')) || ' '"
+        out = f"' ' || trim(regexp_replace({out}, {_quoted(license_scan.NOT_WORD)}, '  ', 'g')) || ' '"
         for found, kept in license_scan.EQUIVALENT:
-            out = f"replace({out}, ' {found} ', ' {kept} ')"
-        return f"trim({out})"
+            two = [x.replace(" ", "  ") for x in (found, kept)]
+            out = f"replace({out}, ' {two[0]} ', ' {two[1]} ')"
+        return f"trim(replace({out}, '  ', ' '))"
 
     known = ", ".join(f"('{digest}', '{name}')" for digest, name in license_scan.known_digests())
     return f"""
@@ -63,10 +64,17 @@ FROM whole LEFT JOIN known ON canonical_sha256 = digest LEFT JOIN noticed USING
 def op10() -> str:
     html, blank = "coalesce(html, '')", _quoted(r"[ \t\n\r\f]+")
 
+    known = "MAP {" + ", ".join(f"{_quoted(k)}: {_quoted(v)}" for k, v in warc.references().items()) + "}"
+    code = "CASE WHEN r[2] IN ('x', 'X') THEN CAST('0x' || r[3:] AS INTEGER) ELSE CAST(r[2:] AS INTEGER) END"
+    shown = f"CASE WHEN {code} BETWEEN 1 AND 55295 OR {code} BETWEEN 57344 AND 1114111 THEN chr({code}) ELSE chr(65533) END"
+    one = f"CASE WHEN r[1] = '#' THEN {shown} ELSE coalesce(({known})[r], '&' || r || ';') END"
+
     def entities(out: str) -> str:
-        for name, value in warc.ENTITIES:
-            out = f"replace({out}, {_quoted(name)}, {_quoted(value)})"
-        return out
+        found = f"list_filter(list_distinct(regexp_extract_all({out}, {_quoted(warc.REFERENCE)}, 1)), lambda r: r <> 'amp')"
+        return f"replace(list_reduce(list_prepend({out}, {found}), lambda t, r: replace(t, '&' || r || ';', {one})), '&amp;', '&')"
+
+    def unquoted(out: str) -> str:
+        return entities(f"regexp_replace({out}, {_quoted(warc.QUOTES)}, '', 'g')")
 
     def swap(out: str, pattern: str, new: str) -> str:
         return f"regexp_replace({out}, {_quoted(pattern)}, {new}, 'g')"
@@ -98,12 +106,12 @@ WITH resp AS (
 ), made AS (
   SELECT page_id, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, target_uri, rid, source_digest,
          'title: ' || {title} || {crlf}
-         || 'language: ' || regexp_replace(regexp_extract(html, {_quoted(warc.LANG)}, 1), {line}, '', 'g') || {crlf}
+         || 'language: ' || regexp_replace({unquoted(f"regexp_extract(html, {_quoted(warc.LANG)}, 1)")}, {line}, '', 'g') || {crlf}
          || 'source-payload-digest: ' || source_digest || {crlf}
          || 'source-content-length: ' || CAST({head_bytes} + strlen(html) AS VARCHAR) || {crlf}
          || 'source-http-header: ' || {http} || {crlf}
          || array_to_string(list_transform(regexp_extract_all(html, {_quoted(warc.LINK)}, 1),
-              lambda x: 'outlink: ' || regexp_replace(x, {line}, '', 'g') || {crlf}), '') AS block
+              lambda x: 'outlink: ' || regexp_replace({unquoted('x')}, {line}, '', 'g') || {crlf}), '') AS block
   FROM resp
   UNION ALL
   SELECT page_id, 'conversion', 'text/plain; charset=utf-8', target_uri, rid, source_digest, {text} FROM resp

@@ -6,12 +6,18 @@ not at hand. Record ids are UUIDs derived from the source's id and the record ty
 
 Everything is a projection of the response rows (no shuffle), so a row of any size costs its own task only.
 
-Defined results: null url or html counts as empty and still yields all its records; repeated rows yield repeated
-records; an empty table yields none; other columns of the input are ignored.
+Text is what lies outside tags, comments, scripts, styles and the title. Not supported: text that style sheets hide or scripts
+make, attributes of ``base`` and ``meta``, character sets other than the text's own.
+
+Defined results: null url or html counts as empty and still yields all its records; a repeated row is the same record again,
+under the same ids; an empty table yields none; other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,37 +25,95 @@ CRLF = "\r\n"
 HTTP_HEADER = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 CRAWL_DATE = "2024-01-01T00:00:00Z"
 
-# Named character references that are resolved; ``&amp;`` comes last.
-ENTITIES = [
-    ("&nbsp;", " "),
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&apos;", "'"),
-    ("&copy;", "©"),
-    ("&reg;", "®"),
-    ("&middot;", "·"),
-    ("&bull;", "•"),
-    ("&hellip;", "…"),
-    ("&ndash;", "–"),
-    ("&mdash;", "—"),
-    ("&lsquo;", "‘"),
-    ("&rsquo;", "’"),
-    ("&ldquo;", "“"),
-    ("&rdquo;", "”"),
-    ("&euro;", "€"),
-    ("&amp;", "&"),
-]
+# Named character references, but for accented letters, which are made from their letter and accent below.
+ENTITIES = {
+    "nbsp": " ",
+    "lt": "<",
+    "gt": ">",
+    "quot": '"',
+    "apos": "'",
+    "iexcl": "¡",
+    "cent": "¢",
+    "pound": "£",
+    "yen": "¥",
+    "sect": "§",
+    "copy": "©",
+    "laquo": "«",
+    "shy": "",
+    "reg": "®",
+    "deg": "°",
+    "plusmn": "±",
+    "sup2": "²",
+    "sup3": "³",
+    "micro": "µ",
+    "para": "¶",
+    "middot": "·",
+    "raquo": "»",
+    "frac14": "¼",
+    "frac12": "½",
+    "frac34": "¾",
+    "iquest": "¿",
+    "times": "×",
+    "divide": "÷",
+    "szlig": "ß",
+    "AElig": "Æ",
+    "aelig": "æ",
+    "Oslash": "Ø",
+    "oslash": "ø",
+    "OElig": "Œ",
+    "oelig": "œ",
+    "bull": "•",
+    "hellip": "…",
+    "ndash": "–",
+    "mdash": "—",
+    "lsquo": "‘",
+    "rsquo": "’",
+    "sbquo": "‚",
+    "ldquo": "“",
+    "rdquo": "”",
+    "bdquo": "„",
+    "lsaquo": "‹",
+    "rsaquo": "›",
+    "dagger": "†",
+    "permil": "‰",
+    "euro": "€",
+    "trade": "™",
+    "larr": "←",
+    "rarr": "→",
+    "minus": "−",
+    "ensp": " ",
+    "emsp": " ",
+    "thinsp": " ",
+    "zwnj": "",
+    "zwj": "",
+}
+ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circ": "\u0302", "tilde": "\u0303", "uml": "\u0308", "ring": "\u030a", "cedil": "\u0327", "caron": "\u030c"}
+
+
+def references() -> dict[str, str]:
+    """Every named reference that is resolved, but ``amp``: the listed ones and each letter that its accent composes with."""
+    composed = {
+        letter + name: unicodedata.normalize("NFC", letter + accent)
+        for name, accent in ACCENTS.items()
+        for letter in string.ascii_letters
+    }
+    return ENTITIES | {k: v for k, v in composed.items() if len(v) == 1}
+
+
 # Patterns valid for Java and RE2 alike: what carries no text, what breaks a line, every other tag.
 SILENT = (
-    r"(?is)<!--.*?(-->|\z)|<head\b.*?(</head[ \t\n\r]*>|\z)"
+    r"(?is)<!--.*?(-->|\z)|<title\b.*?(</title[ \t\n\r]*>|\z)"
     r"|<script\b.*?(</script[ \t\n\r]*>|\z)|<style\b.*?(</style[ \t\n\r]*>|\z)"
 )
 BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
-TAG = r"<[!/]?[A-Za-z][^>]*>"
+TAG = r"<[!/?]?[A-Za-z][^>]*>"
+REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 TITLE = r"(?is)<title[^>]*>(.*?)</title"
-LANG = r"(?is)<html\b[^>]*?\blang=\"([^\"]*)\""
-LINK = r"(?is)<a\b[^>]*?\bhref=\"([^\"]*)\""
+# A value in either kind of quotes, or bare.
+VALUE = r"[ \t\n\r\f]*=[ \t\n\r\f]*(\"[^\"]*\"|'[^']*'|[^ \t\n\r\f\"'>]+)"
+LANG = r"(?is)<html\b[^>]*?[ \t\n\r\f]lang" + VALUE
+LINK = r"(?is)<a\b[^>]*?[ \t\n\r\f]href" + VALUE
+QUOTES = r"^[\"']|[\"']\z"
 
 
 def _or_empty(c: Column) -> Column:
@@ -61,10 +125,26 @@ def one_line(c: Column) -> Column:
     return F.regexp_replace(c, r"[\r\n]+", "")
 
 
+def _character(reference: Column) -> Column:
+    """What a reference, without its signs, stands for; null for an unknown name. A number that is no character gives U+FFFD."""
+    number = F.conv(F.regexp_replace(reference, "^#[xX]?", ""), 10, 10)
+    number = F.when(reference.rlike("^#[xX]"), F.conv(F.substring(reference, 3, 6), 16, 10)).otherwise(number).cast("long")
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    shown = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+    names = F.create_map(*[F.lit(x) for pair in references().items() for x in pair])
+    return F.when(reference.startswith("#"), shown).otherwise(names[reference])
+
+
 def decode_entities(text: Column) -> Column:
-    for name, value in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(value))
-    return text
+    """With its character references resolved, ``&amp;`` last, so that nothing is resolved twice. Unknown names stay."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
+    named = lambda r: F.concat(F.lit("&"), r, F.lit(";"))
+    out = F.aggregate(F.filter(found, lambda r: r != "amp"), text, lambda out, r: F.replace(out, named(r), F.coalesce(_character(r), named(r))))
+    return F.replace(F.when(text.contains("&"), out).otherwise(text), F.lit("&amp;"), F.lit("&"))
+
+
+def _unquoted(value: Column) -> Column:
+    return decode_entities(F.regexp_replace(value, QUOTES, ""))
 
 
 def plain_text(html: Column) -> Column:
@@ -115,10 +195,10 @@ def responses(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 def derive(resp: DataFrame) -> DataFrame:
     """Two records per response: metadata, then conversion."""
     html = F.col("payload")
-    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), one_line(x), F.lit(CRLF)))
+    links = F.transform(F.regexp_extract_all(html, F.lit(LINK), F.lit(1)), lambda x: F.concat(F.lit("outlink: "), one_line(_unquoted(x)), F.lit(CRLF)))
     fields = F.concat(
         F.concat(F.lit("title: "), title(html), F.lit(CRLF)),
-        F.concat(F.lit("language: "), one_line(F.regexp_extract(html, LANG, 1)), F.lit(CRLF)),
+        F.concat(F.lit("language: "), one_line(_unquoted(F.regexp_extract(html, LANG, 1))), F.lit(CRLF)),
         F.concat(F.lit("source-payload-digest: "), F.col("payload_digest"), F.lit(CRLF)),
         F.concat(F.lit("source-content-length: "), F.octet_length(F.concat("http_header", html)).cast("string"), F.lit(CRLF)),
         F.concat(F.lit("source-http-header: "), F.regexp_replace(F.regexp_replace("http_header", r"[\r\n]+", "; "), r"; \z", ""), F.lit(CRLF)),

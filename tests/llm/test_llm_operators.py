@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers
@@ -555,6 +556,41 @@ def test_license_forms_and_near_misses(spark):
     assert license_scan.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_whole_licence_texts_are_found_in_other_spellings(spark):
+    """Each known text, reflowed, in capitals, with a copyright line and other spellings, and none with a word more."""
+    rows = []
+    for n, (_, text) in enumerate(license_scan.KNOWN_TEXTS):
+        other = re.sub(r"\b([Ll])icense\b", r"\1icence", text).replace("organization", "organisation").upper().replace("\n", "  \r\n\t")
+        rows += [(2 * n, "Copyright 1999-2024 The Authors\n" + other), (2 * n + 1, text + " x")]
+    rows += [(-1, "licence licence x"), (-2, "license license x")]
+    df = spark.createDataFrame([*rows, *rows[:2], (None, license_scan.MIT), (7777, "word " * 30_000)], "doc_id long, text string")
+    out = license_scan.scan_licenses(df).collect()
+    assert len(out) == len(rows) + 4
+    got = {r["doc_id"]: r for r in out}
+    for n, (name, _) in enumerate(license_scan.KNOWN_TEXTS):
+        assert got[2 * n]["license_id"] == name and got[2 * n + 1]["license_id"] is None
+    assert got[-1]["canonical_sha256"] == got[-2]["canonical_sha256"] and got[None]["license_id"] == "MIT"
+
+
+def test_html_that_is_not_tidy(spark):
+    """Unclosed heads, all quotings of attributes, references of every kind: expected texts written out."""
+    rows = [
+        (1, "<html><head><title>T</title><body><p>Body text here</p>", "Body text here"),
+        (2, "<p>caf&eacute; &#39;a&#x27; &#128512; &amp;lt; &bogus; &Ntilde;&#0;&#xD800;", "café 'a' 😀 &lt; &bogus; Ñ\ufffd\ufffd"),
+        (3, "<p>one<br>two<script>if (a<b) x()</script> three<style>p{}", "one\ntwo three"),
+        (4, "x" * 200_000 + "<!-- never closed", "x" * 200_000),
+        (5, "<?xml version='1.0'?><p>a</p>", "a"),
+    ]
+    links = "<html lang='de-AT'><a href='x?a=1&amp;b=2'>1</a><A class=k HREF=y>2</A><a data-href=no href = \"z\">3</a>"
+    pages = spark.createDataFrame([(n, "http://a/", html) for n, html, _ in rows] + [(9, None, links)], "page_id long, url string, html string")
+    pages = pages.withColumn("payload", F.lit("clash")).withColumn("record_id", F.lit(1))
+    got = {(r["page_id"], r["warc_type"]): r["block"] for r in warc.derive(warc.responses(pages)).collect()}
+    for n, _, text in rows:
+        assert got[n, "conversion"] == text
+    lines = got[9, "metadata"].split("\r\n")
+    assert [x for x in lines if x.startswith("outlink")] == ["outlink: x?a=1&b=2", "outlink: y", "outlink: z"] and "language: de-AT" in lines
+
+
 def test_warc_records_and_files(spark, tmp_path):
     import base64
     import gzip
