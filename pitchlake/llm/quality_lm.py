@@ -44,8 +44,8 @@ STEP = 0.001
 HELD_OUT = 5
 START, END, REPEATED = 0, 1, 2
 #: Tokens of a chunk of documents, bigrams that a task gathers before it sends them, and tokens of all documents for each shard.
-CHUNK = 1 << 20
-FLUSH = 1 << 20
+CHUNK = 1 << 19
+FLUSH = 1 << 19
 PER_SHARD = 1 << 22
 LEAST_SHARDS = 12
 KEY_BITS = 48
@@ -93,19 +93,20 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
 # -- packed arrays -----------------------------------------------------------------------------------------------------
 
 
-def packed(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, byte plane by byte plane and compressed; the first, which is sorted, as differences."""
+def packed(*columns: np.ndarray, ordered: bool = True) -> bytes:
+    """Columns of whole numbers, byte plane by byte plane and compressed; the first, if it is sorted, as differences."""
     n = len(columns[0])
-    columns = [np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0)), *columns[1:]]
+    if ordered:
+        columns = [np.diff(columns[0].astype(np.uint64), prepend=np.uint64(0)), *columns[1:]]
     planes = np.concatenate([c.astype("<u8").view(np.uint8).reshape(n, 8).T.reshape(-1) for c in columns])
     return np.array([n, len(columns)], "<i8").tobytes() + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(blob: bytes) -> list[np.ndarray]:
+def unpacked(blob: bytes, ordered: bool = True) -> list[np.ndarray]:
     n, k = np.frombuffer(blob, "<i8", 2).tolist()
     raw = np.frombuffer(pa.decompress(blob[16:], decompressed_size=8 * n * k, codec="zstd", asbytes=True), np.uint8)
     columns = [np.ascontiguousarray(c.reshape(8, n).T).view("<u8").reshape(-1) for c in raw.reshape(k, 8 * n)] if n else [np.zeros(0, np.uint64)] * k
-    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]]
+    return [np.cumsum(columns[0], dtype=np.uint64), *columns[1:]] if ordered else columns
 
 
 def by_shard(shards: int, keys: np.ndarray, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
@@ -157,7 +158,7 @@ def encode(docs: DataFrame) -> DataFrame:
                 *(one([p[i] for p in parts]) for i in range(3)),
                 one([pa.array([len(t) for t in kept], pa.int32())]),
                 pa.array([word_keys(tokens[order]).tobytes()], pa.binary()),
-                pa.array([packed(np.zeros(len(local), np.uint64), rank[local])], pa.binary()),
+                pa.array([packed(rank[local], ordered=False)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "langs", "text_keys", "sizes", "words", "local"])
 
@@ -191,7 +192,7 @@ class Tokens:
     """The token keys of a chunk, and its bigrams: those inside one document."""
 
     def __init__(self, words: bytes, local: bytes, sizes: np.ndarray):
-        self.words, self.local = np.frombuffer(words, np.uint64), unpacked(local)[1].astype(np.int64)
+        self.words, self.local = np.frombuffer(words, np.uint64), unpacked(local, ordered=False)[0].view(np.int64)
         self.inside = np.ones(len(self.local), dtype=bool)
         self.inside[np.cumsum(sizes) - 1] = False
         self.inside = self.inside[:-1]
@@ -327,7 +328,7 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
                 got = found(bigrams[0], bigrams[1:], want)
             else:
                 got = [*found(words[0], words[1:], want), *found(contexts[0], contexts[1:], want)]
-            out.append(packed(np.zeros(len(want), np.uint64), *got))
+            out.append(packed(*got, ordered=False))
         return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], "kind": asked["kind"], "pack": pa.array(out, pa.binary())})
 
     def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
@@ -335,7 +336,7 @@ def score(chunks: DataFrame, model: Model) -> DataFrame:
         tokens = Tokens(texts["words"][0].as_py(), texts["local"][0].as_py(), sizes.to_numpy())
         answers = answers.sort_by("shard").to_pylist()
         (c,), (before, *context) = (
-            [np.concatenate(x) for x in list(zip(*(unpacked(r["pack"]) for r in answers if r["kind"] == kind)))[1:]] for kind in ("bigrams", "words")
+            [np.concatenate(x) for x in zip(*(unpacked(r["pack"], ordered=False) for r in answers if r["kind"] == kind))] for kind in ("bigrams", "words")
         )
         b, w = tokens.bigrams()
         places, which = np.unique(b * len(tokens.words) + w, return_inverse=True)

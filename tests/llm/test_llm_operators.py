@@ -450,6 +450,7 @@ def test_packed_arrays_come_back():
     for n in (0, 1, 1000):
         back = quality_lm.unpacked(quality_lm.packed(keys[:n], np.arange(n)))
         assert (back[0] == keys[:n]).all() and (back[1] == np.arange(n)).all()
+        assert (quality_lm.unpacked(quality_lm.packed(keys[:n][::-1], ordered=False), ordered=False)[0] == keys[:n][::-1]).all()
 
 
 def test_rejection_is_by_row_not_by_id(spark):
