@@ -472,13 +472,73 @@ def bootstrap_interval(spark, sf_dir):
     return fits.bootstrap_interval(rows, F.to_date("generated_at"), "gain")
 
 
-@R.query()
+@R.query("""
+WITH RECURSIVE d AS (SELECT p, ln(least(greatest(p, 1e-9), 1 - 1e-9) / (1 - least(greatest(p, 1e-9), 1 - 1e-9))) AS x, count(*) AS n, CAST(sum(y) AS DOUBLE) AS y FROM observations GROUP BY 1),
+f AS (SELECT 0 AS step, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
+  SELECT f.step + 1, least(greatest(any_value(f.a) - 0.03 * sum((n / (1 + exp(-(f.a * x + f.b))) - y) * x) / sum(n), 0.05), 5), least(greatest(any_value(f.b) - 0.03 * sum(n / (1 + exp(-(f.a * x + f.b))) - y) / sum(n), -5), 5)
+  FROM f, d WHERE f.step < 500 GROUP BY f.step)
+SELECT round(a, 6) AS a, round(b, 6) AS b FROM f WHERE step = 500""")
 def platt_fit(spark, sf_dir):
     a, b = fits.platt_fit(frame(spark, sf_dir, "observations"))
-    return spark.range(1).select(F.lit(a).alias("a"), F.lit(b).alias("b"))
+    return spark.range(1).select(F.round(F.lit(a), 6).alias("a"), F.round(F.lit(b), 6).alias("b"))
+
+
+@R.query()
+def platt_by_market(spark, sf_dir):
+    """Platt parameters of every market, all in one job."""
+    return fits.platt_fits(frame(spark, sf_dir, "observations"), ["market"])
+
+
+def _outcomes(spark, sf_dir):
+    m = frame(spark, sf_dir, "matches").filter("finished")
+    return m.select(
+        "id", "kick", "competition", (F.col("home") % 5 / 4.0).alias("x1"), (F.col("away") % 7 / 6.0).alias("x2"), (F.col("hg") + F.col("ag") > 2).cast("int").alias("over"), "hg",
+        F.when(F.col("hg") > F.col("ag"), "HOME").when(F.col("hg") == F.col("ag"), "DRAW").otherwise("AWAY").alias("result"),
+    )
+
+
+@R.query()
+def glm_by_competition(spark, sf_dir):
+    """Logistic, Poisson and softmax fits of every competition."""
+    rows = _outcomes(spark, sf_dir)
+    out = None
+    for kind, label in (("logistic", "over"), ("poisson", "hg"), ("softmax", "result")):
+        one = fits.glm_fits(rows, ["competition"], ["x1", "x2"], label, kind).withColumn("kind", F.lit(kind))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @R.query()
+def walk_forward_forecasts(spark, sf_dir):
+    """Out-of-sample forecasts, each by a model of the folds before its own."""
+    rows = _outcomes(spark, sf_dir)
+    return fits.walk_forward(fits.walk_forward_folds(rows, "kick", "id"), ["x1", "x2"], "over")
+
+
+@R.query()
+def calibration_by_market(spark, sf_dir):
+    """Parameters and status of every market, fitted on the earlier half and judged on the later."""
+    rows = fits.chronological_half(frame(spark, sf_dir, "observations"), "generated_at")
+    return fits.fit_calibration(rows, "market")
+
+
+@R.query("""
+WITH x AS (SELECT match_id, greatest(p, 1e-9) AS a, greatest((1 - p) * CAST(0.4 AS DOUBLE), 1e-9) AS b, greatest((1 - p) * CAST(0.6 AS DOUBLE), 1e-9) AS c, match_id % 3 AS r FROM observations),
+t AS (SELECT CAST(0.5 AS DOUBLE) + CAST(0.1 AS DOUBLE) * i AS t FROM range(16) g(i)),
+l AS (SELECT t, round(avg(-ln(greatest(exp(ln(CASE r WHEN 0 THEN a WHEN 1 THEN b ELSE c END) / t) / (exp(ln(a) / t) + exp(ln(b) / t) + exp(ln(c) / t)), 1e-12))), 8) AS loss FROM x, t GROUP BY 1)
+SELECT round(t, 8) AS t, loss FROM l ORDER BY l.loss, l.t LIMIT 1""")
+def temperature_selection(spark, sf_dir):
+    p = F.col("p")
+    result = F.element_at(F.array(F.lit("HOME"), F.lit("DRAW"), F.lit("AWAY")), (F.col("match_id") % 3 + 1).cast("int"))
+    rows = frame(spark, sf_dir, "observations").select(p.alias("home"), ((1 - p) * 0.4).alias("draw"), ((1 - p) * 0.6).alias("away"), result.alias("result"))
+    return fits.select_temperature(rows).select(F.round("t", 8).alias("t"), F.round("loss", 8).alias("loss"))
+
+
+@R.query("""
+WITH RECURSIVE d AS (SELECT p, count(*) AS n, CAST(sum(y) AS DOUBLE) AS y FROM observations GROUP BY 1), f AS (SELECT 0 AS step, CAST(0 AS DOUBLE) AS w, CAST(0 AS DOUBLE) AS c UNION ALL
+  SELECT f.step + 1, any_value(f.w) - 0.08 * (sum((n / (1 + exp(-(f.w * p + f.c))) - y) * p) / sum(n) + 0.002 * any_value(f.w)), any_value(f.c) - 0.08 * sum(n / (1 + exp(-(f.w * p + f.c))) - y) / sum(n)
+  FROM f, d WHERE f.step < 700 GROUP BY f.step)
+SELECT round(w, 6) AS w_p, round(c, 6) AS intercept FROM f WHERE step = 700""")
 def glm_gd_fit(spark, sf_dir):
     w = fits.logistic_gd(frame(spark, sf_dir, "observations"), ["p"], "y")
-    return spark.range(1).select(F.lit(w[0]).alias("w_p"), F.lit(w[1]).alias("intercept"))
+    return spark.range(1).select(F.round(F.lit(w[0]), 6).alias("w_p"), F.round(F.lit(w[1]), 6).alias("intercept"))

@@ -158,3 +158,78 @@ def test_registered_fits_run_all_their_steps(spark, monkeypatch):
     for query in (forecasts.platt_fit, forecasts.glm_gd_fit, forecasts.bootstrap_interval):
         query(spark, "/root/testdata/sf0.001")
     assert asked == {"platt_fit": 500, "logistic_gd": 700, "bootstrap_interval": 2000}
+
+
+def test_grouped_fits_equal_numpy(spark):
+    """Each kind of fit over weighted distinct rows, against plain loops over all rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 4, (300, 2)) / 3
+    classes = np.array(["HOME", "DRAW", "AWAY"])[rng.integers(0, 3, 300)]
+    goals = rng.poisson(1.4, 300)
+    rows = [(1, *map(float, a), int(g > 1), int(g), str(c)) for a, g, c in zip(x, goals, classes)]
+    df = spark.createDataFrame(rows, "grp long, a double, b double, over int, goals int, result string")
+    for kind, label in (("logistic", "over"), ("poisson", "goals"), ("softmax", "result")):
+        got = {(r["term"], r["class"]): r["weight"] for r in fits.glm_fits(df, ["grp"], ["a", "b"], label, kind).collect()}
+        names = ["HOME", "DRAW", "AWAY"] if kind == "softmax" else [""]
+        y = np.stack([classes == c for c in names], 1).astype(float) if kind == "softmax" else (goals > 1 if kind == "logistic" else goals).astype(float)[:, None]
+        steps, rate = {"logistic": (700, 0.08), "poisson": (800, 0.015), "softmax": (800, 0.06)}[kind]
+        w, c = np.zeros((2, len(names))), np.zeros(len(names))
+        if kind == "poisson":
+            c += np.log(goals.mean())
+        for _ in range(steps):
+            z = x @ w + c
+            p = np.exp(z) if kind == "poisson" else 1 / (1 + np.exp(-z)) if kind == "logistic" else np.exp(z) / np.exp(z).sum(1, keepdims=True)
+            w, c = w - rate * (x.T @ (p - y) / 300 + 0.002 * w), c - rate * (p - y).mean(0)
+        for j, k in enumerate(names):
+            assert [got["a", k], got["b", k], got["intercept", k]] == pytest.approx([w[0, j], w[1, j], c[j]], rel=1e-6)
+
+
+def test_walk_forward_sees_the_past_only(spark):
+    """Changing a later fold's outcomes changes no earlier forecast."""
+    rows = [(i, i // 20, (i % 5) / 4, int(i % 3 == 0)) for i in range(100)]
+    other = [(i, f, x, y if f < 3 else 1 - y) for i, f, x, y in rows]
+    a, b = ({r["id"]: r["p"] for r in fits.walk_forward(spark.createDataFrame(d, "id long, fold long, x double, y int"), ["x"], "y").collect()} for d in (rows, other))
+    assert set(a) == set(range(20, 100))
+    assert all(a[i] == b[i] for i in range(20, 80)) and any(a[i] != b[i] for i in range(80, 100))
+
+
+def test_calibration_is_accepted_only_where_it_helps(spark):
+    rows = []
+    for n in range(400):
+        part = "fit" if n < 200 else "test"
+        rows += [("off", part, 0.9 if n % 2 else 0.8, int(n % 10 < 5)), ("flip", part, 0.7, int((n % 10 < 9) == (part == "fit")))]
+    rows += [("few", "fit", 0.5, 1)] * 5
+    got = {r["family"]: r["status"] for r in fits.fit_calibration(spark.createDataFrame(rows, "family string, part string, p double, y int"), "family").collect()}
+    assert got == {"off": "CALIBRATED_V1", "flip": "CALIBRATION_NOT_BENEFICIAL", "few": "INSUFFICIENT_SAMPLE"}
+
+
+def test_elo_splits_unlinked_teams(spark):
+    rows = [(1, DAY, 1, 1, 2, 1, 0, None, None, True), (2, DAY, 1, 8, 9, 1, 0, None, None, True), (3, DAY + dt.timedelta(days=1), 1, 2, 3, 0, 0, None, None, True), (4, DAY + dt.timedelta(days=2), 1, 9, 8, 0, 0, None, None, True)]
+    df = matches(spark, rows)
+    assert {r["id"]: r["system"] for r in form.systems(df).collect()} == {1: 1, 2: 8, 3: 1, 4: 8}
+    out = {r["id"]: r for r in form.elo(df).collect()}
+    assert out[4]["away_elo"] > 1500 > out[4]["home_elo"] and out[3]["home_elo"] < 1500
+
+
+def test_rejections_keep_their_order(spark):
+    from pitchlake.operators import ranking
+
+    base = dict(id=1, match_id=1, market="TOTAL_GOALS", selection="OVER", line=2.5, p=0.7, odd=1.8, availability="AVAILABLE", identity_valid=True, kickoff_known=True, history_home=9, history_away=9,
+                corners_coverage=1.0, status="CALIBRATED_V1", observed=0.7, n=60, match_status="scheduled", age_seconds=3600, day="2024-01-01")
+    cases = [({}, None), ({"odd": None}, "ODDS_UNAVAILABLE"), ({"odd": 1.0, "availability": "x"}, "INVALID_ODDS"), ({"identity_valid": False, "kickoff_known": False}, "RESOLUTION_FAILED"),
+             ({"history_home": 4, "match_status": "started"}, "INSUFFICIENT_HISTORY"), ({"observed": 0.3, "age_seconds": 10**6}, "NEGATIVE_MODEL_QUALITY"), ({"age_seconds": 86400}, None),
+             ({"age_seconds": 86401}, "STALE_ODDS"), ({"age_seconds": -1}, "INVALID_ODDS"), ({"line": 3.5}, "UNSUPPORTED_MARKET")]
+    kinds = "id long, match_id long, market string, selection string, line double, p double, odd double, availability string, identity_valid boolean, kickoff_known boolean, history_home long, history_away long, corners_coverage double, status string, observed double, n long, match_status string, age_seconds long, day string"
+    rows = [tuple({**base, **change}.values()) for change, _ in cases]
+    got = [r[0] for r in spark.createDataFrame(rows, kinds).coalesce(1).select(ranking.rejection("OVER_25")).collect()]
+    assert got == [reason for _, reason in cases]
+
+
+def test_best_combination_prefers_the_exact_target(spark):
+    legs = [(1, 1, 1, 1.5, 0.1), (1, 2, 2, 1.2, 0.1), (1, 3, 3, 1.3, 0.9), (1, 4, 1, 1.2, 0.9), (2, 1, 1, 1.1, 0.5), (2, 2, 2, 1.2, 0.5), (2, 3, 3, 1.3, 0.5)]
+    df = spark.createDataFrame(legs, "coupon long, leg long, match_id long, odd double, score double")
+    got = {r["coupon"]: (r["size"], list(r["ids"])) for r in settlement.best_combination(settlement.combinations(df)).collect()}
+    assert got == {1: (2, [1, 2]), 2: (3, [1, 2, 3])}
+    assert settlement.combinations(df, most=2).filter("size = 0").count() == 2
