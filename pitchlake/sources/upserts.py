@@ -7,19 +7,31 @@ from pyspark.sql import functions as F
 
 
 def insert_or_ignore(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """Rows of ``new`` to append: the first of each key that ``old`` lacks."""
-    return new.dropDuplicates(key).join(old.select(*key), key, "left_anti")
+    """Rows of ``new`` to append: one of each key that ``old`` lacks, of several the smallest by its other columns."""
+    rest = [c for c in new.columns if c not in key]
+    row = F.struct(*(rest or key))
+    one = new.groupBy(*key).agg(F.min(row).alias("_r"))
+    chosen = one.select(*[F.col(c) if c in key else F.col(f"_r.{c}").alias(c) for c in new.columns])
+    return chosen.join(old.select(*key), key, "left_anti")
 
 
 def upsert_statistics(old: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
-    """Per column the newest value that is not null: a later gap erases nothing."""
+    """Per column the newest value that is not null: a later gap erases nothing. Of several new values the largest."""
     both = old.withColumn("_age", F.lit(0)).unionByName(new.withColumn("_age", F.lit(1)))
-    pick = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_age"))).alias(c) for c in values]
+    pick = [F.max(F.when(F.col(c).isNotNull(), F.struct("_age", c))).getField(c).alias(c) for c in values]
     return both.groupBy(*key).agg(*pick)
 
 
 def upsert_matches(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """Known kickoff times are never downgraded, status only moves to finished, scores are filled and corrected."""
+    """Known kickoff times are never downgraded, status only moves to finished, scores are filled and corrected.
+
+    Several new rows of a key are first one by the same rules: the best known and latest kickoff, finished if any is, the
+    largest whole score.
+    """
+    finished_first = F.max(F.struct((F.col("status") == "finished").alias("f"), "status")).getField("status")
+    score = F.max(F.when(F.col("hg").isNotNull() & F.col("ag").isNotNull(), F.struct("hg", "ag")))
+    new = new.groupBy(key).agg(F.max("known").alias("known"), F.max(F.struct("known", "kick")).getField("kick").alias("kick"), finished_first.alias("status"), score.alias("s"))
+    new = new.select(key, "known", "kick", "status", "s.hg", "s.ag")
     o, n = old.alias("o"), new.alias("n")
     joined = o.join(n, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
     known = F.greatest("o.known", "n.known")

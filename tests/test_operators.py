@@ -87,9 +87,12 @@ def test_multiclass_skips_incomplete_events_and_breaks_ties(spark):
     assert (out["events"], out["accuracy"]) == (1, 1.0)
 
 
-def test_logistic_descent_equals_numpy(spark):
+@pytest.mark.parametrize("distinct", [1_000_000, 1])
+def test_logistic_descent_equals_numpy(spark, monkeypatch, distinct):
     import numpy as np
 
+    monkeypatch.setattr(fits, "DISTINCT", distinct)
+
     rng = np.random.default_rng(0)
     x = rng.integers(0, 5, 200) / 4
     y = (rng.random(200) < 0.2 + 0.6 * x).astype(int)
@@ -233,3 +236,25 @@ def test_best_combination_prefers_the_exact_target(spark):
     got = {r["coupon"]: (r["size"], list(r["ids"])) for r in settlement.best_combination(settlement.combinations(df)).collect()}
     assert got == {1: (2, [1, 2]), 2: (3, [1, 2, 3])}
     assert settlement.combinations(df, most=2).filter("size = 0").count() == 2
+
+
+def test_upserts_of_repeated_keys_give_one_row(spark):
+    from pitchlake.sources import upserts
+
+    old = spark.createDataFrame([(1, "a")], "k long, v string")
+    new = spark.createDataFrame([(1, "b"), (2, "d"), (2, "c"), (3, None)], "k long, v string")
+    assert sorted(map(tuple, upserts.insert_or_ignore(old, new, ["k"]).collect())) == [(2, "c"), (3, None)]
+    stats = upserts.upsert_statistics(spark.createDataFrame([(1, 5)], "k long, x long"), spark.createDataFrame([(1, None), (1, 3), (1, 2)], "k long, x long"), ["k"], ["x"])
+    assert [tuple(r) for r in stats.collect()] == [(1, 3)]
+    kinds = "id long, known int, kick timestamp_ntz, status string, hg long, ag long"
+    rows = [(1, 0, DAY, "scheduled", None, None), (1, 1, DAY, "finished", 2, 1), (1, 0, DAY + dt.timedelta(days=1), "postponed", None, 3)]
+    got = upserts.upsert_matches(spark.createDataFrame(rows[:1], kinds), spark.createDataFrame(rows[1:], kinds)).collect()
+    assert [tuple(r) for r in got] == [(1, 1, DAY, "finished", 2, 1)]
+
+
+def test_results_file_with_short_and_long_rows(spark, tmp_path):
+    head = ",".join(f.name for f in results_csv.SCHEMA)
+    (tmp_path / "r.csv").write_text(f"{head}\nE0, 01/02/2020 ,15:00, A ,B,1,2\nE0,01/02/2020,,C,D\n")
+    rows = results_csv.read(spark, str(tmp_path / "r.csv"))
+    got = [(r["HomeTeam"], r["FTHG"], r["FTAG"]) for r in rows.collect()]
+    assert got == [("A", "1", "2"), ("C", None, None)]
