@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 #: Neighbours that are remembered.
-MAX_PAIRS = 100_000
+MAX_PAIRS = 400_000
 
 #: The longest end of what was read that some token begins with, and the last token before each of its symbols and at its
 #: end (None where nothing was read).

@@ -1,8 +1,8 @@
 """Exact deduplication by composable polynomial fingerprints and chunkwise comparison.
 
 A text is cut into chunks of ``CHUNK`` bytes. The hash of a chunk is ``sum(b[j] * B**j) mod P`` for two bases; hashes of
-adjacent chunks compose as ``h(ab) = h(a) + B**len(a) * h(b)``, so chunks can be hashed anywhere and in any order and the
-whole is a sum, which Spark aggregates. Rows with equal fingerprint and length are then compared, chunk by chunk, with one
+adjacent chunks compose as ``h(ab) = h(a) + B**len(a) * h(b)``, whatever the grouping; the chunks of one text are hashed and
+composed where the text is, so its memory beside the text is one chunk's. Rows with equal fingerprint and length are then compared, chunk by chunk, with one
 row of their group; a fingerprint that two different texts share is split by SHA-256 afterwards. So the result is exact
 whatever the hash does.
 
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,7 +74,7 @@ def _fingerprints(texts: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([fingerprint(t or "") for t in texts], columns=["h1", "h2", "n_bytes"], dtype="int64")
 
 
-#: Pieces of a long text: (hash of the piece shifted to its place), to be summed over the text.
+#: Numbered pieces of a text, for the comparison of copies.
 @F.pandas_udf(PIECES)
 def _pieces(texts: pd.Series) -> pd.Series:
     return pd.Series(
@@ -82,10 +82,6 @@ def _pieces(texts: pd.Series) -> pd.Series:
     )
 
 
-def _key(df: DataFrame) -> Column:
-    return F.struct("fp.h1", "fp.h2", "fp.n_bytes")
-
-
 def _hashed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(df[text_col], F.lit(""))
     return df.select(F.struct(*df.columns).alias("row"), df[id_col].alias("id"), text.alias("text")).withColumn(

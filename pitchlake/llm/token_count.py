@@ -31,6 +31,8 @@ from pitchlake.llm.storage import durable
 CHUNK = 1 << 15
 #: Compiled states kept at a time, in each Python worker.
 MAX_STATES = 250_000
+#: Characters after which their number is looked at.
+STRIDE = 1 << 14
 LIMIT = 512
 
 # The characters that the pattern's \s stands for.
@@ -185,12 +187,14 @@ class Transducer:
         return self._begin(char, kind, 0)  # START, C
 
     def _plain(self, text: str) -> int:
-        if len(self.states) > MAX_STATES:
-            self.clear()
         state, total = self.start, 0
-        for char in text:
-            state, added = state[char]
-            total += added
+        for begin in range(0, len(text), STRIDE):
+            if len(self.states) > MAX_STATES:
+                self.clear()  # but for the state it is in
+                state = self.start if begin == 0 else self._state(state.mode, state.bpe, state.last, state.gain)
+            for char in text[begin : begin + STRIDE]:
+                state, added = state[char]
+                total += added
         return total + state.closing
 
     def count(self, text: str) -> int:

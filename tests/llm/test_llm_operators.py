@@ -276,6 +276,22 @@ def test_sentencepiece_operator_on_odd_rows(spark, monkeypatch):
     assert sentencepiece_codec.encode_documents(df.limit(0)).count() == 0
 
 
+def test_token_states_are_dropped_inside_a_text(monkeypatch):
+    """Random letters without white space: the count stays the library's, and the states stay few."""
+    import tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = tokenizers.Tokenizer.from_file(path)
+    monkeypatch.setattr(token_count, "MAX_STATES", 300)
+    monkeypatch.setattr(token_count, "STRIDE", 50)
+    monkeypatch.setattr(token_count, "_LOADED", {})
+    machine = token_count.load(path)
+    rng = random.Random(9)
+    for text in ("".join(rng.choices("abcdefghij'é 7", k=5000)), "".join(rng.choices("abcxyz", k=5000)), "it's we'll " * 400):
+        assert machine.count(text) == len(library.encode(text, add_special_tokens=False).ids)
+        assert len(machine.states) < 1000
+
+
 # -- near duplicates ---------------------------------------------------------------------------------------------------
 
 
