@@ -120,9 +120,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df`` that stay, with its own columns."""
     kept = durable(classes(df, id_col, text_col).filter("kept").select("id", "fp"))
-    whole = _hashed(df, id_col, text_col)
+    whole = _hashed(df, id_col, text_col).select("row", "id", "fp")  # the text travels once, in its row
     joined = whole.alias("w").join(
         kept.hint("merge").alias("k"), (F.col("w.fp") == F.col("k.fp")) & F.col("w.id").eqNullSafe(F.col("k.id"))
     )
-    one = Window.partitionBy("w.fp", "w.id").orderBy("w.text")
+    one = Window.partitionBy("w.fp", "w.id").orderBy(F.coalesce(F.col("w.row")[text_col], F.lit("")))
     return joined.withColumn("_nth", F.row_number().over(one)).filter("_nth = 1").select("row.*")
