@@ -123,10 +123,95 @@ FROM made
 """
 
 
+def _crc(text: str) -> str:
+    """The unsigned CRC-32 of a string, byte by byte; ``divided`` must be joined."""
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: CAST('0x' || x AS UINTEGER))"
+    step = "xor(c >> 8, divided[CAST(xor(c, b) & 255 AS INTEGER) + 1])"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS UINTEGER), {octets}), lambda c, b: {step}), CAST(4294967295 AS UINTEGER))"
+
+
+#: What each byte leaves when divided by the reflected polynomial, in order.
+DIVIDED = """divisors AS (
+  SELECT list(r ORDER BY i) AS divided FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS UINTEGER), list_transform(range(8), lambda k: CAST(k AS UINTEGER))),
+      lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UINTEGER)) ELSE c >> 1 END) AS r
+    FROM range(256) AS t(i)))"""
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def op11() -> str:
+    runs = r"""(SELECT side, nth, w AS one, w || ' ' || lead(w) OVER d AS two, w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d AS three
+  FROM (SELECT side, nth, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM said) WINDOW d AS (PARTITION BY side, nth ORDER BY pos))"""
+    return f"""
+WITH {DIVIDED}, texts AS (
+  SELECT 's' AS side, row_number() OVER () AS nth, doc_id, text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, text FROM benchmark
+), said AS (
+  SELECT side, nth, doc_id, regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS words FROM texts
+), grams AS (
+  SELECT side, nth, gram FROM (SELECT side, nth, unnest([one, two, three]) AS gram FROM {runs}) WHERE gram IS NOT NULL
+), crcs AS (
+  SELECT gram, {_crc("gram")} % 10000 AS bucket FROM (SELECT DISTINCT gram FROM grams), divisors
+), found AS (
+  SELECT side, nth, bucket FROM grams JOIN crcs USING (gram)
+), sides AS (
+  SELECT b AS bucket, count(*) FILTER (side = 's') AS s, count(*) FILTER (side = 't') AS t
+  FROM range(10000) AS r(b) LEFT JOIN found ON bucket = b GROUP BY b
+), gains AS (
+  SELECT bucket, CAST(floor(1000.0::DOUBLE * ln(((t + 1)::DOUBLE * (S_all + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (T_all + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM sides, (SELECT sum(s)::BIGINT AS S_all, sum(t)::BIGINT AS T_all FROM sides)
+), weights AS (
+  SELECT nth, count(*) AS n_features, sum(gain)::BIGINT AS weight FROM found JOIN gains USING (bucket) WHERE side = 's' GROUP BY nth
+), scored AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000.0::DOUBLE * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8) AS BIGINT) + 0.5::DOUBLE)
+           / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM said LEFT JOIN weights USING (nth) WHERE said.side = 's'
+), ranked AS (
+  SELECT *, row_number() OVER (ORDER BY n_words < 20, score DESC, doc_id) AS place, 5 * (count(*) FILTER (n_words >= 20) OVER ()) // 100 AS drawn FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= drawn THEN place END AS rank FROM ranked
+"""
+
+
+def op12() -> str:
+    return f"""
+WITH RECURSIVE {DIVIDED}, runs AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, unnest(regexp_extract_all({LOWER.format("text")}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents
+), counted AS (
+  SELECT id, run, count(*) AS times FROM runs WHERE length(run) >= 6 GROUP BY id, run
+), hashed AS (
+  SELECT run, times, {_crc("id || ':' || run")} AS h FROM counted, divisors
+), spelt AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, times
+  FROM hashed
+), words AS (
+  SELECT word, sum(times)::BIGINT AS n FROM spelt WHERE length(word) >= 6 GROUP BY word HAVING sum(times) >= 5
+), cut AS (
+  SELECT word, n, i, substr(word, 1, CAST(i AS INTEGER)) || substr(word, CAST(i AS INTEGER) + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), near AS (
+  SELECT a.word, b.word AS other, b.n AS n_other FROM cut a JOIN cut b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, (list(other ORDER BY n_other DESC, other))[1] AS top, max(n_other) AS top_n FROM near GROUP BY word
+), forms AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 5 * n THEN top END AS form, CASE WHEN top_n >= 5 * n THEN top_n END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), climb AS (
+  SELECT word, word AS here, form AS ahead FROM forms
+  UNION ALL SELECT c.word, f.word, f.form FROM climb c JOIN forms f ON c.ahead = f.word
+)
+SELECT word, n, form, here AS root, n_near, form_n FROM forms JOIN (SELECT word, here FROM climb WHERE ahead IS NULL) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_license_scan": op2(),
         "op3_chat_format": OP3,
         "op5_exact_dedup": OP5,
         "op10_warc_derivatives": op10(),
+        "op11_importance_resampling": op11(),
+        "op12_spelling_variants": op12(),
     }

@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pitchlake.llm import (
     chat_format,
     exact_dedup,
+    importance,
     license_scan,
     mixing,
     near_dedup,
     nn_descent,
     quality_lm,
     sentencepiece_codec,
+    spelling,
     token_count,
+    token_files,
     warc,
 )
 from pitchlake.llm.storage import table
@@ -92,6 +95,30 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.responses(pages))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    drawn = importance.resample(docs, table(spark, sf_dir, "benchmark").select("text"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+
+    def misspelt(doc_id: Column, run: Column) -> Column:
+        """The contract's planted errors: one occurrence in 199 loses a letter."""
+        h = F.crc32(F.concat(doc_id, F.lit(":"), run))
+        return F.when(h % 199 == 0, spelling.without(run, (h % F.length(run)).cast("int"))).otherwise(run)
+
+    return spelling.group_variants(spelling.count_words(docs, spell=misspelt))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read = token_files.read_documents(spark, token_files.write(docs), docs.schema["doc_id"].dataType)
+    n_tokens = (F.octet_length("ids") / 4).cast("long").alias("n_tokens")
+    return read.select(F.col("id").alias("doc_id"), "start", n_tokens, F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -104,4 +131,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_sentencepiece": op8_sentencepiece,
         "op9_quality_lm": op9_quality_lm,
         "op10_warc_derivatives": op10_warc_derivatives,
+        "op11_importance_resampling": op11_importance_resampling,
+        "op12_spelling_variants": op12_spelling_variants,
+        "op13_token_files": op13_token_files,
     }

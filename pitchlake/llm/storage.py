@@ -5,12 +5,14 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
 
@@ -25,6 +27,8 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="pitchlake-"))
     return "file://" + _LOCAL_DIR[0]
@@ -42,6 +46,19 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with each row's place (from 0) in ``order``, a total order: a written range shuffle and its partitions' sizes,
+    so that no task sees all rows."""
+    placed = df.orderBy(*order).withColumns({"_part": F.spark_partition_id().cast("long"), name: F.monotonically_increasing_id()})
+    placed = durable(placed.withColumn(name, F.col(name) - F.shiftleft("_part", 33)))
+    before, offsets = 0, []
+    for part, n in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):  # a row a partition
+        offsets.append((part, before))
+        before += n
+    starts = df.sparkSession.createDataFrame(offsets, "_part long, _before long")
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+
+
 def released() -> None:
     """Give freed memory back to the system. Spark uses a Python worker for one stage after another, and what an operator
     freed would else stand beside what the next one needs. Does nothing where the C library has no such call."""
