@@ -145,6 +145,41 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "CASE WHEN l_partkey % 9 = 0 THEN NULL ELSE CAST(1 AS DOUBLE) + l_quantity / CAST(20 AS DOUBLE) END AS odd",
         ],
     ),
+    "clubs": (
+        "part",
+        [
+            "p_partkey AS id",
+            "CASE WHEN p_partkey = 7 THEN 'Manchester United' ELSE split_part(p_name, ' ', 2) || ' ' ||"
+            " translate(substr(md5(CAST(p_partkey AS STRING)), 1, 9), '0123456789abcdef', 'aeioubcdfglmnrst') END AS name",
+            "CASE WHEN p_partkey % 11 = 0 THEN NULL ELSE p_size % 5 END AS country",
+        ],
+    ),
+    "listed_clubs": (
+        "part",
+        [
+            "p_partkey + 10000000 AS id",
+            "p_partkey % 16 AS way",
+            "split_part(p_name, ' ', 2) || ' ' || translate(substr(md5(CAST(p_partkey AS STRING)), 1, 9), '0123456789abcdef', 'aeioubcdfglmnrst') AS plain",
+            "CASE WHEN p_partkey % 4 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN -1 ELSE p_size % 5 END AS country",
+        ],
+    ),
+    "club_games": (
+        "lineitem",
+        [
+            "l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS id",
+            "l_linenumber AS nth",
+            "l_partkey AS home",
+            "lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS away",
+            "l_suppkey AS pick",
+            "CAST(floor(l_partkey / 20) AS BIGINT) AS competition",
+            "CAST(l_shipdate AS DATE) AS day",
+            "l_shipdate + CAST(l_quantity AS INT) * interval '1' hour AS kick",
+            "l_suppkey % 4 <> 0 AS known",
+            "l_returnflag <> 'N' AS finished",
+            "l_partkey % 5 AS hg",
+            "l_suppkey % 4 AS ag",
+        ],
+    ),
     "goal_rows": (
         "orders",
         [

@@ -283,10 +283,16 @@ def _looked_up(value: Column, table: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[value]
 
 
-def team_key(name: Column) -> Column:
+def team_alias(key: Column, aliased: Column | None = None) -> Column:
+    """The curated name for a stripped key, or null. Aliases are one provider's: ``aliased`` tells its rows; all, if not given."""
+    found = _looked_up(key, TEAM_ALIASES)
+    return found if aliased is None else F.when(aliased, found)
+
+
+def team_key(name: Column, aliased: Column | None = None) -> Column:
     """The name by which a team is known, whatever the provider calls it."""
     key = strip_designators(fold_name(name))
-    return F.coalesce(_looked_up(key, TEAM_ALIASES), key)
+    return F.coalesce(team_alias(key, aliased), key)
 
 
 def competition_key(name: Column) -> Column:

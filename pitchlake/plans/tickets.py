@@ -408,6 +408,91 @@ def resolve_best_match(spark, sf_dir):
     return resolve.best_matches(dirty, rows, "block")
 
 
+#: A provider's way of writing a club's name: as it is, decorated, misspelt, another name, or what a curated alias names.
+LISTED = """CASE WHEN way % 8 = 1 THEN upper(replace(plain, 'o', 'ö')) WHEN way % 8 = 2 THEN 'FC ' || plain || ' SK' WHEN way % 8 = 3 THEN plain || ' City'
+ WHEN way % 8 = 4 THEN substr(plain, 1, 4) || substr(plain, 6) WHEN way % 8 = 5 THEN substr(plain, 1, 3) || 'x' || substr(plain, 5, 4) || 'y' || substr(plain, 10)
+ WHEN way % 8 = 6 THEN reverse(plain) WHEN way = 7 THEN 'Man. Utd' WHEN way = 15 THEN plain || ' . ' ELSE plain END"""
+#: The provider's games: every other one, a day, hours or a competition off at times, its opponents known already or not.
+LISTED_GAMES = """SELECT id + 1000000000 AS id, home + 10000000 AS home, CASE WHEN pick % 3 = 0 THEN away + 10000000 ELSE away END AS away, pick,
+ competition + CASE WHEN pick % 10 = 0 THEN 1 ELSE 0 END AS competition, CASE WHEN pick % 9 = 0 THEN NULL WHEN pick % 5 = 0 THEN day + 1 ELSE day END AS day,
+ kick + CAST(pick % 7 AS INT) * interval '1' hour AS kick, known, finished, CASE WHEN pick % 13 = 0 THEN hg + 1 ELSE hg END AS hg, ag
+ FROM club_games WHERE nth % 2 = 1 AND away <> home"""
+FOLDED = "trim(regexp_replace(replace(lower({}), 'ö', 'o'), '[^a-z0-9]+', ' ', 'g'))"
+BARE = "regexp_replace(regexp_replace({}, '^(fc )+', ''), '( sk)+$', '')"
+
+
+def _resolution(spark, sf_dir):
+    listed = frame(spark, sf_dir, "listed_clubs").selectExpr("id", f"{LISTED} AS name", "country")
+    games = frame(spark, sf_dir, "club_games")
+    names = {"club_games": games}
+    return listed, frame(spark, sf_dir, "clubs"), spark.sql(LISTED_GAMES.replace("club_games", "{club_games}"), **names), games.filter("away <> home")
+
+
+NAMED_PAIRS = f"""s AS (SELECT id AS source_id, country, {FOLDED.format("name")} AS folded FROM (SELECT id, {LISTED} AS name, country FROM listed_clubs)),
+sk AS (SELECT *, {BARE.format("folded")} AS key FROM s),
+t AS (SELECT id AS target_id, country AS target_country, {FOLDED.format("name")} AS target_folded, {BARE.format(FOLDED.format("name"))} AS name FROM clubs),
+allpairs AS (SELECT *, 1 - levenshtein(key, name) / CAST(greatest(length(key), length(name)) AS DOUBLE) AS sim, CASE WHEN key = 'man utd' THEN 'manchester united' END AS alias,
+  regexp_replace(key, '(.)( city)+$', '\\1') AS short FROM sk, t),
+pairs AS (SELECT source_id, target_id, coalesce(country <> target_country, false) AS conflict,
+  CASE WHEN alias = name THEN 'ALIAS' WHEN folded = target_folded THEN 'DIRECT' WHEN key = name THEN 'DESIGNATOR' WHEN short = name THEN 'QUALIFIER' ELSE 'SIMILAR' END AS kind, sim
+  FROM allpairs WHERE sim >= 0.75 OR alias = name OR short = name)"""
+
+
+@R.query(f"WITH {NAMED_PAIRS} SELECT source_id, target_id, kind, conflict, CASE WHEN kind = 'SIMILAR' THEN round(sim, 8) ELSE 1.0 END AS name_score FROM pairs")
+def name_candidates(spark, sf_dir):
+    """Every club that a provider's name may mean, from the set-similarity join; the SQL compares all pairs."""
+    listed, clubs, *_ = _resolution(spark, sf_dir)
+    found = resolve.name_candidates(listed, clubs, F.lit(True))
+    return found.select("source_id", "target_id", "kind", "conflict", F.round("name_score", 8).alias("name_score"))
+
+
+@R.query(f"""
+WITH {NAMED_PAIRS}, lg AS ({LISTED_GAMES}), cg AS (SELECT * FROM club_games WHERE away <> home),
+a AS (SELECT id, home AS team, true AS h, away AS opp, competition, day, kick, known FROM lg UNION ALL SELECT id, away, false, home, competition, day, kick, known FROM lg),
+b AS (SELECT id, home AS team, true AS h, away AS opp, competition, day, kick, known FROM cg UNION ALL SELECT id, away, false, home, competition, day, kick, known FROM cg),
+met AS (SELECT source_id, target_id, a.id AS ai, b.id AS bi, b.h AS bh, a.h = b.h AS side, a.h = b.h AND a.opp = b.opp AS opp, a.day AS ad, b.day AS bd, a.known AND b.known AS timed,
+  abs(date_diff('second', a.kick, b.kick)) // 60 AS apart FROM pairs JOIN a ON a.team = source_id JOIN b ON b.team = target_id AND a.competition = b.competition),
+ctx AS (SELECT source_id, target_id, bool_or(opp) AS opp, (list(side ORDER BY ai DESC, bi DESC, bh DESC))[1] AS side,
+  (list(CASE WHEN ad = bd THEN 'SAME_DATE' ELSE 'NEAR_DATE' END ORDER BY ai DESC, bi DESC, bh DESC) FILTER (ad IS NOT NULL AND bd IS NOT NULL))[1] AS dm,
+  (list(apart ORDER BY ai DESC, bi DESC, bh DESC) FILTER (timed))[1] AS apart FROM met GROUP BY source_id, target_id),
+j AS (SELECT p.source_id, p.target_id, kind, conflict, c.source_id IS NOT NULL AS comp, coalesce(opp, false) AS opp, coalesce(side, true) AS side, coalesce(dm, 'UNKNOWN') AS dm, apart <= 180 AS kc,
+  CASE WHEN kind = 'SIMILAR' THEN sim ELSE 1.0 END AS base FROM pairs p LEFT JOIN ctx c ON p.source_id = c.source_id AND p.target_id = c.target_id),
+k AS (SELECT *, round(base + CASE WHEN opp THEN 0.15 ELSE 0 END + CASE dm WHEN 'SAME_DATE' THEN 0.12 WHEN 'NEAR_DATE' THEN 0.03 ELSE 0 END + CASE WHEN comp THEN 0.08 ELSE 0 END
+  + CASE WHEN kc THEN 0.05 ELSE 0 END, 8) AS score FROM j),
+l AS (SELECT *, CASE WHEN kind IN ('DESIGNATOR', 'QUALIFIER') AND comp AND NOT conflict THEN 'EXACT' WHEN kind NOT IN ('DIRECT', 'ALIAS') AND score >= 0.78 AND opp AND comp AND dm = 'SAME_DATE' AND side THEN 'VERY_HIGH'
+  WHEN conflict THEN 'UNRESOLVED' WHEN kind IN ('DIRECT', 'ALIAS') THEN 'EXACT' ELSE 'REVIEW' END AS level,
+  row_number() OVER w AS nth, lead(score) OVER w AS runner_up FROM k WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, target_id))
+SELECT sk.source_id, target_id, kind, CASE WHEN score > 1 THEN 1.0 ELSE score END AS score, coalesce(CASE WHEN level IN ('EXACT', 'VERY_HIGH') AND score - runner_up < 0.05 THEN 'REVIEW' ELSE level END, 'UNRESOLVED') AS level,
+  runner_up, round(score - runner_up, 8) AS margin, comp AS competition_match, opp AS opponent_match, dm AS date_match, side AS same_orientation, kc AS kickoff_compatible, conflict
+FROM sk LEFT JOIN (SELECT * FROM l WHERE nth = 1) x ON x.source_id = sk.source_id""")
+def resolve_teams(spark, sf_dir):
+    """A provider's clubs against the canonical ones, by name and by the fixtures both play."""
+    return resolve.resolve_teams(*_resolution(spark, sf_dir), F.lit(True))
+
+
+@R.query(f"""
+WITH g AS (SELECT id, 'canonical' AS provider, competition, day, kick, known, home, away, finished, hg, ag FROM club_games WHERE away <> home
+  UNION ALL SELECT id, 'listed', competition, day, kick, known, CASE WHEN pick % 2 = 0 THEN home - 10000000 ELSE home END, away, finished, hg, ag FROM ({LISTED_GAMES})),
+n AS (SELECT id AS club, {BARE.format(FOLDED.format("name"))} AS key FROM clubs UNION ALL SELECT id + 10000000, {BARE.format(FOLDED.format("name"))} FROM clubs),
+k AS (SELECT g.*, h.key AS hk, w.key AS ak FROM g JOIN n h ON h.club = home JOIN n w ON w.club = away),
+p AS (SELECT a.id AS first, b.id AS second, CASE WHEN a.known AND b.known THEN abs(date_diff('second', a.kick, b.kick)) // 60 END AS minutes, abs(date_diff('day', a.day, b.day)) AS days,
+  a.finished AND b.finished AND NOT (a.hg = b.hg AND a.ag = b.ag) AS contradicts, a.home = b.home AND a.away = b.away AS same
+  FROM k a JOIN k b ON a.competition = b.competition AND a.hk = b.hk AND a.ak = b.ak AND a.id < b.id AND a.provider <> b.provider)
+SELECT first, second, CASE WHEN days IS NULL THEN 'UNKNOWN' WHEN days = 0 THEN 'SAME_DATE' WHEN days <= 1 THEN 'NEAR_DATE' ELSE 'INCOMPATIBLE_DATE' END AS date_match, minutes, contradicts,
+  CASE WHEN contradicts THEN 'INCOMPATIBLE' WHEN days = 0 AND coalesce(minutes <= 180, true) THEN CASE WHEN same THEN 'EXACT' ELSE 'VERY_HIGH' END ELSE 'REVIEW' END AS level FROM p""")
+def fixture_candidates(spark, sf_dir):
+    """Games that two providers both list, by their teams' keys."""
+    _, clubs, listed, games = _resolution(spark, sf_dir)
+    shared = ["id", "competition", "day", "kick", "known", "home", "away", "finished", "hg", "ag"]
+    known = listed.withColumn("home", F.when(F.col("pick") % 2 == 0, F.col("home") - 10000000).otherwise(F.col("home")))
+    both = games.select(*shared, F.lit("canonical").alias("provider")).unionByName(known.select(*shared, F.lit("listed").alias("provider")))
+    names = clubs.select(F.col("id").alias("club"), "name")
+    names = names.unionByName(names.withColumn("club", F.col("club") + 10000000))
+    for side in ("home", "away"):
+        both = both.join(names.select(F.col("club").alias(side), F.col("name").alias(f"{side}_name")), side)
+    return resolve.fixture_candidates(both)
+
+
 @R.query("""
 WITH r AS (SELECT id, CAST(hg AS DOUBLE) * 0.4 + 0.6 AS lam FROM matches),
 t AS (SELECT id, lam, k, exp(-lam) * pow(lam, k) / CAST(factorial(CAST(k AS INTEGER)) AS DOUBLE) AS p FROM r, range(0, 12) x(k))
