@@ -205,43 +205,90 @@ def systems(matches: DataFrame) -> DataFrame:
         labels = new
 
 
-def elo(matches: DataFrame, start: float = 1500.0, k: float = 20.0, home: float = 60.0, scale: float = 400.0) -> DataFrame:
+#: Matches of a time slice of a rating fold.
+SLICE = 200_000
+
+
+def time_slices(matches: DataFrame, rows: int) -> list[tuple]:
+    """(first day, last day) of stretches of whole days with about ``rows`` matches each; the table has a row a day."""
+    days = matches.groupBy(F.to_date("kick").alias("day")).count().orderBy("day").collect()
+    slices, held = [], 0
+    for day, n in days:
+        if day is not None:
+            if not slices or held + n > rows:
+                slices.append((day, day))
+                held = 0
+            slices[-1], held = (slices[-1][0], day), held + n
+    return slices
+
+
+def elo(matches: DataFrame, start: float = 1500.0, k: float = 20.0, home: float = 60.0, scale: float = 400.0, slice_rows: int = SLICE) -> DataFrame:
     """Ratings before every match: (id, home_elo, away_elo, expected_home).
 
-    Ratings are one fold over teams that are linked by matches (column ``system``, found if it is not there). A system's
-    matches pass through one task in order, a batch at a time, which holds one number a team. Matches of one instant all read
-    the ratings from before it.
+    An ordered fold over time slices against a checkpointed table of ratings, one row a team: a slice's matches are joined with
+    it, the teams that they link (column ``system``, found within the slice if it is not there) go through one task each in
+    order, which holds a number a team, and what they end with replaces the old ratings. So however long a linked league's
+    history is, a task sees one slice of it. Matches of one instant all read the ratings from before it; matches without
+    kickoff take no part.
     """
     from collections.abc import Iterator
 
     import pyarrow as pa
 
+    names = ["id", "home_elo", "away_elo", "expected_home", "team", "rating"]
+
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rating: dict[int, float] = {}
         at, updates = None, []
+
+        def settle() -> None:
+            for one, other, move in updates:
+                rating[one] += move
+                rating[other] -= move
+            updates.clear()
+
+        def final() -> list[tuple]:
+            settle()
+            return [(None, None, None, None, team, value) for team, value in rating.items()]
+
         for batch in batches:
             out = []
-            for system, kick, n, h, a, hg, ag, finished in zip(*(c.to_pylist() for c in batch.columns)):
+            for system, kick, n, h, a, hg, ag, finished, was_h, was_a in zip(*(c.to_pylist() for c in batch.columns)):
                 if (system, kick) != at:
-                    if at is None or system != at[0]:
+                    if at is not None and system != at[0]:
+                        out += final()
                         rating = {}
-                    else:
-                        for one, other, move in updates:
-                            rating[one] = rating.get(one, start) + move
-                            rating[other] = rating.get(other, start) - move
-                    at, updates = (system, kick), []
-                mine, theirs = rating.get(h, start), rating.get(a, start)
+                    settle()
+                    at = (system, kick)
+                mine, theirs = rating.setdefault(h, was_h), rating.setdefault(a, was_a)
                 expected = 1 / (1 + 10 ** ((theirs - mine - home) / scale))
-                out.append((n, mine, theirs, expected))
+                out.append((n, mine, theirs, expected, None, None))
                 if finished:
                     updates.append((h, a, k * ((1.0 if hg > ag else 0.5 if hg == ag else 0.0) - expected)))
-            names = ["id", "home_elo", "away_elo", "expected_home"]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], names)
-
-    linked = matches if "system" in matches.columns else systems(matches)
-    ordered = linked.select("system", "kick", "id", "home", "away", "hg", "ag", "finished").repartition("system")
-    ordered = ordered.sortWithinPartitions("system", "kick", "id")
-    return ordered.mapInArrow(fold, "id long, home_elo double, away_elo double, expected_home double")
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+        if rest := final():
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rest), kinds)], names)
+
+    kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+    schema = "id long, home_elo double, away_elo double, expected_home double, team long, rating double"
+    ratings, done = None, matches.sparkSession.createDataFrame([], schema)
+    for first, last in time_slices(matches, slice_rows):
+        part = matches.filter(F.to_date("kick").between(first, last))
+        part = part if "system" in part.columns else systems(part)
+        part = part.select("system", "kick", "id", "home", "away", "hg", "ag", "finished")
+        for side in ("home", "away"):
+            if ratings is None:
+                part = part.withColumn(f"_{side}", F.lit(start))
+            else:
+                was = ratings.select(F.col("team").alias(side), F.col("rating").alias(f"_{side}"))
+                part = part.join(was, side, "left").fillna(start, [f"_{side}"])
+        ordered = part.select("system", "kick", "id", "home", "away", "hg", "ag", "finished", "_home", "_away")
+        ordered = ordered.repartition("system").sortWithinPartitions("system", "kick", "id")
+        folded = checkpointed(ordered.mapInArrow(fold, schema))
+        now = folded.filter("team IS NOT NULL").select("team", "rating")
+        ratings = now if ratings is None else checkpointed(ratings.join(now, "team", "left_anti").unionByName(now))
+        done = done.unionByName(folded.filter("team IS NULL"))
+    return done.select("id", "home_elo", "away_elo", "expected_home")
 
 
 def opponent_strength(matches: DataFrame, ratings: DataFrame, last: int = 5) -> DataFrame:

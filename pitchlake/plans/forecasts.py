@@ -376,7 +376,21 @@ def decay_form(spark, sf_dir):
     return form.decayed_form(m.join(league, "competition", "left"))
 
 
-@R.query()
+#: Ratings by recursion over instants: the state is a list of the twenty teams' ratings before an instant.
+RATED = """instants AS (SELECT row_number() OVER (ORDER BY kick) AS step, kick,
+  list({'h': home, 'a': away, 'f': finished, 's': CASE WHEN hg > ag THEN 1.0 WHEN hg = ag THEN 0.5 ELSE 0.0 END::DOUBLE}) AS ms FROM matches GROUP BY kick),
+fold(step, r) AS (SELECT 1::BIGINT, list_transform(range(20), lambda t: 1500::DOUBLE)
+  UNION ALL SELECT step + 1, list_transform(range(20), lambda t: r[t + 1] + list_sum(list_transform(ms, lambda m:
+    CASE WHEN m.f AND t IN (m.h, m.a) THEN CASE WHEN t = m.h THEN 20 ELSE -20 END * (m.s - 1 / (1 + pow(10, (r[m.a + 1] - r[m.h + 1] - 60) / 400::DOUBLE))) ELSE 0::DOUBLE END)))
+  FROM fold JOIN instants USING (step)),
+rated AS (SELECT id, r[home + 1] AS home_elo, r[away + 1] AS away_elo, 1 / (1 + pow(10, (r[away + 1] - r[home + 1] - 60) / 400::DOUBLE)) AS expected_home
+  FROM matches JOIN instants USING (kick) JOIN fold USING (step))"""
+FACED = """faced AS (SELECT id, kick, finished, home AS team, away_elo AS other FROM matches JOIN rated USING (id) UNION ALL SELECT id, kick, finished, away, home_elo FROM matches JOIN rated USING (id)),
+opposed AS (SELECT t.id, t.team, count(h.id) AS n, CASE WHEN count(h.id) >= 3 THEN round(avg(h.other), 6) END AS opponent_elo
+  FROM faced t LEFT JOIN LATERAL (SELECT * FROM faced h WHERE h.team = t.team AND h.finished AND h.kick < t.kick ORDER BY h.kick DESC, h.id DESC LIMIT 5) h ON true GROUP BY t.id, t.team)"""
+
+
+@R.query(f"WITH RECURSIVE {RATED} SELECT id, round(home_elo, 6) AS home_elo, round(away_elo, 6) AS away_elo, round(expected_home, 6) AS expected_home FROM rated")
 def elo_ratings(spark, sf_dir):
     out = form.elo(frame(spark, sf_dir, "matches"))
     return out.withColumns({c: F.round(c, 6) for c in ("home_elo", "away_elo", "expected_home")})
@@ -417,14 +431,28 @@ def feature_snapshot(spark, sf_dir):
     return features.snapshots(frame(spark, sf_dir, "matches"))
 
 
-@R.query()
+def _dataset_sql() -> str:
+    plain = [c for c in features.FEATURE_NAMES if c not in features.RATED]
+    rated = {"home_elo": "r.home_elo", "away_elo": "r.away_elo", "elo_difference": "r.home_elo - r.away_elo", "expected_home": "r.expected_home"}
+    rated |= {"home_opponent_elo_5": "oh.opponent_elo", "away_opponent_elo_5": "oa.opponent_elo"}
+    values = ", ".join(f"round(CAST({rated.get(c, f'snapshot.{c}')} AS DOUBLE), 6)" for c in features.FEATURE_NAMES)
+    return f"""
+WITH RECURSIVE {RATED}, {FACED}, snapshot AS ({_snapshot_sql()})
+SELECT m.id, [{values}] AS features, CASE WHEN hg > ag THEN 'HOME' WHEN hg = ag THEN 'DRAW' ELSE 'AWAY' END AS result, hg + ag AS total,
+  hg + ag > 1 AS over_15, hg + ag > 2 AS over_25, hg + ag > 3 AS over_35, hg > 0 AND ag > 0 AS btts, hc + ac AS corners
+FROM matches m JOIN snapshot ON snapshot.id = m.id JOIN rated r ON r.id = m.id JOIN opposed oh ON oh.id = m.id AND oh.team = m.home JOIN opposed oa ON oa.id = m.id AND oa.team = m.away
+WHERE m.finished"""
+
+
+@R.query(_dataset_sql())
 def feature_dataset(spark, sf_dir):
     """All 36 inputs of finished matches, ratings included, with their labels."""
     m = frame(spark, sf_dir, "matches")
-    return features.dataset(features.vectors(features.snapshots(m, form.elo(m))), form.training_labels(m))
+    found = features.dataset(features.vectors(features.snapshots(m, form.elo(m))), form.training_labels(m))
+    return found.withColumn("features", F.transform("features", lambda x: F.round(x, 6)))
 
 
-@R.query()
+@R.query(f"WITH RECURSIVE {RATED}, {FACED} SELECT id, team, n, opponent_elo FROM opposed")
 def opponent_elo_mean(spark, sf_dir):
     matches = frame(spark, sf_dir, "matches")
     return form.opponent_strength(matches, form.elo(matches))
