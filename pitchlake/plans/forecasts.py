@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.fixtures import frame
 from pitchlake.functions import expressions as E
-from pitchlake.operators import asof, features, fits, form, quality, report
+from pitchlake.operators import asof, features, fits, form, quality, report, training
 from pitchlake.plans.registry import Registry
 
 R = Registry()
@@ -517,6 +517,26 @@ def platt_by_market(spark, sf_dir):
     return fits.platt_fits(frame(spark, sf_dir, "observations"), ["market"])
 
 
+def _training_rows(spark, sf_dir):
+    m = frame(spark, sf_dir, "matches")
+    return training.training_rows(features.snapshots(m, form.elo(m)), m, features.FEATURE_NAMES)
+
+
+@R.query()
+def trained_models(spark, sf_dir):
+    """Every head's weights, the inputs' scaling, blend weights and test metrics, trained on all finished matches."""
+    made = training.train(_training_rows(spark, sf_dir), features.FEATURE_NAMES)
+    out = made.select("kind", "name", F.posexplode("values").alias("place", "value"))
+    return out.withColumn("value", F.round("value", 5))
+
+
+@R.query()
+def backtest_observations(spark, sf_dir):
+    """Out-of-sample forecasts of every market by models that are retrained for each window, with what happened."""
+    made = training.backtest(_training_rows(spark, sf_dir), features.FEATURE_NAMES)
+    return training.observations(made, frame(spark, sf_dir, "matches")).withColumn("p", F.round("p", 6))
+
+
 def _outcomes(spark, sf_dir):
     m = frame(spark, sf_dir, "matches").filter("finished")
     return m.select(
