@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pitchlake.fixtures import frame
 from pitchlake.functions import expressions as E
 from pitchlake.plans.registry import Registry
-from pitchlake.sources import bulletin_json, results_csv, upserts
+from pitchlake.sources import bulletin_json, bulletin_tree, results_csv, upserts
 
 R = Registry()
 
@@ -82,6 +82,52 @@ def json_explode_markets(spark, sf_dir):
     return bulletin_json.prices(rows.select(body.alias("body"))).select("event_id", "market_id", "line", "outcome", "odd")
 
 
+#: Events as JSON objects, some with a field of a wrong type or without one, at three depths of fifty documents.
+NODE = """'{"i":' || event_id || CASE WHEN event_id % 11 = 0 THEN ',"hn":5' WHEN event_id % 12 = 0 THEN ',"hn":" "' ELSE ',"hn":"H' || user_id || '"' END || ',"an":"A' || user_id || '"'
+ || CASE WHEN event_id % 10 = 3 THEN ',"sid":2' ELSE '' END || ',"ci":' || (user_id % 9) || CASE WHEN event_id % 19 = 0 THEN '' ELSE ',"d":' || (1700000000 + event_id) END
+ || CASE WHEN event_id % 13 = 0 THEN ',"m":null' WHEN event_id % 7 = 0 THEN '' ELSE ',"m":[{"i":' || (event_id * 10) || ',"st":101,"sov":"' || (event_id % 4) || '.5","o":[{"no":1,"n":"Over","odd":'
+ || CASE WHEN event_id % 17 = 0 THEN '"1.5"' WHEN event_id % 16 = 0 THEN '-1' ELSE '1.' || (event_id % 90 + 10) END || '},{"no":2,"n":' || CASE WHEN event_id % 5 = 0 THEN 'null' ELSE '"Under"' END || ',"odd":2.25}]}]' END || '}'"""
+STATUS = """CASE WHEN event_id % 11 = 0 THEN 'MALFORMED:hn' WHEN event_id % 13 = 0 THEN 'MALFORMED:m' WHEN event_id % 7 <> 0 AND event_id % 17 = 0 THEN 'MALFORMED:odd'
+ WHEN event_id % 10 = 3 THEN 'NOT_FOOTBALL' WHEN event_id % 12 = 0 THEN 'MISSING:hn' WHEN event_id % 19 = 0 THEN 'MISSING:d' END"""
+
+
+def _bulletins(spark, sf_dir):
+    node = frame(spark, sf_dir, "events").selectExpr("user_id % 50 AS doc", "event_id % 3 AS depth", f"{NODE} AS node")
+    part = lambda k: F.array_join(F.collect_list(F.when(F.col("depth") == k, F.col("node"))), ",")
+    deep = F.format_string('{"events":[%s],"x":{"y":[{"z":{"list":[%s]}}]},"competitions":[{"i":1,"n":"one","hn":"no event"},{"id":%d,"name":"two"},{"i":"3","n":"three"}],"w":[[%s]]}', part(0), part(1), F.col("doc") % 4 + 4, part(2))
+    some = node.groupBy("doc").agg(deep.alias("body"))
+    rest = spark.range(2).select((F.col("id") + 50).alias("doc"), F.when(F.col("id") == 0, '{"a":[').otherwise('{"a":[1,{"b":null}]}').alias("body"))
+    return bulletin_tree.documents(some.unionByName(rest), "doc", "body")
+
+
+@R.query(f"""
+WITH e AS (SELECT event_id, user_id % 50 AS doc, user_id % 9 AS competition, {STATUS} AS issue FROM events)
+SELECT doc, CASE WHEN issue LIKE 'MALFORMED%' THEN NULL ELSE event_id END AS event_id, issue,
+  CASE WHEN issue IS NOT NULL THEN 'REJECTED' WHEN competition IN (1, 4, 5, 6, 7) THEN 'IMPORTED' ELSE 'UNRESOLVED_COMPETITION' END AS status FROM e
+UNION ALL VALUES (50, NULL, 'MALFORMED_JSON', 'REJECTED'), (51, NULL, 'NO_EVENTS', 'REJECTED')""")
+def bulletin_import(spark, sf_dir):
+    """Event objects at any depth of a bulletin, each with its own fate."""
+    docs = _bulletins(spark, sf_dir)
+    return bulletin_tree.import_status(bulletin_tree.events(docs), bulletin_tree.competitions(docs)).select("doc", "event_id", "issue", "status")
+
+
+@R.query("SELECT competition, CASE competition WHEN 1 THEN 'one' ELSE 'two' END AS name FROM (SELECT DISTINCT user_id % 50 % 4 + 4 AS competition FROM events UNION SELECT 1)")
+def bulletin_competitions(spark, sf_dir):
+    return bulletin_tree.competitions(_bulletins(spark, sf_dir)).select("competition", "name")
+
+
+@R.query(f"""
+WITH e AS (SELECT *, {STATUS} AS issue FROM events),
+g AS (SELECT * FROM e WHERE issue IS NULL AND user_id % 9 IN (1, 4, 5, 6, 7) AND event_id % 7 <> 0)
+SELECT event_id, event_id * 10 AS market_id, event_id % 4 + 0.5 AS line, 1 AS outcome, CAST('1.' || (event_id % 90 + 10) AS DOUBLE) AS odd FROM g WHERE event_id % 16 <> 0
+UNION ALL SELECT event_id, event_id * 10, event_id % 4 + 0.5, 2, 2.25 FROM g WHERE event_id % 5 <> 0""")
+def bulletin_outcomes(spark, sf_dir):
+    """Priced selections of the imported events of any depth."""
+    docs = _bulletins(spark, sf_dir)
+    imported = bulletin_tree.import_status(bulletin_tree.events(docs), bulletin_tree.competitions(docs))
+    return bulletin_tree.outcomes(imported).select("event_id", "market_id", "line", "outcome", "odd")
+
+
 @R.query("""
 SELECT user_id AS market, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS INTEGER) AS rank, event_id FROM events""")
 def popularity_rank(spark, sf_dir):
