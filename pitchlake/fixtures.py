@@ -180,6 +180,16 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "l_suppkey % 4 AS ag",
         ],
     ),
+    "participations": (
+        "lineitem",
+        [
+            "l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS id",
+            "l_suppkey % 20 AS team",
+            "CASE WHEN l_partkey % 13 = 0 THEN NULL ELSE l_partkey % 40 END AS player",
+            "l_shipdate AS kick",
+            "l_linenumber <= 4 AS started",
+        ],
+    ),
     "goal_rows": (
         "orders",
         [

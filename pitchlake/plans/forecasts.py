@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.fixtures import frame
 from pitchlake.functions import expressions as E
-from pitchlake.operators import asof, features, fits, form, quality, report, training
+from pitchlake.operators import asof, features, fits, form, joint, lineups, quality, report, training
 from pitchlake.plans.registry import Registry
 
 R = Registry()
@@ -517,6 +517,114 @@ def platt_by_market(spark, sf_dir):
     return fits.platt_fits(frame(spark, sf_dir, "observations"), ["market"])
 
 
+def _joint_rows(spark, sf_dir):
+    m = frame(spark, sf_dir, "matches").filter("finished")
+    x = F.array((F.col("home") % 5 / 4.0), F.when(F.col("away") % 7 != 0, F.col("away") % 7 / 6.0))
+    return m.select("id", x.alias("x"), F.array("hg", "ag").alias("y"), F.datediff(F.to_date("kick"), F.lit("1992-01-01")).alias("day"))
+
+
+@R.query("""
+WITH RECURSIVE r AS (SELECT (home % 5) / 4.0 AS x1, CASE WHEN away % 7 <> 0 THEN (away % 7) / 6.0 END AS x2, hg, ag, pow(2.0, -date_diff('day', kick, max(kick) OVER ()) / 365.0) AS w FROM matches WHERE finished),
+f AS (SELECT x1, coalesce(x2, (SELECT avg(x2) FROM r)) AS x2, CASE WHEN x2 IS NULL THEN 1.0 ELSE 0.0 END AS x3, hg, ag, w FROM r),
+s AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, stddev_pop(x3) AS s3, sum(w) AS w FROM f),
+z AS (SELECT side, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3, sum(f.w) / any_value(s.w) AS w, sum(f.w * CASE side WHEN 'home' THEN hg ELSE ag END) / any_value(s.w) AS y
+  FROM f, s, (VALUES ('home'), ('away')) v(side) GROUP BY ALL),
+g AS (SELECT 0 AS step, side, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, ln(sum(y)) AS b0 FROM z GROUP BY side UNION ALL
+  SELECT any_value(step) + 1, g.side, any_value(b1) - 0.25 * (sum(z1 * (w * exp(b0 + b1 * z1 + b2 * z2 + b3 * z3) - y)) + 0.3 * any_value(b1)),
+    any_value(b2) - 0.25 * (sum(z2 * (w * exp(b0 + b1 * z1 + b2 * z2 + b3 * z3) - y)) + 0.3 * any_value(b2)), any_value(b3) - 0.25 * (sum(z3 * (w * exp(b0 + b1 * z1 + b2 * z2 + b3 * z3) - y)) + 0.3 * any_value(b3)),
+    any_value(b0) - 0.25 * sum(w * exp(b0 + b1 * z1 + b2 * z2 + b3 * z3) - y) FROM g JOIN z ON z.side = g.side WHERE step < 400 GROUP BY g.side)
+SELECT side, term, round(weight, 6) AS weight FROM (SELECT side, unnest(['x1', 'x2', 'missing x2', 'intercept']) AS term, unnest([b1, b2, b3, b0]) AS weight FROM g WHERE step = 400)""")
+def joint_rates(spark, sf_dir):
+    """Goal rates of both sides by weighted Poisson regressions; the SQL descends 400 steps instead of Newton's few."""
+    made = joint.fit_rates(_joint_rows(spark, sf_dir), ["x1", "x2"])
+    return made.filter("term IS NOT NULL").select("side", "term", F.round(F.col("values")[0], 6).alias("weight"))
+
+
+#: Rates of a match's goals, and the masses of the four event cells of its scores.
+JOINT = """r AS (SELECT id, 0.6::DOUBLE + 0.35::DOUBLE * hg AS a, 0.5::DOUBLE + 0.3::DOUBLE * ag AS b, hg, ag, 0.05::DOUBLE + (id % 90) / 100::DOUBLE AS over, 0.08::DOUBLE + (id % 83) / 100::DOUBLE AS twin FROM matches),
+k(k) AS (SELECT unnest(range(41))), t AS (SELECT rate, k, exp(-rate) * pow(rate, k) / gamma(k + 1) AS p FROM (SELECT a AS rate FROM r UNION SELECT b FROM r), k),
+n AS (SELECT rate, k, p / sum(p) OVER (PARTITION BY rate) AS p FROM t),
+cells AS (SELECT a, b, sum(x.p * y.p) FILTER (x.k + y.k < 3 AND (x.k = 0 OR y.k = 0)) AS q0, sum(x.p * y.p) FILTER (x.k + y.k < 3 AND x.k > 0 AND y.k > 0) AS q1,
+  sum(x.p * y.p) FILTER (x.k + y.k >= 3 AND (x.k = 0 OR y.k = 0)) AS q2, sum(x.p * y.p) FILTER (x.k + y.k >= 3 AND x.k > 0 AND y.k > 0) AS q3,
+  sum(x.p * y.p) FILTER (x.k + y.k >= 4 AND (x.k = 0 OR y.k = 0)) AS t2, sum(x.p * y.p) FILTER (x.k + y.k >= 4 AND x.k > 0 AND y.k > 0) AS t3
+  FROM (SELECT DISTINCT a, b FROM r) d JOIN n x ON x.rate = a JOIN n y ON y.rate = b GROUP BY a, b)"""
+
+
+def _rates(spark, sf_dir):
+    hg, ag, key = F.col("hg"), F.col("ag"), F.col("id")
+    m = frame(spark, sf_dir, "matches")
+    return m.select("id", (0.6 + 0.35 * hg).alias("home_rate"), (0.5 + 0.3 * ag).alias("away_rate"), "hg", "ag", (0.05 + key % 90 / 100).alias("over"), (0.08 + key % 83 / 100).alias("both"))
+
+
+@R.query(f"""
+WITH RECURSIVE {JOINT}, d AS MATERIALIZED (SELECT q0, q1, q2, q3, avg(CASE WHEN hg + ag >= 3 THEN 1.0 ELSE 0 END) AS yo, avg(CASE WHEN hg > 0 AND ag > 0 THEN 1.0 ELSE 0 END) AS yb, count(*) / (SELECT count(*) FROM r)::DOUBLE AS w
+  FROM r JOIN cells USING (a, b) GROUP BY q0, q1, q2, q3),
+f AS (SELECT 0 AS step, 0.0::DOUBLE AS o, 0.0::DOUBLE AS t UNION ALL
+  SELECT any_value(step) + 1, least(greatest(any_value(o) - 2.0 * (sum(w * ((q2 * exp(o) + q3 * exp(o + t)) / (q0 + q1 * exp(t) + q2 * exp(o) + q3 * exp(o + t)) - yo)) + 0.02 * any_value(o)), -2), 2),
+    least(greatest(any_value(t) - 2.0 * (sum(w * ((q1 * exp(t) + q3 * exp(o + t)) / (q0 + q1 * exp(t) + q2 * exp(o) + q3 * exp(o + t)) - yb)) + 0.02 * any_value(t)), -2), 2) FROM f, d WHERE step < 100 GROUP BY step)
+SELECT round(o, 6) AS over, round(t, 6) AS "both" FROM f WHERE step = 100""")
+def joint_calibration(spark, sf_dir):
+    """The tilt of over 2.5 and both-score cells that fits what happened."""
+    rows = _rates(spark, sf_dir)
+    cell = 2 * (F.col("hg") + F.col("ag") >= 3).cast("int") + ((F.col("hg") > 0) & (F.col("ag") > 0)).cast("int")
+    cells = joint.masses(rows).join(rows.select("id", cell.alias("cell")), "id")
+    return joint.fit_tilt(cells).select(F.round("over", 6).alias("over"), F.round("both", 6).alias("both"))
+
+
+@R.query(f"""
+WITH {JOINT}, x AS (SELECT id, over, twin, q0, q1, q2, q3, t2, t3, q3 * q0 / (q1 * q2) AS o FROM r JOIN cells USING (a, b)),
+s AS (SELECT *, CASE WHEN abs(o - 1) < 1e-9 THEN over * twin ELSE ((1 + (over + twin) * (o - 1)) - sqrt(pow(1 + (over + twin) * (o - 1), 2) - 4 * o * (o - 1) * over * twin)) / (2 * (o - 1)) END AS p3 FROM x)
+SELECT id, round(p3, 7) AS over_and_both, round(over - p3, 7) AS over_only, round(twin - p3, 7) AS both_only, round(t3 * p3 / q3 + t2 * (over - p3) / q2, 7) AS over_35 FROM s""")
+def joint_projection(spark, sf_dir):
+    """Score distributions with given marginals; the SQL solves the two-by-two table of the same odds ratio in closed form."""
+    made = joint.project(_rates(spark, sf_dir))
+    c = lambda i, name: F.round(F.col("cells")[i], 7).alias(name)
+    return made.select("id", c(3, "over_and_both"), c(2, "over_only"), c(1, "both_only"), F.round("over_35", 7).alias("over_35"))
+
+
+STARTERS = """SELECT m.id AS match, side, CASE WHEN m.id % 10 = 9 AND i = 3 THEN NULL ELSE (m.id * 7 + i * 3 + CASE side WHEN 'HOME' THEN 0 ELSE 5 END) % 40 END AS player,
+  CASE WHEN i = 0 THEN 'G' WHEN i < 5 THEN 'D' WHEN i < 9 THEN 'M' WHEN m.id % 4 = 0 THEN NULL ELSE 'F' END AS position, i = 0 AS goalkeeper"""
+
+
+def _lineups(spark, sf_dir):
+    m, p = frame(spark, sf_dir, "matches"), frame(spark, sf_dir, "participations")
+    sql = f"{STARTERS} FROM {{m}} m LATERAL VIEW explode(array('HOME', 'AWAY')) AS side LATERAL VIEW explode(sequence(0, 10)) AS i"
+    return lineups.starter_features(spark.sql(sql, m=m), p, m)
+
+
+LINEUP_SQL = f"""s AS ({STARTERS} FROM matches m, (VALUES ('HOME'), ('AWAY')) v(side), range(0, 11) x(i)),
+q AS (SELECT id AS match, kick, 'HOME' AS side, home AS team FROM matches UNION ALL SELECT id, kick, 'AWAY', away FROM matches),
+instants AS (SELECT team, kick, sum(n) OVER (PARTITION BY team ORDER BY kick) AS starts FROM (SELECT team, kick, count(*) FILTER (started) AS n FROM participations GROUP BY 1, 2)),
+debuts AS (SELECT team, player, min(kick) AS since FROM participations WHERE player IS NOT NULL GROUP BY 1, 2),
+fives AS (SELECT team, kick, arg_max(five, id) AS five FROM (SELECT team, kick, id, list(player) OVER (PARTITION BY team ORDER BY kick, id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS five
+  FROM participations WHERE started AND player IS NOT NULL) GROUP BY 1, 2),
+done AS (SELECT team, kick, sum(n) OVER (PARTITION BY team ORDER BY kick) AS finished FROM (SELECT team, kick, count(*) AS n FROM
+  (SELECT home AS team, kick FROM matches WHERE finished UNION ALL SELECT away, kick FROM matches WHERE finished) GROUP BY 1, 2)),
+asked AS (SELECT q.*, coalesce(i.starts, 0) AS starts, coalesce(f.five, []) AS five, coalesce(d.finished, 0) AS finished, (SELECT count(*) FROM debuts e WHERE e.team = q.team AND e.since < q.kick) AS players
+  FROM q ASOF LEFT JOIN instants i ON i.team = q.team AND q.kick > i.kick ASOF LEFT JOIN fives f ON f.team = q.team AND q.kick > f.kick ASOF LEFT JOIN done d ON d.team = q.team AND q.kick > d.kick),
+sides AS (SELECT a.match, a.side, a.team, count(*) FILTER (list_contains(five, s.player)) AS continuity, a.starts, a.players, a.finished, len(list_distinct(five)) AS recent,
+  count(*) FILTER (s.goalkeeper AND e.since < a.kick) AS keepers, count(s.player) AS resolved, count(*) FILTER (s.position = 'F') AS forwards
+  FROM asked a JOIN s ON s.match = a.match AND s.side = a.side LEFT JOIN debuts e ON e.team = a.team AND e.player = s.player
+  GROUP BY a.match, a.side, a.team, a.starts, a.players, a.finished, five)"""
+
+
+@R.query(f"""
+WITH {LINEUP_SQL} SELECT match, side, team, continuity, 11 - continuity AS changed, CASE WHEN finished = 0 THEN 0 ELSE round(continuity / 11.0, 8) END AS regulars,
+  CASE WHEN starts = 0 THEN 0 ELSE recent / 5.0 END AS recent_share, keepers AS goalkeeper_continuity, players, starts, finished, resolved, forwards FROM sides""")
+def lineup_features(spark, sf_dir):
+    """Each lineup's continuity with its team's last starters and past appearances."""
+    forwards = F.coalesce(F.element_at(F.map_from_entries("positions"), "F"), F.lit(0)).cast("long")
+    return _lineups(spark, sf_dir).withColumns({"forwards": forwards, "regulars": F.round("regulars", 8)}).drop("positions")
+
+
+@R.query(f"""
+WITH {LINEUP_SQL} SELECT h.match, h.continuity - a.continuity AS continuity_difference, CASE WHEN h.resolved = 11 AND a.resolved = 11 THEN
+  CASE WHEN h.finished + a.finished > 0 THEN 'COMPLETE' ELSE 'INSUFFICIENT_PLAYER_HISTORY' END ELSE 'PARTIAL_PLAYER_RESOLUTION' END AS quality
+FROM sides h JOIN sides a ON a.match = h.match AND h.side = 'HOME' AND a.side = 'AWAY'""")
+def lineup_quality(spark, sf_dir):
+    return lineups.match_features(_lineups(spark, sf_dir)).select("match", "continuity_difference", "quality")
+
+
 def _training_rows(spark, sf_dir):
     m = frame(spark, sf_dir, "matches")
     return training.training_rows(features.snapshots(m, form.elo(m)), m, features.FEATURE_NAMES)
