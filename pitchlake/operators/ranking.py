@@ -68,10 +68,19 @@ def overconfident(p: Column, observed: Column, n: Column) -> Column:
     return observed.between(0, 1) & (n >= 50) & (p - observed > 0.20) & (p - observed > 3 * F.sqrt(p * (1 - p) / n))
 
 
-def rejection(category: str, policy: Policy = Policy()) -> Column:
-    """The first reason that applies, null for a qualified row. The category's own gate comes last."""
+#: Categories that ask for good data, beside the daily ones, which call its lack by another name.
+CAREFUL = ["CORNERS", "HIGH_CONFIDENCE", "COMPOUND"]
+
+
+def _first_reason(tests: list[tuple[str, Column]]) -> Column:
+    """The first reason whose test holds; null tests do not."""
+    return F.coalesce(*[F.when(test, reason) for reason, test in tests])
+
+
+def shared_rejection(category: str, policy: Policy = Policy()) -> Column:
+    """What rejects a row before the category's own gate: the same for all daily, all careful and all other categories."""
     c = F.col
-    daily, good, edge = category in DAILY, good_quality(), F.col("p") - 1 / F.col("odd")
+    daily, good = category in DAILY, good_quality()
     invalid = c("odd").isNull() | F.isnan("odd") | (c("odd") == float("inf"))
     tests = [("ODDS_UNAVAILABLE", c("odd").isNull()), ("INVALID_ODDS", invalid | (c("odd") <= 1)), ("MODEL_UNAVAILABLE", c("availability") != "AVAILABLE")]
     if daily:
@@ -84,12 +93,19 @@ def rejection(category: str, policy: Policy = Policy()) -> Column:
             ("NEGATIVE_MODEL_QUALITY", c("status").isin("INVALID", "MODEL_INVALID", "REJECTED") | overconfident(c("p"), c("observed"), n)),
         ]
     tests += [("MATCH_FINISHED", c("match_status") == "finished"), ("MATCH_STARTED", c("match_status") != "scheduled")]
-    if category in ("CORNERS", "HIGH_CONFIDENCE", "COMPOUND"):
+    if category in CAREFUL:
         tests.append(("LOW_DATA_QUALITY", ~good))
     # Exactly the limit is still fresh; a price without an age is not.
     tests.append(("STALE_ODDS", c("age_seconds").isNull() | (c("age_seconds") > policy.fresh_hours * 3600)))
     if daily:
         tests.append(("INVALID_ODDS", c("age_seconds") < 0))
+    return _first_reason(tests)
+
+
+def gate(category: str, policy: Policy = Policy()) -> Column:
+    """What the category itself rejects."""
+    c = F.col
+    edge = c("p") - 1 / c("odd")
 
     def market(name: str, selection: str, lines: list[float] | None) -> Column:
         line = c("line").isin(*lines) if lines else F.lit(True)
@@ -125,11 +141,21 @@ def rejection(category: str, policy: Policy = Policy()) -> Column:
             ("CALIBRATION_INSUFFICIENT", ~(calibrated | harmless) | few),
         ],
     }
-    out = None
-    for reason, test in tests + gates[category]:
-        test = F.coalesce(test, F.lit(False))
-        out = F.when(test, reason) if out is None else out.when(test, reason)
-    return out
+    return _first_reason(gates[category])
+
+
+def rejection(category: str, policy: Policy = Policy()) -> Column:
+    """The first reason that applies, null for a qualified row. The category's own gate comes last."""
+    return F.coalesce(shared_rejection(category, policy), gate(category, policy))
+
+
+def in_categories(predictions: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """Each prediction in each category, with ``reason``. What categories share is evaluated once a prediction."""
+    shared = {"_daily": DAILY[0], "_careful": CAREFUL[0], "_plain": "SURPRISE"}
+    rows = predictions.withColumns({name: shared_rejection(category, policy) for name, category in shared.items()})
+    of = lambda k: F.col("_daily" if k in DAILY else "_careful" if k in CAREFUL else "_plain")
+    gates = F.array(*[F.struct(F.lit(k).alias("category"), F.coalesce(of(k), gate(k, policy)).alias("reason")) for k in CATEGORIES])
+    return rows.select(*predictions.columns, F.explode(gates).alias("_g")).select(*predictions.columns, "_g.*")
 
 
 def candidate_order() -> list[Column]:
@@ -142,21 +168,21 @@ def candidate_order() -> list[Column]:
 def candidate_run(predictions: DataFrame, day: str = "day", policy: Policy = Policy()) -> DataFrame:
     """Every prediction in every category, with its rank among the day's candidates or the reason why it is none.
 
-    The best candidate of a match in a category stays; the others are excluded by CORRELATION_REDUCTION. One shuffle by
-    (day, category, match) and one by (day, category); each row meets the seven categories before any of them.
+    The best candidate of a match in a category stays; the others are excluded by CORRELATION_REDUCTION. Rejected rows, the
+    most by far, are never shuffled; qualified ones are, by (day, category, match) and by (day, category).
     """
-    gates = F.array(*[F.struct(F.lit(k).alias("category"), rejection(k, policy).alias("reason")) for k in CATEGORIES])
-    rows = predictions.select("*", F.explode(gates).alias("_g")).select(*predictions.columns, "_g.*")
-    passed = scored(rows.filter("reason IS NULL"), policy)
-    best, rest = best_per_match(passed.drop("reason"), [day, "category"], "match_id", candidate_order())
-    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy(day, "category").orderBy(*candidate_order())))
+    rows = in_categories(predictions, policy)
+    passed = scored(rows.filter("reason IS NULL").drop("reason"), policy)
+    nth = F.row_number().over(Window.partitionBy(day, "category", "match_id").orderBy(*candidate_order()))
+    placed = passed.withColumn("_best", nth == 1)
+    rank = F.row_number().over(Window.partitionBy(day, "category").orderBy(F.desc("_best"), *candidate_order()))
     keep = [day, "category", "match_id", "id"]
-    more = ["market", "selection", "line", "p", "odd", "ev", "score", "rank"]
-    return (
-        ranked.select(*keep, *more, F.lit(None).cast("string").alias("reason"))
-        .unionByName(rest.select(*keep, "reason"), allowMissingColumns=True)
-        .unionByName(rows.filter("reason IS NOT NULL").select(*keep, "reason"), allowMissingColumns=True)
+    more = ["market", "selection", "line", "p", "odd", "ev", "score"]
+    best = lambda c: F.when(F.col("_best"), c)
+    ranked = placed.withColumn("rank", rank).select(
+        *keep, *[best(F.col(c)).alias(c) for c in more], best(F.col("rank")).alias("rank"), F.when(~F.col("_best"), "CORRELATION_REDUCTION").alias("reason")
     )
+    return ranked.unionByName(rows.filter("reason IS NOT NULL").select(*keep, "reason"), allowMissingColumns=True)
 
 
 def best_per_match(df: DataFrame, by: list[str], match: str, order: list[Column]) -> tuple[DataFrame, DataFrame]:

@@ -159,14 +159,27 @@ def blocks(rows: DataFrame, time: str) -> DataFrame:
     return out if out is not None else rows.withColumns({"block": F.lit(0), "part": F.lit("")}).limit(0)
 
 
+# Reasons that hold whatever the figures: no priced history, and no untouched holdout.
+ALWAYS = ["NO_TIMESTAMPED_PRICES", "NO_FRESH_HOLDOUT"]
+
+
 def adoption(metrics: DataFrame) -> DataFrame:
-    """``metrics`` with ``reasons`` against the nominated model: one per rule that it misses, in order."""
+    """``metrics`` with ``reasons`` against the nominated model: one per rule that it misses, in order, then those that always
+    hold. Material improvement of both losses, a tenth more selections, no fewer matches above the probability floor before a
+    price is asked for, and coupons that are as many on Saturdays and no worse."""
     c = F.col
     probability = (c("brier") <= 0.99 * c("base_brier")) & (c("log_loss") <= 0.99 * c("base_log_loss")) & (c("upper95") < 0)
     enough = c("bets") >= F.greatest(F.lit(1.0), 1.1 * c("base_bets"))
-    coupons = c("coupon_roi").isNotNull() & c("base_coupon_roi").isNotNull() & (c("coupon_roi") >= c("base_coupon_roi")) & (c("drawdown") <= c("base_drawdown"))
-    rules = [("PROBABILITY_NOT_IMPROVED", probability), ("AVAILABILITY_NOT_IMPROVED", enough), ("COUPONS_DEGRADED", coupons)]
-    return metrics.withColumn("reasons", F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules])))
+    known = c("coupon_roi").isNotNull() & c("base_coupon_roi").isNotNull()
+    coupons = known & (c("full_saturdays") >= c("base_full_saturdays")) & (c("coupon_roi") >= c("base_coupon_roi")) & (c("drawdown") <= c("base_drawdown"))
+    rules = [
+        ("PROBABILITY_NOT_IMPROVED", probability),
+        ("AVAILABILITY_NOT_IMPROVED", enough),
+        ("FLOOR_AVAILABILITY_FALLS", c("above_floor") >= c("base_above_floor")),
+        ("COUPONS_DEGRADED", coupons),
+    ]
+    missed = [F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in rules]
+    return metrics.withColumn("reasons", F.array_compact(F.array(*missed, *[F.lit(x) for x in ALWAYS])))
 
 
 # -- probabilities of goal markets ---------------------------------------------------------------------------------------

@@ -199,11 +199,28 @@ def enqueue(events: DataFrame, queued: DataFrame, supported: DataFrame, now: Col
     return due.join(supported.select("competition").distinct(), "competition", "left_semi").join(queued.select("id"), "id", "left_anti")
 
 
-def retry_queue(rows: DataFrame, now: Column, lease_minutes: int = 10, attempts: int = 5, limit: int = 128) -> DataFrame:
-    """The next batch of a resolution queue: new rows, those whose retry is due, and those whose lease is stale; each leaves as
-    AUTO_RESOLVING with one more attempt, or for MANUAL_REVIEW after ``attempts``."""
+# States that wait for another try, and when one comes again.
+WAITING = ["NEW", "RETRY_LATER", "AMBIGUOUS", "MANUAL_REVIEW"]
+AGAIN = {"RETRY_LATER": "interval '5' minute", "MANUAL_REVIEW": "interval '1' day"}
+
+
+def retry_queue(queue: DataFrame, matches: DataFrame, now: Column, lease_minutes: int = 10, limit: int = 128) -> DataFrame:
+    """The next batch of a resolution queue (id, state, attempts, retry_at, leased_at), each as AUTO_RESOLVING with one more
+    attempt: rows that wait, whose time has come or who have none, of scheduled future matches, by kickoff, then match. Work
+    that was leased longer than ``lease_minutes`` ago waits again, without a time."""
     stale = (F.col("state") == "AUTO_RESOLVING") & (F.col("leased_at") < now - F.expr(f"interval '{lease_minutes}' minute"))
-    due = (F.col("state") == "NEW") | ((F.col("state") == "RETRY_LATER") & (F.col("retry_at") <= now)) | stale
-    batch = rows.filter(due).orderBy(F.asc_nulls_first("retry_at"), "id").limit(limit)
-    spent = F.col("attempts") + 1 > attempts
-    return batch.withColumns({"state": F.when(spent, "MANUAL_REVIEW").otherwise("AUTO_RESOLVING"), "attempts": F.col("attempts") + 1, "leased_at": F.when(~spent, now)})
+    waiting = queue.withColumn("retry_at", F.when(~F.coalesce(stale, F.lit(False)), F.col("retry_at")))
+    waiting = waiting.filter(F.coalesce(stale, F.lit(False)) | F.col("state").isin(WAITING)).filter(F.col("retry_at").isNull() | (F.col("retry_at") <= now))
+    due = matches.filter((F.col("status") == "scheduled") & (F.col("kick") > now)).select("id", "kick")
+    batch = waiting.join(due, "id").orderBy("kick", "id").limit(min(limit, 128))
+    return batch.withColumns({"state": F.lit("AUTO_RESOLVING"), "attempts": F.col("attempts") + 1, "leased_at": now}).drop("kick")
+
+
+def tried(batch: DataFrame, results: DataFrame, now: Column) -> DataFrame:
+    """``batch`` after its tries (id, outcome; null: the try failed): RESOLVED and UNSUPPORTED have no next time, a failed try
+    comes again in five minutes, one for review in a day."""
+    rows = batch.drop("state").join(results, "id").withColumn("state", F.coalesce("outcome", F.lit("RETRY_LATER"))).drop("outcome")
+    later = F.lit(None)
+    for state, wait in AGAIN.items():
+        later = F.when(F.col("state") == state, now + F.expr(wait)).otherwise(later)
+    return rows.withColumn("retry_at", later)

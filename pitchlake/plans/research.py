@@ -111,14 +111,16 @@ def chronological_blocks(spark, sf_dir):
 
 
 @R.query("""
-WITH x AS (SELECT c_custkey AS id, CAST(c_custkey % 7 AS DOUBLE) / 100 AS b, CAST(c_custkey % 5 AS DOUBLE) / 100 AS l, CAST(c_custkey % 3 AS DOUBLE) - 1.5 AS u, c_custkey % 40 AS n, CAST(c_custkey % 11 AS DOUBLE) / 10 AS r FROM customer)
+WITH x AS (SELECT c_custkey AS id, CAST(c_custkey % 7 AS DOUBLE) / 100 AS b, CAST(c_custkey % 5 AS DOUBLE) / 100 AS l, CAST(c_custkey % 3 AS DOUBLE) - 1.5 AS u, c_custkey % 40 AS n, CASE WHEN c_custkey % 12 <> 0 THEN CAST(c_custkey % 11 AS DOUBLE) / 10 END AS r FROM customer)
 SELECT id, array_to_string(list_filter([CASE WHEN NOT (0.3 - b <= 0.99 * 0.27 AND 0.6 - l <= 0.99 * 0.59 AND u < 0) THEN 'PROBABILITY_NOT_IMPROVED' END, CASE WHEN n < 11 THEN 'AVAILABILITY_NOT_IMPROVED' END,
-  CASE WHEN NOT (r >= 0.5 AND b <= 0.03) THEN 'COUPONS_DEGRADED' END], lambda x: x IS NOT NULL), ',') AS reasons FROM x""")
+  CASE WHEN n % 8 < 5 THEN 'FLOOR_AVAILABILITY_FALLS' END, CASE WHEN r IS NULL OR NOT (id % 6 >= 2 AND r >= 0.5 AND b <= 0.03) THEN 'COUPONS_DEGRADED' END, 'NO_TIMESTAMPED_PRICES', 'NO_FRESH_HOLDOUT'],
+  lambda x: x IS NOT NULL), ',') AS reasons FROM x""")
 def adoption_gate(spark, sf_dir):
     k = F.col("c_custkey")
     rows = frame(spark, sf_dir, "customer").select(
         k.alias("id"), (0.3 - (k % 7).cast("double") / 100).alias("brier"), F.lit(0.27).alias("base_brier"), (0.6 - (k % 5).cast("double") / 100).alias("log_loss"), F.lit(0.59).alias("base_log_loss"),
-        ((k % 3).cast("double") - 1.5).alias("upper95"), (k % 40).alias("bets"), F.lit(10.0).alias("base_bets"), ((k % 11).cast("double") / 10).alias("coupon_roi"), F.lit(0.5).alias("base_coupon_roi"),
+        ((k % 3).cast("double") - 1.5).alias("upper95"), (k % 40).alias("bets"), F.lit(10.0).alias("base_bets"), F.when(k % 12 != 0, (k % 11).cast("double") / 10).alias("coupon_roi"), F.lit(0.5).alias("base_coupon_roi"),
+        (k % 40 % 8).alias("above_floor"), F.lit(5).alias("base_above_floor"), (k % 6).alias("full_saturdays"), F.lit(2).alias("base_full_saturdays"),
         ((k % 7).cast("double") / 100).alias("drawdown"), F.lit(0.03).alias("base_drawdown"),
     )
     return research.adoption(rows).select("id", F.array_join("reasons", ",").alias("reasons"))

@@ -177,17 +177,40 @@ def resolution_enqueue(spark, sf_dir):
     return status.enqueue(m, m.filter("id % 4 = 0"), m.filter("competition < 5"), F.lit("1996-01-01").cast("timestamp_ntz")).select("id")
 
 
-@R.query("""
-WITH q AS (SELECT event_id AS id, ['NEW', 'AUTO_RESOLVING', 'RETRY_LATER', 'RESOLVED'][event_id % 4 + 1] AS state, event_id % 7 AS attempts, CASE WHEN event_id % 4 = 2 THEN ts END AS retry_at, CASE WHEN event_id % 4 = 1 THEN ts END AS leased_at FROM events)
-SELECT id, CASE WHEN attempts + 1 > 5 THEN 'MANUAL_REVIEW' ELSE 'AUTO_RESOLVING' END AS state, attempts + 1 AS attempts FROM q
-WHERE state = 'NEW' OR (state = 'RETRY_LATER' AND retry_at <= TIMESTAMP '2024-01-15') OR (state = 'AUTO_RESOLVING' AND leased_at < TIMESTAMP '2024-01-15' - interval '10' minute) ORDER BY retry_at NULLS FIRST, id LIMIT 128""")
-def retry_queue(spark, sf_dir):
-    k = F.col("event_id")
-    e = frame(spark, sf_dir, "events").select(
-        k.alias("id"), F.element_at(F.array(*[F.lit(s) for s in ("NEW", "AUTO_RESOLVING", "RETRY_LATER", "RESOLVED")]), (k % 4 + 1).cast("int")).alias("state"), (k % 7).alias("attempts"),
-        F.when(k % 4 == 2, F.col("ts")).alias("retry_at"), F.when(k % 4 == 1, F.col("ts")).alias("leased_at"),
+QUEUED = """q AS (SELECT event_id AS id, ['NEW', 'AUTO_RESOLVING', 'RETRY_LATER', 'RESOLVED', 'AMBIGUOUS', 'MANUAL_REVIEW'][event_id % 6 + 1] AS state, event_id % 9 AS attempts,
+  CASE WHEN event_id % 6 IN (2, 5) AND event_id % 4 <> 0 THEN ts END AS retry_at, CASE WHEN event_id % 6 = 1 THEN ts END AS leased_at FROM events),
+w AS (SELECT *, CASE WHEN state <> 'AUTO_RESOLVING' THEN retry_at END AS again FROM q
+  WHERE state IN ('NEW', 'RETRY_LATER', 'AMBIGUOUS', 'MANUAL_REVIEW') OR (state = 'AUTO_RESOLVING' AND leased_at < TIMESTAMP '2024-01-14 23:50:00')),
+b AS (SELECT w.id, w.attempts + 1 AS attempts, m.kick FROM w JOIN (SELECT event_id AS id, TIMESTAMP '2024-01-10' + (event_id % 300) * interval '1' hour AS kick, event_id % 5 <> 0 AS scheduled FROM events) m
+  ON m.id = w.id WHERE (again IS NULL OR again <= TIMESTAMP '2024-01-15') AND scheduled AND m.kick > TIMESTAMP '2024-01-15' ORDER BY m.kick, w.id LIMIT 128)"""
+
+
+def _next_batch(spark, sf_dir):
+    k, now = F.col("event_id"), F.lit("2024-01-15").cast("timestamp_ntz")
+    events = frame(spark, sf_dir, "events")
+    states = F.array(*[F.lit(s) for s in ("NEW", "AUTO_RESOLVING", "RETRY_LATER", "RESOLVED", "AMBIGUOUS", "MANUAL_REVIEW")])
+    queue = events.select(
+        k.alias("id"), F.element_at(states, (k % 6 + 1).cast("int")).alias("state"), (k % 9).alias("attempts"),
+        F.when((k % 6).isin(2, 5) & (k % 4 != 0), F.col("ts")).alias("retry_at"), F.when(k % 6 == 1, F.col("ts")).alias("leased_at"),
     )
-    return status.retry_queue(e, F.lit("2024-01-15").cast("timestamp_ntz")).select("id", "state", "attempts")
+    kick = F.expr("timestamp_ntz'2024-01-10 00:00:00' + (event_id % 300) * interval '1' hour")
+    matches = events.select(k.alias("id"), kick.alias("kick"), F.when(k % 5 != 0, "scheduled").otherwise("finished").alias("status"))
+    return status.retry_queue(queue, matches, now), now
+
+
+@R.query(f"WITH {QUEUED} SELECT id, 'AUTO_RESOLVING' AS state, attempts FROM b")
+def retry_queue(spark, sf_dir):
+    return _next_batch(spark, sf_dir)[0].select("id", "state", "attempts")
+
+
+@R.query(f"""
+WITH {QUEUED} SELECT id, CASE id % 3 WHEN 0 THEN 'RESOLVED' WHEN 1 THEN 'MANUAL_REVIEW' ELSE 'RETRY_LATER' END AS state, attempts,
+  CASE id % 3 WHEN 1 THEN TIMESTAMP '2024-01-16' WHEN 2 THEN TIMESTAMP '2024-01-15 00:05:00' END AS retry_at FROM b""")
+def resolution_results(spark, sf_dir):
+    """The batch after its tries."""
+    batch, now = _next_batch(spark, sf_dir)
+    results = batch.select("id", F.when(F.col("id") % 3 == 0, "RESOLVED").when(F.col("id") % 3 == 1, "MANUAL_REVIEW").alias("outcome"))
+    return status.tried(batch, results, now).select("id", "state", "attempts", "retry_at")
 
 
 # -- publication -------------------------------------------------------------------------------------------------------
