@@ -179,12 +179,15 @@ def validate_selections(legs: DataFrame, low: float = 1.10, high: float = 1.50)
     return agg.select("coupon", "kind", "legs", error.alias("error"))
 
 
-def rule_compliant(legs: DataFrame) -> DataFrame:
-    """(coupon, kind, compliant): the number of legs its kind asks for, distinct matches, odds above 1, a compound's product."""
+def rule_compliant(legs: DataFrame, current: Column | None = None) -> DataFrame:
+    """(coupon, kind, compliant): the number of legs its kind asks for, distinct matches, odds above 1, a compound's product.
+
+    ``current`` tells the coupons of the present policy, all if not given; totals of older ones needed five legs at least."""
     n, kind = F.count("*"), F.col("kind")
+    recent = F.bool_and(F.lit(True) if current is None else F.coalesce(current, F.lit(False)))
     count = (
         F.when(kind == "DAILY_CORNERS", n.between(5, 7))
-        .when(kind.isin("DAILY_OVER_25", "DAILY_OVER_35"), n.between(3, 5))
+        .when(kind.isin("DAILY_OVER_25", "DAILY_OVER_35"), F.when(recent, n.between(3, 5)).otherwise(n >= 5))
         .when(kind.isin("DAILY_BTTS", "DAILY_HIGH_CONFIDENCE"), n >= 5)
         .when(kind == "DAILY_COMPOUND", n.between(2, 3) & F.product("odd").between(LOW - SLACK, HIGH + SLACK))
         .when(kind == "DAILY_SURPRISE_SYSTEM", n.between(6, 7))
@@ -205,11 +208,25 @@ DAILY_COUPONS = [
 ]
 
 
+COMPOUND = "DAILY_COMPOUND"
+
+
+def compound_coupons(candidates: DataFrame) -> DataFrame:
+    """(day, kind, legs, _ids, odd): the best combination of each day's compound candidates; its legs in rank order."""
+    rows = candidates.filter("rank IS NOT NULL AND category = 'COMPOUND'")
+    pool = rows.select(F.col("day").alias("coupon"), F.col("id").alias("leg"), "match_id", "odd", "score")
+    best = best_combination(combinations(pool)).select(F.col("coupon").alias("day"), F.explode("ids").alias("id"))
+    legs = best.join(rows.select("day", "id", "rank", "odd"), ["day", "id"]).groupBy("day")
+    ids = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("nth"), "id"))).alias("_ids")
+    return legs.agg(F.count("*").alias("legs"), ids, F.round(F.product("odd"), 6).alias("odd")).withColumn("kind", F.lit(COMPOUND))
+
+
 def daily_coupons(candidates: DataFrame, target: float = 3.0, least: int = 5) -> DataFrame:
     """(day, kind, state, reason, legs, ids, odd, target_reached) for every day of ``candidates`` and every kind of coupon.
 
     Legs are taken in rank order, up to the kind's most; high confidence in the order of probability, until the product of
-    the legs reaches ``target`` with at least ``least`` of them. Too few legs: no coupon, and the reason.
+    the legs reaches ``target`` with at least ``least`` of them; a compound is the best pair or triple in its range. Too few
+    legs, or no such combination: no coupon, and the reason. Candidates are of distinct matches, so no two legs conflict.
     """
     kinds = F.create_map(*[F.lit(x) for kind, category, _, _ in DAILY_COUPONS for x in (category, kind)])
     rows = candidates.filter("rank IS NOT NULL").withColumn("kind", kinds[F.col("category")]).filter("kind IS NOT NULL")
@@ -223,11 +240,11 @@ def daily_coupons(candidates: DataFrame, target: float = 3.0, least: int = 5) ->
     made = taken.groupBy("day", "kind").agg(
         F.count("*").alias("legs"), F.array_sort(F.collect_list(F.struct("nth", "id"))).alias("_ids"), F.round(F.product("odd"), 6).alias("odd")
     )
-    made = made.filter(F.col("legs") >= few[F.col("kind")])
-    every = candidates.select("day").distinct().withColumn("kind", F.explode(F.array(*[F.lit(k) for k, *_ in DAILY_COUPONS])))
+    made = made.filter(F.col("legs") >= few[F.col("kind")]).unionByName(compound_coupons(candidates))
+    every = candidates.select("day").distinct().withColumn("kind", F.explode(F.array(*[F.lit(k) for k in [*[k for k, *_ in DAILY_COUPONS], COMPOUND]])))
     out = every.join(made, ["day", "kind"], "left")
     there = F.col("legs").isNotNull()
-    reason = F.when(F.col("kind") == "DAILY_SURPRISE_SYSTEM", "INSUFFICIENT_QUALIFIED_SURPRISE_SELECTIONS").otherwise("INSUFFICIENT_QUALIFIED_CANDIDATES")
+    reason = F.when(F.col("kind") == "DAILY_SURPRISE_SYSTEM", "INSUFFICIENT_QUALIFIED_SURPRISE_SELECTIONS").when(F.col("kind") == COMPOUND, "NO_QUALIFYING_COMPOUND_COUPON").otherwise("INSUFFICIENT_QUALIFIED_CANDIDATES")
     return out.select(
         "day",
         "kind",

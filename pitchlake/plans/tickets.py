@@ -102,10 +102,18 @@ m AS (SELECT day, kind, count(*) AS legs, string_agg(CAST(id AS VARCHAR), ',' OR
     WHEN 'DAILY_HIGH_CONFIDENCE' THEN nth <= 5 OR before < ln(3.0) - 1e-9 ELSE nth <= 5 END GROUP BY 1, 2
   HAVING count(*) >= CASE kind WHEN 'DAILY_OVER_25' THEN 3 WHEN 'DAILY_OVER_35' THEN 3 WHEN 'DAILY_SURPRISE_SYSTEM' THEN 6 ELSE 5 END),
 d AS (SELECT day, kind FROM (SELECT DISTINCT day FROM predictions), (VALUES ('DAILY_CORNERS'), ('DAILY_OVER_25'), ('DAILY_OVER_35'), ('DAILY_BTTS'), ('DAILY_HIGH_CONFIDENCE'),
-  ('DAILY_SURPRISE_SYSTEM')) z(kind))
+  ('DAILY_SURPRISE_SYSTEM'), ('DAILY_COMPOUND')) z(kind)),
+cp AS (SELECT day, id, match_id, odd, score, rank, count(*) OVER (PARTITION BY day) AS n FROM r WHERE category = 'COMPOUND'),
+two AS (SELECT a.day, [a.id, b.id] AS ids, a.odd * b.odd AS odd, (a.score + b.score) / 2 AS quality, a.match_id AS ma, b.match_id AS mb, a.odd * b.odd AS o2, a.score + b.score AS s2
+  FROM cp a JOIN cp b ON a.day = b.day AND a.id < b.id AND a.match_id <> b.match_id AND a.n <= 256),
+three AS (SELECT t.day, list_append(t.ids, c.id) AS ids, t.o2 * c.odd AS odd, (t.s2 + c.score) / 3 AS quality FROM two t JOIN cp c ON c.day = t.day AND c.id > t.ids[2] AND c.match_id NOT IN (ma, mb)
+  WHERE t.day NOT IN (SELECT day FROM two WHERE abs(odd - 1.8) < 1e-9)),
+bc AS (SELECT day, ids FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY CASE WHEN abs(odd - 1.8) < 1e-9 THEN 2 WHEN odd >= 1.75 THEN 1 ELSE 0 END DESC, quality DESC, odd DESC, len(ids), ids) AS nth
+  FROM (SELECT day, ids, odd, quality FROM two UNION ALL SELECT * FROM three) WHERE odd BETWEEN 1.5 - 1e-9 AND 1.8 + 1e-9) WHERE nth = 1),
+mm AS (SELECT * FROM m UNION ALL SELECT bc.day, 'DAILY_COMPOUND', count(*), string_agg(CAST(cp.id AS VARCHAR), ',' ORDER BY rank), round(product(odd), 6) FROM bc JOIN cp ON cp.day = bc.day AND list_contains(bc.ids, cp.id) GROUP BY bc.day)
 SELECT day, kind, CASE WHEN legs IS NULL THEN 'UNAVAILABLE' ELSE 'GENERATED' END AS state, CASE WHEN legs IS NOT NULL THEN NULL
-  WHEN kind = 'DAILY_SURPRISE_SYSTEM' THEN 'INSUFFICIENT_QUALIFIED_SURPRISE_SELECTIONS' ELSE 'INSUFFICIENT_QUALIFIED_CANDIDATES' END AS reason, legs, ids, odd,
-  CASE WHEN legs IS NOT NULL THEN kind = 'DAILY_HIGH_CONFIDENCE' AND odd >= 3.0 END AS target_reached FROM d LEFT JOIN m USING (day, kind)""")
+  WHEN kind = 'DAILY_SURPRISE_SYSTEM' THEN 'INSUFFICIENT_QUALIFIED_SURPRISE_SELECTIONS' WHEN kind = 'DAILY_COMPOUND' THEN 'NO_QUALIFYING_COMPOUND_COUPON' ELSE 'INSUFFICIENT_QUALIFIED_CANDIDATES' END AS reason, legs, ids, odd,
+  CASE WHEN legs IS NOT NULL THEN kind = 'DAILY_HIGH_CONFIDENCE' AND odd >= 3.0 END AS target_reached FROM d LEFT JOIN mm USING (day, kind)""")
 def daily_coupons(spark, sf_dir):
     """The coupons of every day from its candidates, and why a kind has none."""
     return settlement.daily_coupons(ranking.candidate_run(predictions(spark, sf_dir)))
@@ -242,10 +250,10 @@ def selection_set_validation(spark, sf_dir):
 
 @R.query("""
 SELECT coupon, kind, count(DISTINCT match_id) = count(*) AND min(odd) > 1 AND CASE kind WHEN 'DAILY_SURPRISE_SYSTEM' THEN count(*) IN (6, 7)
-  WHEN 'DAILY_COMPOUND' THEN count(*) IN (2, 3) AND product(odd) BETWEEN 1.5 - 1e-9 AND 1.8 + 1e-9 WHEN 'DAILY_OVER_25' THEN count(*) BETWEEN 3 AND 5 ELSE count(*) >= 5 END AS compliant
+  WHEN 'DAILY_COMPOUND' THEN count(*) IN (2, 3) AND product(odd) BETWEEN 1.5 - 1e-9 AND 1.8 + 1e-9 WHEN 'DAILY_OVER_25' THEN CASE WHEN coupon % 3 <> 0 THEN count(*) BETWEEN 3 AND 5 ELSE count(*) >= 5 END ELSE count(*) >= 5 END AS compliant
 FROM legs GROUP BY 1, 2""")
 def rule_compliance(spark, sf_dir):
-    return settlement.rule_compliant(frame(spark, sf_dir, "legs"))
+    return settlement.rule_compliant(frame(spark, sf_dir, "legs"), F.col("coupon") % 3 != 0)
 
 
 @R.query("""
