@@ -148,3 +148,74 @@ def json_rows(df: DataFrame, by: list[str], columns: list[str], order: list[str]
     cells = F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
     rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, cells.alias("cells")))).alias("r"))
     return rows.select(*by, F.to_json(F.transform("r", lambda x: x["cells"])).alias("body"))
+
+
+#: Reasons of a rejection that say that data were missing, not that the policy was.
+NO_DATA = ["ODDS_UNAVAILABLE", "STALE_ODDS", "MODEL_UNAVAILABLE"]
+
+
+def supported_populars(popular: DataFrame, coverage: DataFrame, candidates: DataFrame, predictions: DataFrame, exclusions: DataFrame) -> DataFrame:
+    """(id, support, reason, source, candidate_id, p, odds, implied, edge, ev, qualified): what the day's run says of selections
+    that are popular.
+
+    ``popular``: id, match_id, market, selection, line, problem (null, MARKET_NOT_SUPPORTED or UNRESOLVED), category (null where no
+    category holds the selection), odds, has_run. ``coverage``: match_id, covered, resolved. ``candidates`` and ``predictions``:
+    id, match_id, market, selection, line, p, odd, with availability and revised (a lineup's p, or null) in the latter.
+    ``exclusions``: id (of a prediction), category, reason.
+
+    The first thing that stands in the way names the status: an unknown match, a competition that no model covers, teams that are
+    not resolved, an unknown market or selection, no run. A candidate gives its probability at the popular price, else at its own;
+    without one the prediction does, or a lineup's revision of it, and the reason why it is no candidate. Of several candidates
+    or predictions of a selection the smallest id counts.
+    """
+    key = ["match_id", "market", "selection", "_line"]
+    keyed = lambda df: df.withColumn("_line", F.coalesce(F.col("line").cast("double"), F.lit(-1.0)))
+    first = lambda df, name, columns: keyed(df).groupBy(*key).agg(F.min_by(F.struct(*columns), "id").alias(name))
+    held = first(candidates, "_c", ["id", "p", F.col("odd").alias("odds")])
+    known = first(predictions, "_m", ["id", "p", "availability", "revised", F.col("odd").alias("odds")])
+    rows = keyed(popular).join(coverage, "match_id", "left").join(held, key, "left").join(known, key, "left")
+    why = exclusions.select(F.col("id").alias("_p"), "category", F.col("reason").alias("_why"))
+    rows = rows.withColumn("_p", F.col("_m.id")).join(why, ["_p", "category"], "left")
+    c = F.col
+    bad = lambda odds: odds.isNotNull() & ~((odds > 1) & (odds < float("inf")))
+    candidate, prediction = c("_c.id").isNotNull(), c("_m.id").isNotNull()
+    price = F.coalesce("odds", "_c.odds")
+    p = F.when(candidate, c("_c.p")).otherwise(F.coalesce("_m.revised", "_m.p"))
+    ev = p * price - 1
+    # (when, status, reason): the first that holds; a status of None is decided by the value of the candidate.
+    steps = [
+        (c("match_id").isNull(), "UNRESOLVED", "POPULAR_MATCH_UNRESOLVED"),
+        (~F.coalesce("covered", F.lit(False)), "MODEL_UNSUPPORTED", "COMPETITION_OUTSIDE_MODEL_COVERAGE"),
+        (~F.coalesce("resolved", F.lit(False)), "UNRESOLVED", "POPULAR_MATCH_UNRESOLVED"),
+        (c("problem") == "MARKET_NOT_SUPPORTED", "MARKET_NOT_SUPPORTED", "POPULAR_MARKET_NOT_SUPPORTED"),
+        (c("problem").isNotNull(), "UNRESOLVED", "POPULAR_SELECTION_UNRESOLVED"),
+        (~c("has_run"), "MODEL_DATA_UNAVAILABLE", "CANDIDATE_RUN_UNAVAILABLE"),
+        (candidate & bad(price), "INVALID_ODDS", "INVALID_ODDS"),
+        (candidate & (ev > 0), "MODEL_SUPPORTED", None),
+        (candidate, "MODEL_BELOW_POLICY", None),
+        (~prediction, "MODEL_DATA_UNAVAILABLE", "MODEL_PREDICTION_UNAVAILABLE"),
+        (bad(c("odds")), "INVALID_ODDS", "INVALID_ODDS"),
+        (c("_m.availability") != "AVAILABLE", "MODEL_DATA_UNAVAILABLE", "MODEL_UNAVAILABLE"),
+        (c("category").isNull(), "MODEL_NOT_SUPPORTED", "SELECTION_NOT_SUPPORTED_BY_POLICY"),
+        (c("_why").isNull(), "MODEL_DATA_UNAVAILABLE", "CANDIDATE_CONTEXT_UNAVAILABLE"),
+        (c("_why").isin(NO_DATA), "MODEL_DATA_UNAVAILABLE", c("_why")),
+        (F.lit(True), "MODEL_BELOW_POLICY", c("_why")),
+    ]
+    step = F.coalesce(*[F.when(test, i) for i, (test, *_) in enumerate(steps)])
+    at = lambda name: next(i for i, s in enumerate(steps) if s[2] is not None and not isinstance(s[2], Column) and s[2] == name)
+    rows = rows.withColumn("_step", step)
+    status = F.element_at(F.array(*[F.lit(s) for _, s, _ in steps]), c("_step") + 1)
+    reason = F.element_at(F.array(*[F.lit(r).cast("string") if not isinstance(r, Column) else r for *_, r in steps]), c("_step") + 1)
+    reached = c("_step") > at("CANDIDATE_RUN_UNAVAILABLE")
+    modelled = reached & (candidate | prediction)
+    # What is rejected by the policy alone is shown at the prediction's own price, if the popular one has none.
+    last = c("_step") == len(steps) - 1
+    shown = F.when(reached & candidate, price).when(last, F.coalesce("odds", "_m.odds")).otherwise(c("odds"))
+    usable = F.when(last | ~bad(shown), shown)
+    value = F.when(modelled, usable)
+    qualified = F.when(reached & candidate & ~bad(price), ev > 0).when(status.isin("MODEL_NOT_SUPPORTED", "MODEL_BELOW_POLICY"), F.lit(False))
+    source = F.when(reached & candidate, "CANDIDATE").when(modelled & (c("_step") > at("MODEL_PREDICTION_UNAVAILABLE") + 1), F.when(c("_m.revised").isNotNull(), "LINEUP").otherwise("BASE"))
+    return rows.select(
+        "id", status.alias("support"), reason.alias("reason"), source.alias("source"), F.when(reached, c("_c.id")).alias("candidate_id"), F.when(modelled, p).alias("p"), shown.alias("odds"),
+        (1 / usable).alias("implied"), (F.when(modelled, p) - 1 / value).alias("edge"), (F.when(modelled, p) * value - 1).alias("ev"), qualified.alias("qualified"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.fixtures import frame
 from pitchlake.functions import expressions as E
-from pitchlake.operators import ranking, resolve, settlement
+from pitchlake.operators import publication, ranking, resolve, settlement
 from pitchlake.plans.registry import Registry
 
 R = Registry()
@@ -119,6 +119,45 @@ def daily_coupons(spark, sf_dir):
     return settlement.daily_coupons(ranking.candidate_run(predictions(spark, sf_dir)))
 
 
+#: Popular selections: other writings of the predictions, some of no known match, market or selection, at prices of their own.
+UNIQUE = "PARTITION BY id ORDER BY p, odd, n, competition, day, observed, age_seconds, status, history_home, history_away, market, selection, line, corners_coverage"
+POPULAR = """SELECT id, CASE WHEN match_id % 31 = 0 THEN NULL ELSE match_id END AS match_id, market, CASE WHEN id % 23 = 0 THEN 'YES' ELSE selection END AS selection, line,
+  CASE WHEN id % 37 = 0 THEN 'MARKET_NOT_SUPPORTED' WHEN id % 41 = 0 THEN 'UNRESOLVED' END AS problem,
+  CASE WHEN market = 'BTTS' AND selection = 'YES' THEN 'BTTS_YES' WHEN market = 'TOTAL_GOALS' AND selection = 'OVER' AND line = 2.5 THEN 'OVER_25' WHEN market = 'FULL_TIME_TOTAL_CORNERS' THEN 'CORNERS' END AS category,
+  CASE WHEN id % 3 = 0 THEN NULL WHEN id % 43 = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(1 AS DOUBLE) + CAST(id % 17 AS DOUBLE) / CAST(8 AS DOUBLE) END AS odds, match_id % 29 <> 0 AS has_run FROM named"""
+
+
+@R.query(f"""
+WITH named AS (SELECT * REPLACE (id * 100 + row_number() OVER ({UNIQUE}) AS id) FROM predictions), {CANDIDATES.replace("FROM predictions)", "FROM named)")}, pop AS ({POPULAR}),
+cand AS (SELECT match_id, market, selection, coalesce(line, -1) AS l, min(id) AS id, arg_min(p, id) AS p, arg_min(odd, id) AS odd FROM r GROUP BY ALL),
+one AS (SELECT match_id, market, selection, coalesce(line, -1) AS l, min(id) AS id FROM named GROUP BY ALL),
+pred AS (SELECT o.*, min(p.p) AS p, max(p.odd) AS odd, min(availability) AS availability, CASE WHEN o.id % 5 = 0 THEN 0.5::DOUBLE END AS revised FROM one o JOIN named p ON p.id = o.id GROUP BY ALL),
+excl AS (SELECT id, category, min(coalesce(reason, CASE WHEN of_match > 1 THEN 'CORRELATION_REDUCTION' END)) AS why FROM (SELECT id, category, reason, NULL AS of_match FROM g WHERE reason IS NOT NULL
+  UNION ALL SELECT id, category, NULL, of_match FROM b WHERE of_match > 1) GROUP BY 1, 2),
+j AS (SELECT pop.*, pop.match_id % 13 <> 0 AS covered, pop.match_id % 11 <> 0 AS resolved, c.id AS cid, c.p AS cp, c.odd AS codd, m.id AS mid, coalesce(m.revised, m.p) AS mp, m.revised, m.odd AS modd, m.availability, why
+  FROM pop LEFT JOIN cand c ON c.match_id = pop.match_id AND c.market = pop.market AND c.selection = pop.selection AND c.l = coalesce(pop.line, -1)
+  LEFT JOIN pred m ON m.match_id = pop.match_id AND m.market = pop.market AND m.selection = pop.selection AND m.l = coalesce(pop.line, -1) LEFT JOIN excl e ON e.id = m.id AND e.category = pop.category),
+s AS (SELECT *, CASE WHEN match_id IS NULL THEN 'UNRESOLVED/POPULAR_MATCH_UNRESOLVED' WHEN NOT covered THEN 'MODEL_UNSUPPORTED/COMPETITION_OUTSIDE_MODEL_COVERAGE' WHEN NOT resolved THEN 'UNRESOLVED/POPULAR_MATCH_UNRESOLVED'
+  WHEN problem = 'MARKET_NOT_SUPPORTED' THEN 'MARKET_NOT_SUPPORTED/POPULAR_MARKET_NOT_SUPPORTED' WHEN problem IS NOT NULL THEN 'UNRESOLVED/POPULAR_SELECTION_UNRESOLVED'
+  WHEN NOT has_run THEN 'MODEL_DATA_UNAVAILABLE/CANDIDATE_RUN_UNAVAILABLE' WHEN cid IS NOT NULL AND coalesce(odds, codd) <= 1 THEN 'INVALID_ODDS/INVALID_ODDS'
+  WHEN cid IS NOT NULL AND cp * coalesce(odds, codd) - 1 > 0 THEN 'MODEL_SUPPORTED/' WHEN cid IS NOT NULL THEN 'MODEL_BELOW_POLICY/' WHEN mid IS NULL THEN 'MODEL_DATA_UNAVAILABLE/MODEL_PREDICTION_UNAVAILABLE'
+  WHEN odds <= 1 THEN 'INVALID_ODDS/INVALID_ODDS' WHEN availability <> 'AVAILABLE' THEN 'MODEL_DATA_UNAVAILABLE/MODEL_UNAVAILABLE' WHEN category IS NULL THEN 'MODEL_NOT_SUPPORTED/SELECTION_NOT_SUPPORTED_BY_POLICY'
+  WHEN why IS NULL THEN 'MODEL_DATA_UNAVAILABLE/CANDIDATE_CONTEXT_UNAVAILABLE' WHEN why IN ('ODDS_UNAVAILABLE', 'STALE_ODDS', 'MODEL_UNAVAILABLE') THEN 'MODEL_DATA_UNAVAILABLE/' || why
+  ELSE 'MODEL_BELOW_POLICY/' || why END AS says FROM j)
+SELECT id, split_part(says, '/', 1) AS support, nullif(split_part(says, '/', 2), '') AS reason, CASE WHEN split_part(says, '/', 1) IN ('MODEL_SUPPORTED', 'MODEL_BELOW_POLICY') AND (cid IS NOT NULL OR says NOT LIKE '%/') THEN
+  CASE WHEN cid IS NOT NULL THEN round(cp * coalesce(odds, codd) - 1, 8) ELSE round(mp * coalesce(odds, modd) - 1, 8) END END AS ev FROM s""")
+def supported_populars(spark, sf_dir):
+    """What the run says of popular selections."""
+    rows = predictions(spark, sf_dir).withColumn("id", F.col("id") * 100 + F.expr(f"row_number() OVER ({UNIQUE})"))
+    run = ranking.candidate_run(rows)
+    popular = spark.sql(POPULAR.replace("FROM named", "FROM {rows}"), rows=rows)
+    coverage = rows.select("match_id").distinct().select("match_id", (F.col("match_id") % 13 != 0).alias("covered"), (F.col("match_id") % 11 != 0).alias("resolved"))
+    excluded = run.filter("reason IS NOT NULL").groupBy("id", "category").agg(F.min("reason").alias("reason"))
+    found = publication.supported_populars(popular, coverage, run.filter("rank IS NOT NULL"), rows.withColumn("revised", F.when(F.col("id") % 5 == 0, 0.5)), excluded)
+    valued = F.col("support").isin("MODEL_SUPPORTED", "MODEL_BELOW_POLICY")
+    return found.select("id", "support", "reason", F.when(valued, F.round("ev", 8)).alias("ev"))
+
+
 @R.query("""
 WITH r AS (SELECT day, id, row_number() OVER (PARTITION BY day ORDER BY p DESC, id) AS rank, count(*) OVER (PARTITION BY day) AS n
   FROM predictions WHERE odd IS NOT NULL) SELECT day, id, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 7 AND n >= 5""")
