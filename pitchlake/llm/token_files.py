@@ -10,7 +10,7 @@ a file. A document lies in one file, over as many sequences as it needs; documen
 
 Files are written under a name of the attempt and then renamed, so an executor lost halfway leaves nothing that is read.
 
-Words between blanks are encoded by the tokenizers library one by one and remembered: the tokenizers this is for never join
+Words between blanks are encoded by the tokenizers library alone and remembered: the tokenizers this is for never join
 across a blank, and a special string has none in it. ``check_splittable`` refuses other tokenizer files.
 
 Defined results: a null text counts as empty and has the end id alone; null document ids come first; rows with one id follow
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -37,13 +38,18 @@ from tokenizers import Tokenizer
 
 from pitchlake.llm.storage import shared_dir, tidy
 
+#: Bytes of texts that are encoded together.
+PORTION = 12 << 20
 #: Ids of a sequence, sequences of a batch.
 LENGTH = 2048
 ROWS = 32
-#: Words that a task remembers, and the longest of them.
-MAX_WORDS = 300_000
-LONGEST = 64
-#: Characters of a text that are split into words at a time.
+#: Words that a worker remembers before it starts anew.
+MAX_WORDS = 1_500_000
+#: Words of letters that are one piece of the splitting pattern, whatever their case, and ASCII marks behind them, which are
+#: another: all but the apostrophe, which may open a contraction.
+PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]{1,64})([!-&(-/:-@\[-`{-~]*)")
+MAX_TAILS = 10_000
+#: Characters of a longer text that are encoded at a time.
 STRETCH = 1 << 20
 #: Bytes of ids that a reader hands on at a time.
 READ_BYTES = 8 << 20
@@ -58,36 +64,115 @@ def check_splittable(path: str) -> None:
     split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
     plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or " " in t["content"]) for t in spec["added_tokens"])
     dropped = split.get("type") == "Split" and split["behavior"] == "Removed" and split["invert"] and r"[^\s" in split["pattern"]["Regex"]
-    if not (plain and dropped and spec.get("post_processor") is None and spec["truncation"] is None and spec["padding"] is None):
+    lowered = any(n["type"] == "Lowercase" for n in (spec["normalizer"] or {}).get("normalizers", []))
+    if not (plain and dropped and lowered and spec.get("post_processor") is None and spec["truncation"] is None and spec["padding"] is None):
         raise ValueError(f"{path}: this tokenizer may join across white space")
 
 
 class Words(dict):
-    """Word -> its ids as bytes, encoded by the library when first met."""
+    """Plain word in lower case -> its ids as bytes, as the library gives them. A worker keeps it for all its tasks.
+
+    Plain words, of Latin letters alone, are one piece each of the splitting pattern and the tokenizer lowers their case: new ones
+    are encoded by one call, as words of one line, and its pieces are theirs in order; marks behind one are a piece of their own.
+    Other words are encoded one by one.
+    """
 
     def __init__(self, path: str, dtype: np.dtype):
         super().__init__()
         self.tokenizer, self.dtype = Tokenizer.from_file(path), dtype
-
-    def __missing__(self, word: str) -> bytes:
-        found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-        if len(word) <= LONGEST:
-            if len(self) >= MAX_WORDS:
-                self.clear()
-            self[word] = found
+        self.tails: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        if len(self) > MAX_WORDS:
+            self.clear()
+        out, new, later = list(map(self.get, words)), set(), []
+        for i, word in enumerate(words):
+            if out[i] is None:
+                if m := PLAIN.fullmatch(word):
+                    core, tail = m[1].lower(), self.tail(m[2])
+                    if (known := self.get(core)) is not None:
+                        out[i] = known + tail
+                    else:
+                        new.add(core)
+                        later.append((i, core, tail))
+                else:
+                    out[i] = self._ids(word).tobytes()
+        if new:
+            self._encode_plain(list(new))
+        for i, core, tail in later:
+            out[i] = self[core] + tail
+        return out
+
+    def tail(self, marks: str) -> bytes:
+        if (found := self.tails.get(marks)) is None:
+            found = self._ids(marks).tobytes()
+            if len(self.tails) < MAX_TAILS:
+                self.tails[marks] = found
         return found
 
+    def _encode_plain(self, new: list[str]) -> None:
+        coded = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids, owner = np.array(coded.ids, dtype=self.dtype), np.array(coded.word_ids)
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(owner)) + 1, [len(ids)]])
+        raw, cuts = ids.tobytes(), (cuts * self.dtype.itemsize).tolist()
+        self.update((w, raw[a:b]) for w, a, b in zip(new, cuts[:-1], cuts[1:], strict=True))
+
+    def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text: different words are looked up once, and the texts' ids gathered from theirs."""
+        for mark in "\n\t\r":
+            texts = pa.compute.replace_substring(texts, mark, " ")
+        lists = pa.compute.split_pattern(texts, " ")
+        coded = lists.flatten().dictionary_encode()
+        parts = self.of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        ids = np.frombuffer(b"".join(parts), dtype=self.dtype)
+        sizes = np.fromiter(map(len, parts), dtype="int64", count=len(parts)) // self.dtype.itemsize
+        starts = np.cumsum(sizes) - sizes
+        word = coded.indices.to_numpy()
+        lengths = sizes[word]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        gathered = ids[np.repeat(starts[word] - ends[:-1], lengths) + np.arange(ends[-1])]
+        cuts = ends[np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy())])]
+        for begin, end in zip(cuts.tolist(), cuts[1:].tolist()):
+            yield gathered[begin:end]
+
     def stretches(self, text: str) -> Iterator[np.ndarray]:
-        """The ids of a text, a stretch of it at a time."""
+        """The ids of a long text, a stretch of it at a time."""
         begin = 0
         while begin < len(text):
             end = len(text) if len(text) - begin <= STRETCH else text.find(" ", begin + STRETCH)
             end = len(text) if end < 0 else end
-            part = text[begin:end].replace("\n", " ").replace("\t", " ").replace("\r", " ")
-            yield np.frombuffer(b"".join(map(self.__getitem__, part.split(" "))), dtype=self.dtype)
+            yield from self.texts(pa.array([text[begin:end]]))
             begin = end
 
 
+def portions(texts: pa.Array) -> Iterator[pa.Array]:
+    """``texts`` in runs of about ``PORTION`` bytes; a longer one is a run of its own."""
+    sizes = pa.compute.binary_length(texts).to_numpy(zero_copy_only=False)
+    begin = held = 0
+    for at, size in enumerate(sizes.tolist()):
+        if at > begin and held + size > PORTION:
+            yield texts.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < len(texts):
+        yield texts.slice(begin)
+
+
+_KNOWN: dict[tuple[str, str], Words] = {}
+
+
+def known_words(path: str, dtype: np.dtype) -> Words:
+    """This worker's words of a tokenizer file."""
+    key = (path, dtype.str)
+    if key not in _KNOWN:
+        _KNOWN[key] = Words(path, dtype)
+    return _KNOWN[key]
+
+
 def id_type(path: str, end_id: int) -> np.dtype:
     """Two bytes an id where the vocabulary allows it."""
     return np.dtype("<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4")
@@ -165,17 +250,22 @@ def write(
         store, place = fs.FileSystem.from_uri(folder)
         store.create_dir(place, recursive=True)
         shard, attempt = TaskContext.get().partitionId(), f".{TaskContext.get().taskAttemptId()}.part"
-        names, words, n_docs = _names(place, shard), Words(path, dtype), 0
+        names, words, n_docs = _names(place, shard), known_words(path, dtype), 0
         with store.open_output_stream(names[0] + attempt) as ids_sink, store.open_output_stream(names[1] + attempt) as docs_sink:
             out = SequenceWriter(ids_sink, dtype, length, rows)
             docs = pa.ipc.new_stream(docs_sink, pa.schema([("id", id_type_)]))
             for batch in itertools.chain([first], batches):
                 docs.write_batch(pa.record_batch([batch.column("id").cast(id_type_)], names=["id"]))
                 n_docs += batch.num_rows
-                for text in batch.column("text"):
-                    for ids in words.stretches(text.as_py()):
+                for part in portions(batch.column("text")):
+                    if len(part) == 1 and len(part[0].as_py()) > STRETCH:
+                        for ids in words.stretches(part[0].as_py()):
+                            out.add(ids)
+                        out.end(end_id)
+                        continue
+                    for ids in words.texts(part):
                         out.add(ids)
-                    out.end(end_id)
+                        out.end(end_id)
             out.close()
             docs.close()
         for name in names:
