@@ -6,7 +6,7 @@ random and with the expectations unchanged, until one of them is 0 or 1. Moving
 words taken in total as they were, so a source ends within one document of its target.
 
 Documents are dealt by a hash into groups of about ``LEAF`` rows of one source, which settle by themselves and leave one
-unsettled document each. Those go up a tree of fan-in ``FAN_IN`` until one per source is left, which is drawn. A hot source
+unsettled document each. Those go up a tree of fan-in ``FAN_IN``, pair by pair, until one per source is left, which is drawn. A hot source
 just has more groups. All draws are seeded by the group and rows sorted inside it: reruns agree.
 
 Defined results: null text has size 0; documents of size 0 take 0 words; null is a source of its own, last in order; repeated
@@ -110,12 +110,35 @@ def _settle(rows: list[tuple[int, float]], rng: random.Random) -> tuple[list[int
     return out, held, p
 
 
+def _settle_equal(sizes: list[int], q: float, rng: random.Random) -> tuple[list[int], int | None, float]:
+    """Pivotal rounding of documents that all have fraction ``q``, each against all after it: mass moves between the document
+    and the rest, which keep equal fractions, until it is whole (or all of the rest are). With large ones first, what stays
+    open at the end is one of the small ones, and the words taken are off by less than it has."""
+    out, rest = [0] * len(sizes), sum(sizes)
+    for i, size in enumerate(sizes):
+        if q <= EPS or q >= 1 - EPS:
+            return [*out[:i], *[int(q > 0.5)] * (len(sizes) - i)], None, 0.0
+        rest -= size
+        if not rest:
+            return out, i, q
+        up, down = min(1 - q, q * rest / size), min(q, (1 - q) * rest / size)
+        if rng.random() * (up + down) < down:
+            p, q = q + up, q - up * size / rest
+        else:
+            p, q = q - down, q + down * size / rest
+        if EPS < p < 1 - EPS:
+            return [*out[: i + 1], *[int(q > 0.5)] * (len(sizes) - i - 1)], i, p
+        out[i] = int(p > 0.5)
+    return out, None, 0.0
+
+
 def _round(seed: int, level: int):
     def settle(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        # Large first: what stays open at the end of a group is small.
         group = group.sort_values(["size", "id", "frac"], ascending=[False, True, True], kind="stable", na_position="last")
         rng = random.Random(f"{seed}|{level}|{key[0]}|{key[1]}")
-        out, held, p = _settle(list(zip(group["size"].tolist(), group["frac"].tolist())), rng)
+        sizes, fractions = group["size"].tolist(), group["frac"].tolist()
+        # Documents of one source begin with one fraction; those that are left open meet with different ones.
+        out, held, p = _settle_equal(sizes, fractions[0], rng) if level == 0 else _settle(list(zip(sizes, fractions)), rng)
         group = group.assign(extra=out, open=False)
         if held is not None:
             group.iloc[held, group.columns.get_loc("open")] = True

@@ -70,8 +70,8 @@ def op10() -> str:
     one = f"CASE WHEN r[1] = '#' THEN {shown} ELSE coalesce(({known})[r], '&' || r || ';') END"
 
     def entities(out: str) -> str:
-        found = f"list_filter(list_distinct(regexp_extract_all({out}, {_quoted(warc.REFERENCE)}, 1)), lambda r: r <> 'amp')"
-        return f"replace(list_reduce(list_prepend({out}, {found}), lambda t, r: replace(t, '&' || r || ';', {one})), '&amp;', '&')"
+        found = f"list_transform(regexp_extract_all({out}, {_quoted(warc.REFERENCE)}, 1), lambda r: CASE WHEN r = 'amp' THEN '&' ELSE {one} END)"
+        return f"array_to_string(list_transform(list_zip(string_split_regex({out}, {_quoted(warc.REFERENCE)}), {found}), lambda p: p[1] || coalesce(p[2], '')), '')"
 
     def unquoted(out: str) -> str:
         return entities(f"regexp_replace({out}, {_quoted(warc.QUOTES)}, '', 'g')")

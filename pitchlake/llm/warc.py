@@ -100,22 +100,31 @@ def references() -> dict[str, str]:
     return ENTITIES | {k: v for k, v in composed.items() if len(v) == 1}
 
 
-# Patterns valid for Java and RE2 alike: what carries no text, what breaks a line, every other tag.
+# Patterns valid for Java and RE2 alike. BLANK parts attributes; REST is what a tag holds behind its name, where an attribute's
+# quoted value may hold a ">"; a quote that does not follow "=" or is not closed is a character like any other.
+BLANK = r"[ \t\n\r\f]"
+REST = rf"(?:[^>=]|={BLANK}*(?:\"[^\"]*\"|'[^']*')?)*"
 SILENT = (
     r"(?is)<!--.*?(-->|\z)|<title\b.*?(</title[ \t\n\r]*>|\z)"
     r"|<script\b.*?(</script[ \t\n\r]*>|\z)|<style\b.*?(</style[ \t\n\r]*>|\z)"
 )
-BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>"
-TAG = r"<[!/?]?[A-Za-z][^>]*>"
+BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b" + REST + ">"
+TAG = r"<[!/?]?[A-Za-z]" + REST + ">"
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
-TITLE = r"(?is)<title[^>]*>(.*?)</title"
-# A value in either kind of quotes, or bare.
-VALUE = r"[ \t\n\r\f]*=[ \t\n\r\f]*(\"[^\"]*\"|'[^']*'|[^ \t\n\r\f\"'>]+)"
-LANG = r"(?is)<html\b[^>]*?[ \t\n\r\f]lang" + VALUE
-LINK = r"(?is)<a\b[^>]*?[ \t\n\r\f]href" + VALUE
+TITLE = r"(?is)<title" + REST + r">(.*?)</title"
+# Attributes before the one that is asked for: names, and values in either kind of quotes or bare; a quote opens a value alone.
+BEFORE = rf"(?:[^>=\"']|={BLANK}*(?:\"[^\"]*\"|'[^']*'|[^ \t\n\r\f\"'>][^ \t\n\r\f>]*)?)*?"
+VALUE = rf"{BLANK}*={BLANK}*(\"[^\"]*\"|'[^']*'|[^ \t\n\r\f\"'>]+)"
+LANG = rf"(?is)<html\b{BEFORE}{BLANK}lang{VALUE}"
+LINK = rf"(?is)<a\b{BEFORE}{BLANK}href{VALUE}"
 QUOTES = r"^[\"']|[\"']\z"
 
 
+def in_java(pattern: str) -> str:
+    """The same pattern without steps back that cannot help: a run of plain characters is taken whole."""
+    return pattern.replace("[^>=]|", "[^>=]++|")
+
+
 def _or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
@@ -132,15 +141,17 @@ def _character(reference: Column) -> Column:
     valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
     shown = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, number).otherwise(0xFFFD)), 8, "0")), "UTF-32")
     names = F.create_map(*[F.lit(x) for pair in references().items() for x in pair])
-    return F.when(reference.startswith("#"), shown).otherwise(names[reference])
+    return F.when(reference.startswith("#"), shown).when(reference == "nbsp", " ").otherwise(names[reference])
 
 
 def decode_entities(text: Column) -> Column:
-    """With its character references resolved, ``&amp;`` last, so that nothing is resolved twice. Unknown names stay."""
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
-    named = lambda r: F.concat(F.lit("&"), r, F.lit(";"))
-    out = F.aggregate(F.filter(found, lambda r: r != "amp"), text, lambda out, r: F.replace(out, named(r), F.coalesce(_character(r), named(r))))
-    return F.replace(F.when(text.contains("&"), out).otherwise(text), F.lit("&amp;"), F.lit("&"))
+    """With its character references resolved, from left to right and each once: what a reference gives is not read again.
+    Unknown names stay."""
+    between = F.split(text, REFERENCE, -1)
+    resolved = lambda r: F.when(r == "amp", "&").otherwise(F.coalesce(_character(r), F.concat(F.lit("&"), r, F.lit(";"))))
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), resolved)
+    whole = F.array_join(F.zip_with(between, found, lambda plain, shown: F.concat(plain, F.coalesce(shown, F.lit("")))), "")
+    return F.when(text.contains("&"), whole).otherwise(text)
 
 
 def _unquoted(value: Column) -> Column:
@@ -150,15 +161,15 @@ def _unquoted(value: Column) -> Column:
 def plain_text(html: Column) -> Column:
     """Text of an HTML document: one line per block, white space collapsed, character references resolved."""
     out = F.regexp_replace(_or_empty(html), SILENT, "")
-    out = F.regexp_replace(F.regexp_replace(out, r"[\t\n\r\f]", " "), BREAKS, "\n")
-    out = decode_entities(F.regexp_replace(out, TAG, ""))
+    out = F.regexp_replace(F.translate(out, "\t\n\r\f", "    "), in_java(BREAKS), "\n")
+    out = decode_entities(F.regexp_replace(out, in_java(TAG), ""))
     out = F.regexp_replace(out, r" {2,}", " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
     return F.regexp_replace(out, r"^[ \n]+|[ \n]+\z", "")
 
 
 def title(html: Column) -> Column:
-    out = F.regexp_replace(F.regexp_extract(_or_empty(html), TITLE, 1), r"[ \t\n\r\f]+", " ")
+    out = F.regexp_replace(F.regexp_extract(_or_empty(html), in_java(TITLE), 1), r"[ \t\n\r\f]+", " ")
     return F.trim(decode_entities(out))
 
 

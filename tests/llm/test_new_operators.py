@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from pitchlake.llm import importance, oracles, queries, spelling, token_files
+from pitchlake.llm import importance, mixing, oracles, queries, spelling, token_files
 from pitchlake.llm.storage import numbered
 from tests.llm.test_llm_operators import odd_docs
 
@@ -92,6 +92,31 @@ def test_places_in_a_total_order(spark):
     assert sorted(r["nth"] for r in out) == list(range(500))
 
 
+# -- mixing: the smallest document stays open -------------------------------------------------------------------------
+
+
+def test_equal_fractions_keep_mass_and_expectation():
+    rng = random.Random(3)
+    for sizes, q in (([900, *[rng.randrange(1, 400) for _ in range(50)]], 0.3), ([5000, 10, 9, 3, 1], 0.55), ([7], 0.4), ([4, 4], 0.5)):
+        sizes, taken_of = sorted(sizes, reverse=True), np.zeros(len(sizes))
+        for seed in range(3000):
+            out, held, p = mixing._settle_equal(sizes, q, random.Random(seed))
+            taken = sum(s * o for s, o in zip(sizes, out)) + (sizes[held] * p if held is not None else 0)
+            assert taken == pytest.approx(q * sum(sizes), abs=1e-6)
+            assert held is None or len(sizes) < 20 or sizes[held] < 0.4 * max(sizes)
+            taken_of += out
+            if held is not None:
+                taken_of[held] += p
+        assert np.abs(taken_of / 3000 - q).max() < 0.06
+
+
+def test_small_sources_end_near_their_target(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", "text")
+    out = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.min(F.when(F.col("size") > 0, F.col("size"))).alias("least"))
+    for r in out.collect():
+        assert abs(r["taken"] - r["target"]) <= max(r["least"], 0.03 * r["target"]), r
+
+
 # -- spelling variants -------------------------------------------------------------------------------------------------
 
 
