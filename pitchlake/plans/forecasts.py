@@ -511,10 +511,18 @@ def platt_fit(spark, sf_dir):
     return spark.range(1).select(F.round(F.lit(a), 6).alias("a"), F.round(F.lit(b), 6).alias("b"))
 
 
-@R.query()
+def _platt_sql(rows: str) -> str:
+    """Recursive descent of every market over ``rows`` (market, p, y)."""
+    return f"""d AS (SELECT market, ln(least(greatest(p, 1e-9), 1 - 1e-9) / (1 - least(greatest(p, 1e-9), 1 - 1e-9))) AS x, count(*) AS n, CAST(sum(y) AS DOUBLE) AS y FROM {rows} GROUP BY market, p),
+f AS (SELECT DISTINCT market, 0 AS step, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM d UNION ALL
+  SELECT f.market, any_value(f.step) + 1, least(greatest(any_value(f.a) - 0.03 * sum((n / (1 + exp(-(f.a * x + f.b))) - y) * x) / sum(n), 0.05), 5),
+    least(greatest(any_value(f.b) - 0.03 * sum(n / (1 + exp(-(f.a * x + f.b))) - y) / sum(n), -5), 5) FROM f JOIN d ON d.market = f.market WHERE f.step < 500 GROUP BY f.market)"""
+
+
+@R.query(f"WITH RECURSIVE {_platt_sql('observations')} SELECT f.market, round(a, 6) AS a, round(b, 6) AS b, (SELECT sum(n)::BIGINT FROM d WHERE d.market = f.market) AS n FROM f WHERE step = 500")
 def platt_by_market(spark, sf_dir):
     """Platt parameters of every market, all in one job."""
-    return fits.platt_fits(frame(spark, sf_dir, "observations"), ["market"])
+    return fits.platt_fits(frame(spark, sf_dir, "observations"), ["market"]).withColumns({c: F.round(c, 6) for c in "ab"})
 
 
 def _joint_rows(spark, sf_dir):
@@ -653,7 +661,41 @@ def _outcomes(spark, sf_dir):
     )
 
 
-@R.query()
+def _glm_sql() -> str:
+    """Recursive descent of every competition over its distinct inputs, a head a recursion."""
+
+    def one(kind: str, steps: int, rate: float) -> str:
+        z, y = "c + w1 * x1 + w2 * x2", "over" if kind == "logistic" else "hg"
+        p = f"(1 / (1 + exp(-({z}))))" if kind == "logistic" else f"exp(least(greatest({z}, -20), 20))"
+        start = "0::DOUBLE" if kind == "logistic" else "ln(greatest(sum(hg) / sum(n), 0.05))"
+        cut = (lambda x: x) if kind == "logistic" else (lambda x: f"least(greatest({x}, -5), 5)")
+        w = lambda i: cut(f"any_value(w{i}) - {rate} * (sum(x{i} * (n * {p} - {y})) / sum(n) + 0.002 * any_value(w{i}))")
+        return f"""{kind} AS (SELECT competition, 0 AS step, 0::DOUBLE AS w1, 0::DOUBLE AS w2, {start} AS c FROM d GROUP BY competition UNION ALL
+  SELECT f.competition, any_value(step) + 1, {w(1)}, {w(2)}, {cut(f"any_value(c) - {rate} * sum(n * {p} - {y}) / sum(n)")} FROM {kind} f JOIN d ON d.competition = f.competition WHERE step < {steps} GROUP BY f.competition)"""
+
+    names = ("HOME", "DRAW", "AWAY")
+    z = [f"exp(c{i} + u{i} * x1 + v{i} * x2)" for i in range(3)]
+    moves = ", ".join(
+        f"any_value({k}{i}) - 0.06 * (sum({x} * (n * {z[i]} / ({z[0]} + {z[1]} + {z[2]}) - {names[i].lower()})) / sum(n){f' + 0.002 * any_value({k}{i})' if k != 'c' else ''})"
+        for k, x in (("u", "x1"), ("v", "x2"), ("c", "1"))
+        for i in range(3)
+    )
+    state = [f"{k}{i}" for k in "uvc" for i in range(3)]
+    softmax = f"""softmax AS (SELECT DISTINCT competition, 0 AS step, {', '.join(f'0::DOUBLE AS {x}' for x in state)} FROM d UNION ALL
+  SELECT f.competition, any_value(step) + 1, {moves} FROM softmax f JOIN d ON d.competition = f.competition WHERE step < 800 GROUP BY f.competition)"""
+    rows = "SELECT '{0}' AS kind, competition, unnest(['x1', 'x2', 'intercept']) AS term, '' AS class, unnest([w1, w2, c]) AS weight FROM {0} WHERE step = {1}"
+    soft = " UNION ALL ".join(
+        f"SELECT 'softmax', competition, unnest(['x1', 'x2', 'intercept']), '{name}', unnest([u{i}, v{i}, c{i}]) FROM softmax WHERE step = 800" for i, name in enumerate(names)
+    )
+    return f"""
+WITH RECURSIVE o AS (SELECT competition, (home % 5) / 4.0 AS x1, (away % 7) / 6.0 AS x2, hg, hg + ag > 2 AS o, hg > ag AS h, hg = ag AS e FROM matches WHERE finished),
+d AS (SELECT competition, x1, x2, count(*)::DOUBLE AS n, sum(hg)::DOUBLE AS hg, sum(o::INT)::DOUBLE AS over, sum(h::INT)::DOUBLE AS home, sum(e::INT)::DOUBLE AS draw, (count(*) - sum(h::INT) - sum(e::INT))::DOUBLE AS away FROM o GROUP BY ALL),
+{one("logistic", 700, 0.08)}, {one("poisson", 800, 0.015)}, {softmax},
+w AS ({rows.format("logistic", 700)} UNION ALL {rows.format("poisson", 800)} UNION ALL {soft})
+SELECT kind, competition, term, class, round(weight, 6) AS weight, (SELECT sum(n)::BIGINT FROM d WHERE d.competition = w.competition) AS n FROM w"""
+
+
+@R.query(_glm_sql())
 def glm_by_competition(spark, sf_dir):
     """Logistic, Poisson and softmax fits of every competition."""
     rows = _outcomes(spark, sf_dir)
@@ -661,21 +703,38 @@ def glm_by_competition(spark, sf_dir):
     for kind, label in (("logistic", "over"), ("poisson", "hg"), ("softmax", "result")):
         one = fits.glm_fits(rows, ["competition"], ["x1", "x2"], label, kind).withColumn("kind", F.lit(kind))
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.withColumn("weight", F.round("weight", 6))
 
 
-@R.query()
+@R.query("""
+WITH RECURSIVE o AS (SELECT id, (home % 5) / 4.0 AS x1, (away % 7) / 6.0 AS x2, (hg + ag > 2)::INT AS y, row_number() OVER (ORDER BY kick, id) AS nth, count(*) OVER () AS n FROM matches WHERE finished),
+r AS (SELECT *, CASE WHEN nth <= 100 THEN 0 ELSE (nth - 101) // least(greatest(CAST(ceil(greatest(n - 100, 0) / 15.0) AS BIGINT), 10), 500) + 1 END AS fold FROM o),
+d AS (SELECT t.fold AS target, x1, x2, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS y FROM r JOIN (SELECT DISTINCT fold FROM r WHERE fold > 0) t ON r.fold < t.fold GROUP BY ALL),
+f AS (SELECT DISTINCT target, 0 AS step, 0::DOUBLE AS w1, 0::DOUBLE AS w2, 0::DOUBLE AS c FROM d UNION ALL
+  SELECT f.target, any_value(step) + 1, any_value(w1) - 0.08 * (sum(x1 * (n / (1 + exp(-(c + w1 * x1 + w2 * x2))) - y)) / sum(n) + 0.002 * any_value(w1)),
+    any_value(w2) - 0.08 * (sum(x2 * (n / (1 + exp(-(c + w1 * x1 + w2 * x2))) - y)) / sum(n) + 0.002 * any_value(w2)), any_value(c) - 0.08 * sum(n / (1 + exp(-(c + w1 * x1 + w2 * x2))) - y) / sum(n)
+  FROM f JOIN d ON d.target = f.target WHERE step < 700 GROUP BY f.target)
+SELECT id, fold, round(1 / (1 + exp(-(c + w1 * x1 + w2 * x2))), 6) AS p FROM r JOIN f ON f.target = r.fold AND step = 700""")
 def walk_forward_forecasts(spark, sf_dir):
     """Out-of-sample forecasts, each by a model of the folds before its own."""
     rows = _outcomes(spark, sf_dir)
-    return fits.walk_forward(fits.walk_forward_folds(rows, "kick", "id"), ["x1", "x2"], "over")
+    return fits.walk_forward(fits.walk_forward_folds(rows, "kick", "id"), ["x1", "x2"], "over").withColumn("p", F.round("p", 6))
 
 
-@R.query()
+@R.query(f"""
+WITH RECURSIVE h AS (SELECT *, epoch_us(generated_at) < (SELECT median(epoch_us(generated_at)) FROM observations) AS early FROM observations),
+early AS (SELECT market, p, y FROM h WHERE early), {_platt_sql('early')},
+m AS (SELECT f.market, a, b, (SELECT sum(n) FROM d WHERE d.market = f.market) AS n_fit FROM f WHERE step = 500),
+t AS (SELECT h.market, h.p AS raw, 1 / (1 + exp(-(a * ln(least(greatest(p, 1e-9), 1 - 1e-9) / (1 - least(greatest(p, 1e-9), 1 - 1e-9))) + b))) AS new, y FROM h JOIN m USING (market) WHERE NOT early),
+l AS (SELECT market, count(*) AS n, avg(-ln(greatest(CASE WHEN y = 1 THEN raw ELSE 1 - raw END, 1e-12))) AS raw, avg(-ln(greatest(CASE WHEN y = 1 THEN new ELSE 1 - new END, 1e-12))) AS new FROM t GROUP BY 1),
+e AS (SELECT market, sum(abs(p - y)) FILTER (kind = 'raw') / sum(n) FILTER (kind = 'raw') AS raw, sum(abs(p - y)) FILTER (kind = 'new') / sum(n) FILTER (kind = 'new') AS new FROM (
+  SELECT market, kind, least(floor(p * 20), 19) AS bin, count(*) AS n, sum(p) AS p, sum(y) AS y FROM (SELECT market, 'raw' AS kind, raw AS p, y FROM t UNION ALL SELECT market, 'new', new, y FROM t) GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT m.market, round(a, 6) AS a, round(b, 6) AS b, l.n, CASE WHEN n_fit < 20 OR l.n < 20 THEN 'INSUFFICIENT_SAMPLE' WHEN l.new <= l.raw AND e.new <= e.raw + 0.02 THEN 'CALIBRATED_V1' ELSE 'CALIBRATION_NOT_BENEFICIAL' END AS status
+FROM m JOIN l USING (market) JOIN e USING (market)""")
 def calibration_by_market(spark, sf_dir):
     """Parameters and status of every market, fitted on the earlier half and judged on the later."""
     rows = fits.chronological_half(frame(spark, sf_dir, "observations"), "generated_at")
-    return fits.fit_calibration(rows, "market")
+    return fits.fit_calibration(rows, "market").withColumns({c: F.round(c, 6) for c in "ab"})
 
 
 @R.query("""
