@@ -447,7 +447,12 @@ def name_similarity(spark, sf_dir):
     return rows.select(F.col("s_suppkey").alias("id"), F.round(E.similarity(F.lower("s_name"), F.lower(other)), 8).alias("score"))
 
 
-@R.query()
+@R.query("""
+WITH c AS (SELECT c_nationkey AS block, c_custkey AS id, lower(replace(c_name, '#', ' ')) AS name FROM customer),
+p AS (SELECT s.id AS source_id, t.id AS target_id, round(1 - levenshtein(s.name, t.name) / CAST(greatest(length(s.name), length(t.name)) AS DOUBLE), 8) AS score FROM c s JOIN c t USING (block)),
+r AS (SELECT *, row_number() OVER w AS nth, coalesce(lead(score) OVER w, 0) AS second FROM p WINDOW w AS (PARTITION BY source_id ORDER BY score DESC, target_id))
+SELECT source_id, target_id, score, second, CASE WHEN score = 1 AND score - second >= 0.05 THEN 'EXACT' WHEN score >= 0.92 AND score - second >= 0.05 THEN 'VERY_HIGH' WHEN score >= 0.75 THEN 'REVIEW' ELSE 'UNRESOLVED' END AS level
+FROM r WHERE nth = 1""")
 def resolve_best_match(spark, sf_dir):
     """Customer names, misspelt and decorated, against the clean names of their nation."""
     rows = frame(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("block"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
