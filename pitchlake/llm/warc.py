@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import string
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -105,10 +106,10 @@ def references() -> dict[str, str]:
 BLANK = r"[ \t\n\r\f]"
 REST = rf"(?:[^>=]|={BLANK}*(?:\"[^\"]*\"|'[^']*')?)*"
 SILENT = (
-    r"(?is)<!--.*?(-->|\z)|<title\b.*?(</title[ \t\n\r]*>|\z)"
-    r"|<script\b.*?(</script[ \t\n\r]*>|\z)|<style\b.*?(</style[ \t\n\r]*>|\z)"
+    r"(?is)<(?:!--.*?(?:-->|\z)|title\b.*?(?:</title[ \t\n\r]*>|\z)"
+    r"|script\b.*?(?:</script[ \t\n\r]*>|\z)|style\b.*?(?:</style[ \t\n\r]*>|\z))"
 )
-BREAKS = r"(?i)</?(address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b" + REST + ">"
+BREAKS = r"(?i)</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|footer|form|h[1-6]|header|hr|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b" + REST + ">"
 TAG = r"<[!/?]?[A-Za-z]" + REST + ">"
 REFERENCE = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
 TITLE = r"(?is)<title" + REST + r">(.*?)</title"
@@ -144,14 +145,22 @@ def _character(reference: Column) -> Column:
     return F.when(reference.startswith("#"), shown).when(reference == "nbsp", " ").otherwise(names[reference])
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def decode_entities(text: Column) -> Column:
     """With its character references resolved, from left to right and each once: what a reference gives is not read again.
     Unknown names stay."""
-    between = F.split(text, REFERENCE, -1)
     resolved = lambda r: F.when(r == "amp", "&").otherwise(F.coalesce(_character(r), F.concat(F.lit("&"), r, F.lit(";"))))
-    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)), resolved)
-    whole = F.array_join(F.zip_with(between, found, lambda plain, shown: F.concat(plain, F.coalesce(shown, F.lit("")))), "")
-    return F.when(text.contains("&"), whole).otherwise(text)
+
+    def decoded(t: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(1)), resolved)
+        pieces = F.zip_with(F.split(t, REFERENCE, -1), found, lambda plain, shown: F.concat(plain, F.coalesce(shown, F.lit(""))))
+        return F.when(t.contains("&"), F.array_join(pieces, "")).otherwise(t)
+
+    return _once(text, decoded)
 
 
 def _unquoted(value: Column) -> Column:
@@ -165,7 +174,7 @@ def plain_text(html: Column) -> Column:
     out = decode_entities(F.regexp_replace(out, in_java(TAG), ""))
     out = F.regexp_replace(out, r" {2,}", " ")
     out = F.regexp_replace(out, r" ?\n[ \n]*", "\n")
-    return F.regexp_replace(out, r"^[ \n]+|[ \n]+\z", "")
+    return F.trim(out, F.lit(" \n"))
 
 
 def title(html: Column) -> Column:
