@@ -314,16 +314,21 @@ def series_fold(df: DataFrame, key: str, order: list[str], steps: int = 7) -> Da
     )
 
 
-def coupon_summary(coupons: DataFrame, by: list[str | Column], stake_cents: int) -> DataFrame:
-    """Counts, hit rate over decided coupons, stake, gross, profit and return; no stake, no return."""
-    won, lost = (F.sum((F.col("result") == r).cast("long")) for r in ("WON", "LOST"))
+def coupon_summary(coupons: DataFrame, by: list[str | Column], stake_cents: int, order: list[str] | None = None) -> DataFrame:
+    """Counts, hit rate over decided coupons, stake, gross, profit and return; no stake, no return. With an ``order``, also the
+    longest runs of WON and LOST in it; VOID neither extends nor breaks one."""
+    won, lost, void = (F.sum((F.col("result") == r).cast("long")) for r in ("WON", "LOST", "VOID"))
     decided = F.col("result").isin("WON", "LOST", "VOID")
     stake = F.sum(F.when(decided, F.lit(stake_cents)).otherwise(0).cast("long"))
     gross = F.sum(F.coalesce("payout_cents", F.lit(0)))
-    return coupons.groupBy(*by).agg(
+    named = {f"_by{i}": F.col(c) if isinstance(c, str) else c for i, c in enumerate(by)}
+    rows = coupons.withColumns(named)
+    out = rows.groupBy(*named).agg(
         F.count("*").alias("coupons"),
+        F.sum(decided.cast("long")).alias("settled"),
         won.alias("won"),
         lost.alias("lost"),
+        void.alias("void"),
         F.round(F.try_divide(won, won + lost), 8).alias("hit_rate"),
         stake.alias("stake_cents"),
         gross.alias("gross_cents"),
@@ -332,3 +337,19 @@ def coupon_summary(coupons: DataFrame, by: list[str | Column], stake_cents: int)
         F.round(F.avg(F.when(decided, F.lit(stake_cents))), 8).alias("average_stake_cents"),
         F.round(F.avg(F.when(decided, F.col("odd"))), 8).alias("average_odd"),
     )
+    if order:
+        w = Window.partitionBy(*named).orderBy(*order)
+        turns = rows.filter(F.col("result").isin("WON", "LOST"))
+        turned = F.coalesce((F.lag("result").over(w) != F.col("result")).cast("int"), F.lit(1))
+        runs = turns.withColumn("_run", F.sum(turned).over(w)).groupBy(*named, "_run", "result").count()
+        longest = lambda r: F.max(F.when(F.col("result") == r, F.col("count")))
+        found = runs.groupBy(*named).agg(longest("WON").alias("longest_win"), longest("LOST").alias("longest_loss"))
+        same = F.lit(True)
+        for name in named:
+            same = same & F.col(f"o.{name}").eqNullSafe(F.col(f"f.{name}"))
+        rest = [c for c in out.columns if c not in named]
+        joined = out.alias("o").join(found.alias("f"), same, "left")
+        out = joined.select(*[F.col(f"o.{c}") for c in out.columns], *[F.coalesce(f"f.{c}", F.lit(0)).alias(c) for c in ("longest_win", "longest_loss")])
+        out = out.select(*named, *rest, "longest_win", "longest_loss")
+    titles = [c if isinstance(c, str) else coupons.select(c).columns[0] for c in by]
+    return out.withColumnsRenamed(dict(zip(named, titles)))

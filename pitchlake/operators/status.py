@@ -24,6 +24,23 @@ def totals(matches: DataFrame, teams: DataFrame) -> DataFrame:
     return out.crossJoin(teams.agg(F.count("*").alias("teams")))  # one row each
 
 
+def coverage_by_season(matches: DataFrame, imports: DataFrame) -> DataFrame:
+    """(competition, season, ...): how many matches of a season there are, are finished or scheduled, and have each kind of
+    statistics of both sides, their first and last day, and when the season was last imported. One pass: a match is one row.
+
+    ``matches``: id, competition, season, day, status, pairs of statistics; ``imports``: competition, season, status, completed_at.
+    """
+    both = {"shots": ("hs", "as_"), "shots_on_target": ("hst", "ast"), "corners": ("hc", "ac"), "cards": ("hy", "ay"), "halftime": ("hth", "hta")}
+    n = lambda test: F.countDistinct(F.when(test, F.col("id")))
+    counts = [n(F.col(a).isNotNull() & F.col(b).isNotNull()).alias(f"with_{name}") for name, (a, b) in both.items()]
+    out = matches.groupBy("competition", "season").agg(
+        F.countDistinct("id").alias("matches"), n(F.col("status") == "finished").alias("finished"), n(F.col("status") == "scheduled").alias("scheduled"),
+        *counts, F.min("day").alias("earliest"), F.max("day").alias("latest"),
+    )
+    last = imports.filter("status = 'completed'").groupBy("competition", "season").agg(F.max("completed_at").alias("last_import"))
+    return out.join(last, ["competition", "season"], "left")
+
+
 def feature_quality(snapshots: DataFrame, least: int = 3) -> DataFrame:
     """One row over feature snapshots (competition, cutoff, quality: JSON): how many, how many with too little history on a
     side, their mean coverage of four statistics, competitions and range."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pitchlake.fixtures import frame
 from pitchlake.functions import expressions as E
+from pitchlake.operators import status
 from pitchlake.plans.registry import Registry
 from pitchlake.sources import bulletin_json, bulletin_tree, results_csv, upserts
 
@@ -262,20 +263,21 @@ def overlay_category(spark, sf_dir):
     return upserts.overlay(q, q.filter("id % 2 = 0").withColumn("odd", F.col("odd") + 1), "selection", "view")
 
 
-@R.query("""
-SELECT competition, year(kick) AS season, count(*) AS matches, count(DISTINCT CASE WHEN finished THEN id END) AS finished,
-  count(DISTINCT CASE WHEN hc IS NOT NULL THEN id END) AS with_corners, count(DISTINCT home) AS teams, min(kick) AS first, max(kick) AS last
-FROM matches GROUP BY 1, 2""")
+SEASONS = """SELECT id, competition, CAST(year(kick) AS BIGINT) AS season, CAST(kick AS DATE) AS day, CASE WHEN finished THEN 'finished' WHEN id % 7 = 0 THEN 'postponed' ELSE 'scheduled' END AS status,
+ hs, as_, hst, ast, hc, ac, hy, ay, CASE WHEN id % 4 <> 0 THEN CAST(floor(hg / 2) AS BIGINT) END AS hth, CASE WHEN id % 8 <> 1 THEN CAST(floor(ag / 2) AS BIGINT) END AS hta FROM matches"""
+IMPORTS = "SELECT user_id % 10 AS competition, 1992 + event_id % 8 AS season, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'completed' END AS status, ts AS completed_at FROM events WHERE user_id % 10 <> 9"
+
+
+@R.query(f"""
+WITH s AS ({SEASONS}), i AS ({IMPORTS})
+SELECT s.competition, s.season, count(*) AS matches, count(*) FILTER (status = 'finished') AS finished, count(*) FILTER (status = 'scheduled') AS scheduled,
+  count(*) FILTER (hs IS NOT NULL AND as_ IS NOT NULL) AS with_shots, count(*) FILTER (hst IS NOT NULL AND ast IS NOT NULL) AS with_shots_on_target, count(*) FILTER (hc IS NOT NULL AND ac IS NOT NULL) AS with_corners,
+  count(*) FILTER (hy IS NOT NULL AND ay IS NOT NULL) AS with_cards, count(*) FILTER (hth IS NOT NULL AND hta IS NOT NULL) AS with_halftime, min(day) AS earliest, max(day) AS latest,
+  (SELECT max(completed_at) FROM i WHERE i.status = 'completed' AND i.competition = s.competition AND i.season = s.season) AS last_import FROM s GROUP BY s.competition, s.season""")
 def coverage_summary(spark, sf_dir):
-    m = frame(spark, sf_dir, "matches")
-    return m.groupBy("competition", F.year("kick").cast("long").alias("season")).agg(
-        F.count("*").alias("matches"),
-        F.countDistinct(F.when(F.col("finished"), F.col("id"))).alias("finished"),
-        F.countDistinct(F.when(F.col("hc").isNotNull(), F.col("id"))).alias("with_corners"),
-        F.countDistinct("home").alias("teams"),
-        F.min("kick").alias("first"),
-        F.max("kick").alias("last"),
-    )
+    seasons = spark.sql(SEASONS.replace("FROM matches", "FROM {m}"), m=frame(spark, sf_dir, "matches"))
+    imports = spark.sql(IMPORTS.replace("FROM events", "FROM {e}"), e=frame(spark, sf_dir, "events"))
+    return status.coverage_by_season(seasons, imports)
 
 
 @R.query("SELECT series, count(*) FILTER (state = 'WON') AS won, count(*) FILTER (state = 'LOST') AS lost, count(*) FILTER (state = 'VOID') AS void FROM outcomes GROUP BY 1")

@@ -303,26 +303,31 @@ def running_product(spark, sf_dir):
     return settlement.running_product(frame(spark, sf_dir, "legs"), 3.0, 5, ["leg", "match_id", "odd"])
 
 
-def _summary(by: str, extra: str = "") -> str:
+def _summary(by: str) -> str:
     return f"""
-WITH {SETTLED} SELECT {by}, count(*) AS coupons, count(*) FILTER (result = 'WON') AS won, count(*) FILTER (result = 'LOST') AS lost,
+WITH {SETTLED}, grouped AS (SELECT *, {by} FROM w),
+turns AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY coupon) - row_number() OVER (PARTITION BY grp, result ORDER BY coupon) AS run FROM (SELECT *, {by.split(" AS ")[1]} AS grp FROM grouped) WHERE result IN ('WON', 'LOST')),
+streak AS (SELECT grp, max(n) FILTER (result = 'WON') AS win, max(n) FILTER (result = 'LOST') AS loss FROM (SELECT grp, result, run, count(*) AS n FROM turns GROUP BY 1, 2, 3) GROUP BY 1)
+SELECT {by.split(" AS ")[1]}, count(*) AS coupons, count(*) AS settled, count(*) FILTER (result = 'WON') AS won, count(*) FILTER (result = 'LOST') AS lost, count(*) FILTER (result = 'VOID') AS void,
   round(CAST(count(*) FILTER (result = 'WON') AS DOUBLE) / nullif(count(*) FILTER (result IN ('WON', 'LOST')), 0), 8) AS hit_rate,
   count(*) * 1000 AS stake_cents, CAST(sum(payout_cents) AS BIGINT) AS gross_cents,
   CAST(sum(payout_cents) AS BIGINT) - count(*) * 1000 AS profit_cents,
   round(CAST(CAST(sum(payout_cents) AS BIGINT) - count(*) * 1000 AS DOUBLE) / (count(*) * 1000), 8) AS roi,
-  CAST(1000 AS DOUBLE) AS average_stake_cents, round(avg(odd), 8) AS average_odd FROM w GROUP BY 1"""
+  CAST(1000 AS DOUBLE) AS average_stake_cents, round(avg(odd), 8) AS average_odd, coalesce(any_value(win), 0) AS longest_win, coalesce(any_value(loss), 0) AS longest_loss
+FROM grouped LEFT JOIN streak ON streak.grp = grouped.{by.split(" AS ")[1]} GROUP BY 1"""
 
 
-@R.query(_summary("legs"))
+@R.query(_summary("legs + 0 AS size"))
 def coupon_summary(spark, sf_dir):
-    return settlement.coupon_summary(settle_accumulator(spark, sf_dir), ["legs"], 1000)
+    rows = settle_accumulator(spark, sf_dir)
+    return settlement.coupon_summary(rows, [F.col("legs").alias("size")], 1000, ["coupon"])
 
 
 @R.query(_summary("""CASE WHEN odd < 1.5 THEN '1.00-1.49' WHEN odd < 2 THEN '1.50-1.99' WHEN odd < 3 THEN '2.00-2.99' WHEN odd < 5 THEN '3.00-4.99'
   WHEN odd < 10 THEN '5.00-9.99' ELSE '10.00+' END AS band"""))
 def coupon_by_band(spark, sf_dir):
     rows = settle_accumulator(spark, sf_dir)
-    return settlement.coupon_summary(rows, [E.ladder(F.col("odd"), E.COUPON_BANDS).alias("band")], 1000)
+    return settlement.coupon_summary(rows, [E.ladder(F.col("odd"), E.COUPON_BANDS).alias("band")], 1000, ["coupon"])
 
 
 @R.query("""
