@@ -70,30 +70,44 @@ def dedupe_changes(df: DataFrame, keys: list[str], order: list[str], values: lis
 def dedupe_with_heartbeat(df: DataFrame, keys: list[str], time: str, tie: str, value: str, seconds: int) -> DataFrame:
     """Rows kept by a store that takes a row if its value differs from the last *kept* one or that is ``seconds`` old.
 
-    The last kept row depends on every decision before it, so each run of equal values is folded: a run's first row is
-    always kept (its value differs from whatever was kept before), and inside a run only time counts. The fold therefore
-    runs over runs, which are short, and not over keys, which may be hot.
+    One shuffle and sort by key, then one pass over Arrow batches that carries the last kept time. A run of equal values keeps
+    its first row (its value differs from whatever was kept before); inside a run only time counts, so a batch jumps from kept
+    row to kept row by bisection.
     """
-    import pandas as pd
-
-    w = Window.partitionBy(*keys).orderBy(time, tie)
-    changed = (~F.lag(value).over(w).eqNullSafe(F.col(value))) | (F.row_number().over(w) == 1)
-    runs = df.withColumn("_run", F.sum(changed.cast("long")).over(w)).withColumn("_at", F.unix_micros(F.col(time).cast("timestamp")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", tie])
-        kept, last = [], None
-        for at in pdf["_at"]:
-            keep = last is None or at - last >= seconds * 1_000_000
-            kept.append(keep)
-            last = at if keep else last
-        return pdf[kept]
-
-    # A run shorter than the heartbeat keeps its first row only: no fold is needed.
-    run = Window.partitionBy(*keys, "_run")
-    inside = run.orderBy("_at", tie)
-    runs = runs.withColumn("_long", F.max("_at").over(run) - F.min("_at").over(run) >= seconds * 1_000_000)
-    runs = runs.withColumn("_first", F.row_number().over(inside) == 1).select(*keys, "_run", tie, "_at", "_long", "_first")
-    folded = runs.filter("_long").groupBy(*keys, "_run").applyInPandas(fold, runs.schema)
-    kept = runs.filter("NOT _long AND _first").union(folded)
-    return df.join(kept.select(*keys, tie), [*keys, tie], "left_semi")
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    wait = seconds * 1_000_000
+    watched = [*keys, value]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, last = None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            same = np.full(n, True)
+            for c in watched:
+                column = batch.column(c)
+                head = column.slice(0, 1) if before is None else before.column(c)
+                shifted = pa.concat_arrays([head, column.slice(0, n - 1)])
+                equal = pa.compute.fill_null(pa.compute.equal(column, shifted), False)
+                both_null = pa.compute.and_(column.is_null(), shifted.is_null())
+                same &= pa.compute.or_(equal, both_null).to_numpy(zero_copy_only=False)
+            same[0] &= before is not None
+            at = batch.column(time).cast(pa.timestamp("us")).cast(pa.int64()).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(~same)
+            kept = ~same
+            for begin, end in zip([0, *starts.tolist()], [*starts.tolist(), n]):
+                if begin == end:
+                    continue
+                last, i = (last, begin) if same[begin] else (at[begin], begin + 1)
+                while i < end and (i := i + int(np.searchsorted(at[i:end], last + wait))) < end:
+                    kept[i], last, i = True, at[i], i + 1
+            before = batch.slice(n - 1, 1)
+            yield batch.filter(pa.array(kept))
+
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, time, tie)
+    return ordered.mapInArrow(fold, df.schema)
