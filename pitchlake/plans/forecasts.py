@@ -608,7 +608,7 @@ fives AS (SELECT team, kick, arg_max(five, id) AS five FROM (SELECT team, kick,
   FROM participations WHERE started AND player IS NOT NULL) GROUP BY 1, 2),
 done AS (SELECT team, kick, sum(n) OVER (PARTITION BY team ORDER BY kick) AS finished FROM (SELECT team, kick, count(*) AS n FROM
   (SELECT home AS team, kick FROM matches WHERE finished UNION ALL SELECT away, kick FROM matches WHERE finished) GROUP BY 1, 2)),
-asked AS (SELECT q.*, coalesce(i.starts, 0) AS starts, coalesce(f.five, []) AS five, coalesce(d.finished, 0) AS finished, (SELECT count(*) FROM debuts e WHERE e.team = q.team AND e.since < q.kick) AS players
+asked AS (SELECT q.*, CAST(coalesce(i.starts, 0) AS BIGINT) AS starts, coalesce(f.five, []) AS five, CAST(coalesce(d.finished, 0) AS BIGINT) AS finished, (SELECT count(*) FROM debuts e WHERE e.team = q.team AND e.since < q.kick) AS players
   FROM q ASOF LEFT JOIN instants i ON i.team = q.team AND q.kick > i.kick ASOF LEFT JOIN fives f ON f.team = q.team AND q.kick > f.kick ASOF LEFT JOIN done d ON d.team = q.team AND q.kick > d.kick),
 sides AS (SELECT a.match, a.side, a.team, count(*) FILTER (list_contains(five, s.player)) AS continuity, a.starts, a.players, a.finished, len(list_distinct(five)) AS recent,
   count(*) FILTER (s.goalkeeper AND e.since < a.kick) AS keepers, count(s.player) AS resolved, count(*) FILTER (s.position = 'F') AS forwards

@@ -120,8 +120,8 @@ def bulletin_competitions(spark, sf_dir):
 @R.query(f"""
 WITH e AS (SELECT *, {STATUS} AS issue FROM events),
 g AS (SELECT * FROM e WHERE issue IS NULL AND user_id % 9 IN (1, 4, 5, 6, 7) AND event_id % 7 <> 0)
-SELECT event_id, event_id * 10 AS market_id, event_id % 4 + 0.5 AS line, 1 AS outcome, CAST('1.' || (event_id % 90 + 10) AS DOUBLE) AS odd FROM g WHERE event_id % 16 <> 0
-UNION ALL SELECT event_id, event_id * 10, event_id % 4 + 0.5, 2, 2.25 FROM g WHERE event_id % 5 <> 0""")
+SELECT event_id, event_id * 10 AS market_id, CAST(event_id % 4 + 0.5 AS DOUBLE) AS line, CAST(1 AS BIGINT) AS outcome, CAST('1.' || (event_id % 90 + 10) AS DOUBLE) AS odd FROM g WHERE event_id % 16 <> 0
+UNION ALL SELECT event_id, event_id * 10, CAST(event_id % 4 + 0.5 AS DOUBLE), CAST(2 AS BIGINT), CAST(2.25 AS DOUBLE) FROM g WHERE event_id % 5 <> 0""")
 def bulletin_outcomes(spark, sf_dir):
     """Priced selections of the imported events of any depth."""
     docs = _bulletins(spark, sf_dir)
