@@ -646,13 +646,6 @@ def trained_models(spark, sf_dir):
     return out.withColumn("value", F.round("value", 5))
 
 
-@R.query()
-def backtest_observations(spark, sf_dir):
-    """Out-of-sample forecasts of every market by models that are retrained for each window, with what happened."""
-    made = training.backtest(_training_rows(spark, sf_dir), features.FEATURE_NAMES)
-    return training.observations(made, frame(spark, sf_dir, "matches")).withColumn("p", F.round("p", 6))
-
-
 def _outcomes(spark, sf_dir):
     m = frame(spark, sf_dir, "matches").filter("finished")
     return m.select(
