@@ -47,10 +47,11 @@ def starter_features(starters: DataFrame, participations: DataFrame, matches: Da
     goalkeeper, a row a starter. A match without kickoff or of unknown teams has no row."""
     sides = F.explode(F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("team")) for s, c in (("HOME", "home"), ("AWAY", "away"))])).alias("s")
     teams = matches.filter("kick IS NOT NULL").select(F.col("id").alias("match"), "kick", sides).select("match", "kick", "s.*")
-    named = starters.join(teams, ["match", "side"])
+    # Starters may be exploded rows, which Spark takes for as few as they come from: never sent whole to the driver.
+    named = starters.join(teams.hint("merge"), ["match", "side"])
     past = past_of_teams(named.select("match", "team", "kick").distinct(), participations, matches)
     earliest = participations.filter("player IS NOT NULL").groupBy("team", "player").agg(F.min("kick").alias("_since"))
-    rows = named.join(past, ["match", "team"]).join(earliest, ["team", "player"], "left")
+    rows = named.join(past.hint("merge"), ["match", "team"]).join(earliest, ["team", "player"], "left")
     flag = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("long"))
     out = rows.groupBy("match", "side", "team", "starts", "players", "finished", "recent").agg(
         flag(F.array_contains("recent", F.col("player"))).alias("continuity"),
@@ -72,7 +73,7 @@ def match_features(sides: DataFrame) -> DataFrame:
     """(match, home, away, continuity_difference, quality): both sides' features as structs; a match with one side has none."""
     rest = [c for c in sides.columns if c not in ("match", "side")]
     half = lambda side: sides.filter(F.col("side") == side.upper()).select("match", F.struct(*rest).alias(side))
-    both = half("home").join(half("away"), "match")
+    both = half("home").join(half("away").hint("merge"), "match")
     full = (F.col("home.resolved") == ELEVEN) & (F.col("away.resolved") == ELEVEN)
     quality = F.when(full & (F.col("home.finished") + F.col("away.finished") > 0), "COMPLETE").when(full, "INSUFFICIENT_PLAYER_HISTORY").otherwise("PARTIAL_PLAYER_RESOLUTION")
     return both.select("match", "home", "away", (F.col("home.continuity") - F.col("away.continuity")).alias("continuity_difference"), quality.alias("quality"))

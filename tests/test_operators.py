@@ -6,6 +6,7 @@ import inspect
 import pytest
 from pyspark.sql import functions as F
 
+from pitchlake import catalog
 from pitchlake.functions import expressions as E
 from pitchlake.operators import asof, fits, form, quality, resolve, settlement
 from pitchlake.sources import artifacts, results_csv
@@ -258,3 +259,21 @@ def test_results_file_with_short_and_long_rows(spark, tmp_path):
     rows = results_csv.read(spark, str(tmp_path / "r.csv"))
     got = [(r["HomeTeam"], r["FTHG"], r["FTAG"]) for r in rows.collect()]
     assert got == [("A", "1", "2"), ("C", None, None)]
+
+
+def exploded_broadcasts(df) -> list[str]:
+    """Lines of the plan that explode rows below a broadcast."""
+    found, depth = [], None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-*(0123456789)"))
+        depth = None if depth is not None and at <= depth else depth
+        if "BroadcastExchange" in line and depth is None:
+            depth = at
+        if depth is not None and "Generate" in line:
+            found.append(line)
+    return found
+
+
+def test_exploded_starters_are_never_broadcast(spark):
+    for name in ("lineup_features", "lineup_quality"):
+        assert not exploded_broadcasts(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
