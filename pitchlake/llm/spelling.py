@@ -10,6 +10,9 @@ A key that more than ``HEAVY`` words share is not joined pair by pair: words tha
 of them with one code point deleted. Two near words agree there (or one is what is left of the other), and as at most one
 word for each letter of the alphabet agrees in one place, rows stay linear. Both ways find every link.
 
+Tables of words meet by sort-merge joins: Spark takes exploded rows for as few as the compressed file that they come from, and
+would gather them in the driver to broadcast them.
+
 A word's form is the near word that is most frequent, where it is at least ``TIMES`` as frequent; following forms leads to
 the root. Frequencies grow by that factor at each step, so chains are short; pointers are doubled until none moves.
 
@@ -65,7 +68,7 @@ def rare_bigrams(words: DataFrame) -> DataFrame:
     cut = F.transform(F.sequence(F.lit(0), F.length("word") - 2), lambda p: F.struct(F.col("word").substr(p + 1, F.lit(2)).alias("gram"), p.alias("at")))
     grams = words.select("word", "n", F.explode(cut).alias("g")).select("word", "n", "g.gram", "g.at")
     often = durable(grams.groupBy("gram").agg(F.count("*").alias("often")))
-    known = F.broadcast(often) if often.count() <= MAX_BROADCAST else often
+    known = F.broadcast(often) if often.count() <= MAX_BROADCAST else often.hint("merge")
     # Dealt by word before the bigrams are exploded: what follows needs no other shuffle where frequencies are broadcast.
     grams = words.repartition("word").select("word", "n", F.explode(cut).alias("g")).select("word", "n", "g.gram", "g.at")
     listed = grams.join(known, "gram").groupBy("word", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram", "at"))).alias("all"))
@@ -89,7 +92,7 @@ def _by_keys(words: DataFrame) -> tuple[DataFrame, DataFrame]:
     ask = sides.withColumn("size", F.explode(F.array(F.col("size"), F.col("size") + 1)))
     asked = ask.select(*key, F.col("word").alias("a"), F.col("n").alias("n_a"))
     held = sides.join(heavy, key, "left_anti").select(*key, F.col("word").alias("b"), F.col("n").alias("n_b"))
-    pairs = asked.join(held, key).filter((F.length("a") < F.col("size")) | (F.col("a") < F.col("b")))
+    pairs = asked.join(held.hint("merge"), key).filter((F.length("a") < F.col("size")) | (F.col("a") < F.col("b")))
     near = pairs.filter(F.levenshtein("a", "b", 1) == 1).select("a", "n_a", "b", "n_b")
     crowded = ask.join(heavy, key, "left_semi").select("word", "n").distinct()  # its own length is among those asked
     return near, crowded
@@ -101,9 +104,9 @@ def _by_deletion(words: DataFrame) -> DataFrame:
     left = words.select("word", "n", at).select("word", "n", "at", without(F.col("word"), F.col("at")).alias("rest"))
     a = left.select(F.col("word").alias("a"), F.col("n").alias("n_a"), "at", "rest")
     b = left.select(F.col("word").alias("b"), F.col("n").alias("n_b"), "at", "rest")
-    replaced = a.join(b, ["at", "rest"]).filter(F.col("a") < F.col("b"))
+    replaced = a.join(b.hint("merge"), ["at", "rest"]).filter(F.col("a") < F.col("b"))
     whole = words.select(F.col("word").alias("rest"), F.col("word").alias("a"), F.col("n").alias("n_a"))
-    deleted = whole.join(b, "rest")
+    deleted = whole.join(b.hint("merge"), "rest")
     return replaced.select("a", "n_a", "b", "n_b").unionByName(deleted.select("a", "n_a", "b", "n_b"))
 
 
@@ -119,7 +122,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     roots = durable(forms.select("word", F.col("form").alias("root")))
     while True:
         ahead = roots.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = durable(roots.join(ahead, "root", "left"))
+        moved = durable(roots.join(ahead.hint("merge"), "root", "left"))
         roots = moved.select("word", F.coalesce("next", "root").alias("root"))
         if moved.filter(F.col("next").isNotNull()).isEmpty():
             return roots
@@ -134,7 +137,7 @@ def group_variants(words: DataFrame, times: int = TIMES) -> DataFrame:
     )
     best = F.min(F.struct((-F.col("n_other")).alias("less"), "other")).alias("best")
     near = both.groupBy("word").agg(F.count("*").alias("n_near"), best)
-    joined = words.join(near, "word", "left")
+    joined = words.join(near.hint("merge"), "word", "left")
     follows = -F.col("best.less") >= times * F.col("n")
     known = durable(
         joined.select(
@@ -146,4 +149,4 @@ def group_variants(words: DataFrame, times: int = TIMES) -> DataFrame:
         )
     )
     roots = _roots(known.filter(F.col("form").isNotNull()))
-    return known.join(roots, "word", "left").withColumn("root", F.coalesce("root", "word"))
+    return known.join(roots.hint("merge"), "word", "left").withColumn("root", F.coalesce("root", "word"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pitchlake.llm import importance, mixing, oracles, queries, spelling, token_files
-from pitchlake.llm.storage import numbered
+from pitchlake.llm.storage import durable, numbered
 from tests.llm.test_llm_operators import odd_docs
 
 SF = "/root/testdata/sf0.001"
@@ -251,3 +251,9 @@ def test_queries_match_sql(spark, name):
     columns = [d[0] for d in want.description]
     got = [tuple(r[c] for c in columns) for r in queries.queries()[name](spark, SF).collect()]
     assert sorted(map(str, got)) == sorted(map(str, want.fetchall()))
+
+
+def test_words_without_a_letter_are_never_broadcast(spark):
+    words = durable(spark.createDataFrame([("abcdef", 9), ("abcdeg", 5), ("abcde", 7)], "word string, n long"))
+    assert "BroadcastHashJoin" not in spelling._by_deletion(words)._jdf.queryExecution().executedPlan().toString()
+    assert {(r["a"], r["b"]) for r in spelling._by_deletion(words).collect()} >= {("abcdef", "abcdeg"), ("abcde", "abcdef"), ("abcde", "abcdeg")}
