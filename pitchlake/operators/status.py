@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import expressions as E
+from pitchlake.operators.similarity import nearest_names
 
 
 def business_date(local: Column, kickoff: Column) -> Column:
@@ -174,10 +175,7 @@ def page(rows: DataFrame, order: list[Column | str], limit: int | None = None) -
 def choices(sources: DataFrame, targets: DataFrame, block: str, most: int = 5) -> DataFrame:
     """(source_id, target_id, score, rank): the most similar targets of each source's block; of equals the smaller id."""
     named = lambda df, p: df.select(block, F.col("id").alias(f"{p}_id"), E.team_key(F.col("name")).alias(f"{p}_name"))
-    pairs = named(sources, "source").join(named(targets, "target"), block)
-    pairs = pairs.withColumn("score", F.round(E.similarity(F.col("source_name"), F.col("target_name")), 8))
-    w = Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("source_id", "target_id", "score", "rank")
+    return nearest_names(named(sources, "source"), named(targets, "target"), block, most)
 
 
 def safe_choices(found: DataFrame, least: float = 0.92, margin: float = 0.05) -> DataFrame:

@@ -2,13 +2,15 @@
 
 import datetime as dt
 import inspect
+import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchlake import catalog
 from pitchlake.functions import expressions as E
-from pitchlake.operators import asof, fits, form, quality, resolve, settlement
+from pitchlake.operators import asof, fits, form, quality, resolve, settlement, similarity
 from pitchlake.sources import artifacts, results_csv
 from pitchlake.streaming import changes
 
@@ -277,3 +279,27 @@ def exploded_broadcasts(df) -> list[str]:
 def test_exploded_starters_are_never_broadcast(spark):
     for name in ("lineup_features", "lineup_quality"):
         assert not exploded_broadcasts(catalog.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_nearest_names_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    name = lambda: rng.choice(["", None, "team ", "team long "]) if rng.random() < 0.1 else "team " + "".join(rng.choice("012") for _ in range(rng.randint(1, 7)))
+    s, t = ([(rng.randint(1, 2), i, name()) for i in range(n)] for n in (60, 300))
+    names = [spark.createDataFrame(rows, f"block long, {p}_id long, {p}_name string") for p, rows in (("source", s), ("target", t))]
+    pairs = names[0].join(names[1], "block").withColumn("score", F.round(E.similarity(F.col("source_name"), F.col("target_name")), 8))
+    rank = F.row_number().over(Window.partitionBy("source_id").orderBy(F.desc("score"), "target_id"))
+    want = pairs.withColumn("rank", rank).filter("rank <= 5").select("source_id", "target_id", "score", "rank")
+    assert sorted(map(str, similarity.nearest_names(*names, "block", 5).collect())) == sorted(map(str, want.collect()))
+
+
+def test_nearest_names_compare_few(spark):
+    rows = spark.range(4000).selectExpr("id % 2 AS block", "id", "'team ' || lpad(id, 9, '0') AS name")
+    names = [rows.selectExpr("block", f"id AS {p}_id", f"name AS {p}_name") for p in ("source", "target")]
+    compared = spark.sparkContext.accumulator(0)
+    whole = similarity._few_best
+    try:
+        similarity._few_best = lambda pairs, *rest: (compared.add(pairs.count()), whole(pairs, *rest))[1]
+        assert similarity.nearest_names(*names, "block", 2).count() == 8000
+    finally:
+        similarity._few_best = whole
+    assert compared.value < 4000 * 2000 / 5
