@@ -121,6 +121,8 @@ def daily_coupons(spark, sf_dir):
 
 #: Popular selections: other writings of the predictions, some of no known match, market or selection, at prices of their own.
 UNIQUE = "PARTITION BY id ORDER BY p, odd, n, competition, day, observed, age_seconds, status, history_home, history_away, market, selection, line, corners_coverage"
+#: The same order in Spark, which has nulls first where DuckDB has them last.
+UNIQUE_HERE = UNIQUE.replace(",", " NULLS LAST,") + " NULLS LAST"
 POPULAR = """SELECT id, CASE WHEN match_id % 31 = 0 THEN NULL ELSE match_id END AS match_id, market, CASE WHEN id % 23 = 0 THEN 'YES' ELSE selection END AS selection, line,
   CASE WHEN id % 37 = 0 THEN 'MARKET_NOT_SUPPORTED' WHEN id % 41 = 0 THEN 'UNRESOLVED' END AS problem,
   CASE WHEN market = 'BTTS' AND selection = 'YES' THEN 'BTTS_YES' WHEN market = 'TOTAL_GOALS' AND selection = 'OVER' AND line = 2.5 THEN 'OVER_25' WHEN market = 'FULL_TIME_TOTAL_CORNERS' THEN 'CORNERS' END AS category,
@@ -148,7 +150,7 @@ SELECT id, split_part(says, '/', 1) AS support, nullif(split_part(says, '/', 2),
   CASE WHEN cid IS NOT NULL THEN round(cp * coalesce(odds, codd) - 1, 8) ELSE round(mp * coalesce(odds, modd) - 1, 8) END END AS ev FROM s""")
 def supported_populars(spark, sf_dir):
     """What the run says of popular selections."""
-    rows = predictions(spark, sf_dir).withColumn("id", F.col("id") * 100 + F.expr(f"row_number() OVER ({UNIQUE})"))
+    rows = predictions(spark, sf_dir).withColumn("id", F.col("id") * 100 + F.expr(f"row_number() OVER ({UNIQUE_HERE})"))
     run = ranking.candidate_run(rows)
     popular = spark.sql(POPULAR.replace("FROM named", "FROM {rows}"), rows=rows)
     coverage = rows.select("match_id").distinct().select("match_id", (F.col("match_id") % 13 != 0).alias("covered"), (F.col("match_id") % 11 != 0).alias("resolved"))

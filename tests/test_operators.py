@@ -4,6 +4,7 @@ import datetime as dt
 import inspect
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -303,3 +304,14 @@ def test_nearest_names_compare_few(spark):
     finally:
         similarity._few_best = whole
     assert compared.value < 4000 * 2000 / 5
+
+
+def test_nulls_of_popular_selections_come_last(spark, tmp_path):
+    """Two rows of one id that differ in a missing price alone."""
+    line = "2 AS l_orderkey, {} AS l_partkey, 1 AS l_suppkey, 4 AS l_linenumber, 17.0 AS l_quantity, 1.0 AS l_extendedprice, 'N' AS l_returnflag, 'O' AS l_linestatus, TIMESTAMP '1996-01-01' AS l_shipdate"
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT {line.format(9)} UNION ALL SELECT {line.format(1009)}) TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = catalog.queries()["supported_populars"](spark, str(tmp_path)).select("id", "support", "reason").collect()
+    want = con.execute(f"SELECT id, support, reason FROM ({catalog.oracle_sql()['supported_populars']})").fetchall()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
