@@ -185,28 +185,28 @@ def training_labels(matches: DataFrame) -> DataFrame:
     )
 
 
-def systems(matches: DataFrame) -> DataFrame:
-    """``matches`` with ``system``, the smallest team of all that are linked with theirs by matches.
+def systems(matches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``matches`` with ``system``, the smallest team of all that are linked with theirs by matches of the same ``by``.
 
     The smallest label spreads along pairs of teams, and along labels, until nothing changes: rounds are few, and a round is
     about pairs of teams, not about matches.
     """
-    pairs = matches.select(F.col("home").alias("a"), F.col("away").alias("b")).distinct()
-    both = pairs.union(pairs.select("b", "a")).distinct()
-    labels = both.groupBy("a").agg(F.least("a", F.min("b")).alias("label"))
+    pairs = matches.select(*by, F.col("home").alias("a"), F.col("away").alias("b")).distinct()
+    both = checkpointed(pairs.union(pairs.select(*by, "b", "a")).distinct())
+    labels = both.groupBy(*by, "a").agg(F.least("a", F.min("b")).alias("label"))
     while True:
-        told = both.join(labels.withColumnRenamed("a", "b"), "b").select("a", "label")
-        spread = labels.union(told).groupBy("a").agg(F.min("label").alias("label"))
-        above = spread.select(F.col("a").alias("label"), F.col("label").alias("above"))
-        new = spread.join(above, "label").select("a", F.col("above").alias("label"))
+        told = both.join(labels.withColumnRenamed("a", "b"), [*by, "b"]).select(*by, "a", "label")
+        spread = labels.union(told).groupBy(*by, "a").agg(F.min("label").alias("label"))
+        above = spread.select(*by, F.col("a").alias("label"), F.col("label").alias("above"))
+        new = spread.join(above, [*by, "label"]).select(*by, "a", F.col("above").alias("label"))
         new = checkpointed(new)
-        if new.join(labels.withColumnRenamed("label", "old"), "a").filter("label <> old").isEmpty():
-            return matches.join(new.select(F.col("a").alias("home"), F.col("label").alias("system")), "home")
+        if new.join(labels.withColumnRenamed("label", "old"), [*by, "a"]).filter("label <> old").isEmpty():
+            return matches.join(new.select(*by, F.col("a").alias("home"), F.col("label").alias("system")), [*by, "home"])
         labels = new
 
 
-#: Matches of a time slice of a rating fold.
-SLICE = 200_000
+#: Matches of a time slice of a rating fold, and its slices at most: each is a few jobs, which the driver keeps account of.
+SLICE, SLICES = 200_000, 12
 
 
 def time_slices(matches: DataFrame, rows: int) -> list[tuple]:
@@ -222,13 +222,13 @@ def time_slices(matches: DataFrame, rows: int) -> list[tuple]:
     return slices
 
 
-def elo(matches: DataFrame, start: float = 1500.0, k: float = 20.0, home: float = 60.0, scale: float = 400.0, slice_rows: int = SLICE) -> DataFrame:
+def elo(matches: DataFrame, start: float = 1500.0, k: float = 20.0, home: float = 60.0, scale: float = 400.0, slice_rows: int | None = None) -> DataFrame:
     """Ratings before every match: (id, home_elo, away_elo, expected_home).
 
     An ordered fold over time slices against a checkpointed table of ratings, one row a team: a slice's matches are joined with
     it, the teams that they link (column ``system``, found within the slice if it is not there) go through one task each in
     order, which holds a number a team, and what they end with replaces the old ratings. So however long a linked league's
-    history is, a task sees one slice of it. Matches of one instant all read the ratings from before it; matches without
+    history is, a task sees one slice of it: ``slice_rows`` matches, or ``SLICE`` and a share of 1 / ``SLICES`` at least. Matches of one instant all read the ratings from before it; matches without
     kickoff take no part.
     """
     from collections.abc import Iterator
@@ -272,9 +272,12 @@ def elo(matches: DataFrame, start: float = 1500.0, k: float = 20.0, home: float
     kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
     schema = "id long, home_elo double, away_elo double, expected_home double, team long, rating double"
     ratings, done = None, matches.sparkSession.createDataFrame([], schema)
-    for first, last in time_slices(matches, slice_rows):
-        part = matches.filter(F.to_date("kick").between(first, last))
-        part = part if "system" in part.columns else systems(part)
+    slices = time_slices(matches, slice_rows or max(SLICE, -(-matches.count() // SLICES)))
+    number = sum((F.when(F.to_date("kick") > last, 1).otherwise(0) for _, last in slices[:-1]), F.lit(0))
+    dealt = matches.filter("kick IS NOT NULL").withColumn("slice", number)
+    dealt = dealt if "system" in matches.columns else systems(dealt, ("slice",))
+    for nth in range(len(slices)):
+        part = dealt.filter(F.col("slice") == nth)
         part = part.select("system", "kick", "id", "home", "away", "hg", "ag", "finished")
         for side in ("home", "away"):
             if ratings is None:

@@ -315,3 +315,14 @@ def test_nulls_of_popular_selections_come_last(spark, tmp_path):
     got = catalog.queries()["supported_populars"](spark, str(tmp_path)).select("id", "support", "reason").collect()
     want = con.execute(f"SELECT id, support, reason FROM ({catalog.oracle_sql()['supported_populars']})").fetchall()
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+def test_slices_of_a_rating_do_not_grow_in_number(spark, monkeypatch):
+    rows = [(i, DAY + dt.timedelta(days=i // 2), 1, i % 7, 7 + i % 5, i % 3, i % 2, None, 3, True) for i in range(200)]
+    m = matches(spark, rows)
+    want = sorted(map(str, form.elo(m).collect()))
+    monkeypatch.setattr(form, "SLICE", 2)
+    seen, cut = [], form.time_slices
+    monkeypatch.setattr(form, "time_slices", lambda *a: seen.append(cut(*a)) or seen[-1])
+    assert sorted(map(str, form.elo(m).collect())) == want
+    assert 1 < len(seen[0]) <= form.SLICES + 1
