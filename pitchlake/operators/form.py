@@ -142,14 +142,22 @@ def head_to_head(matches: DataFrame, last: int = 5) -> DataFrame:
 
 
 def rest_and_congestion(matches: DataFrame) -> DataFrame:
-    """Days, to the minute, since the team's last finished match, and how many lie in the 7 and 14 whole days before."""
-    rows = team_view(matches).withColumn("_at", F.unix_seconds(F.col("kick").cast("timestamp")))
+    """Days, to the minute, since the team's last finished match, and how many lie in the 7 and 14 whole days before.
+
+    A team's instants are summed first, and counts within days are differences of running counts: linear in the instants,
+    however many matches lie in a window.
+    """
+    both = F.explode(F.array("home", "away")).alias("team")
+    rows = matches.select("id", both, F.unix_seconds(F.col("kick").cast("timestamp")).alias("_at"), F.when(F.col("finished"), 1).alias("_done"))
+    instants = rows.groupBy("team", "_at").agg(F.when(F.col("_at").isNotNull(), F.count("_done")).otherwise(0).alias("_n"))
     earlier = Window.partitionBy("team").orderBy("_at")
-    done = F.when(F.col("finished"), F.col("_at"))
-    last = F.max(done).over(earlier.rangeBetween(Window.unboundedPreceding, -1))
-    within = lambda days: F.count(done).over(earlier.rangeBetween(-((days + 1) * 86400 - 1), -1))
-    rest = F.floor((F.col("_at") - last) / 60) / 1440
-    return rows.select("id", "team", F.round(rest, 8).alias("rest_days"), within(7).alias("last_7"), within(14).alias("last_14"))
+    last = F.max(F.when(F.col("_n") > 0, F.col("_at"))).over(earlier.rangeBetween(Window.unboundedPreceding, -1))
+    upto = lambda seconds: F.coalesce(F.sum("_n").over(earlier.rangeBetween(Window.unboundedPreceding, -seconds)), F.lit(0))
+    within = {f"last_{days}": upto(1) - upto((days + 1) * 86400) for days in (7, 14)}
+    rest = F.round(F.floor((F.col("_at") - last) / 60) / 1440, 8)
+    found = instants.select("team", "_at", rest.alias("rest_days"), *[c.alias(name) for name, c in within.items()])
+    on = F.col("r.team").eqNullSafe(F.col("i.team")) & F.col("r._at").eqNullSafe(F.col("i._at"))
+    return rows.alias("r").join(found.alias("i"), on).select("id", "r.team", "rest_days", *within)
 
 
 def league_baseline(matches: DataFrame) -> DataFrame:

@@ -326,3 +326,20 @@ def test_slices_of_a_rating_do_not_grow_in_number(spark, monkeypatch):
     monkeypatch.setattr(form, "time_slices", lambda *a: seen.append(cut(*a)) or seen[-1])
     assert sorted(map(str, form.elo(m).collect())) == want
     assert 1 < len(seen[0]) <= form.SLICES + 1
+
+
+def test_congestion_counts_without_sliding_frames(spark):
+    """Every frame starts at a team's first instant: one that slides is summed anew for each row."""
+    import re
+
+    sql = "id, timestamp '2024-01-01' + cast(id / 4 as int) * interval '7' hour AS kick, id % 3 AS home, id % 3 + 1 AS away, id % 5 > 0 AS finished"
+    matches = spark.range(200).selectExpr(*[c.strip() for c in sql.split(",")])
+    out = form.rest_and_congestion(matches)
+    frames = re.findall(r"specifiedwindowframe\(RangeFrame, ([^,]+),", out._jdf.queryExecution().optimizedPlan().toString())
+    assert frames and set(frames) == {"unboundedpreceding$()"}
+    rows = [(r["id"], t, r["kick"], r["finished"]) for r in matches.collect() for t in (r["home"], r["away"])]
+    for r in out.collect():
+        at = next(k for i, t, k, _ in rows if (i, t) == (r["id"], r["team"]))
+        past = [(at - k).total_seconds() for _, t, k, f in rows if t == r["team"] and f and k < at]
+        assert (r["last_7"], r["last_14"]) == tuple(sum(s < (d + 1) * 86400 for s in past) for d in (7, 14))
+        assert r["rest_days"] == (round(min(past) // 60 / 1440, 8) if past else None)
