@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.functions import expressions as E
+from pitchlake.session import checkpointed
 
 # The components of a score, their weights by line, the floors of the policy before, and the changed components
 # of the weight family.
@@ -32,11 +33,15 @@ def components() -> list[Column]:
     ]
 
 
-def score(weights: tuple) -> Column:
-    parts = [F.lit(float(w)) * x for w, x in zip(weights, components())]
+def weighted(weights: tuple, values: list[Column]) -> Column:
+    parts = [F.lit(float(w)) * x for w, x in zip(weights, values)]
     return 100 * sum(parts[1:], parts[0])
 
 
+def score(weights: tuple) -> Column:
+    return weighted(weights, components())
+
+
 def safety(probability_floor: float, ev_floor: float) -> Column:
     """The first reason not to rank a row, or null."""
     c, missing = F.col, F.lit(False)
@@ -106,15 +111,31 @@ def weight_family(line: float) -> list[tuple]:
     return out
 
 
+#: Shares of a day's matches whose best scores bound the seventh best.
+SHARES = 64
+
+
 def tune(rows: DataFrame, line: float, floors: list[float], ev_floors: list[float], cutoffs: list[float], least_bets: int = 150) -> DataFrame:
     """Return of every policy of the grid, one row each, with objective ROI - 1.96 se - |gap| / 4: the policies are a constant
-    that multiplies rows before their daily ranking, so all of them are one plan."""
-    grid = [(i, w, p, e, c) for i, w in enumerate(weight_family(line)) for p in floors for e in ev_floors for c in cutoffs]
+    that multiplies rows before their daily ranking, so all of them are one plan.
+
+    Only a day's best seven matter. Of the best scores of its ``SHARES`` by match, the seventh bounds them from below: what is
+    under it is left out before rows are ranked, so the ranking sees few rows however many there are.
+    """
     safe = rows.filter(safety(min(floors), min(ev_floors)).isNull())
-    policies = F.array(*[F.struct(F.lit(i).alias("family"), F.lit(p).alias("floor"), F.lit(e).alias("ev_floor"), F.lit(c).alias("cutoff"), score(w).alias("score")) for i, w, p, e, c in grid])
-    tried = safe.select("date", "match_id", "probability", "odds", "ev", "won", F.explode(policies).alias("g")).select("*", "g.*").drop("g")
+    names = [f"_{c}" for c in COMPONENTS]
+    safe = safe.select("date", "match_id", "probability", "odds", "ev", "won", *[c.alias(n) for n, c in zip(names, components())])
+    scores = F.array(*[weighted(w, [F.col(n) for n in names]) for w in weight_family(line)])
+    tried = safe.select("date", "match_id", "probability", "odds", "ev", "won", F.posexplode(scores).alias("family", "score"))
+    limits = F.array(*[F.struct(F.lit(p).alias("floor"), F.lit(e).alias("ev_floor"), F.lit(c).alias("cutoff")) for p in floors for e in ev_floors for c in cutoffs])
+    tried = tried.select("*", F.explode(limits).alias("g")).select("*", "g.*").drop("g")
     tried = tried.filter((F.col("probability") >= F.col("floor")) & (F.col("ev") >= F.col("ev_floor")) & (F.col("score") >= F.col("cutoff")))
     keys = ["family", "floor", "ev_floor", "cutoff"]
+    best = tried.groupBy(*keys, "date", F.pmod(F.xxhash64("match_id"), F.lit(SHARES)).alias("_share")).agg(F.max("score").alias("_best"))
+    nth = Window.partitionBy(*keys, "date").orderBy(F.desc("_best"))
+    least = checkpointed(best.withColumn("_nth", F.row_number().over(nth)).filter("_nth = 7").select(*keys, "date", "_best"))
+    same = [F.col(f"t.{k}").eqNullSafe(F.col(f"l.{k}")) for k in [*keys, "date"]]
+    tried = tried.alias("t").join(F.broadcast(least.alias("l")), same, "left").filter("_best IS NULL OR score >= _best").select("t.*")
     order = Window.partitionBy(*keys, "date").orderBy(F.desc("score"), F.desc("probability"), "match_id")
     ranked = tried.withColumns({"rank": F.row_number().over(order), "_n": F.count("*").over(Window.partitionBy(*keys, "date"))}).filter("_n >= 5 AND rank <= 7")
     won = F.col("won").cast("double")

@@ -343,3 +343,21 @@ def test_congestion_counts_without_sliding_frames(spark):
         past = [(at - k).total_seconds() for _, t, k, f in rows if t == r["team"] and f and k < at]
         assert (r["last_7"], r["last_14"]) == tuple(sum(s < (d + 1) * 86400 for s in past) for d in (7, 14))
         assert r["rest_days"] == (round(min(past) // 60 / 1440, 8) if past else None)
+
+
+def test_best_of_shares_bound_the_policies_ranking(spark, monkeypatch):
+    """What cannot be among a day's seven best is left out before rows are ranked; the policies' figures stay."""
+    from pitchlake.operators import research
+
+    monkeypatch.setattr(research, "SHARES", 16)
+    h = "pmod(hash(id, {}), 1000) / 1000d"
+    names = ["probability", "expected_goals", "odds", "ev", "attack", "concession", "btts", "league_goals", "quality"]
+    scale = {"odds": "1.5 + {} * 2", "expected_goals": "{} * 5", "attack": "{} * 5", "concession": "{} * 5", "league_goals": "{} * 4"}
+    made = [f"{scale.get(n, '{}').format(h.format(i))} AS {n}" for i, n in enumerate(names)]
+    rows = spark.range(900).selectExpr("id AS match_id", "id % 3 AS date", *made, "true AS prematch_valid", "9 AS history", "1d AS odds_age_hours", "cast(id % 2 as int) AS won")
+    rows = rows.localCheckpoint()
+    got = {r["family"]: r for r in research.tune(rows, 2.5, [0.45], [-0.05], [45.0], least_bets=1).collect()}
+    for family in (0, 5):
+        chosen = research.daily_selections(rows, research.weight_family(2.5)[family], 0.45, -0.05, 45.0).collect()
+        assert got[family]["bets"] == len(chosen) == 21
+        assert got[family]["roi"] == pytest.approx(sum(r["won"] * r["odds"] - 1 for r in chosen) / len(chosen), abs=1e-7)
