@@ -2,7 +2,8 @@
 
 A document is a VARIANT. The walk goes down a level of all documents at a time: nodes that are wanted are kept and not entered,
 the others are exploded into their children, until no container is left; so a level is one generator over rows of all
-documents, and depth costs levels, not recursion in a row. An object with a field of a wrong type is a row with an issue: it
+documents, ``LEVELS`` of them make one stage, and depth costs stages, not recursion in a row. Nothing asks for the schema of
+a whole subtree, which would read it again at every level. An object with a field of a wrong type is a row with an issue: it
 costs neither its document nor its neighbours.
 """
 
@@ -20,6 +21,8 @@ MARKET = {"i": WHOLE, "t": WHOLE, "st": WHOLE, "sov": TEXT, "mbc": WHOLE}
 SELECTION = {"no": WHOLE, "n": TEXT, "odd": NUMBER, "wodd": NUMBER}
 COMPETITION = {"id": ["i", "id"], "name": ["n", "name"], "country": ["country", "countryName", "cn"], "season": ["season"]}
 FOOTBALL = 1
+#: Levels that are gone down before what is left is written.
+LEVELS = 8
 
 SQL_TYPE = {WHOLE: "bigint", TEXT: "string", FLAG: "boolean", NUMBER: "double"}
 #: Types of a variant's value that a field may have; VOID is JSON's null.
@@ -43,28 +46,37 @@ def _wrong(node: Column, fields: dict[str, str]) -> Column:
     return F.coalesce(*[F.when(~_kind(node, f"$.{name}").rlike(ALLOWED[kind]), name) for name, kind in fields.items()])
 
 
+def _list(node: Column, name: str) -> Column:
+    return F.try_variant_get(node, f"$.{name}", "array<variant>")
+
+
 def _wrong_list(node: Column, name: str) -> Column:
-    return F.when(~_kind(node, f"$.{name}").startswith("ARRAY"), name)
+    return F.when(_has(node, name) & _list(node, name).isNull(), name)
 
 
 def documents(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(doc, node): null where the text is no JSON."""
-    return rows.select(F.col(key).alias("doc"), F.try_parse_json(F.col(body)).alias("node"))
+    """(doc, node): null where the text is no JSON. Parsed once: every walk begins at what is written here."""
+    return checkpointed(rows.select(F.col(key).alias("doc"), F.try_parse_json(F.col(body)).alias("node")))
 
 
 def walk(docs: DataFrame, wanted: Column, skipped: list[str]) -> DataFrame:
     """(doc, node): every object for which ``wanted`` (over ``node``) holds, outside the members named in ``skipped``."""
-    spark = docs.sparkSession
+    items, members = (F.try_variant_get("node", "$", kind) for kind in ("array<variant>", "map<string,variant>"))
+    if skipped:
+        members = F.map_filter(members, lambda name, _: ~name.isin(skipped))
+    inside = F.coalesce(items, F.map_values(members))  # null for what is no container
     level, found = docs.filter("node IS NOT NULL").select("doc", "node"), None
     while True:
-        level = checkpointed(level.withColumn("_kind", F.schema_of_variant("node")).filter(F.col("_kind").rlike("^(OBJECT|ARRAY)")))
-        if level.isEmpty():
-            return found if found is not None else docs.select("doc", "node").limit(0)
-        hit = F.col("_kind").startswith("OBJECT") & wanted
-        kept = level.filter(hit).select("doc", "node")
+        level = level.withColumn("_found", F.lit(False))
+        for _ in range(LEVELS):
+            level = level.withColumn("_found", F.col("_found") | wanted)
+            level = level.select("doc", "_found", F.explode(F.when(F.col("_found"), F.array("node")).otherwise(inside)).alias("node"))
+        level = checkpointed(level.filter(F.col("_found") | (F.size(inside) > 0)))
+        kept = level.filter("_found").select("doc", "node")
         found = kept if found is None else found.unionByName(kept)
-        inside = spark.sql("SELECT f.doc, c.key, c.value AS node FROM {f} f, LATERAL variant_explode(f.node) c", f=level.filter(~hit))
-        level = inside.filter(F.col("key").isNull() | ~F.col("key").isin(skipped)).select("doc", "node")
+        level = level.filter("NOT _found").select("doc", "node")
+        if level.isEmpty():
+            return found
 
 
 def events(docs: DataFrame) -> DataFrame:
@@ -73,11 +85,10 @@ def events(docs: DataFrame) -> DataFrame:
     is one row with an issue."""
     node = F.col("node")
     found = walk(docs, _has(node, "i") & _has(node, "hn", "an"), ["competitions"])
-    markets = F.when(_kind(node, "$.m").startswith("ARRAY"), F.try_variant_get(node, "$.m", "array<variant>"))
+    markets = _list(node, "m")
 
     def in_market(m: Column) -> Column:
-        chosen = F.when(_kind(m, "$.o").startswith("ARRAY"), F.try_variant_get(m, "$.o", "array<variant>"))
-        return F.coalesce(_wrong(m, MARKET), _wrong_list(m, "o"), _first(chosen, lambda s: _wrong(s, SELECTION)))
+        return F.coalesce(_wrong(m, MARKET), _wrong_list(m, "o"), _first(_list(m, "o"), lambda s: _wrong(s, SELECTION)))
 
     def _first(items: Column, wrong) -> Column:
         return F.get(F.filter(F.transform(items, wrong), lambda x: x.isNotNull()), F.lit(0))

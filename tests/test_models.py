@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pitchlake.operators import joint, lineups, publication, status
+from pitchlake.session import checkpointed
 from pitchlake.sources import bulletin_tree
 
 
@@ -110,3 +111,15 @@ def test_popular_selections_of_nothing(spark):
     why = spark.createDataFrame([], "id long, category string, reason string")
     got = {r["id"]: (r["support"], r["reason"]) for r in publication.supported_populars(popular, coverage, none, none, why).collect()}
     assert got == {1: ("UNRESOLVED", "POPULAR_MATCH_UNRESOLVED"), 2: ("MODEL_DATA_UNAVAILABLE", "MODEL_PREDICTION_UNAVAILABLE")}
+
+
+def test_a_bulletin_of_many_levels_is_walked_in_few_stages(spark, monkeypatch):
+    """Levels are gone down in one stage, and no level asks for the schema of a whole subtree."""
+    written = []
+    monkeypatch.setattr(bulletin_tree, "checkpointed", lambda df: written.append(df._jdf.queryExecution().optimizedPlan().toString()) or checkpointed(df))
+    event = '{"i":%d,"hn":"a","an":"b","ci":1,"d":5,"m":[{"i":1,"o":[{"no":1,"n":"x","odd":1.5}]}]}'
+    body = '{"a":' * 9 + "[" + event % 1 + ',[3,null,"{",' + event % 2 + "]]" + "}" * 9
+    docs = bulletin_tree.documents(spark.createDataFrame([(1, body), (2, "[" + event % 3 + "]")], "k long, b string"), "k", "b")
+    got = bulletin_tree.walk(docs, F.try_variant_get("node", "$.hn", "string").isNotNull(), ["competitions"])
+    assert sorted(r[0] for r in got.select(F.try_variant_get("node", "$.i", "bigint")).collect()) == [1, 2, 3]
+    assert len(written) <= 4 and not any("schema_of_variant" in plan for plan in written)
