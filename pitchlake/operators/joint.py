@@ -1,8 +1,8 @@
 """Joint score models: weighted Poisson rates, a tilt that calibrates event cells, and a projection onto given marginals.
 
-Fits are Newton steps whose sums over all rows are added up over the tasks of one stage (``training.together``); scores are
-grids of ``GOALS`` x ``GOALS`` chances, made for an Arrow batch at a time and never kept: what leaves a task are four cell
-masses or a few market probabilities a row.
+Fits are Newton steps. The rates' sums over all rows are added up over the tasks of one stage (``training.together``), the
+tilt's are an aggregate a step; scores are grids of ``GOALS`` x ``GOALS`` chances, made for an Arrow batch at a time and never
+kept: what leaves a task are four cell masses or a few market probabilities a row.
 
 Cells: 0 neither over 2.5 goals nor both teams scoring, 1 both score only, 2 over only, 3 both.
 """
@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pitchlake.operators.training import AllSum, task_number, together
+from pitchlake.session import checkpointed
 
 # The grid, penalties, half life, bounds, and where the projection stops.
 GOALS = 41
@@ -30,7 +31,6 @@ GRID_ROWS = 512
 SCORES = np.arange(GOALS)
 TOTAL = SCORES[:, None] + SCORES[None, :]
 CELL = 2 * (TOTAL >= 3) + ((SCORES[:, None] > 0) & (SCORES[None, :] > 0))
-DESIGN = np.array([[0, 0], [0, 1], [1, 0], [1, 1]], dtype=float)
 
 
 def score_grids(rates: np.ndarray) -> np.ndarray:
@@ -155,33 +155,39 @@ def masses(rates: DataFrame) -> DataFrame:
     return rates.select("id", "home_rate", "away_rate").mapInArrow(work, "id long, cells array<double>")
 
 
-def _fit_tilt(held: dict[str, np.ndarray], add: AllSum, first: bool) -> Iterator[tuple]:
-    q, seen = held["cells"], held["cell"].astype(int)
-    n = max(float(add(np.array([len(q)], dtype=float))[0]), 1.0)
-    theta = np.zeros(2)
+def _tilt_sums(rows: DataFrame, theta: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, and the summed gradient and second derivatives of their cost at ``theta``."""
+    over, both = F.lit(float(theta[0])), F.lit(float(theta[1]))
+    c = [F.col("cells")[i] for i in range(4)]
+    raised = [c[0], c[1] * F.exp(both), c[2] * F.exp(over), c[3] * F.exp(over + both)]
+    total = sum(raised[1:], raised[0])
+    p = rows.select("cell", *[(x / total).alias(f"p{i}") for i, x in enumerate(raised)])
+    p = p.select("p3", (F.col("p2") + F.col("p3")).alias("o"), (F.col("p1") + F.col("p3")).alias("b"), (F.col("cell") >= 2).cast("double").alias("yo"), (F.col("cell") % 2).alias("yb"))
+    o, b = F.col("o"), F.col("b")
+    n, *sums = p.agg(F.count("*"), F.sum(o - F.col("yo")), F.sum(b - F.col("yb")), F.sum(o * (1 - o)), F.sum(F.col("p3") - o * b), F.sum(b * (1 - b))).first()
+    go, gb, oo, ob, bb = (x or 0.0 for x in sums)
+    return n, np.array([go, gb]), np.array([[oo, ob], [ob, bb]])
+
+
+def fit_tilt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
+    """One row (over, both, n): how much the log odds of over 2.5 and of both scoring are tilted, for (id, cells, cell): the
+    penalised likelihood of the cells that happened. A Newton step is one aggregate over all rows; no task keeps any."""
+    rows = rows.select("cells", F.col("cell").cast("double").alias("cell"))
+    rows = checkpointed(rows.repartition(tasks) if tasks else rows)
+    theta, total = np.zeros(2), 0
     for _ in range(100):
-        p = q * np.exp(DESIGN @ theta)
-        p /= p.sum(axis=1, keepdims=True)
-        mean = p @ DESIGN
-        spread = np.einsum("ni,ij,ik->jk", p, DESIGN, DESIGN) - mean.T @ mean
-        sums = add(np.vstack([spread, (mean - DESIGN[seen]).sum(axis=0)])) / n
-        gradient, hessian = sums[2] + 2 * SHRINK * theta, sums[:2] + 2 * SHRINK * np.eye(2)
+        total, gradient, hessian = _tilt_sums(rows, theta)
+        n = max(total, 1)
+        gradient, hessian = gradient / n + 2 * SHRINK * theta, hessian / n + 2 * SHRINK * np.eye(2)
         free = ~((np.abs(theta) >= MOST_TILT) & (np.sign(theta) == -np.sign(gradient)))  # held at a bound
         if not free.any() or np.abs(gradient[free]).max() < 1e-12:
             break
         move = np.zeros(2)
         move[free] = np.linalg.solve(hessian[np.ix_(free, free)], gradient[free])
         theta = np.clip(theta - move, -MOST_TILT, MOST_TILT)
-    if first:
-        yield float(theta[0]), float(theta[1]), int(n) if len(q) or n > 1 else 0
-
-
-def fit_tilt(rows: DataFrame, tasks: int | None = None) -> DataFrame:
-    """One row (over, both, n): how much the log odds of over 2.5 and of both scoring are tilted, for (id, cells, cell): the
-    penalised likelihood of the cells that happened."""
-    tilt = pa.schema([("over", pa.float64()), ("both", pa.float64()), ("n", pa.int64())])
-    total = rows.count()
-    return together(rows.select("id", "cells", F.col("cell").cast("double").alias("cell")), _fit_tilt, tilt, tasks or task_number(rows, total), "id")
+        if np.abs(move).max() < 1e-9:  # the next one would be lost in the sums' rounding
+            break
+    return rows.sparkSession.createDataFrame([(float(theta[0]), float(theta[1]), total)], "over double, both double, n long")
 
 
 def tilted(cells: DataFrame, tilt: DataFrame) -> DataFrame:

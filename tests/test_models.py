@@ -123,3 +123,21 @@ def test_a_bulletin_of_many_levels_is_walked_in_few_stages(spark, monkeypatch):
     got = bulletin_tree.walk(docs, F.try_variant_get("node", "$.hn", "string").isNotNull(), ["competitions"])
     assert sorted(r[0] for r in got.select(F.try_variant_get("node", "$.i", "bigint")).collect()) == [1, 2, 3]
     assert len(written) <= 4 and not any("schema_of_variant" in plan for plan in written)
+
+
+def test_tilt_keeps_no_rows_in_tasks(spark, monkeypatch):
+    """The fit is aggregates over the rows, and the minimum of their penalised cost."""
+    monkeypatch.setattr(joint, "together", None)
+    rng = np.random.default_rng(4)
+    cells, seen = rng.dirichlet([3, 2, 2, 3], 400), rng.choice(4, 400, p=[0.15, 0.2, 0.25, 0.4])
+    rows = spark.createDataFrame([(i, c.tolist(), int(x)) for i, (c, x) in enumerate(zip(cells, seen))], "id long, cells array<double>, cell int")
+    out = joint.fit_tilt(rows).first()
+    over, both = np.array([0, 0, 1, 1.0]), np.array([0, 1, 0, 1.0])
+
+    def cost(o, b):
+        p = cells * np.exp(o * over + b * both)
+        return -np.log(p[np.arange(400), seen] / p.sum(axis=1)).mean() + joint.SHRINK * (o * o + b * b)
+
+    best = cost(out["over"], out["both"])
+    assert out["n"] == 400 and all(best < cost(out["over"] + x, out["both"] + y) for x, y in ((1e-4, 0), (-1e-4, 0), (0, 1e-4), (0, -1e-4)))
+    assert tuple(joint.fit_tilt(rows.limit(0)).first()) == (0.0, 0.0, 0)
