@@ -146,14 +146,24 @@ def nearest_targets(found: DataFrame, targets: tuple = (1.5, 1.6, 1.7, 1.8)) ->
     return rows.withColumn("_nth", F.row_number().over(w)).filter("_nth = 1").select("coupon", "target", "size", "ids", "odd")
 
 
+#: Legs that are sorted in one task.
+TASK_LEGS = 500_000
+
+
+def _dealt(legs: DataFrame) -> DataFrame:
+    """``legs`` by coupon, in as many tasks as keep each near ``TASK_LEGS`` where the session's number of them is too small."""
+    tasks = -(-legs.count() // TASK_LEGS)
+    return legs.repartition(tasks, "coupon") if tasks > int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions")) else legs
+
+
 def validate_selections(legs: DataFrame, low: float = 1.10, high: float = 1.50) -> DataFrame:
     """(coupon, kind, legs, error): why a set of legs is no coupon of its kind, or null.
 
     The first leg, in order, whose match the coupon has already names the conflict, by its market and that of the match's
-    first leg; then numbers of legs and the product's bounds.
+    first leg; then numbers of legs and the product's bounds. Both windows sort in tasks whose number grows with the legs.
     """
     order = ["leg", "odd", "match_id", "line"]
-    rows = legs.withColumn("_nth", F.row_number().over(Window.partitionBy("coupon").orderBy(*order)))
+    rows = _dealt(legs.select("coupon", "kind", *order, "market")).withColumn("_nth", F.row_number().over(Window.partitionBy("coupon").orderBy(*order)))
     same = Window.partitionBy("coupon", "match_id").orderBy("_nth")
     rows = rows.withColumns({"_again": F.row_number().over(same), "_market": F.first("market").over(same), "_line": F.first("line").over(same)})
     x, y = F.col("market"), F.col("_market")

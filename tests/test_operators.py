@@ -361,3 +361,13 @@ def test_best_of_shares_bound_the_policies_ranking(spark, monkeypatch):
         chosen = research.daily_selections(rows, research.weight_family(2.5)[family], 0.45, -0.05, 45.0).collect()
         assert got[family]["bets"] == len(chosen) == 21
         assert got[family]["roi"] == pytest.approx(sum(r["won"] * r["odds"] - 1 for r in chosen) / len(chosen), abs=1e-7)
+
+
+def test_validation_sorts_no_more_legs_in_a_task_as_they_grow(spark, monkeypatch):
+    rows = [(i // 3, "DAILY_COMPOUND", i % 3 + 1, 1.1, i % 3 if (i // 3) % 2 else 0, None, "BTTS") for i in range(900)]
+    legs = spark.createDataFrame(rows, "coupon long, kind string, leg int, odd double, match_id int, line double, market string")
+    want = sorted(map(tuple, settlement.validate_selections(legs).collect()), key=str)
+    monkeypatch.setattr(settlement, "TASK_LEGS", 30, raising=False)
+    got = settlement.validate_selections(legs)
+    assert got.rdd.getNumPartitions() == 30 and sorted(map(tuple, got.collect()), key=str) == want
+    assert {r[3] for r in want} == {None, "SAME_MATCH_CONFLICT"}
