@@ -9,14 +9,25 @@ from pitchlake.functions import expressions as E
 
 
 def calibration_error(df: DataFrame, by: list[str], bins: Column, min_n: int = 0) -> DataFrame:
-    """(by..., ece, mce). Bins under ``min_n`` rows are left out of the sum but not of the total it is divided by."""
+    """(by..., ece, mce). Bins under ``min_n`` rows are left out of the sum but not of the total it is divided by.
+
+    Sums are decimal, so the order in which tasks end does not tip a value that lies on the edge of a rounded digit.
+    """
+    exact = lambda x: x.try_cast("decimal(38,18)")
     per_bin = df.groupBy(*by, bins.alias("_bin")).agg(
-        F.count("*").alias("_n"), F.avg("p").alias("_p"), F.avg(F.col("y").cast("double")).alias("_y")
-    )
-    gap = F.when(F.col("_n") >= min_n, F.abs(F.col("_p") - F.col("_y")))
-    return per_bin.groupBy(*by).agg(
-        (F.coalesce(F.sum(gap * F.col("_n")), F.lit(0.0)) / F.sum("_n")).alias("ece"), F.max(gap).alias("mce")
-    )
+        F.count("*").alias("_n"), F.isnan(F.sum("p")).alias("_nan"),
+        *[f.alias(f"_{c}{k}") for c in ("p", "y") for k, f in (("", F.sum(exact(F.col(c)))), ("n", F.count(c)))],
+    )
+    n, p, y = F.col("_n"), F.col("_p"), F.col("_y")
+    full = (F.col("_pn") == n) & (F.col("_yn") == n)
+    means = F.abs(F.try_divide(p.cast("double"), F.col("_pn")) - F.try_divide(y.cast("double"), F.col("_yn")))
+    gap = F.when(full, F.abs(p - y).cast("double") / n).otherwise(means)
+    share = F.when(full, exact(F.abs(p - y))).otherwise(exact(means * n))
+    some = n >= min_n
+    nan = F.bool_or(some & F.col("_nan"))
+    ece = F.coalesce(F.sum(F.when(some, share)).cast("double"), F.lit(0.0)) / F.sum("_n")
+    values = {"ece": ece, "mce": F.max(F.when(some, gap))}
+    return per_bin.groupBy(*by).agg(*[F.when(nan, float("nan")).otherwise(x).alias(name) for name, x in values.items()])
 
 
 def binary_quality(df: DataFrame, by: list[str]) -> DataFrame:
