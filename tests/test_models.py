@@ -122,7 +122,7 @@ def test_a_bulletin_of_many_levels_is_walked_in_few_stages(spark, monkeypatch):
     docs = bulletin_tree.documents(spark.createDataFrame([(1, body), (2, "[" + event % 3 + "]")], "k long, b string"), "k", "b")
     got = bulletin_tree.walk(docs, F.try_variant_get("node", "$.hn", "string").isNotNull(), ["competitions"])
     assert sorted(r[0] for r in got.select(F.try_variant_get("node", "$.i", "bigint")).collect()) == [1, 2, 3]
-    assert len(written) <= 4 and not any("schema_of_variant" in plan for plan in written)
+    assert len(written) <= 4 and not any("SchemaOfVariant" in plan for plan in written)
 
 
 def test_tilt_keeps_no_rows_in_tasks(spark, monkeypatch):
