@@ -1,13 +1,14 @@
 """Quality classifier: an interpolated modified Kneser-Ney bigram model of trusted text, and thresholds by language.
 
 Words and punctuation runs are hashed, so every trusted token is in the vocabulary; a word that repeats the word before it is
-``<rep>``. Documents are tokenised once, in chunks of about ``CHUNK`` tokens that are written. Trusted documents' bigrams are
-counted where they are, sent to the shard of their key (a range of key hashes) and summed there; a shard tells the shards of
-the contexts and of the words what it knows of them. No count or share is too small: the model grows with the trusted text,
-and stays a sharded table of packed arrays.
+``<rep>``. Documents are tokenised once, in chunks of about ``CHUNK`` tokens that are written in buckets and then stay where
+they are. A chunk sends each of its distinct bigrams once, with its trusted occurrences, to the shard of its key (a range of key
+hashes). The shard sums the occurrences, tells every chunk the sum and one chunk that the bigram is its own. So each bigram of
+the model is known in one place as two words, from where the shards of words learn of the contexts and continuations, and tell
+them to the chunks. No count or share is too small: the model grows with the trusted text.
 
-A chunk asks for each of its distinct tokens and bigrams once; requests and model meet by shard, and the answers go back to
-the chunk. So a common bigram costs an entry a chunk, not one an occurrence, and no task or driver holds the model.
+Counting and looking up are one exchange: a common bigram costs an entry a chunk, not one an occurrence, and no task or driver
+holds the model.
 
 Four fifths of the trusted documents train the model, the rest set the thresholds. A document's score is how far its mean
 negative log probability a token lies above its language's mean, in standard deviations of a text of its length: the variance
@@ -22,6 +23,7 @@ of either table may bear any name. Repeated labels of a document count once; it
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pitchlake.llm.shingles import mix
-from pitchlake.llm.storage import durable, released, tidy
+from pitchlake.llm.storage import bucketed, durable, released, tidy
 
 QUANTILE = 0.99
 ENOUGH = 100
@@ -43,13 +45,17 @@ LEAST = 0.05
 STEP = 0.001
 HELD_OUT = 5
 START, END, REPEATED = 0, 1, 2
-#: Tokens of a chunk of documents, bigrams that a task gathers before it sends them, and tokens of all documents for each shard.
-CHUNK = 1 << 19
-FLUSH = 1 << 19
+#: Tokens of a chunk of documents, characters that are looked at together, and tokens of all documents for each shard.
+CHUNK = 1 << 21
+PIECE = 1 << 18
 PER_SHARD = 1 << 22
 LEAST_SHARDS = 12
 KEY_BITS = 48
 TOKEN = re.compile(r"\w+|[^\w\s]+")
+SPACE = re.compile(r"\s")
+#: Tokens of more characters are hashed one by one.
+LONG = 64
+_POWERS = np.cumprod(np.array([1] + [0x9E3779B97F4A7C15] * (LONG - 1), np.uint64))
 
 
 class Hashes(dict):
@@ -76,6 +82,72 @@ def numbers(hashes: Hashes, text: str) -> list[int]:
     return out
 
 
+@functools.cache
+def _kinds() -> np.ndarray:
+    """What each code point is: 0 white space, 1 part of a word, 2 anything else."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.full(len(every), 2, np.uint8)
+    for kind, pattern in enumerate((r"\s+", r"\w+")):
+        for run in re.finditer(pattern, every):
+            out[run.start() : run.end()] = kind
+    return out
+
+
+def _tokens(hashes: Hashes, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the tokens of ``text``, whether each is a word, and where it begins."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kind = _kinds()[points]
+    edges = np.flatnonzero(np.diff(kind, prepend=np.uint8(9), append=np.uint8(9)))
+    starts, sizes = edges[:-1], np.diff(edges)
+    token = kind[starts] > 0
+    starts, sizes = starts[token], sizes[token]
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, bool), starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    terms = (points[kind > 0].astype(np.uint64) + np.uint64(1)) * _POWERS[np.minimum(place, LONG - 1)]
+    out = mix(np.add.reduceat(terms, first)).view(np.int64)
+    for n in np.flatnonzero(sizes > LONG):
+        out[n] = hashes[text[starts[n] : starts[n] + sizes[n]]]
+    return out, kind[starts] == 1, starts
+
+
+def numbered_tokens(hashes: Hashes, texts: list[str]) -> Iterator[np.ndarray]:
+    """``numbers`` of each text with other hashes, by array operations on about ``PIECE`` characters at a time."""
+
+    def finished(token: np.ndarray, word: np.ndarray, owner: np.ndarray, n: int) -> Iterator[np.ndarray]:
+        at = np.flatnonzero(word)
+        again = (token[at[1:]] == token[at[:-1]]) & (owner[at[1:]] == owner[at[:-1]])
+        token[at[1:][again]] = REPEATED
+        cuts = np.searchsorted(owner, np.arange(n + 1))
+        for a, b in zip(cuts, cuts[1:]):
+            yield np.concatenate([[START], token[a:b], [END]])
+
+    def together(group: list[str]) -> Iterator[np.ndarray]:
+        token, word, starts = _tokens(hashes, "\n".join(group))
+        return finished(token, word, np.searchsorted(np.cumsum([len(t) + 1 for t in group]), starts, side="right"), len(group))
+
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > PIECE:
+            yield from together(group)
+            group, size = [], 0
+        if len(text) <= PIECE:
+            group.append(text)
+            size += len(text)
+            continue
+        parts, start = [], 0
+        while start < len(text):  # cut where there is white space
+            cut = SPACE.search(text, start + PIECE)
+            stop = cut.start() if cut else len(text)
+            parts.append(_tokens(hashes, text[start:stop])[:2])
+            start = stop
+        token, word = (np.concatenate(x) for x in zip(*parts))
+        yield from finished(token, word, np.zeros(len(token), np.int64), 1)
+    if group:
+        yield from together(group)
+
+
 def word_keys(tokens: np.ndarray) -> np.ndarray:
     return mix(tokens.view(np.uint64) + np.uint64(1)) >> np.uint64(64 - KEY_BITS)
 
@@ -157,15 +229,15 @@ def encode(docs: DataFrame) -> DataFrame:
                 pa.array([task + done], pa.int64()),
                 *(one([p[i] for p in parts]) for i in range(3)),
                 one([pa.array([len(t) for t in kept], pa.int32())]),
-                pa.array([word_keys(tokens[order]).tobytes()], pa.binary()),
+                pa.array([packed(word_keys(tokens[order]), ordered=False)], pa.binary()),
                 pa.array([packed(rank[local], ordered=False)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(columns, ["chunk", "ids", "langs", "text_keys", "sizes", "words", "local"])
 
         for batch in batches:
             start = 0
-            for n, text in enumerate(batch.column(2)):
-                kept.append(np.array(numbers(hashes, text.as_py() or ""), dtype=np.int64))
+            for n, tokens in enumerate(numbered_tokens(hashes, [t or "" for t in batch.column(2).to_pylist()])):
+                kept.append(tokens)
                 size += len(kept[-1])
                 if size >= CHUNK or n == batch.num_rows - 1:
                     # Copies: a slice would keep the batch's texts.
@@ -189,18 +261,28 @@ def rows_of(batch: pa.RecordBatch) -> Iterator[list]:
 
 
 class Tokens:
-    """The token keys of a chunk, and its bigrams: those inside one document."""
+    """The token keys of a chunk and its bigrams, those inside one document: ``pair`` numbers each where it stands, ``pairs``
+    are the distinct ones, ``b`` and ``w`` their words' places in ``words``."""
 
     def __init__(self, words: bytes, local: bytes, sizes: np.ndarray):
-        self.words, self.local = np.frombuffer(words, np.uint64), unpacked(local, ordered=False)[0].view(np.int64)
-        self.inside = np.ones(len(self.local), dtype=bool)
+        self.words, local = unpacked(words, ordered=False)[0], unpacked(local, ordered=False)[0].view(np.int64)
+        self.inside = np.ones(len(local), dtype=bool)
         self.inside[np.cumsum(sizes) - 1] = False
         self.inside = self.inside[:-1]
+        self.pair = local[:-1][self.inside] * len(self.words) + local[1:][self.inside]
+        self.pairs = np.unique(self.pair)
+        self.b, self.w = np.divmod(self.pairs, len(self.words))
 
-    def bigrams(self, chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``words`` of both words of every bigram, or of those that begin at a ``chosen`` token."""
-        mine = self.inside if chosen is None else self.inside & chosen[:-1]
-        return self.local[:-1][mine], self.local[1:][mine]
+    def keys(self) -> np.ndarray:
+        """The keys of ``pairs``."""
+        return pair_keys(self.words[self.b], self.words[self.w])
+
+    def often(self, chosen: np.ndarray) -> np.ndarray:
+        """How often each of ``pairs`` begins at a ``chosen`` token."""
+        found, n = np.unique(self.pair[chosen[:-1][self.inside]], return_counts=True)
+        out = np.zeros(len(self.pairs), np.uint64)
+        out[np.searchsorted(self.pairs, found)] = n
+        return out
 
 
 # -- the model ---------------------------------------------------------------------------------------------------------
@@ -208,11 +290,11 @@ class Tokens:
 
 @dataclass
 class Model:
-    """Packed counts by shard: of bigrams (count), of contexts (sum, and bigrams of count 1, 2 and more) and of words (contexts
-    before them); the discounts; the number of distinct bigrams and of distinct words."""
+    """What each shard tells each chunk, packed in the order of the chunk's keys: of bigrams twice the count, and 1 where the
+    bigram is the chunk's own; of words the sum of their bigrams as contexts, those of count 1, 2 and more, and the contexts
+    before them. The discounts; the number of distinct bigrams and of distinct words."""
 
-    table: DataFrame
-    shards: int
+    answers: DataFrame
     discounts: list[float]
     bigrams: int
     words: int
@@ -236,121 +318,93 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(x, 0.1), k - 0.1 if k > 1 else 0.9) for k, x in enumerate(raw, 1)]
 
 
+ANSWER = "kind string, chunk long, shard long, pack binary, n0 long, n1 long, n2 long, n3 long, n4 long"
+_ANSWER = pa.schema([("kind", pa.string()), ("chunk", pa.int64()), ("shard", pa.int64()), ("pack", pa.binary()), *((f"n{k}", pa.int64()) for k in range(5))])
+_ASKED = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("pack", pa.binary())])
+
+
+def _answered(kind: str, asked: pa.Table, packs: list[bytes], numbers: list[int]) -> pa.Table:
+    """A shard's answers, and numbers of the shard in the first of them."""
+    columns = [np.append(n, np.zeros(len(packs) - 1, np.int64)) for n in [*numbers, *[0] * (5 - len(numbers))]]
+    return pa.table([[kind] * len(packs), asked["chunk"], asked["shard"], packs, *columns], schema=_ANSWER)
+
+
+def _told(answers: list[dict], kind: str) -> list[np.ndarray]:
+    """The columns of all shards' answers to a chunk, in the order of its keys."""
+    return [np.concatenate(x) for x in zip(*(unpacked(r["pack"], ordered=False) for r in answers if r["kind"] == kind))]
+
+
 def train(chunks: DataFrame, shards: int) -> Model:
-    """The model of the documents of ``chunks`` whose places are listed in its column ``trusted``."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sent() -> pa.RecordBatch:
-            b, w, n = (np.concatenate(x) for x in zip(*kept))
-            key = pair_keys(b, w)
-            order = np.lexsort((w, b, key))
-            first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(key)])
-            n, order = np.add.reduceat(n[order], first), order[first]
-            b, w, shard = b[order], w[order], shard_of(key[order], shards)
-            order = np.lexsort((w, b, shard))
-            b, w, n, shard = b[order], w[order], n[order], shard[order]
-            cuts = np.flatnonzero(np.diff(shard, prepend=-1, append=-1))
-            packs = [packed(b[x:y], w[x:y], n[x:y]) for x, y in zip(cuts, cuts[1:])]
-            return pa.RecordBatch.from_pydict({"shard": shard[cuts[:-1]], "pack": packs}, pa.schema([("shard", pa.int64()), ("pack", pa.binary())]))
-
-        kept, size = [], 0
+    """The model of the documents of ``chunks`` whose places are listed in its column ``trusted``, as far as ``chunks`` need it."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for sizes, words, local, trusted in rows_of(batch):
+            for n, sizes, words, local, trusted in rows_of(batch):
                 tokens = Tokens(words, local, np.array(sizes))
                 chosen = np.zeros(len(sizes), dtype=bool)
-                chosen[trusted] = True
-                b, w = tokens.bigrams(np.repeat(chosen, sizes))
-                place, n = np.unique(b * len(tokens.words) + w, return_counts=True)
-                b, w = (tokens.words[x] for x in np.divmod(place, max(1, len(tokens.words))))
-                kept.append((b, w, n))
-                size += len(n)
-                if size > FLUSH:
-                    yield sent()
-                    kept, size = [], 0
-        if size:
-            yield sent()
-
-    kinds = pa.schema([("kind", pa.string()), ("shard", pa.int64()), ("pack", pa.binary()), *((f"n{k}", pa.int64()) for k in range(5))])
-    kinds_sql = "kind string, shard long, pack binary, n0 long, n1 long, n2 long, n3 long, n4 long"
-
-    def total(group: pa.Table) -> pa.Table:
-        b, w, n = (np.concatenate(x) for x in zip(*map(unpacked, group["pack"].to_pylist())))
-        key = pair_keys(b, w)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0)[: len(key)])
-        c = np.add.reduceat(n[order], first)
-        key, b, w = (x[order][first] for x in (key, b, w))
-        own = [int((c == k).sum()) for k in (1, 2, 3, 4)]
-        rows = [("bigrams", group["shard"][0].as_py(), packed(key, c), len(c), *own)]
-        rows += [("contexts", s, p, 0, 0, 0, 0, 0) for s, p in by_shard(shards, *summed(b, c, *((x).astype(np.uint64) for x in (c == 1, c == 2, c > 2))))]
-        rows += [("words", s, p, 0, 0, 0, 0, 0) for s, p in by_shard(shards, *summed(w, np.ones(len(w), np.uint64)))]
-        return pa.Table.from_pylist([dict(zip(kinds.names, r)) for r in rows], kinds)
-
-    def merge(group: pa.Table) -> pa.Table:
-        sums = summed(*(np.concatenate(x) for x in zip(*map(unpacked, group["pack"].to_pylist()))))
-        row = (group["kind"][0].as_py(), group["shard"][0].as_py(), packed(*sums), len(sums[0]), 0, 0, 0, 0)
-        return pa.Table.from_pylist([dict(zip(kinds.names, row))], kinds)
-
-    counts = chunks.select("sizes", "words", "local", "trusted").mapInArrow(tidy(count), "shard long, pack binary")
-    counted = durable(counts.groupBy("shard").applyInArrow(total, kinds_sql))
-    merged = durable(counted.filter("kind <> 'bigrams'").groupBy("kind", "shard").applyInArrow(merge, kinds_sql))
-    bigrams = counted.filter("kind = 'bigrams'")
+                chosen[trusted or []] = True
+                rows = [(n, s, p) for s, p in by_shard(shards, *summed(tokens.keys(), tokens.often(np.repeat(chosen, sizes))))]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _ASKED.types)], schema=_ASKED)
+
+    def count(asked: pa.Table) -> pa.Table:
+        asked = asked.sort_by("chunk")
+        each = [unpacked(p) for p in asked["pack"].to_pylist()]
+        keys, c = summed(*(np.concatenate(x) for x in zip(*each)))
+        owned, packs = np.zeros(len(keys), dtype=bool), []
+        for key, n in each:
+            at = np.searchsorted(keys, key)
+            own = (n > 0) & ~owned[at]
+            owned[at[own]] = True
+            packs.append(packed(c[at] * np.uint64(2) + own.astype(np.uint64), ordered=False))
+        return _answered("bigrams", asked, packs, [int((c > 0).sum()), *(int((c == k).sum()) for k in (1, 2, 3, 4))])
+
+    def tell(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        tokens = Tokens(texts["words"][0].as_py(), texts["local"][0].as_py(), texts["sizes"].combine_chunks().flatten().to_numpy())
+        (told,) = _told(answers.sort_by("shard").to_pylist(), "bigrams")
+        own = np.unique(tokens.keys(), return_index=True)[1][told & np.uint64(1) == 1]
+        c = told[told & np.uint64(1) == 1] >> np.uint64(1)
+        b, w, n = tokens.b[own], tokens.w[own], len(tokens.words)
+        sums = [np.bincount(b, c, n), *(np.bincount(b[x], minlength=n) for x in (c == 1, c == 2, c > 2)), np.bincount(w, minlength=n)]
+        rows = list(by_shard(shards, *summed(tokens.words, *(x.astype(np.uint64) for x in sums))))
+        released()
+        return pa.table([[texts["chunk"][0].as_py()] * len(rows), *map(list, zip(*rows))], schema=_ASKED)
+
+    def merge(asked: pa.Table) -> pa.Table:
+        each = [unpacked(p) for p in asked["pack"].to_pylist()]
+        keys, *sums = summed(*(np.concatenate(x) for x in zip(*each)))
+        packs = [packed(*found(keys, sums, key[0]), ordered=False) for key in each]
+        return _answered("words", asked, packs, [int((sums[-1] > 0).sum())])
+
+    schema = "chunk long, shard long, pack binary"
+    asked = chunks.select("chunk", "sizes", "words", "local", "trusted").mapInArrow(tidy(ask), schema)
+    bigrams = durable(asked.groupBy("shard").applyInArrow(count, ANSWER))
+    texts = chunks.select("chunk", "sizes", "words", "local")
+    partial = texts.groupBy("chunk").cogroup(bigrams.groupBy("chunk")).applyInArrow(tell, schema)
+    words = durable(partial.groupBy("shard").applyInArrow(merge, ANSWER))
     n = [x or 0 for x in bigrams.agg(*[F.sum(f"n{k}") for k in range(5)]).first()]
-    words = merged.filter("kind = 'words'").agg(F.sum("n0")).first()[0] or 0
-    return Model(bigrams.union(merged).select("kind", "shard", "pack"), shards, _discounts(*n[1:]), n[0], words)
+    n_words = words.agg(F.sum("n0")).first()[0] or 0
+    return Model(bigrams.union(words).select("kind", "chunk", "shard", "pack"), _discounts(*n[1:]), n[0], n_words)
 
 
 def score(chunks: DataFrame, model: Model) -> DataFrame:
     """(id, lang, text_key, n_tokens, nll) of the documents of ``chunks``: the number of predictions and their summed cost."""
     id_type = chunks.schema["ids"].dataType.elementType.simpleString()
-    shards = model.shards
-    costs = Model(None, shards, model.discounts, model.bigrams, model.words)  # what tasks need of it
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = pa.schema([("chunk", pa.int64()), ("shard", pa.int64()), ("kind", pa.string()), ("pack", pa.binary())])
-        for batch in batches:
-            for n, sizes, words, local in rows_of(batch):
-                tokens = Tokens(words, local, np.array(sizes))
-                b, w = tokens.bigrams()
-                b, w = np.divmod(np.unique(b * len(tokens.words) + w), len(tokens.words))
-                asked = [("bigrams", np.unique(pair_keys(tokens.words[b], tokens.words[w]))), ("words", np.unique(tokens.words))]
-                rows = [(n, s, kind, p) for kind, keys in asked for s, p in by_shard(shards, keys)]
-                yield pa.RecordBatch.from_pydict(dict(zip(types.names, map(list, zip(*rows)))), types)
-
-    def answer(asked: pa.Table, table: pa.Table) -> pa.Table:
-        known = {kind: unpacked(pack) for kind, pack in zip(table["kind"].to_pylist(), table["pack"].to_pylist())}
-        none = np.zeros(0, np.uint64)
-        bigrams, words, contexts = (known.get(k, [none] * n) for k, n in (("bigrams", 2), ("words", 2), ("contexts", 5)))
-        out = []
-        for kind, pack in zip(asked["kind"].to_pylist(), asked["pack"].to_pylist()):
-            want = unpacked(pack)[0]
-            if kind == "bigrams":
-                got = found(bigrams[0], bigrams[1:], want)
-            else:
-                got = [*found(words[0], words[1:], want), *found(contexts[0], contexts[1:], want)]
-            out.append(packed(*got, ordered=False))
-        return pa.table({"chunk": asked["chunk"], "shard": asked["shard"], "kind": asked["kind"], "pack": pa.array(out, pa.binary())})
+    costs = Model(None, model.discounts, model.bigrams, model.words)  # what tasks need of it
 
     def apply(texts: pa.Table, answers: pa.Table) -> pa.Table:
         ids, langs, text_keys, sizes = (texts[c].combine_chunks().flatten() for c in ("ids", "langs", "text_keys", "sizes"))
         tokens = Tokens(texts["words"][0].as_py(), texts["local"][0].as_py(), sizes.to_numpy())
         answers = answers.sort_by("shard").to_pylist()
-        (c,), (before, *context) = (
-            [np.concatenate(x) for x in zip(*(unpacked(r["pack"], ordered=False) for r in answers if r["kind"] == kind))] for kind in ("bigrams", "words")
-        )
-        b, w = tokens.bigrams()
-        places, which = np.unique(b * len(tokens.words) + w, return_inverse=True)
-        b, w = np.divmod(places, len(tokens.words))
-        keys, at = np.unique(pair_keys(tokens.words[b], tokens.words[w]), return_inverse=True)
+        (c,), (*context, before) = _told(answers, "bigrams"), _told(answers, "words")
+        at = np.unique(tokens.keys(), return_inverse=True)[1]
         place = np.unique(tokens.words, return_inverse=True)[1]
-        cost = -costs.log_probabilities(c[at], [x[place[b]] for x in context], before[place[w]])[which]
+        c, b, w = c[at] >> np.uint64(1), place[tokens.b], place[tokens.w]
+        cost = -costs.log_probabilities(c, [x[b] for x in context], before[w])[np.searchsorted(tokens.pairs, tokens.pair)]
         n = sizes.to_numpy().astype(np.int64) - 1
         released()
         return pa.table({"id": ids, "lang": langs, "text_key": text_keys, "n_tokens": n, "nll": np.add.reduceat(cost, np.cumsum(n) - n)})
 
-    asked = chunks.select("chunk", "sizes", "words", "local").mapInArrow(tidy(ask), "chunk long, shard long, kind string, pack binary")
-    answers = asked.groupBy("shard").cogroup(model.table.groupBy("shard")).applyInArrow(answer, "chunk long, shard long, kind string, pack binary")
-    both = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    both = chunks.groupBy("chunk").cogroup(model.answers.groupBy("chunk"))
     return both.applyInArrow(apply, f"id {id_type}, lang string, text_key long, n_tokens long, nll double")
 
 
@@ -375,13 +429,13 @@ def _quantiles(scores: DataFrame) -> DataFrame:
 def _classified(df: DataFrame, labels: DataFrame, id_col: str, text_col: str, lang_col: str, trusted: str) -> DataFrame:
     text = F.coalesce(df[text_col], F.lit(""))
     docs = df.select(df[id_col].alias("id"), df[lang_col].cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("text_key"))
-    chunks = durable(encode(docs))
+    chunks = bucketed(encode(docs), "chunk")
     total = chunks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda n, x: n + x))).first()[0] or 0
     ids = labels.filter(trusted).select(F.col(id_col).alias("id")).filter("id IS NOT NULL").distinct()
     good = durable(ids.withColumn("held", F.pmod(F.xxhash64("id"), F.lit(HELD_OUT)) == 0))
     places = chunks.select("chunk", F.posexplode("ids").alias("place", "id")).join(good.filter("not held").select("id"), "id", "left_semi")
     places = durable(places.groupBy("chunk").agg(F.collect_list("place").alias("trusted")))  # a chunk's own documents
-    model = train(chunks.join(places, "chunk"), max(LEAST_SHARDS, -(-total // PER_SHARD)))
+    model = train(chunks.join(places, "chunk", "left"), max(LEAST_SHARDS, -(-total // PER_SHARD)))
     scored = durable(score(chunks, model))
 
     trial = scored.join(good.filter("held").select("id"), "id", "left_semi")

@@ -460,6 +460,33 @@ def test_language_model_equals_brute_force(spark, monkeypatch):
         assert got[i] == (len(quality_lm.numbers(quality_lm.Hashes(), text)) - 1, pytest.approx(cost(text), rel=1e-9))
 
 
+def test_tokens_by_arrays_are_those_of_the_pattern(monkeypatch):
+    """The same tokens are equal and different ones differ, over odd characters, long words and texts cut at white space."""
+    rng = random.Random(4)
+    alphabet = [*"ab_1 \n\t.,-", "é", "ß", "\u0301", "中", "\u2028", "\x1c", "\x00", "²", "😀", "\ud800", "\U0001d7d8"]
+    texts = ["".join(rng.choices(alphabet, k=rng.choice([0, 1, 5, 80, 400]))) for _ in range(300)]
+    texts += ["the the, the THE", "x" * 64 + " " + "x" * 65 + " " + "x" * 65 + "!", "a" * 5000 + "b " + "b" + "a" * 5000, "go go " * 300]
+    monkeypatch.setattr(quality_lm, "PIECE", 100)
+    hashes, seen = quality_lm.Hashes(), {}
+    got = list(quality_lm.numbered_tokens(hashes, texts))
+    assert len(got) == len(texts)
+    for text, tokens in zip(texts, got):
+        want = quality_lm.numbers(hashes, text)
+        assert len(want) == len(tokens)
+        assert all(seen.setdefault(a, b) == b for a, b in zip(want, tokens.tolist()))
+    assert len(set(seen.values())) == len(seen) and all(seen[k] == k for k in range(3))
+
+
+def test_quality_sends_no_chunk_through_a_shuffle(spark):
+    """Chunks are grouped where they were written, and a bigram is sent once: counted and asked for in one exchange."""
+    rows = [(i, "en", " ".join(words(60, i % 50)), i) for i in range(200)]
+    docs = spark.createDataFrame(rows, "id long, lang string, text string, text_key long")
+    chunks = quality_lm.bucketed(quality_lm.encode(docs), "chunk")
+    model = quality_lm.train(chunks.withColumn("trusted", F.array(F.lit(0))), 5)
+    plan = quality_lm.score(chunks, model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(chunk") == 1 and "Bucketed: true" in plan
+
+
 def test_packed_arrays_come_back():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 1 << 48, 1000).astype(np.uint64))
