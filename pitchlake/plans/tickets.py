@@ -8,6 +8,7 @@ from pitchlake.fixtures import frame
 from pitchlake.functions import expressions as E
 from pitchlake.operators import publication, ranking, resolve, settlement
 from pitchlake.plans.registry import Registry
+from pitchlake.session import stored
 
 R = Registry()
 
@@ -150,11 +151,12 @@ SELECT id, split_part(says, '/', 1) AS support, nullif(split_part(says, '/', 2),
   CASE WHEN cid IS NOT NULL THEN round(cp * coalesce(odds, codd) - 1, 8) ELSE round(mp * coalesce(odds, modd) - 1, 8) END END AS ev FROM s""")
 def supported_populars(spark, sf_dir):
     """What the run says of popular selections."""
-    rows = predictions(spark, sf_dir).withColumn("id", F.col("id") * 100 + F.expr(f"row_number() OVER ({UNIQUE_HERE})"))
+    rows = stored(predictions(spark, sf_dir).withColumn("id", F.col("id") * 100 + F.expr(f"row_number() OVER ({UNIQUE_HERE})")))
     run = ranking.candidate_run(rows)
     popular = spark.sql(POPULAR.replace("FROM named", "FROM {rows}"), rows=rows)
     coverage = rows.select("match_id").distinct().select("match_id", (F.col("match_id") % 13 != 0).alias("covered"), (F.col("match_id") % 11 != 0).alias("resolved"))
-    excluded = run.filter("reason IS NOT NULL").groupBy("id", "category").agg(F.min("reason").alias("reason"))
+    # A run has one row an id and category, as ids are unique here; only the categories of ``POPULAR`` are ever asked for.
+    excluded = run.filter("reason IS NOT NULL").filter(F.col("category").isin("BTTS_YES", "OVER_25", "CORNERS")).select("id", "category", "reason")
     found = publication.supported_populars(popular, coverage, run.filter("rank IS NOT NULL"), rows.withColumn("revised", F.when(F.col("id") % 5 == 0, 0.5)), excluded)
     valued = F.col("support").isin("MODEL_SUPPORTED", "MODEL_BELOW_POLICY")
     return found.select("id", "support", "reason", F.when(valued, F.round("ev", 8)).alias("ev"))

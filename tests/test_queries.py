@@ -40,3 +40,9 @@ def test_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_popular_predictions_are_numbered_once(spark):
+    """What reads them takes its own columns from a stored table: numbering deals out whole rows."""
+    plan = QUERIES["supported_populars"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "stored-" in plan and "windowspecdefinition(id#" not in plan
